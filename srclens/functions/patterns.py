@@ -58,6 +58,10 @@ WS = r"[\t\n\f\r ]"
 # Characters removed by Go's strings.TrimSpace (unicode.IsSpace).
 GO_SPACE = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The same set as a plain string of characters (for Spark's trim).
+GO_SPACE_CHARS = ("\t\n\x0b\f\r \x85\xa0\u1680"
+                  + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
 NOT_WORD_BEFORE = r"(?<![A-Za-z0-9_])"
 NOT_WORD_AFTER = r"(?![A-Za-z0-9_])"
 

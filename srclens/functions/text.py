@@ -15,7 +15,7 @@ def lit_re(pattern: str) -> Column:
 
 def go_trim(col: Column) -> Column:
     """strings.TrimSpace: strip Unicode white space at both ends."""
-    return F.regexp_replace(col, F.lit("^" + P.GO_SPACE + "+|" + P.GO_SPACE + "+$"), F.lit(""))
+    return F.trim(col, F.lit(P.GO_SPACE_CHARS))
 
 
 def indent_width(raw: Column) -> Column:

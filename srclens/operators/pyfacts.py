@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import go_trim, indent_width, py_keyword_count
+from .stage import stage
 
 FILE = ["repo", "path"]
 _BIG = 1 << 30
@@ -55,15 +56,19 @@ def py_lines(files: DataFrame, keep_skipped: bool = False) -> DataFrame:
           .withColumn("skip", (F.col("text") == "") | F.col("text").startswith("#")))
     if not keep_skipped:
         df = df.filter(~F.col("skip"))
+    # Regexes run only on lines whose prefix can match (cheap guard).
     cls_name = F.regexp_extract("text", P.PY_CLASS, 1)
     def_name = F.regexp_extract("text", P.PY_FUNC, 1)
     df = (df.withColumn("indent", indent_width(F.col("raw")))
-          .withColumn("cls_name", F.when(~F.col("skip"), cls_name).otherwise(F.lit("")))
+          .withColumn("cls_name", F.when(~F.col("skip") & F.col("text").startswith("class"), cls_name)
+                      .otherwise(F.lit("")))
           .withColumn("is_class", F.col("cls_name") != "")
-          .withColumn("def_name", F.when(~F.col("skip") & ~F.col("is_class"), def_name)
+          .withColumn("def_name", F.when(~F.col("skip") & ~F.col("is_class")
+                                         & F.col("text").startswith("def"), def_name)
                       .otherwise(F.lit("")))
           .withColumn("is_def", F.col("def_name") != "")
-          .withColumn("is_method", F.col("is_def") & F.col("text").rlike(P.PY_METHOD))
+          .withColumn("is_method", F.when(F.col("is_def"), F.col("text").rlike(P.PY_METHOD))
+                      .otherwise(F.lit(False)))
           .withColumn("kw", py_keyword_count(F.col("text"))))
     return df
 
@@ -84,16 +89,15 @@ def with_def_groups(lines: DataFrame) -> DataFrame:
 
 
 def def_complexity(glines: DataFrame) -> DataFrame:
-    """One row per def: repo, path, grp, line, name, indent,
-    is_method, complexity."""
+    """One row per def with its complexity: repo, path, grp, line,
+    name, indent, is_method, complexity. The sum runs as a window over the
+    same (file, def group) partition as P10, so it reuses that sort."""
+    wg = Window.partitionBy(*FILE, "grp")
     counted = F.when(F.col("in_body") & ~F.col("is_class"), F.col("kw")).otherwise(F.lit(0))
     return (glines.filter(F.col("grp") > 0)
-            .groupBy(*FILE, "grp")
-            .agg(F.max(F.when(F.col("is_def"), F.struct("line", "def_name", "indent", "is_method")))
-                 .alias("d"),
-                 (F.lit(1) + F.sum(counted)).cast("int").alias("complexity"))
-            .select(*FILE, "grp", F.col("d.line").alias("line"), F.col("d.def_name").alias("name"),
-                    F.col("d.indent").alias("indent"), F.col("d.is_method").alias("is_method"),
+            .withColumn("complexity", (F.lit(1) + F.sum(counted).over(wg)).cast("int"))
+            .filter("is_def")
+            .select(*FILE, "grp", "line", F.col("def_name").alias("name"), "indent", "is_method",
                     "complexity"))
 
 
@@ -137,11 +141,23 @@ def _latest_header_of_name(classes: DataFrame, lookups: DataFrame) -> DataFrame:
             .filter(F.col("kind").isNotNull() & F.col("owner_line").isNotNull()))
 
 
-def py_facts(files: DataFrame) -> dict[str, DataFrame]:
-    """All Python facts of a source table: lines, funcs, classes."""
+def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
+    """All Python facts of a source table: lines, funcs, classes.
+
+    The narrow per-line fact table (no text columns) is materialized once
+    (reliable checkpoint in ``spark.checkpoint.dir``) because funcs, classes,
+    scopes and fields all read it; without it every consumer would re-run the
+    scan, the split and the regexes.
+    """
     files = cluster_files(files.filter(F.col("lang") == "python").filter(F.col("content").isNotNull()))
-    lines = py_lines(files)
-    glines = with_def_groups(lines)
+    lines = (py_lines(files)
+             .withColumn("self_field", F.col("raw").rlike(P.PY_SELF_FIELD))
+             .select(*FILE, "line", "indent", "cls_name", "is_class", "def_name", "is_def",
+                     "is_method", "kw", "self_field"))
+    lines = with_def_groups(lines)
+    if materialize:
+        lines = stage(lines)
+    glines = lines
     defs = def_complexity(glines)
     encl = enclosing_class(lines)
     defs = (defs.join(encl, [*FILE, "line"], "left")
@@ -154,7 +170,7 @@ def py_facts(files: DataFrame) -> dict[str, DataFrame]:
                       .select(*FILE, F.col("class").alias("name"), "line", F.lit("m").alias("kind")))
     inits = defs.filter((F.col("name") == "__init__") & (F.col("class") != "")).select(
         *FILE, "grp", F.col("class").alias("name"))
-    field_lookups = (glines.filter(F.col("in_body") & F.col("raw").rlike(P.PY_SELF_FIELD))
+    field_lookups = (glines.filter(F.col("in_body") & F.col("self_field"))
                      .select(*FILE, "grp", "line")
                      .join(inits, [*FILE, "grp"])
                      .select(*FILE, "name", "line", F.lit("f").alias("kind")))

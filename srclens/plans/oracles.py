@@ -124,3 +124,109 @@ SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs,
 FROM doc_lines WHERE t <> '' AND NOT starts_with(t, '#')
 GROUP BY source
 """
+
+# Go corpus: per-customer layout (see sources.testcorpus.go_corpus).
+GO_BASE = """
+gc AS (SELECT c_custkey AS k, 'r' || c_nationkey AS repo,
+              'r' || c_nationkey || '/g' || (c_custkey // 8) AS dir FROM customer),
+goc AS (SELECT o_custkey AS k, count(*) AS n_o FROM orders GROUP BY 1),
+gli AS (SELECT o.o_custkey AS k, lower(o.o_orderstatus) AS st, l.l_orderkey, l.l_linenumber,
+               CAST(l.l_quantity AS INTEGER) AS q
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+gcnt AS (SELECT k, count(*) AS n_li FROM gli GROUP BY k),
+gm AS (SELECT gli.*, 1 + 5 * CAST(k % 4 = 0 AS INTEGER) + CAST(ceil(q / 5.0) AS INTEGER)
+                     + 5 * CAST(k % 5 = 0 AS INTEGER) + CAST(k % 6 = 0 AS INTEGER) + 3 AS sz FROM gli),
+gml AS (SELECT gm.*, 3 + coalesce(sum(sz) OVER (PARTITION BY k, st ORDER BY l_orderkey, l_linenumber, q
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM gm),
+gbase AS (SELECT gc.*, coalesce(goc.n_o, 0) AS n_o, coalesce(gcnt.n_li, 0) AS n_li,
+                 1 + coalesce(goc.n_o, 0) + CAST(gc.k % 3 = 0 AS INTEGER) + 2 * CAST(gc.k % 4 = 0 AS INTEGER)
+                   + 3 * CAST(gc.k % 5 = 0 AS INTEGER) AS nf,
+                 gc.dir || '/c_' || gc.k || '.go' AS spath
+          FROM gc LEFT JOIN goc USING (k) LEFT JOIN gcnt USING (k)),
+gofuncs AS (
+  SELECT b.repo, b.dir AS pkg, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path,
+         'M_' || m.l_orderkey || '_' || m.l_linenumber AS name, 'Cust_' || m.k AS recv,
+         'Cust_' || m.k AS recv_cc, CAST(m.line AS INTEGER) AS line, CAST(m.sz - 1 AS INTEGER) AS lines,
+         CAST(1 + m.q + 2 * CAST(m.k % 5 = 0 AS INTEGER) + CAST(m.k % 6 = 0 AS INTEGER) AS INTEGER) AS complexity
+  FROM gml m JOIN gbase b USING (k)
+  UNION ALL
+  SELECT repo, dir, spath, 'New_' || k, NULL, NULL,
+         CAST(12 + n_o + CAST(k % 3 = 0 AS INTEGER) + CAST(k % 4 = 0 AS INTEGER)
+              + 2 * CAST(k % 5 = 0 AS INTEGER) AS INTEGER), 1, 1
+  FROM gbase),
+gostructs AS (
+  SELECT repo, dir AS pkg, spath AS path, 'Cust_' || k AS name, 8 AS line,
+         CAST(nf AS INTEGER) AS fields, CAST(n_li AS INTEGER) AS methods FROM gbase
+  UNION ALL
+  SELECT repo, dir, spath, 'Store_' || k, 4, 1, 0 FROM gbase WHERE k % 2 = 0)
+"""
+
+GO_FUNCS = _with(GO_BASE) + "SELECT * FROM gofuncs"
+GO_STRUCTS = _with(GO_BASE) + "SELECT * FROM gostructs"
+
+GO_HIGH_COMPLEXITY_ROWS = """
+SELECT repo, {sev} AS severity, 'high_complexity' AS smell_type, path AS file, line,
+       CASE WHEN coalesce(recv_cc, '') <> '' THEN recv_cc || '.' || name ELSE name END AS component,
+       'cc=' || complexity AS metrics, 'Stratégie' AS pattern, {eff} AS effort
+FROM gofuncs WHERE complexity > 10
+""".format(sev=_cc_sev("complexity"), eff=_cc_eff("complexity"))
+
+GO_GOD_STRUCT_ROWS = """
+SELECT repo, CASE WHEN fields > 20 OR methods > 30 THEN 'CRITIQUE' ELSE 'MOYEN' END AS severity,
+       'god_struct' AS smell_type, path AS file, line, name AS component,
+       'fields=' || fields || ', methods=' || methods AS metrics, 'Façade' AS pattern,
+       CASE WHEN fields > 20 OR methods > 30 THEN 'Élevé' ELSE 'Moyen' END AS effort
+FROM gostructs WHERE fields > 10 OR methods > 15
+"""
+
+GO_CONCRETE_DEP_ROWS = """
+SELECT repo, 'MOYEN' AS severity, 'concrete_dep' AS smell_type, spath AS file, 9 AS line,
+       'Cust_' || k || '.db' AS component, '' AS metrics, 'Injection de dépendances' AS pattern,
+       'Faible' AS effort
+FROM gbase WHERE k % 2 = 0
+UNION ALL
+SELECT repo, 'MOYEN', 'concrete_dep', spath,
+       CAST(10 + n_o + CAST(k % 3 = 0 AS INTEGER) + CAST(k % 4 = 0 AS INTEGER) AS INTEGER),
+       'Cust_' || k || '.cache', '', 'Injection de dépendances', 'Faible'
+FROM gbase WHERE k % 5 = 0
+"""
+
+GO_HIGH_COMPLEXITY = _with(GO_BASE) + GO_HIGH_COMPLEXITY_ROWS
+GO_GOD_STRUCT = _with(GO_BASE) + GO_GOD_STRUCT_ROWS
+GO_CONCRETE_DEP = _with(GO_BASE) + GO_CONCRETE_DEP_ROWS
+
+# All findings of both corpora (D6 / O4: UNION ALL).
+ALL_FINDINGS = _with(PY_BASE, GO_BASE, "allf AS (" + "\nUNION ALL\n".join([
+    PY_GOD_CLASS_ROWS, PY_HIGH_COMPLEXITY_ROWS, GO_GOD_STRUCT_ROWS, GO_CONCRETE_DEP_ROWS,
+    GO_HIGH_COMPLEXITY_ROWS]) + ")",
+    "repos AS (SELECT DISTINCT 'r' || c_nationkey AS repo FROM customer)")
+
+FINDINGS_ALL = ALL_FINDINGS + "\nSELECT * FROM allf"
+
+_SCORE = """
+scores AS (
+  SELECT r.repo, CAST(greatest(0, 100 - coalesce(sum(CASE f.severity WHEN 'CRITIQUE' THEN 15
+             WHEN 'MOYEN' THEN 7 WHEN 'FAIBLE' THEN 3 ELSE 0 END), 0)) AS INTEGER) AS score
+  FROM repos r LEFT JOIN allf f USING (repo) GROUP BY r.repo)
+"""
+
+REPO_SCORE = ALL_FINDINGS + ",\n" + _SCORE.strip() + "\nSELECT * FROM scores"
+
+SEVERITY_COUNTS = ALL_FINDINGS + """
+SELECT r.repo,
+       CAST(count(*) FILTER (WHERE f.severity = 'CRITIQUE') AS BIGINT) AS critique,
+       CAST(count(*) FILTER (WHERE f.severity = 'MOYEN') AS BIGINT) AS moyen,
+       CAST(count(*) FILTER (WHERE f.severity = 'FAIBLE') AS BIGINT) AS faible
+FROM repos r LEFT JOIN allf f USING (repo) GROUP BY r.repo
+"""
+
+QUALITY_GATE_MIN = 50
+
+QUALITY_GATE = ALL_FINDINGS + ",\n" + _SCORE.strip() + f"""
+SELECT repo, score, ({QUALITY_GATE_MIN} > 0 AND score < {QUALITY_GATE_MIN}) AS failed FROM scores
+"""
+
+SCORE_BAND = ALL_FINDINGS + ",\n" + _SCORE.strip() + """
+SELECT repo, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS band
+FROM scores
+"""

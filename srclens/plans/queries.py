@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import metrics_text
 from ..operators import detectors as D
+from ..operators import scoring as S
+from ..operators.gofacts import go_facts
 from ..operators.pyfacts import py_facts, py_lines
 from ..sources.tables import table
-from ..sources.testcorpus import python_corpus
+from ..sources.testcorpus import go_corpus, python_corpus
 
 FINDING_VIEW = ["repo", "severity", "smell_type", "file", "line", "component", "metrics",
                 "pattern", "effort"]
@@ -63,6 +65,63 @@ def q_py_high_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_view(D.py_high_complexity(py_facts(python_corpus(spark, sf_dir))))
 
 
+# ------------------------------------------------------------------ Go
+def q_go_funcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return go_facts(go_corpus(spark, sf_dir))["funcs"]
+
+
+def q_go_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return go_facts(go_corpus(spark, sf_dir))["structs"]
+
+
+def q_go_god_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_view(D.go_god_struct(go_facts(go_corpus(spark, sf_dir))))
+
+
+def q_go_concrete_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_view(D.go_concrete_dep(go_facts(go_corpus(spark, sf_dir))))
+
+
+def q_go_high_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_view(D.go_high_complexity(go_facts(go_corpus(spark, sf_dir))))
+
+
+# ------------------------------------------------------------------ both
+def analysed_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, repos) of the Python and Go corpora together."""
+    from .analysis import analyse
+    files = python_corpus(spark, sf_dir).unionByName(go_corpus(spark, sf_dir))
+    res = analyse(files)
+    return res["findings"], res["repos"]
+
+
+def q_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_view(analysed_corpus(spark, sf_dir)[0])
+
+
+def q_repo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, repos = analysed_corpus(spark, sf_dir)
+    return S.repo_score(f, repos)
+
+
+def q_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, repos = analysed_corpus(spark, sf_dir)
+    return S.severity_counts(f, repos)
+
+
+QUALITY_GATE_MIN = 50
+
+
+def q_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, repos = analysed_corpus(spark, sf_dir)
+    return S.quality_gate(S.repo_score(f, repos), QUALITY_GATE_MIN)
+
+
+def q_score_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, repos = analysed_corpus(spark, sf_dir)
+    return S.repo_score(f, repos).withColumn("band", S.score_band(F.col("score")))
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -70,4 +129,14 @@ QUERIES = {
     "py_classes": q_py_classes,
     "py_god_class": q_py_god_class,
     "py_high_complexity": q_py_high_complexity,
+    "go_funcs": q_go_funcs,
+    "go_structs": q_go_structs,
+    "go_god_struct": q_go_god_struct,
+    "go_concrete_dep": q_go_concrete_dep,
+    "go_high_complexity": q_go_high_complexity,
+    "findings_all": q_findings_all,
+    "repo_score": q_repo_score,
+    "severity_counts": q_severity_counts,
+    "quality_gate": q_quality_gate,
+    "score_band": q_score_band,
 }

@@ -12,6 +12,16 @@ ORACLES = {
     "py_classes": O.PY_CLASSES,
     "py_god_class": O.PY_GOD_CLASS,
     "py_high_complexity": O.PY_HIGH_COMPLEXITY,
+    "go_funcs": O.GO_FUNCS,
+    "go_structs": O.GO_STRUCTS,
+    "go_god_struct": O.GO_GOD_STRUCT,
+    "go_concrete_dep": O.GO_CONCRETE_DEP,
+    "go_high_complexity": O.GO_HIGH_COMPLEXITY,
+    "findings_all": O.FINDINGS_ALL,
+    "repo_score": O.REPO_SCORE,
+    "severity_counts": O.SEVERITY_COUNTS,
+    "quality_gate": O.QUALITY_GATE,
+    "score_band": O.SCORE_BAND,
 }
 
 

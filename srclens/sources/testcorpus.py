@@ -115,3 +115,106 @@ def python_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("path", F.concat(F.col("dir"), F.lit("/c_"), F.col("k"), F.lit(".py")))
             .withColumn("lang", F.lit("python"))
             .select("repo", "path", "dir", "lang", "content"))
+
+
+_GO_DECOYS = "\n".join([
+    "\ts := \"if { && }\"",
+    "\tr := '{'",
+    "\tt := `case if {`",
+    "\t// if && { for",
+    "\t/* for { */",
+])
+_GO_SWITCH = "\n".join(["\tswitch x {", "\tcase 1:", "\tcase 2:", "\tdefault:", "\t}"])
+
+
+def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_files with one Go struct file per customer and one method file
+    per (customer, order status); all files of a customer share the package
+    directory ``r<n>/g<k div 8>``.
+
+    Struct file ``c_<k>.go``::
+
+         1  package g<k div 8>
+         3  // Cust_<k> keeps "quoted { braces" and if for case words.
+         4  type Store_<k> struct {   (k even)  |  type Store_<k> interface {  (k odd)
+         5      id int                          |      Get() int
+         8  type Cust_<k> struct {
+         9      db *Store_<k>                   concrete dependency iff k even
+                F_<orderkey> int                one per order
+                Base                            k % 3 = 0, embedded
+                a, b int                        k % 4 = 0
+                cache, x *Cache_<k>             k % 5 = 0, undeclared type: syntactic rule
+                logger *log.Logger              k % 5 = 0, qualified: not concrete
+            }
+            func New_<k>() *Cust_<k> { return nil }
+
+    Method file ``c_<k>_<status>.go``: one method per lineitem of the
+    customer's orders with that status, receiver ``*Cust_<k>`` (value
+    receiver when k % 7 = 0); body: decoy literals and comments (k % 4 = 0),
+    ceil(q/5) lines ``if x > 0 && y > 0 ... { x++ }`` with q keywords, a
+    switch with two cases and a default (k % 5 = 0), a function literal with
+    ``||`` (k % 6 = 0), ``return x``.
+    """
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    dirs = (cust.withColumn("repo", F.concat(F.lit("r"), F.col("n")))
+            .withColumn("dir", F.concat(F.col("repo"), F.lit("/g"), F.expr("k div 8")))
+            .withColumn("pkgline", F.concat(F.lit("package g"), F.expr("k div 8"))))
+
+    fields = (orders.groupBy(F.col("o_custkey").alias("k"))
+              .agg(F.sort_array(F.collect_list("o_orderkey")).alias("okeys")))
+    struct_files = (dirs.join(fields, "k", "left").select(
+        "repo", "dir", F.concat(F.col("dir"), F.lit("/c_"), F.col("k"), F.lit(".go")).alias("path"),
+        F.expr(r"""
+        concat_ws('\n',
+          pkgline, '',
+          concat('// Cust_', k, ' keeps "quoted { braces" and if for case words.'),
+          CASE WHEN k % 2 = 0 THEN concat('type Store_', k, ' struct {\n\tid int\n}')
+               ELSE concat('type Store_', k, ' interface {\n\tGet() int\n}') END,
+          '',
+          concat('type Cust_', k, ' struct {'),
+          concat('\tdb *Store_', k),
+          nullif(array_join(transform(coalesce(okeys, array()), o -> concat('\tF_', o, ' int')), '\n'), ''),
+          CASE WHEN k % 3 = 0 THEN '\tBase' END,
+          CASE WHEN k % 4 = 0 THEN '\ta, b int' END,
+          CASE WHEN k % 5 = 0 THEN concat('\tcache, x *Cache_', k, '\n\tlogger *log.Logger') END,
+          '}',
+          '',
+          concat('func New_', k, '() *Cust_', k, ' { return nil }'),
+          '')
+        """).alias("content")))
+
+    decoys = _GO_DECOYS.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t")
+    switch = _GO_SWITCH.replace("\n", "\\n").replace("\t", "\\t")
+    method = f"""
+    concat_ws('\\n',
+      concat('func (c ', CASE WHEN k % 7 = 0 THEN '' ELSE '*' END, 'Cust_', k, ') M_', l_orderkey, '_',
+             l_linenumber, '(x int, y int) int {{'),
+      CASE WHEN k % 4 = 0 THEN '{decoys}' END,
+      array_join(transform(sequence(0, CAST(ceil(q / 5.0) AS INT) - 1),
+                 j -> concat('\\tif x > 0', repeat(' && y > 0', least(5, q - 5 * j) - 1), ' {{ x++ }}')), '\\n'),
+      CASE WHEN k % 5 = 0 THEN '{switch}' END,
+      CASE WHEN k % 6 = 0 THEN '\\tf := func() bool {{ return x > 0 || y > 0 }}' END,
+      '\\treturn x',
+      '}}',
+      '')
+    """
+    method_files = (items.join(orders, items.l_orderkey == orders.o_orderkey)
+                    .join(dirs, F.col("o_custkey") == F.col("k"))
+                    .withColumn("q", F.col("l_quantity").cast("int"))
+                    .select("repo", "dir", "k", "pkgline", "o_orderstatus", "l_orderkey", "l_linenumber",
+                            "q", F.expr(method).alias("txt"))
+                    .groupBy("repo", "dir", "k", "pkgline", "o_orderstatus")
+                    .agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "q", "txt")))
+                         .alias("ms"))
+                    .select("repo", "dir",
+                            F.concat(F.col("dir"), F.lit("/c_"), F.col("k"), F.lit("_"),
+                                     F.lower("o_orderstatus"), F.lit(".go")).alias("path"),
+                            F.concat_ws("\n", F.col("pkgline"), F.lit(""),
+                                        F.array_join(F.transform("ms", lambda m: m["txt"]), "\n"))
+                            .alias("content")))
+    return (struct_files.unionByName(method_files)
+            .withColumn("lang", F.lit("go"))
+            .select("repo", "path", "dir", "lang", "content"))
