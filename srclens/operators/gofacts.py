@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import dir_name
-from .pyfacts import FILE, cluster_files
+from .pyfacts import FILE, file_partitions
 from .stage import stage
 
 _IDENT = r"^[A-Za-z_]\w*$"
@@ -44,10 +44,11 @@ _OPEN = ["{", "(", "["]
 _CLOSE = ["}", ")", "]"]
 
 
-def go_raw_tokens(files: DataFrame, keep_space: bool = False) -> DataFrame:
+def go_raw_tokens(files: DataFrame, keep_space: bool = False,
+                  keys: tuple[str, ...] = ("repo", "path", "dir")) -> DataFrame:
     """All tokens of each file with their ordinal ``pos`` (whitespace kept
     only on request, for skeleton re-assembly)."""
-    toks = files.select(*FILE, "dir", F.posexplode(
+    toks = files.select(*keys, F.posexplode(
         F.regexp_extract_all(F.col("content"), F.lit(P.GO_TOKEN), 0)).alias("pos", "tok"))
     if not keep_space:
         toks = toks.filter(~F.col("tok").rlike(r"^[ \t\r]+$"))
@@ -55,59 +56,85 @@ def go_raw_tokens(files: DataFrame, keep_space: bool = False) -> DataFrame:
 
 
 def go_tokens(files: DataFrame) -> DataFrame:
-    """G1: token rows with line, depth, neighbours, declaration id and parent.
+    """G1: token rows keyed by a numeric file id, with line, depth,
+    neighbours, declaration, type-group and type-head state.
 
-    Columns: repo, path, dir, pos, tok, line, nl, depth_before, depth_after,
-    bdepth_before, prev1, next1, next2, decl_id, parent_pos, parent_tok,
-    parent_prev.
+    Everything is a running aggregate or an offset over ONE ordering
+    (fid, pos), so the token rows are sorted once; no token is ever joined
+    to another token.
     """
-    t = go_raw_tokens(files)
+    t = go_raw_tokens(files.withColumn("fid", F.xxhash64(*FILE)), keys=("fid",))
     is_comment = F.col("tok").startswith("//") | F.col("tok").startswith("/*")
     nls = F.length("tok") - F.length(F.replace(F.col("tok"), F.lit("\n"), F.lit("")))
     t = t.withColumn("nls", nls.cast("int")).filter(~is_comment | (F.col("nls") > 0))
-    # A block comment spanning lines behaves as a newline; keep it as one.
+    # A block comment spanning lines acts as a newline; keep it as one.
     t = t.withColumn("tok", F.when(is_comment, F.lit("\n")).otherwise(F.col("tok")))
     bd = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     pd = (F.when(F.col("tok").isin("(", "["), 1).when(F.col("tok").isin(")", "]"), -1)
           .otherwise(0))
-    w = Window.partitionBy(*FILE).orderBy("pos")
+    w = Window.partitionBy("fid").orderBy("pos")
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = (t.withColumn("bd", bd).withColumn("pd", pd)
+    t = (t.withColumn("dlt", (bd + pd).cast("int"))
          .withColumn("line", (F.lit(1) + F.sum("nls").over(wr) - F.col("nls")).cast("int"))
-         .withColumn("bdepth_after", F.sum("bd").over(wr).cast("int"))
-         .withColumn("depth_after", (F.col("bdepth_after") + F.sum("pd").over(wr)).cast("int"))
-         .withColumn("depth_before", (F.col("depth_after") - F.col("bd") - F.col("pd")).cast("int"))
-         .withColumn("bdepth_before", (F.col("bdepth_after") - F.col("bd")).cast("int"))
-         .withColumn("nl", F.col("tok") == "\n")
+         .withColumn("depth_after", F.sum("dlt").over(wr).cast("int"))
          .withColumn("prev1", F.lag("tok", 1).over(w))
          .withColumn("next1", F.lead("tok", 1).over(w))
          .withColumn("next2", F.lead("tok", 2).over(w))
          .withColumn("next3", F.lead("tok", 3).over(w))
-         .withColumn("next1_pos", F.lead("pos", 1).over(w))
-         .withColumn("next2_pos", F.lead("pos", 2).over(w))
-         .withColumn("next3_pos", F.lead("pos", 3).over(w)))
-    decl_start = ((F.col("depth_before") == 0) & F.col("tok").isin(*_DECL_KW)
-                  & (F.col("prev1").isNull() | F.col("prev1").isin("\n", ";")))
-    t = t.withColumn("decl_id", F.sum(decl_start.cast("int")).over(wr).cast("int"))
-    # Parent bracket: markers at the opened level, last marker per (file, level).
-    is_open = F.col("tok").isin(*_OPEN)
-    rows = t.select("*", F.col("depth_before").alias("lvl"), F.lit(False).alias("marker"))
-    markers = (t.filter(is_open)
-               .select("*", F.col("depth_after").alias("lvl"), F.lit(True).alias("marker")))
-    wl = Window.partitionBy(*FILE, "lvl").orderBy("pos", F.col("marker").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    par = F.last(F.when(F.col("marker"), F.struct(F.col("pos").alias("p"), F.col("tok").alias("t"),
-                                                  F.col("prev1").alias("pv"))),
-                 ignorenulls=True).over(wl)
-    out = (rows.unionByName(markers)
-           .withColumn("parent", par)
-           .filter(~F.col("marker"))
-           .select(*FILE, "dir", "pos", "tok", "line", "nl", "depth_before", "depth_after",
-                   "bdepth_before", "prev1", "next1", "next2", "next3", "next1_pos", "next2_pos",
-                   "next3_pos", "decl_id",
-                   F.col("parent.p").alias("parent_pos"), F.col("parent.t").alias("parent_tok"),
-                   F.col("parent.pv").alias("parent_prev")))
-    return out
+         .withColumn("depth_before", (F.col("depth_after") - F.col("dlt")).cast("int")))
+    line_start = F.col("prev1").isNull() | F.col("prev1").isin("\n", ";")
+    decl_start = (F.col("depth_before") == 0) & F.col("tok").isin(*_DECL_KW) & line_start
+    # Type groups "type (" never nest: a token is inside the latest one until
+    # a ')' brings the depth back to the group's level.
+    grp_open = (F.col("tok") == "(") & (F.col("prev1") == "type")
+    # Top-level ')' and body '{' counters used by the function aggregate.
+    top_close = (F.col("tok") == ")") & (F.col("depth_after") == 0)
+    body_open = ((F.col("tok") == "{") & (F.col("depth_before") == 0)
+                 & ~F.coalesce(F.col("prev1"), F.lit("")).isin("struct", "interface"))
+    t = (t.withColumn("decl_start", decl_start)
+         .withColumn("decl_id", F.sum(decl_start.cast("int")).over(wr).cast("int"))
+         .withColumn("n_top_close", F.sum(top_close.cast("int")).over(wr).cast("int"))
+         .withColumn("n_body_open", F.sum(body_open.cast("int")).over(wr).cast("int"))
+         .withColumn("grp", F.last(F.when(grp_open, F.struct(F.col("pos").alias("p"),
+                                                             F.col("depth_after").alias("d"))),
+                                   ignorenulls=True).over(wr)))
+    grp_close = (F.col("tok") == ")") & (F.col("depth_after") == F.col("grp.d") - 1)
+    t = (t.withColumn("grp_close_pos", F.last(F.when(grp_close, F.col("pos")), ignorenulls=True).over(wr))
+         .withColumn("in_group", F.col("grp.p").isNotNull()
+                     & (F.coalesce(F.col("grp_close_pos"), F.lit(-1)) < F.col("grp.p"))
+                     & (F.col("depth_before") == F.col("grp.d")))
+         .withColumn("kw", F.last(F.when(F.col("decl_start"),
+                                         F.struct(F.col("pos").alias("pos"), F.col("tok").alias("tok"),
+                                                  F.col("line").alias("line"),
+                                                  F.col("next1").alias("next1"),
+                                                  F.col("n_top_close").alias("ntc"),
+                                                  F.col("n_body_open").alias("nbo"))),
+                                  ignorenulls=True).over(wr)))
+    # Type spec heads (G6): right after 'type', or at a line start directly
+    # inside a type group.
+    is_head = (F.col("tok").rlike(_IDENT) & ~F.col("tok").isin("type", "struct", "interface")
+               & ((F.col("prev1") == "type") | (F.col("in_group") & F.col("prev1").isin("\n", ";", "("))))
+    t = (t.withColumn("is_head", is_head)
+         .withColumn("head", F.last(F.when(is_head, F.struct(F.col("pos").alias("pos"),
+                                                             F.col("depth_before").alias("d"))),
+                                    ignorenulls=True).over(wr)))
+    # Body of the latest head: after a '{' at the head's level and before the
+    # first '}' that returns to that level, one level deep.
+    hopen = F.last(F.when((F.col("tok") == "{") & (F.col("depth_before") == F.col("head.d")),
+                          F.col("pos")), ignorenulls=True).over(wr)
+    hclose = F.last(F.when((F.col("tok") == "}") & (F.col("depth_after") == F.col("head.d")),
+                           F.col("pos")), ignorenulls=True).over(wr)
+    t = (t.withColumn("hopen", hopen).withColumn("hclose", hclose)
+         .withColumn("in_head_body", F.col("head.pos").isNotNull()
+                     & (F.coalesce(F.col("hopen"), F.lit(-1)) > F.col("head.pos"))
+                     & (F.coalesce(F.col("hclose"), F.lit(-1)) < F.col("head.pos"))
+                     & (F.col("depth_before") == F.col("head.d") + 1)))
+    return t.drop("dlt", "nls", "grp", "grp_close_pos", "hopen", "hclose")
+
+
+def _file_keys(files: DataFrame) -> DataFrame:
+    """fid -> repo, path, dir (one row per file; joined to small outputs only)."""
+    return files.select(F.xxhash64(*FILE).alias("fid"), *FILE, "dir")
 
 
 def _recv_name(recv: F.Column, allow_index: bool) -> F.Column:
@@ -124,115 +151,100 @@ def _recv_name(recv: F.Column, allow_index: bool) -> F.Column:
     return F.when(plain != "", plain).otherwise(idx)
 
 
-def go_funcs(tokens: DataFrame) -> DataFrame:
+def go_funcs(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """One row per function declaration with a body.
 
     Columns: repo, pkg, path, name, recv (god-struct variant), recv_cc
-    (complexity variant), line, lines, complexity.
+    (complexity variant), line, lines, complexity. One hash aggregate per
+    declaration over the token rows.
     """
-    wd = Window.partitionBy(*FILE, "decl_id")
-    top = F.col("depth_before") == 0
-    t = (tokens.filter(F.col("decl_id") > 0)
-         .withColumn("kw", F.first(F.when(F.col("tok").isin(*_DECL_KW) & top
-                                          & (F.col("prev1").isNull() | F.col("prev1").isin("\n", ";")),
-                                          F.struct("pos", "tok", "line", "next1")),
-                                   ignorenulls=True).over(wd))
-         .filter(F.col("kw.tok") == "func"))
-    t = (t.withColumn("has_recv", F.col("kw.next1") == "(")
-         .withColumn("p_open", F.min(F.when((F.col("tok") == "(") & top, F.col("pos"))).over(wd))
-         .withColumn("p_close", F.min(F.when((F.col("tok") == ")") & (F.col("depth_after") == 0),
-                                             F.col("pos"))).over(wd))
-         .withColumn("lbrace", F.min(F.when((F.col("tok") == "{") & top
-                                            & ~F.coalesce(F.col("prev1"), F.lit("")).isin("struct", "interface"),
-                                            F.col("pos"))).over(wd)))
-    after_recv = F.when(F.col("has_recv"), F.col("pos") > F.col("p_close")).otherwise(F.lit(True))
-    in_recv = (F.col("has_recv") & (F.col("pos") > F.col("p_open")) & (F.col("pos") < F.col("p_close"))
-               & ~F.col("nl"))
-    in_body = F.col("lbrace").isNotNull() & (F.col("pos") > F.col("lbrace"))
-    agg = (t.groupBy(*FILE, "dir", "decl_id").agg(
-        F.first("kw.line").alias("line"),
-        F.first("lbrace").alias("lbrace"),
+    t = tokens.filter((F.col("kw.tok") == "func") & (F.col("pos") > F.col("kw.pos")))
+    has_recv = F.col("kw.next1") == "("
+    in_recv = (has_recv & (F.col("n_top_close") == F.col("kw.ntc")) & (F.col("depth_before") >= 1)
+               & (F.col("tok") != "\n"))
+    in_body = F.col("n_body_open") > F.col("kw.nbo")
+    first_close = (F.col("tok") == ")") & (F.col("depth_after") == 0) \
+        & (F.col("n_top_close") == F.col("kw.ntc") + 1)
+    agg = (t.groupBy("fid", "decl_id").agg(
+        F.first("kw").alias("kw"),
+        F.max(in_body).alias("has_body"),
         F.sort_array(F.collect_list(F.when(in_recv, F.struct("pos", "tok")))).alias("recv_toks"),
-        F.min_by(F.col("tok"), F.when(top & after_recv & (F.col("pos") > F.col("kw.pos"))
-                                      & F.col("tok").rlike(_IDENT), F.col("pos"))).alias("name"),
+        F.max(F.when(first_close, F.col("next1"))).alias("after_recv"),
         F.count_if(in_body & F.col("tok").isin(*P.GO_CC_TOKENS)).alias("cc"),
         F.max(F.when(in_body & (F.col("tok") == "}") & (F.col("depth_after") == 0), F.col("line")))
-        .alias("end_line"))
-        .filter(F.col("lbrace").isNotNull() & F.col("name").isNotNull()))
+        .alias("end_line")))
+    name = F.when(F.col("kw.next1") == "(", F.col("after_recv")).otherwise(F.col("kw.next1"))
+    agg = agg.withColumn("name", name).filter(F.col("has_body") & F.col("name").rlike(_IDENT))
     # Receiver text without its name: drop a leading identifier that is
     # followed by another token ("c *T" -> "*T", "T" stays).
     toks = F.transform("recv_toks", lambda x: x["tok"])
     typ = F.when((F.size(toks) >= 2) & F.element_at(toks, 1).rlike(_IDENT),
                  F.slice(toks, 2, 1 << 20)).otherwise(toks)
     recv_text = F.array_join(typ, "")
-    return agg.select(
+    has_recv_c = F.col("kw.next1") == "("
+    return agg.join(keys, "fid").select(
         "repo", F.col("dir").alias("pkg"), "path", "name",
-        F.when(F.size(toks) > 0, _recv_name(recv_text, True)).alias("recv"),
-        F.when(F.size(toks) > 0, _recv_name(recv_text, False)).alias("recv_cc"),
-        F.col("line").cast("int").alias("line"),
-        (F.col("end_line") - F.col("line") + 1).cast("int").alias("lines"),
+        F.when(has_recv_c, _recv_name(recv_text, True)).alias("recv"),
+        F.when(has_recv_c, _recv_name(recv_text, False)).alias("recv_cc"),
+        F.col("kw.line").cast("int").alias("line"),
+        (F.col("end_line") - F.col("kw.line") + 1).cast("int").alias("lines"),
         (F.col("cc") + 1).cast("int").alias("complexity"))
 
 
-def go_types(tokens: DataFrame) -> DataFrame:
+def go_types(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """G6 (all kinds): type specs with name, kind (struct/interface/other),
-    line and the position of a struct's opening brace.
+    line, and the position of a struct's opening brace.
 
-    A spec head is an identifier right after ``type``, or at the start of a
-    line/after ``;`` directly inside a ``type (`` group. Generic heads
-    ``Name[...]`` are followed through the matching ``]``.
+    For a generic head ``Name[...]`` the token after the closing ``]`` is
+    read from the ``]`` row (the running ``head`` state points back to it).
     """
-    grouped = ((F.col("parent_tok") == "(") & (F.col("parent_prev") == "type")
-               & F.col("prev1").isin("\n", ";", "("))
-    heads = tokens.filter(F.col("tok").rlike(_IDENT) & ((F.col("prev1") == "type") | grouped)
-                          & ~F.col("tok").isin("type", "struct", "interface"))
-    # Type-parameter lists: the '[' right after a head, and what follows its ']'.
-    generic = (tokens.filter(F.col("tok") == "]")
-               .select(*FILE, F.col("parent_pos").alias("g_open"),
-                       F.col("next1").alias("g1"), F.col("next2").alias("g2"),
-                       F.col("next3").alias("g3"), F.col("next1_pos").alias("g1_pos"),
-                       F.col("next2_pos").alias("g2_pos"), F.col("next3_pos").alias("g3_pos")))
-    h = (heads.alias("h")
-         .join(generic.alias("g"), (F.col("h.repo") == F.col("g.repo"))
-               & (F.col("h.path") == F.col("g.path")) & (F.col("h.next1") == "[")
-               & (F.col("g.g_open") == F.col("h.next1_pos")), "left")
-         .select("h.*", "g.g_open", "g.g1", "g.g2", "g.g3", "g.g1_pos", "g.g2_pos", "g.g3_pos"))
-    gen = F.col("g_open").isNotNull()
-    n1 = F.when(gen, F.col("g1")).otherwise(F.col("next1"))
-    n2 = F.when(gen, F.col("g2")).otherwise(F.col("next2"))
-    n3 = F.when(gen, F.col("g3")).otherwise(F.col("next3"))
-    n2_pos = F.when(gen, F.col("g2_pos")).otherwise(F.col("next2_pos"))
-    n3_pos = F.when(gen, F.col("g3_pos")).otherwise(F.col("next3_pos"))
+    heads = tokens.filter("is_head").select(
+        "fid", "pos", F.col("tok").alias("name"), "line", "next1", "next2", "next3",
+        F.col("depth_before").alias("d"))
+    closers = (tokens.filter((F.col("tok") == "]") & F.col("head.pos").isNotNull()
+                             & (F.col("depth_after") == F.col("head.d")))
+               .groupBy("fid", F.col("head.pos").alias("pos"))
+               .agg(F.min_by(F.struct("next1", "next2", "next3", "pos"), F.col("pos")).alias("g")))
+    h = heads.join(closers, ["fid", "pos"], "left")
+    gen = (F.col("next1") == "[") & F.col("g").isNotNull()
+    n1 = F.when(gen, F.col("g.next1")).otherwise(F.col("next1"))
+    n2 = F.when(gen, F.col("g.next2")).otherwise(F.col("next2"))
+    n3 = F.when(gen, F.col("g.next3")).otherwise(F.col("next3"))
     alias = n1 == "="
     kind_tok = F.when(alias, n2).otherwise(n1)
     brace_tok = F.when(alias, n3).otherwise(n2)
     kind = (F.when((kind_tok == "struct") & (brace_tok == "{"), F.lit("struct"))
             .when(kind_tok == "interface", F.lit("interface"))
             .otherwise(F.lit("other")))
-    return h.select("repo", F.col("dir").alias("pkg"), "path", F.col("tok").alias("name"),
-                    kind.alias("kind"), "line", F.col("pos").alias("head_pos"),
-                    F.when(alias, n3_pos).otherwise(n2_pos).alias("brace_pos"))
+    return (h.join(keys, "fid")
+            .select("fid", "repo", F.col("dir").alias("pkg"), "path", "name", kind.alias("kind"),
+                    "line", F.col("pos").alias("head_pos"), "d"))
 
 
 def go_struct_fields(tokens: DataFrame, types: DataFrame) -> DataFrame:
     """One row per field declaration of every struct type spec.
 
+    Field tokens are the tokens one level inside the struct's brace that
+    follow the latest struct head; fields split at newline or ``;``.
     Columns: repo, pkg, path, struct, line, names (array), embedded, type
     (type text without spaces), simple (type has no nested brackets).
     """
-    # The struct's brace: tokens 'struct' '{' right after the head (or '=').
     st = types.filter(F.col("kind") == "struct").select(
-        "repo", "pkg", "path", F.col("name").alias("struct"), "brace_pos")
-    kids = (tokens.filter((F.col("parent_tok") == "{") & (F.col("parent_prev") == "struct"))
-            .select(*FILE, F.col("parent_pos").alias("brace_pos"), "pos", "tok", "line", "nl"))
-    k = kids.join(st.select(*FILE, "pkg", "struct", "brace_pos"), [*FILE, "brace_pos"])
-    sep = F.col("nl") | (F.col("tok") == ";")
-    wf = Window.partitionBy(*FILE, "brace_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        "fid", F.col("head_pos").alias("hpos"), "repo", "pkg", "path", F.col("name").alias("struct"))
+    # Body tokens: depth one past the head's level + 1 (the struct brace),
+    # after the brace. The brace itself is the first '{' after the head at
+    # the head's level.
+    body = (tokens.filter("in_head_body")
+            .select("fid", F.col("head.pos").alias("hpos"), "pos", "tok", "line"))
+    sep = (F.col("tok") == "\n") | (F.col("tok") == ";")
+    k = body.join(st.select("fid", "hpos"), ["fid", "hpos"], "left_semi")
+    wf = Window.partitionBy("fid", "hpos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     k = (k.withColumn("field_no", F.sum(sep.cast("int")).over(wf))
-         .filter(~sep & (F.col("tok") != "}")))
-    f = (k.groupBy(*FILE, "pkg", "struct", "brace_pos", "field_no")
+         .filter(~sep))
+    f = (k.groupBy("fid", "hpos", "field_no")
          .agg(F.min("line").alias("line"),
               F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("ts"))
+         .join(st, ["fid", "hpos"])
          .withColumn("toks", F.transform("ts", lambda x: x["tok"])))
     toks = F.col("toks")
     # Drop a trailing tag literal.
@@ -305,11 +317,12 @@ def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
                          & ~F.col("path").endswith("_test.go"))
     if "dir" not in files.columns:
         files = files.withColumn("dir", dir_name(F.col("path")))
-    tokens = go_tokens(cluster_files(files))
+    keys = _file_keys(files)
+    tokens = go_tokens(files.repartition(file_partitions(files.sparkSession), F.xxhash64(*FILE)))
     if materialize:
         tokens = stage(tokens)
-    funcs = go_funcs(tokens)
-    types = go_types(tokens)
+    funcs = go_funcs(tokens, keys)
+    types = go_types(tokens, keys)
     fields = go_struct_fields(tokens, types)
     structs = go_structs(types, fields, funcs)
     return {"tokens": tokens, "funcs": funcs, "types": types, "fields": fields,

@@ -38,10 +38,26 @@ FILE = ["repo", "path"]
 _BIG = 1 << 30
 
 
+def file_partitions(spark) -> int:
+    """Partition count for the file shuffle.
+
+    The raw content is small on disk but explodes into lines or tokens, so
+    adaptive coalescing (which looks at shuffle bytes) would squeeze it into
+    a handful of tasks. An explicit count is never coalesced. Override with
+    ``srclens.files.partitions``; by default it is the larger of the shuffle
+    partitions and four tasks per core.
+    """
+    conf = spark.conf.get("srclens.files.partitions", None)
+    if conf:
+        return int(conf)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, 4 * spark.sparkContext.defaultParallelism)
+
+
 def cluster_files(files: DataFrame) -> DataFrame:
     """Hash-partition a source table by file so that all per-file windows
     and aggregations downstream reuse one shuffle of the raw content."""
-    return files.repartition(*FILE)
+    return files.repartition(file_partitions(files.sparkSession), *FILE)
 
 
 def py_lines(files: DataFrame, keep_skipped: bool = False) -> DataFrame:
