@@ -96,6 +96,28 @@ GO_TOKEN = (
     r"|\S"
 )
 
+# Analysis form of the Go token pattern: no whitespace tokens; numbers,
+# strings, runes and operator runs are still consumed (so their text never
+# yields false tokens) but are dropped right after (``GO_DROP``). '/' never
+# starts an operator run before the comment alternatives had their turn.
+GO_TOKEN_ANALYSIS = (
+    r"(?s)//[^\n]*+"
+    r"|/\*.*?\*/"
+    r"|`[^`]*+`"
+    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+    r"|'(?:\\.[^'\n]*+|[^'\\\n]++)'"
+    r"|\n"
+    r"|&&|\|\|"
+    r"|[A-Za-z_]\w*+"
+    r"|\d[\w.]*+"
+    r"|[{}()\[\];,.*=]"
+    r"|[-+/%<>!:^|&~?]++"
+    r"|[^\s\w]"
+)
+# Tokens dropped before any window: numbers, strings, runes, raw strings,
+# single-line comments, operator runs and other symbols.
+GO_KEEP = r"^(?:[A-Za-z_]\w*|[{}()\[\];,.*=]|&&|\|\||\n)$"
+
 # Directory markers of skeleton headers.
 GO_SKETCH_HEADER = "// === {path} ===\n\n"
 PY_SKETCH_HEADER = "# === {path} ===\n\n"

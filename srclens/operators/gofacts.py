@@ -63,12 +63,15 @@ def go_tokens(files: DataFrame) -> DataFrame:
     (fid, pos), so the token rows are sorted once; no token is ever joined
     to another token.
     """
-    t = go_raw_tokens(files.withColumn("fid", F.xxhash64(*FILE)), keys=("fid",))
-    is_comment = F.col("tok").startswith("//") | F.col("tok").startswith("/*")
+    t = (files.withColumn("fid", F.xxhash64(*FILE))
+         .select("fid", F.posexplode(F.regexp_extract_all(
+             F.col("content"), F.lit(P.GO_TOKEN_ANALYSIS), 0)).alias("pos", "tok")))
     nls = F.length("tok") - F.length(F.replace(F.col("tok"), F.lit("\n"), F.lit("")))
-    t = t.withColumn("nls", nls.cast("int")).filter(~is_comment | (F.col("nls") > 0))
-    # A block comment spanning lines acts as a newline; keep it as one.
-    t = t.withColumn("tok", F.when(is_comment, F.lit("\n")).otherwise(F.col("tok")))
+    # Block comments and raw strings spanning lines still count their
+    # newlines: they become one newline token carrying the count.
+    t = (t.withColumn("nls", nls.cast("int"))
+         .filter(F.col("tok").rlike(P.GO_KEEP) | (F.col("nls") > 0))
+         .withColumn("tok", F.when(F.col("nls") > 0, F.lit("\n")).otherwise(F.col("tok"))))
     bd = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     pd = (F.when(F.col("tok").isin("(", "["), 1).when(F.col("tok").isin(")", "]"), -1)
           .otherwise(0))
