@@ -37,7 +37,7 @@ def html_escape(col: Column) -> Column:
     """Escape text for an HTML cell the way Go's html/template does for text."""
     out = F.replace(col, F.lit("&"), F.lit("&amp;"))
     for src, dst in (("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"),
-                     ("\u0000", "�")):
+                     ("+", "&#43;"), ("\u0000", "\ufffd")):
         out = F.replace(out, F.lit(src), F.lit(dst))
     return out
 

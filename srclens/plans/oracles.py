@@ -230,3 +230,68 @@ SCORE_BAND = ALL_FINDINGS + ",\n" + _SCORE.strip() + """
 SELECT repo, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS band
 FROM scores
 """
+
+_FIELDS = r"CAST(regexp_extract(metrics, 'fields=(\d+)', 1) AS INTEGER)"
+_METHODS = r"CAST(regexp_extract(metrics, 'methods=(\d+)', 1) AS INTEGER)"
+_CCV = r"CAST(regexp_extract(metrics, 'cc=(\d+)', 1) AS INTEGER)"
+_RANK = "CASE severity WHEN 'CRITIQUE' THEN 0 WHEN 'MOYEN' THEN 1 ELSE 2 END"
+_METRICS_JSON = f"""CASE WHEN smell_type IN ('god_struct', 'god_class')
+       THEN '{{"fields":' || {_FIELDS} || ',"methods":' || {_METHODS} || '}}'
+       WHEN smell_type = 'high_complexity' THEN '{{"cc":' || {_CCV} || '}}' ELSE '{{}}' END"""
+
+REPORT_JSON = ALL_FINDINGS + ",\n" + _SCORE.strip() + f"""
+SELECT repo, -1 AS rank, '' AS file, 0 AS line, '' AS smell_type, '' AS component,
+       '{{"dir":"' || repo || '","score":' || score || '}}' AS json
+FROM scores
+UNION ALL
+SELECT repo, {_RANK}, file, line, smell_type, component,
+       '{{"severity":"' || severity || '","smell_type":"' || smell_type || '","file":"' || file
+       || '","line":' || line || ',"component":"' || component || '","metrics":' || {_METRICS_JSON}
+       || ',"pattern":"' || pattern || '","effort":"' || effort || '"}}'
+FROM allf
+"""
+
+_DESCRIBE = f"""CASE smell_type
+  WHEN 'god_struct' THEN component || ' · ' || {_FIELDS} || ' champs · ' || {_METHODS} || ' méthodes'
+  WHEN 'concrete_dep' THEN component || ' est un type concret, pas une interface'
+  WHEN 'high_complexity' THEN component || ' · CC=' || {_CCV}
+  ELSE component END"""
+
+REPORT_TEXT = ALL_FINDINGS + ",\n" + _SCORE.strip() + f""",
+counts AS (
+  SELECT r.repo, count(*) FILTER (WHERE f.severity = 'CRITIQUE') AS c,
+         count(*) FILTER (WHERE f.severity = 'MOYEN') AS m, count(*) FILTER (WHERE f.severity = 'FAIBLE') AS fa
+  FROM repos r LEFT JOIN allf f USING (repo) GROUP BY r.repo)
+SELECT repo, {_RANK} AS rank, file, line, smell_type, component,
+       printf('%-22s %-20s %s', '[' || severity || ']', smell_type, file || ':' || line) || chr(10)
+       || '             ' || {_DESCRIBE} || chr(10)
+       || '             → Patron suggéré : ' || pattern || ' · Effort : ' || effort || chr(10) AS text
+FROM allf
+UNION ALL
+SELECT s.repo, 3, '', 0, '', '',
+       'score de maintenabilité : ' || s.score || ' / 100' || chr(10) || '  critique : ' || c.c
+       || '  moyen : ' || c.m || '  faible : ' || c.fa
+FROM scores s JOIN counts c USING (repo)
+"""
+
+
+def _esc(col: str) -> str:
+    out = f"replace({col}, '&', '&amp;')"
+    for a, b in (("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;"), ("+", "&#43;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+REPORT_HTML_ROWS = ALL_FINDINGS + ",\n" + _SCORE.strip() + f"""
+SELECT repo, -1 AS rank, '' AS file, 0 AS line, '' AS smell_type, '' AS component,
+       '<div class="score ' || CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END
+       || '">Score de maintenabilité : ' || score || ' / 100</div>' AS html
+FROM scores
+UNION ALL
+SELECT repo, {_RANK}, file, line, smell_type, component,
+       '<tr><td class="' || {_esc('severity')} || '">' || {_esc('severity')} || '</td><td>'
+       || {_esc('smell_type')} || '</td><td><code>' || {_esc("file || ':' || line")} || '</code></td><td>'
+       || {_esc('component')} || '</td><td>' || {_esc('pattern')} || '</td><td>' || {_esc('effort')}
+       || '</td></tr>'
+FROM allf
+"""

@@ -122,6 +122,25 @@ def q_score_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.repo_score(f, repos).withColumn("band", S.score_band(F.col("score")))
 
 
+# ------------------------------------------------------------------ reports
+def q_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.report import report_json_rows
+    f, repos = analysed_corpus(spark, sf_dir)
+    return report_json_rows(f, S.repo_score(f, repos))
+
+
+def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.report import report_text_rows
+    f, repos = analysed_corpus(spark, sf_dir)
+    return report_text_rows(f, S.repo_score(f, repos), S.severity_counts(f, repos))
+
+
+def q_report_html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.report import report_html_rows
+    f, repos = analysed_corpus(spark, sf_dir)
+    return report_html_rows(f, S.repo_score(f, repos))
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -139,4 +158,7 @@ QUERIES = {
     "severity_counts": q_severity_counts,
     "quality_gate": q_quality_gate,
     "score_band": q_score_band,
+    "report_json": q_report_json,
+    "report_text": q_report_text,
+    "report_html_rows": q_report_html_rows,
 }

@@ -22,6 +22,9 @@ ORACLES = {
     "severity_counts": O.SEVERITY_COUNTS,
     "quality_gate": O.QUALITY_GATE,
     "score_band": O.SCORE_BAND,
+    "report_json": O.REPORT_JSON,
+    "report_text": O.REPORT_TEXT,
+    "report_html_rows": O.REPORT_HTML_ROWS,
 }
 
 
