@@ -121,3 +121,30 @@ GO_KEEP = r"^(?:[A-Za-z_]\w*|[{}()\[\];,.*=]|&&|\|\||\n)$"
 # Directory markers of skeleton headers.
 GO_SKETCH_HEADER = "// === {path} ===\n\n"
 PY_SKETCH_HEADER = "# === {path} ===\n\n"
+
+# ---- fixed values: prompt texts of the model-assisted steps ----
+PROMPT_FINDING_HEAD = ("You are a software architect expert in Go design patterns.\n"
+                       "A static analysis tool detected an architectural smell:\n\n")
+PROMPT_FINDING_TAIL = (
+    "CRITICAL: Output ONLY a raw JSON object — no markdown, no prose, no code fences.\n"
+    "Your response must start with { and end with }.\n\n"
+    '{"explanation":"1-2 sentence diagnosis","refactor_before":"Go code ≤15 lines",'
+    '"refactor_after":"Go code ≤15 lines","effort":"Faible|Moyen|Élevé"}')
+PROMPT_PACKAGE_HEAD = ("You are an expert software architect performing deep architectural analysis.\n"
+                       "Below is the skeleton of a {language} package at: {dir}\n"
+                       "Function bodies have been stripped — only signatures, types, and structure remain.\n\n")
+PROMPT_PACKAGE_SKIP = "Already detected by static analysis — do NOT re-flag:\n"
+PROMPT_PACKAGE_TAIL = (
+    "Identify architectural smells across ALL files in this package.\n"
+    "Cross-file patterns are especially valuable: feature envy, layer violations, missing abstractions.\n"
+    "For each finding, include the exact file path from the === FILE headers.\n\n"
+    "CRITICAL: Your ENTIRE response must be a single raw JSON array. No markdown, no prose, "
+    "no explanation before or after.\n"
+    "Start your response with [ and end with ]. Return [] if no smells found.\n\n"
+    "Each element:\n"
+    '{"smell_type":"snake_case","component":"Type.method or func",'
+    '"file":"exact/path/from/header.go","line":0,'
+    '"severity":"CRITIQUE|MOYEN|FAIBLE","explanation":"one sentence",'
+    '"pattern":"design pattern","effort":"Faible|Moyen|Élevé",'
+    '"refactor_before":"snippet ≤10 lines","refactor_after":"snippet ≤10 lines"}'
+    "\n\nPackage skeleton:\n")

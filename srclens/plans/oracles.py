@@ -295,3 +295,63 @@ SELECT repo, {_RANK}, file, line, smell_type, component,
        || '</td></tr>'
 FROM allf
 """
+
+# ---------------------------------------------------------------- enrichment
+_PY_FINDINGS = _with(PY_BASE, "pyf AS (" + PY_GOD_CLASS_ROWS + "\nUNION ALL\n" + PY_HIGH_COMPLEXITY_ROWS + ")")
+_FID = "repo || '|' || file || ':' || line || '|' || smell_type || '|' || component"
+
+ENRICH_PROMPTS = _PY_FINDINGS + f"""
+SELECT {_FID} AS finding_id,
+  'You are a software architect expert in Go design patterns.' || chr(10)
+  || 'A static analysis tool detected an architectural smell:' || chr(10) || chr(10)
+  || 'Smell type       : ' || smell_type || chr(10)
+  || 'Component        : ' || component || chr(10)
+  || 'Location         : ' || file || ':' || line || chr(10)
+  || CASE WHEN metrics <> '' THEN 'Metrics          : ' || metrics || chr(10) ELSE '' END
+  || 'Suggested pattern: ' || pattern || chr(10) || chr(10)
+  || 'CRITICAL: Output ONLY a raw JSON object — no markdown, no prose, no code fences.' || chr(10)
+  || 'Your response must start with {{ and end with }}.' || chr(10) || chr(10)
+  || '{{"explanation":"1-2 sentence diagnosis","refactor_before":"Go code ≤15 lines","refactor_after":"Go code ≤15 lines","effort":"Faible|Moyen|Élevé"}}'
+  AS prompt
+FROM pyf
+"""
+
+_ENRICHED = """
+enr AS (
+  SELECT pyf.*,
+    CASE line % 5 WHEN 0 THEN component || ' is too big' WHEN 1 THEN component || ' mixes concerns'
+                  WHEN 4 THEN component || ' ok' END AS explanation,
+    CASE line % 5 WHEN 0 THEN 'type A struct{}' WHEN 1 THEN 'a' WHEN 4 THEN '' END AS refactor_before,
+    CASE line % 5 WHEN 0 THEN 'type A interface{}' WHEN 1 THEN 'b' WHEN 4 THEN '' END AS refactor_after,
+    CASE line % 5 WHEN 0 THEN 'Moyen' WHEN 4 THEN 'Faible' ELSE effort END AS new_effort
+  FROM pyf)
+"""
+
+PARSE_ENRICHMENT = _PY_FINDINGS + ",\n" + _ENRICHED.strip() + f"""
+SELECT {_FID} AS finding_id, explanation,
+       CASE WHEN line % 5 = 4 THEN NULL ELSE refactor_before END AS refactor_before,
+       CASE WHEN line % 5 = 4 THEN NULL ELSE refactor_after END AS refactor_after,
+       CASE line % 5 WHEN 0 THEN 'Moyen' WHEN 1 THEN '' ELSE 'Faible' END AS effort
+FROM enr WHERE line % 5 IN (0, 1, 4)
+"""
+
+APPLY_ENRICHMENT = _PY_FINDINGS + ",\n" + _ENRICHED.strip() + """
+SELECT repo, severity, smell_type, file, line, component, metrics, pattern, new_effort AS effort,
+       explanation, refactor_before, refactor_after
+FROM enr
+"""
+
+PARSE_DEEP = """
+SELECT event_id, 'pkg/u' || user_id || '.go' AS default_file, 0 AS elem_pos,
+       CASE event_type WHEN 'click' THEN 'CRITIQUE' WHEN 'error' THEN 'MOYEN' WHEN 'view' THEN 'CRITIQUE'
+            ELSE 'FAIBLE' END AS severity,
+       event_type AS smell_type, 'pkg/u' || user_id || '.go' AS file, CAST(event_id % 500 AS INTEGER) AS line,
+       'U' || user_id || '.' || event_type AS component, 'Observer' AS pattern,
+       CASE event_type WHEN 'click' THEN 'Élevé' WHEN 'purchase' THEN 'Moyen' ELSE 'Faible' END AS effort,
+       'event ' || event_id AS explanation, '' AS refactor_before, '' AS refactor_after
+FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+UNION ALL
+SELECT event_id, 'pkg/u' || user_id || '.go', 1, 'FAIBLE', 'feature_envy', 'pkg/f' || event_id || '.go',
+       CAST(event_id % 97 AS INTEGER), '', '', 'Faible', '', '', ''
+FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+"""

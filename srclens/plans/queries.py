@@ -141,6 +141,38 @@ def q_report_html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_html_rows(f, S.repo_score(f, repos))
 
 
+# ------------------------------------------------------------------ model steps
+def _py_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = py_facts(python_corpus(spark, sf_dir))
+    return D.py_god_class(facts).unionByName(D.py_high_complexity(facts))
+
+
+def q_enrich_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.enrich import enrich_prompts
+    return enrich_prompts(_py_findings(spark, sf_dir))
+
+
+def q_parse_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.enrich import parse_enrichment
+    from ..sources.testcorpus import enrichment_responses
+    return parse_enrichment(enrichment_responses(_py_findings(spark, sf_dir)))
+
+
+def q_apply_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.enrich import apply_enrichment, parse_enrichment
+    from ..sources.testcorpus import enrichment_responses
+    f = _py_findings(spark, sf_dir)
+    out = apply_enrichment(f, parse_enrichment(enrichment_responses(f)))
+    return (out.withColumn("metrics", metrics_text(F.col("metrics")))
+            .select(*FINDING_VIEW, "explanation", "refactor_before", "refactor_after"))
+
+
+def q_parse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.enrich import parse_deep
+    from ..sources.testcorpus import deep_responses
+    return parse_deep(deep_responses(spark, sf_dir)).drop("metrics")
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -161,4 +193,8 @@ QUERIES = {
     "report_json": q_report_json,
     "report_text": q_report_text,
     "report_html_rows": q_report_html_rows,
+    "enrich_prompts": q_enrich_prompts,
+    "parse_enrichment": q_parse_enrichment,
+    "apply_enrichment": q_apply_enrichment,
+    "parse_deep": q_parse_deep,
 }

@@ -25,6 +25,10 @@ ORACLES = {
     "report_json": O.REPORT_JSON,
     "report_text": O.REPORT_TEXT,
     "report_html_rows": O.REPORT_HTML_ROWS,
+    "enrich_prompts": O.ENRICH_PROMPTS,
+    "parse_enrichment": O.PARSE_ENRICHMENT,
+    "apply_enrichment": O.APPLY_ENRICHMENT,
+    "parse_deep": O.PARSE_DEEP,
 }
 
 

@@ -218,3 +218,47 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (struct_files.unionByName(method_files)
             .withColumn("lang", F.lit("go"))
             .select("repo", "path", "dir", "lang", "content"))
+
+
+def enrichment_responses(findings: DataFrame) -> DataFrame:
+    """Raw model answers for each finding, derived from the finding itself.
+
+    line % 5 = 0: JSON object inside a fenced block with prose around it
+               1: bare object with an empty effort (the finding keeps its own)
+               2: no JSON at all (finding unchanged)
+               3: a number where a string is expected (rejected, unchanged)
+               4: object with prose around it and only two fields
+    """
+    from ..operators.enrich import finding_id
+    raw = F.expr("""
+      CASE line % 5
+        WHEN 0 THEN concat('Sure, here it is:\n```json\n{"explanation":"', component,
+                           ' is too big","refactor_before":"type A struct{}","refactor_after":"type A interface{}","effort":"Moyen"}\n```')
+        WHEN 1 THEN concat('{"explanation":"', component, ' mixes concerns","refactor_before":"a","refactor_after":"b","effort":""}')
+        WHEN 2 THEN 'I cannot answer that.'
+        WHEN 3 THEN '{"explanation": 42, "effort": "Élevé"}'
+        ELSE concat('Answer: {"explanation":"', component, ' ok","effort":"Faible"} -- end')
+      END""")
+    return findings.select(finding_id(findings).alias("finding_id"), raw.alias("raw"))
+
+
+def deep_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One deep-analysis answer per event: prose around a JSON array of two
+    elements whose values come from the event. Broken on purpose:
+    event_id % 11 = 0 puts a string where the line number goes (the whole
+    array is rejected); event_id % 13 = 0 loses the closing bracket."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    e1 = """concat('{"smell_type":"', event_type, '","component":"U', user_id, '.', event_type,
+         '","line":', event_id % 500, ',"severity":"',
+         CASE event_type WHEN 'click' THEN 'critique' WHEN 'error' THEN 'Moyen' WHEN 'purchase' THEN 'FAIBLE'
+              WHEN 'signup' THEN 'high' ELSE 'CRITIQUE' END,
+         '","pattern":"Observer","effort":"',
+         CASE event_type WHEN 'click' THEN 'Élevé' WHEN 'error' THEN 'moyen' WHEN 'purchase' THEN 'Moyen'
+              ELSE 'Faible' END,
+         '","explanation":"event ', event_id, '"}')"""
+    e2 = """concat('{"smell_type":"feature_envy","file":"pkg/f', event_id, '.go","line":',
+         CASE WHEN event_id % 11 = 0 THEN '"12"' ELSE CAST(event_id % 97 AS STRING) END, '}')"""
+    raw = F.expr(f"""concat('Here are the smells:\n[', {e1}, ',\n ', {e2},
+                     CASE WHEN event_id % 13 = 0 THEN '' ELSE ']' END, '\nHope this helps.')""")
+    return ev.select("event_id", F.concat(F.lit("pkg/u"), F.col("user_id"), F.lit(".go")).alias("default_file"),
+                     raw.alias("raw"))
