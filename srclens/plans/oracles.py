@@ -355,3 +355,60 @@ SELECT event_id, 'pkg/u' || user_id || '.go', 1, 'FAIBLE', 'feature_envy', 'pkg/
        CAST(event_id % 97 AS INTEGER), '', '', 'Faible', '', '', ''
 FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
 """
+
+# ---------------------------------------------------------------- skeletons
+_PY_SKEL = """
+pyskel AS (
+  SELECT b.repo, b.path, 'r' || c.n || '/p' || (b.k // 8) AS dir,
+    concat_ws(chr(10),
+      '# customer ' || b.k || ': if for while and or', 'import os', '', 'class C_' || b.k || ':',
+      i1 || '\"\"\"Customer ' || b.k || ' or nothing.\"\"\"', i1 || 'def __init__(self, name):', '        ...',
+      CASE WHEN b.k % 17 = 0 THEN i1 || i1 || 'def _inner(v):' || chr(10) || '            ...' END,
+      pm.ms,
+      CASE WHEN b.k % 11 = 0 THEN i1 || 'def helper_' || b.k || '(x):' || chr(10) || '        ...' END,
+      CASE WHEN b.k % 13 = 0 THEN i1 || 'async def fetch(self):' || chr(10) || '        ...' END,
+      CASE WHEN b.k % 19 = 0 THEN 'class C_' || b.k || '(Base):' || chr(10) || i1 || 'def extra(self):'
+           || chr(10) || '        ...' END) AS skeleton
+  FROM (SELECT base.*, CASE WHEN k % 5 = 0 THEN chr(9) ELSE '    ' END AS i1 FROM base) b
+  JOIN c USING (k)
+  LEFT JOIN (SELECT k, string_agg(CASE WHEN k % 5 = 0 THEN chr(9) ELSE '    ' END || 'def m_' || l_orderkey
+                    || '_' || l_linenumber || '(self, x):' || chr(10) || '        ...', chr(10)
+                    ORDER BY l_orderkey, l_linenumber, q) AS ms
+             FROM li GROUP BY k) pm USING (k))
+"""
+
+_GO_SKEL = """
+gof AS (SELECT o_custkey AS k, string_agg(chr(9) || 'F_' || o_orderkey || ' int', chr(10) ORDER BY o_orderkey) AS fs
+        FROM orders GROUP BY 1),
+goskel AS (
+  SELECT b.repo, b.spath AS path, b.dir,
+    concat_ws(chr(10), 'package g' || (b.k // 8), '',
+      '// Cust_' || b.k || ' keeps "quoted { braces" and if for case words.',
+      CASE WHEN b.k % 2 = 0 THEN 'type Store_' || b.k || ' struct {' || chr(10) || chr(9) || 'id int' || chr(10) || '}'
+           ELSE 'type Store_' || b.k || ' interface {' || chr(10) || chr(9) || 'Get() int' || chr(10) || '}' END,
+      '', 'type Cust_' || b.k || ' struct {', chr(9) || 'db *Store_' || b.k, gof.fs,
+      CASE WHEN b.k % 3 = 0 THEN chr(9) || 'Base' END,
+      CASE WHEN b.k % 4 = 0 THEN chr(9) || 'a, b int' END,
+      CASE WHEN b.k % 5 = 0 THEN chr(9) || 'cache, x *Cache_' || b.k || chr(10) || chr(9) || 'logger *log.Logger' END,
+      '}', '', 'func New_' || b.k || '() *Cust_' || b.k || ' { return nil }', '') AS skeleton
+  FROM gbase b LEFT JOIN gof USING (k)
+  UNION ALL
+  SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go', b.dir,
+    'package g' || (m.k // 8) || chr(10) || chr(10)
+    || string_agg('func (c ' || CASE WHEN m.k % 7 = 0 THEN '' ELSE '*' END || 'Cust_' || m.k || ') M_'
+                  || m.l_orderkey || '_' || m.l_linenumber || '(x int, y int) int { /* ' || (m.sz - 3)
+                  || ' lines */ }' || chr(10), chr(10) ORDER BY m.l_orderkey, m.l_linenumber, m.q)
+  FROM gm m JOIN gbase b USING (k) GROUP BY b.repo, b.dir, m.k, m.st)
+"""
+
+PY_SKELETON = _with(PY_BASE, _PY_SKEL) + "\nSELECT * FROM pyskel"
+GO_SKELETON = _with(GO_BASE, _GO_SKEL) + "\nSELECT * FROM goskel"
+
+PACKAGE_SKETCHES = _with(PY_BASE, _PY_SKEL, GO_BASE, _GO_SKEL) + """
+SELECT repo, dir, language, string_agg(path, ',' ORDER BY path) AS files,
+       string_agg(mark || ' === ' || path || ' ===' || chr(10) || chr(10) || skeleton || chr(10) || chr(10), ''
+                  ORDER BY path) AS source
+FROM (SELECT *, 'python' AS language, '#' AS mark FROM pyskel
+      UNION ALL SELECT *, 'go', '//' FROM goskel)
+GROUP BY repo, dir, language
+"""

@@ -173,6 +173,23 @@ def q_parse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_deep(deep_responses(spark, sf_dir)).drop("metrics")
 
 
+# ------------------------------------------------------------------ skeletons
+def q_py_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.skeleton import py_skeleton
+    return py_skeleton(python_corpus(spark, sf_dir))
+
+
+def q_go_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.skeleton import go_skeleton
+    return go_skeleton(go_corpus(spark, sf_dir))
+
+
+def q_package_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.skeleton import package_sketches
+    files = python_corpus(spark, sf_dir).unionByName(go_corpus(spark, sf_dir))
+    return package_sketches(files).withColumn("files", F.array_join("files", ","))
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -197,4 +214,7 @@ QUERIES = {
     "parse_enrichment": q_parse_enrichment,
     "apply_enrichment": q_apply_enrichment,
     "parse_deep": q_parse_deep,
+    "py_skeleton": q_py_skeleton,
+    "go_skeleton": q_go_skeleton,
+    "package_sketches": q_package_sketches,
 }

@@ -29,6 +29,9 @@ ORACLES = {
     "parse_enrichment": O.PARSE_ENRICHMENT,
     "apply_enrichment": O.APPLY_ENRICHMENT,
     "parse_deep": O.PARSE_DEEP,
+    "py_skeleton": O.PY_SKELETON,
+    "go_skeleton": O.GO_SKELETON,
+    "package_sketches": O.PACKAGE_SKETCHES,
 }
 
 
