@@ -148,3 +148,14 @@ PROMPT_PACKAGE_TAIL = (
     '"pattern":"design pattern","effort":"Faible|Moyen|Élevé",'
     '"refactor_before":"snippet ≤10 lines","refactor_after":"snippet ≤10 lines"}'
     "\n\nPackage skeleton:\n")
+
+# ---- fixed values: extensions from the planning documents ----
+GO_PRIMITIVE_TYPES = ["string", "int", "float64", "bool"]
+GO_DOMAIN_WORDS = ["ID", "Id", "Email", "Phone", "URL", "Path", "Name", "Code",
+                   "Price", "Amount", "Total", "Count", "Status", "Token"]
+PY_DOMAIN_SUFFIXES = ["_id", "_email", "_phone", "_url", "_code", "_name", "_price",
+                      "_amount", "_token"]
+PRIMITIVE_MIN = 3
+SMELL_PRIMITIVE_OBSESSION = "primitive_obsession"
+PATTERN_VALUE_OBJECT = "Value Object"
+HISTORY_SCANS = 10

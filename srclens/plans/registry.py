@@ -32,6 +32,10 @@ ORACLES = {
     "py_skeleton": O.PY_SKELETON,
     "go_skeleton": O.GO_SKELETON,
     "package_sketches": O.PACKAGE_SKETCHES,
+    "primitive_obsession_go": O.PRIMITIVE_OBSESSION_GO,
+    "primitive_obsession_py": O.PRIMITIVE_OBSESSION_PY,
+    "score_history": O.SCORE_HISTORY,
+    "findings_by_file": O.FINDINGS_BY_FILE,
 }
 
 
