@@ -114,6 +114,18 @@ GO_TOKEN_ANALYSIS = (
     r"|[-+/%<>!:^|&~?]++"
     r"|[^\s\w]"
 )
+# Chunks for masking: comments, literals, and maximal runs of other code
+# (which may span lines); joined back they give the exact source.
+GO_CHUNK = (
+    r"(?s)//[^\n]*+"
+    r"|/\*.*?\*/"
+    r"|`[^`]*+`"
+    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+    r"|'(?:\\.[^'\n]*+|[^'\\\n]++)'"
+    r"|[^\"'`/]++"
+    r"|[\"'`/]"
+)
+
 # Tokens dropped before any window: numbers, strings, runes, raw strings,
 # single-line comments, operator runs and other symbols.
 GO_KEEP = r"^(?:[A-Za-z_]\w*|[{}()\[\];,.*=]|&&|\|\||\n)$"

@@ -314,6 +314,107 @@ def concrete_fields(types: DataFrame, fields: DataFrame) -> DataFrame:
                     F.element_at("names", 1).alias("first_name"), "type"))
 
 
+_CC_LINE = (r"(?<![A-Za-z0-9_])(?:if|for|case)(?![A-Za-z0-9_])|&&|\|\|")
+
+
+def go_masked_lines(files: DataFrame) -> DataFrame:
+    """G1 at line granularity: one row per source line with the masked text
+    (comments removed, string/rune/raw literals replaced by ``""`` while their
+    newlines are kept), brace/paren deltas, cc-token count, depth at line
+    start and the declaration id.
+
+    Masking is a per-file array transform of the token array (no rows per
+    token); the only window runs over lines, ordered by (fid, line).
+    """
+    toks = F.regexp_extract_all(F.col("content"), F.lit(P.GO_CHUNK), 0)
+
+    def mask(t):
+        nl = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        lit = (t.startswith('"') | t.startswith("'") | t.startswith("`")) & (F.length(t) > 1)
+        com = t.startswith("//") | (t.startswith("/*") & (F.length(t) > 3))
+        return (F.when(lit, F.concat(F.lit('""'), F.repeat(F.lit("\n"), nl)))
+                .when(com, F.concat(F.lit(" "), F.repeat(F.lit("\n"), nl)))
+                .otherwise(t))
+    masked = F.array_join(F.transform(toks, mask), "")
+    df = files.select(F.xxhash64(*FILE).alias("fid"),
+                      F.posexplode(F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("raw"),
+                                                F.split(masked, "\n", -1).alias("m"))).alias("pos", "z"))
+
+    def cnt(ch):
+        return F.length("m") - F.length(F.replace(F.col("m"), F.lit(ch), F.lit("")))
+    df = (df.select("fid", (F.col("pos") + 1).cast("int").alias("line"),
+                    F.col("z.raw").alias("raw"), F.coalesce(F.col("z.m"), F.lit("")).alias("m"))
+          .withColumn("bd", (cnt("{") - cnt("}")).cast("int"))
+          .withColumn("dl", (cnt("{") - cnt("}") + cnt("(") - cnt(")") + cnt("[") - cnt("]")).cast("int"))
+          .withColumn("cc", F.regexp_count(F.col("m"), F.lit(_CC_LINE)).cast("int"))
+          .withColumn("has_close", F.col("m").contains("}"))
+          .withColumn("first", F.regexp_extract("m", r"^[ \t]*([A-Za-z_]\w*)", 1)))
+    w = Window.partitionBy("fid").orderBy("line")
+    df = df.withColumn("depth_before", F.coalesce(
+        F.sum("dl").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    start = (F.col("depth_before") == 0) & F.col("first").isin(*_DECL_KW)
+    return (df.withColumn("decl_start", start)
+            .withColumn("decl_id", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("depth_after", F.col("depth_before") + F.col("dl")))
+
+
+def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """G2-G5, G15 from line rows: one aggregate per declaration.
+
+    The ``func`` line gives receiver and name; cc tokens cannot occur in a
+    signature, so the declaration's complexity is 1 + the cc tokens of all
+    its lines; the body ends at the last line that returns to depth 0.
+    """
+    d = (lines.filter(F.col("decl_id") > 0)
+         .groupBy("fid", "decl_id")
+         .agg(F.min_by(F.struct("first", "m", "line"), F.col("line")).alias("h"),
+              F.sum("cc").alias("cc"),
+              F.max(F.col("m").contains("{")).alias("has_brace"),
+              F.max(F.when(F.col("has_close") & (F.col("depth_after") == 0), F.col("line"))).alias("end_line"))
+         .filter((F.col("h.first") == "func") & F.col("has_brace")))
+    sig = r"^[ \t]*func[ \t]*(?:\(([^)]*)\))?[ \t]*([A-Za-z_]\w*)"
+    recv = F.regexp_extract("h.m", sig, 1)
+    name = F.regexp_extract("h.m", sig, 2)
+    has_recv = F.col("h.m").rlike(r"^[ \t]*func[ \t]*\(")
+    rtype = F.regexp_replace(
+        F.when(F.trim(recv).rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
+               F.regexp_replace(F.trim(recv), r"^[A-Za-z_]\w*[ \t]+", "")).otherwise(F.trim(recv)),
+        r"[ \t]+", "")
+    return (d.filter(name != "").join(keys, "fid").select(
+        "repo", F.col("dir").alias("pkg"), "path", name.alias("name"),
+        F.when(has_recv, _recv_name(rtype, True)).alias("recv"),
+        F.when(has_recv, _recv_name(rtype, False)).alias("recv_cc"),
+        F.col("h.line").cast("int").alias("line"),
+        (F.col("end_line") - F.col("h.line") + 1).cast("int").alias("lines"),
+        (F.col("cc") + 1).cast("int").alias("complexity")))
+
+
+def type_region_files(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Files reduced to the lines of type declarations (top-level ``type``
+    declarations and ``type`` statements inside functions, with their
+    bodies); every other line is blanked so line numbers stay exact. Only
+    these go through the token-level type analysis."""
+    w = Window.partitionBy("fid").orderBy("line")
+    inner = (F.col("first") == "type") & (F.col("depth_before") > 0)
+    t = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.col("first")), ignorenulls=True)
+                          .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("ts", F.last(F.when(inner, F.struct(F.col("line").alias("l"), F.col("depth_before").alias("d"))),
+                                  ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    t = t.withColumn("tclose", F.last(F.when(F.col("ts").isNotNull() & (F.col("line") > F.col("ts.l"))
+                                             & (F.col("depth_after") <= F.col("ts.d")), F.col("line")),
+                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    region = ((F.col("kw") == "type") & (F.col("decl_id") > 0)) | (
+        F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l")))
+    t = t.withColumn("region", region)
+    return (t.groupBy("fid")
+            .agg(F.max("region").alias("any"),
+                 F.sort_array(F.collect_list(F.struct("line", F.when(F.col("region"), F.col("raw"))
+                                                      .otherwise(F.lit("")).alias("text")))).alias("ls"))
+            .filter("any")
+            .join(keys, "fid")
+            .select(*FILE, "dir", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("content")))
+
+
 def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
     """All Go facts of a source table (``_test.go`` files excluded)."""
     files = files.filter((F.col("lang") == "go") & F.col("content").isNotNull()
@@ -321,10 +422,15 @@ def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
     if "dir" not in files.columns:
         files = files.withColumn("dir", dir_name(F.col("path")))
     keys = _file_keys(files)
-    tokens = go_tokens(files.repartition(file_partitions(files.sparkSession), F.xxhash64(*FILE)))
+    n = file_partitions(files.sparkSession)
+    lines = go_masked_lines(files.repartition(n, F.xxhash64(*FILE)))
+    if materialize:
+        lines = stage(lines)
+    funcs = go_funcs_lines(lines, keys)
+    typed = type_region_files(lines, keys)
+    tokens = go_tokens(typed.repartition(n, F.xxhash64(*FILE)))
     if materialize:
         tokens = stage(tokens)
-    funcs = go_funcs(tokens, keys)
     types = go_types(tokens, keys)
     fields = go_struct_fields(tokens, types)
     structs = go_structs(types, fields, funcs)
