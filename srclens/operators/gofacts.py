@@ -415,6 +415,73 @@ def type_region_files(lines: DataFrame, keys: DataFrame) -> DataFrame:
             .select(*FILE, "dir", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("content")))
 
 
+def go_imports(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Imports of each file (alias or NULL, path without quotes), read
+    from the raw lines of ``import`` declarations."""
+    w = Window.partitionBy("fid").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    imp = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.col("first")), ignorenulls=True).over(w))
+           .filter((F.col("kw") == "import") & (F.col("decl_id") > 0)))
+    spec = r'(?:^|[ \t(;])(?:([A-Za-z_.]\w*)[ \t]+)?"([^"]+)"'
+    text = F.regexp_replace("raw", r"^[ \t]*import(?![A-Za-z0-9_])", " ")
+    return (imp.select("fid", "line", F.explode(F.regexp_extract_all(text, F.lit(spec), 0)).alias("s"))
+            .select("fid", "line", F.regexp_extract("s", spec, 1).alias("alias"),
+                    F.regexp_extract("s", spec, 2).alias("import_path"))
+            .join(keys, "fid")
+            .select("repo", "path", "line", F.nullif(F.col("alias"), F.lit("")).alias("alias"), "import_path"))
+
+
+def go_decl_lines(lines: DataFrame, funcs_only: bool = True) -> DataFrame:
+    """Lines tagged with the keyword and first line of their declaration."""
+    w = Window.partitionBy("fid").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    t = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.struct(F.col("first").alias("k"),
+                                                                           F.col("line").alias("l"))),
+                                       ignorenulls=True).over(w)))
+    return t.filter(F.col("kw.k") == "func") if funcs_only else t
+
+
+def go_params(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Parameters ``name type`` per function declaration, each name
+    repeated with its type, an unnamed parameter giving the type; read from
+    the signature on the ``func`` line (masked text)."""
+    sig = r"^[ \t]*func[ \t]*(?:\([^)]*\))?[ \t]*([A-Za-z_]\w*)[ \t]*(?:\[[^\]]*\])?\((.*?)\)"
+    heads = (lines.filter(F.col("decl_start") & (F.col("first") == "func"))
+             .select("fid", "line", F.regexp_extract("m", sig, 1).alias("func"),
+                     F.regexp_extract("m", sig, 2).alias("plist"))
+             .filter(F.col("func") != ""))
+    parts = F.filter(F.transform(F.split(F.col("plist"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    p = heads.select("fid", "line", "func", F.posexplode(parts).alias("idx", "p"))
+    # "a, b int": a name-only part takes the type of the next part that has one.
+    p = (p.withColumn("pname", F.when(F.col("p").rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
+                                      F.regexp_extract("p", r"^([A-Za-z_]\w*)", 1))
+                      .when(F.col("p").rlike(r"^[A-Za-z_]\w*$"), F.col("p")))
+         .withColumn("ptype", F.when(F.col("p").rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
+                                     F.regexp_replace("p", r"^[A-Za-z_]\w*[ \t]+", ""))))
+    w = Window.partitionBy("fid", "line").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    p = p.withColumn("next_type", F.first("ptype", ignorenulls=True).over(w))
+    any_typed = F.max(F.col("ptype").isNotNull()).over(Window.partitionBy("fid", "line"))
+    p = p.withColumn("any_typed", any_typed)
+    return (p.join(keys, "fid").select(
+        "repo", "path", "func", F.col("line").cast("int").alias("line"), F.col("idx").cast("int").alias("idx"),
+        F.when(F.col("any_typed"), F.col("pname")).alias("name"),
+        F.when(F.col("any_typed"), F.col("next_type")).otherwise(F.col("p")).alias("type")))
+
+
+def go_calls(lines: DataFrame, keys: DataFrame, limit: int = 10) -> DataFrame:
+    """G14 + O3/O5: call targets ``x.Sel(`` with a plain identifier on the
+    left, distinct per function, the first ``limit`` in source order."""
+    t = go_decl_lines(lines)
+    pat = r"(?<![\w.])([A-Za-z_]\w*)\.([A-Za-z_]\w*)[ \t]*\("
+    c = (t.select("fid", F.col("kw.l").alias("fline"), "line",
+                  F.posexplode(F.regexp_extract_all("m", F.lit(pat), 0)).alias("k", "c"))
+         .withColumn("call", F.regexp_replace(F.regexp_replace("c", r"[ \t]*\($", ""), r"[ \t]", "")))
+    first = c.groupBy("fid", "fline", "call").agg(F.min(F.struct("line", "k")).alias("at"))
+    w = Window.partitionBy("fid", "fline").orderBy("at")
+    return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            .join(keys, "fid")
+            .select("repo", "path", F.col("fline").cast("int").alias("func_line"), "call",
+                    F.col("rank").cast("int").alias("rank")))
+
+
 def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
     """All Go facts of a source table (``_test.go`` files excluded)."""
     files = files.filter((F.col("lang") == "go") & F.col("content").isNotNull()
@@ -434,5 +501,5 @@ def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
     types = go_types(tokens, keys)
     fields = go_struct_fields(tokens, types)
     structs = go_structs(types, fields, funcs)
-    return {"tokens": tokens, "funcs": funcs, "types": types, "fields": fields,
+    return {"tokens": tokens, "lines": lines, "keys": keys, "funcs": funcs, "types": types, "fields": fields,
             "structs": structs, "concrete_fields": concrete_fields(types, fields)}

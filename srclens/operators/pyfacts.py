@@ -145,6 +145,28 @@ def enclosing_class(lines: DataFrame) -> DataFrame:
                  F.max(F.col("last.cline")).alias("encl_line")))
 
 
+def scope_ends(lines: DataFrame) -> DataFrame:
+    """Every class/def header with the line that closes it (the first
+    later non-skipped line with indent <= the header's); NULL = end of file.
+
+    Same indent-threshold windows as ``enclosing_class``: in the window of
+    ``(file, t)`` a header of indent ``t`` is followed by its closer, so the
+    closer is the next row there.
+    """
+    wfile = Window.partitionBy(*FILE)
+    hdr = F.col("is_class") | F.col("is_def")
+    thr = lines.withColumn("thr", F.collect_set(F.when(hdr, F.col("indent"))).over(wfile))
+    rows = (thr.select(*FILE, "line", "indent", "is_class", "is_def", "cls_name", "def_name",
+                       F.explode(F.filter("thr", lambda t: t >= F.col("indent"))).alias("t"))
+            .withColumn("opens", (F.col("is_class") | F.col("is_def")) & (F.col("indent") == F.col("t"))))
+    w = Window.partitionBy(*FILE, "t").orderBy("line")
+    return (rows.withColumn("end_line", F.lead("line").over(w))
+            .filter("opens")
+            .select(*FILE, F.when(F.col("is_class"), F.lit("class")).otherwise(F.lit("func")).alias("kind"),
+                    F.when(F.col("is_class"), F.col("cls_name")).otherwise(F.col("def_name")).alias("name"),
+                    "indent", F.col("line").alias("start_line"), F.col("end_line").cast("int").alias("end_line")))
+
+
 def _latest_header_of_name(classes: DataFrame, lookups: DataFrame) -> DataFrame:
     """As-of join: for each lookup (repo, path, name, line, kind) the line of
     the latest class header with that name strictly above it."""
@@ -198,4 +220,5 @@ def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
                   .select(*FILE, F.col("cls_name").alias("name"), "line",
                           F.coalesce("methods", F.lit(0)).alias("methods"),
                           F.coalesce("fields", F.lit(0)).alias("fields")))
-    return {"lines": glines, "funcs": funcs, "classes": class_rows, "defs": defs}
+    return {"lines": glines, "funcs": funcs, "classes": class_rows, "defs": defs,
+            "scopes": scope_ends(glines)}

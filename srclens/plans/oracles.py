@@ -438,3 +438,75 @@ SELECT repo, file, CAST(count(*) AS BIGINT) AS n, string_agg(component, ',' ORDE
 FROM pyf WHERE severity IN ('CRITIQUE', 'MOYEN') AND smell_type = 'high_complexity'
 GROUP BY repo, file
 """
+
+# ---------------------------------------------------------------- scopes, params, calls, imports
+PY_SCOPES = _with(PY_BASE, """
+sc AS (
+  SELECT k, 4 AS line, 0 AS indent, true AS hdr, 'class' AS kind, 'C_' || k AS name FROM base
+  UNION ALL SELECT k, 6, 4, true, 'func', '__init__' FROM base
+  UNION ALL SELECT k, 8 + n_o, 8, true, 'func', '_inner' FROM base WHERE k % 17 = 0
+  UNION ALL SELECT k, 10 + n_o, 8, false, NULL, NULL FROM base WHERE k % 17 = 0
+  UNION ALL SELECT k, CAST(line AS INTEGER), 4, true, 'func', 'm_' || l_orderkey || '_' || l_linenumber FROM ml
+  UNION ALL SELECT k, e + 1, 4, true, 'func', 'helper_' || k FROM ends WHERE k % 11 = 0
+  UNION ALL SELECT k, e + 1 + 2 * CAST(k % 11 = 0 AS INTEGER), 4, false, NULL, NULL FROM ends WHERE k % 13 = 0
+  UNION ALL SELECT k, e + 1 + 2 * CAST(k % 11 = 0 AS INTEGER) + 2 * CAST(k % 13 = 0 AS INTEGER), 0, true, 'class',
+                   'C_' || k FROM ends WHERE k % 19 = 0
+  UNION ALL SELECT k, e + 2 + 2 * CAST(k % 11 = 0 AS INTEGER) + 2 * CAST(k % 13 = 0 AS INTEGER), 4, true, 'func',
+                   'extra' FROM ends WHERE k % 19 = 0)
+""") + """
+SELECT b.repo, b.path, h.kind, h.name, CAST(h.indent AS INTEGER) AS indent, CAST(h.line AS INTEGER) AS start_line,
+       CAST((SELECT min(r.line) FROM sc r WHERE r.k = h.k AND r.line > h.line AND r.indent <= h.indent) AS INTEGER)
+         AS end_line
+FROM sc h JOIN base b USING (k) WHERE h.hdr
+"""
+
+GO_PARAMS = _with(GO_BASE) + """
+SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path,
+       'M_' || m.l_orderkey || '_' || m.l_linenumber AS func, CAST(m.line AS INTEGER) AS line,
+       p.idx, p.name, 'int' AS type
+FROM gml m JOIN gbase b USING (k)
+CROSS JOIN (SELECT 0 AS idx, 'x' AS name UNION ALL SELECT 1, 'y') p
+"""
+
+GO_CALLS = """
+SELECT 'r' AS repo, '' AS path, 0 AS func_line, '' AS call, 0 AS rank WHERE false
+"""
+
+GO_IMPORTS = """
+SELECT 'r' AS repo, '' AS path, 0 AS line, CAST(NULL AS VARCHAR) AS alias, '' AS import_path WHERE false
+"""
+
+
+def _sql_lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _package_prompts() -> str:
+    from ..functions import patterns as P
+    head1 = P.PROMPT_PACKAGE_HEAD.split("{language}")[0]
+    mid = P.PROMPT_PACKAGE_HEAD.split("{language}")[1].split("{dir}")[0]
+    tail_head = P.PROMPT_PACKAGE_HEAD.split("{dir}")[1]
+    return _with(PY_BASE, _PY_SKEL, GO_BASE, _GO_SKEL, "allf AS (" + "\nUNION ALL\n".join([
+        PY_GOD_CLASS_ROWS, PY_HIGH_COMPLEXITY_ROWS, GO_GOD_STRUCT_ROWS, GO_CONCRETE_DEP_ROWS,
+        GO_HIGH_COMPLEXITY_ROWS]) + ")") + f""",
+sk AS (
+  SELECT repo, dir, language,
+         string_agg(mark || ' === ' || path || ' ===' || chr(10) || chr(10) || skeleton || chr(10) || chr(10), ''
+                    ORDER BY path) AS source
+  FROM (SELECT *, 'python' AS language, '#' AS mark FROM pyskel
+        UNION ALL SELECT *, 'go', '//' FROM goskel)
+  GROUP BY repo, dir, language),
+skip AS (
+  SELECT repo, regexp_replace(file, '/[^/]*$', '') AS dir,
+         string_agg('  - ' || smell_type || ' at line ' || line || ' in ' || regexp_extract(file, '[^/]*$', 0)
+                    || ' (' || component || ')' || chr(10), '' ORDER BY file, line, smell_type, component) AS lines
+  FROM allf GROUP BY 1, 2)
+SELECT sk.repo, sk.dir, sk.language,
+       {_sql_lit(head1)} || sk.language || {_sql_lit(mid)} || sk.dir || {_sql_lit(tail_head)}
+       || CASE WHEN skip.lines IS NOT NULL THEN {_sql_lit(P.PROMPT_PACKAGE_SKIP)} || skip.lines || chr(10) ELSE '' END
+       || {_sql_lit(P.PROMPT_PACKAGE_TAIL)} || sk.source AS prompt
+FROM sk LEFT JOIN skip USING (repo, dir)
+"""
+
+
+PACKAGE_PROMPTS = _package_prompts()

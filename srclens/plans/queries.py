@@ -218,6 +218,39 @@ def q_findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_by_file(_py_findings(spark, sf_dir), ["CRITIQUE", "MOYEN"], ["high_complexity"])
 
 
+# ------------------------------------------------------------------ more facts
+def q_py_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return py_facts(python_corpus(spark, sf_dir))["scopes"]
+
+
+def _go_lines(spark: SparkSession, sf_dir: str):
+    f = go_facts(go_corpus(spark, sf_dir))
+    return f["lines"], f["keys"]
+
+
+def q_go_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gofacts import go_params
+    return go_params(*_go_lines(spark, sf_dir))
+
+
+def q_go_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gofacts import go_calls
+    return go_calls(*_go_lines(spark, sf_dir))
+
+
+def q_go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gofacts import go_imports
+    return go_imports(*_go_lines(spark, sf_dir))
+
+
+def q_package_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.enrich import package_prompts
+    from ..operators.skeleton import package_sketches
+    files = python_corpus(spark, sf_dir).unionByName(go_corpus(spark, sf_dir))
+    f, _ = analysed_corpus(spark, sf_dir)
+    return package_prompts(package_sketches(files), f)
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -249,4 +282,9 @@ QUERIES = {
     "primitive_obsession_py": q_primitive_obsession_py,
     "score_history": q_score_history,
     "findings_by_file": q_findings_by_file,
+    "py_scopes": q_py_scopes,
+    "go_params": q_go_params,
+    "go_calls": q_go_calls,
+    "go_imports": q_go_imports,
+    "package_prompts": q_package_prompts,
 }

@@ -36,6 +36,11 @@ ORACLES = {
     "primitive_obsession_py": O.PRIMITIVE_OBSESSION_PY,
     "score_history": O.SCORE_HISTORY,
     "findings_by_file": O.FINDINGS_BY_FILE,
+    "py_scopes": O.PY_SCOPES,
+    "go_params": O.GO_PARAMS,
+    "go_calls": O.GO_CALLS,
+    "go_imports": O.GO_IMPORTS,
+    "package_prompts": O.PACKAGE_PROMPTS,
 }
 
 

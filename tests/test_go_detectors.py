@@ -124,3 +124,21 @@ def test_concrete_dep_resolves_declared_types(files):
     facts = go_facts(files({"p/a.go": src}), materialize=False)
     got = sorted(r.component for r in D.go_concrete_dep(facts).collect())
     assert got == ["H.cache", "H.db"]
+
+
+def test_imports_params_calls(files):
+    from srclens.operators.gofacts import go_calls, go_imports, go_params
+    src = ('package p\n\nimport (\n\t"fmt"\n\tlg "log"\n)\n\nimport "os"\n\n'
+           'func (s *S) Do(a, b int, c string, f func(x int) error) (int, error) {\n'
+           '\tfmt.Println(a)\n\tlg.Printf("%d", b)\n\tfmt.Println(c)\n\tos.Exit(1)\n\ts.x.Y()\n\treturn 0, nil\n}\n'
+           'func U(int, string) {}\n')
+    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    lines, keys = facts["lines"], facts["keys"]
+    imps = sorted(((r.alias, r.import_path) for r in go_imports(lines, keys).collect()), key=lambda x: x[1])
+    assert imps == [(None, "fmt"), ("lg", "log"), (None, "os")]
+    calls = [r.call for r in go_calls(lines, keys).orderBy("rank").collect()]
+    assert calls == ["fmt.Println", "lg.Printf", "os.Exit"]
+    ps = sorted(((r.func, r.idx, r.name, r.type) for r in go_params(lines, keys).collect()),
+                key=lambda x: (x[0], x[1]))
+    assert ps[:3] == [("Do", 0, "a", "int"), ("Do", 1, "b", "int"), ("Do", 2, "c", "string")]
+    assert ("U", 0, None, "int") in ps and ("U", 1, None, "string") in ps
