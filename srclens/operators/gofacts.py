@@ -329,12 +329,12 @@ def go_masked_lines(files: DataFrame) -> DataFrame:
     toks = F.regexp_extract_all(F.col("content"), F.lit(P.GO_CHUNK), 0)
 
     def mask(t):
-        nl = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        # Length-preserving: every character of a comment or literal except
+        # newlines becomes a space, so positions in the masked line are
+        # positions in the raw line (used by the skeleton).
         lit = (t.startswith('"') | t.startswith("'") | t.startswith("`")) & (F.length(t) > 1)
         com = t.startswith("//") | (t.startswith("/*") & (F.length(t) > 3))
-        return (F.when(lit, F.concat(F.lit('""'), F.repeat(F.lit("\n"), nl)))
-                .when(com, F.concat(F.lit(" "), F.repeat(F.lit("\n"), nl)))
-                .otherwise(t))
+        return F.when(lit | com, F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
     masked = F.array_join(F.transform(toks, mask), "")
     df = files.select(F.xxhash64(*FILE).alias("fid"),
                       F.posexplode(F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("raw"),
@@ -350,8 +350,9 @@ def go_masked_lines(files: DataFrame) -> DataFrame:
           .withColumn("has_close", F.col("m").contains("}"))
           .withColumn("first", F.regexp_extract("m", r"^[ \t]*([A-Za-z_]\w*)", 1)))
     w = Window.partitionBy("fid").orderBy("line")
-    df = df.withColumn("depth_before", F.coalesce(
-        F.sum("dl").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    wb = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = (df.withColumn("depth_before", F.coalesce(F.sum("dl").over(wb), F.lit(0)).cast("int"))
+          .withColumn("bdepth_before", F.coalesce(F.sum("bd").over(wb), F.lit(0)).cast("int")))
     start = (F.col("depth_before") == 0) & F.col("first").isin(*_DECL_KW)
     return (df.withColumn("decl_start", start)
             .withColumn("decl_id", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -468,8 +468,10 @@ FROM gml m JOIN gbase b USING (k)
 CROSS JOIN (SELECT 0 AS idx, 'x' AS name UNION ALL SELECT 1, 'y') p
 """
 
-GO_CALLS = """
-SELECT 'r' AS repo, '' AS path, 0 AS func_line, '' AS call, 0 AS rank WHERE false
+GO_CALLS = _with(GO_BASE) + """
+SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path, CAST(m.line AS INTEGER) AS func_line,
+       'helper.Sum' AS call, 1 AS rank
+FROM gml m JOIN gbase b USING (k)
 """
 
 GO_IMPORTS = """

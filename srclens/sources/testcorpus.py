@@ -153,7 +153,7 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     receiver when k % 7 = 0); body: decoy literals and comments (k % 4 = 0),
     ceil(q/5) lines ``if x > 0 && y > 0 ... { x++ }`` with q keywords, a
     switch with two cases and a default (k % 5 = 0), a function literal with
-    ``||`` (k % 6 = 0), ``return x``.
+    ``||`` (k % 6 = 0), ``return helper.Sum(x, y)`` (one call target).
     """
     cust = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
@@ -197,7 +197,7 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                  j -> concat('\\tif x > 0', repeat(' && y > 0', least(5, q - 5 * j) - 1), ' {{ x++ }}')), '\\n'),
       CASE WHEN k % 5 = 0 THEN '{switch}' END,
       CASE WHEN k % 6 = 0 THEN '\\tf := func() bool {{ return x > 0 || y > 0 }}' END,
-      '\\treturn x',
+      '\\treturn helper.Sum(x, y)',
       '}}',
       '')
     """
