@@ -171,3 +171,18 @@ PRIMITIVE_MIN = 3
 SMELL_PRIMITIVE_OBSESSION = "primitive_obsession"
 PATTERN_VALUE_OBJECT = "Value Object"
 HISTORY_SCANS = 10
+PROMPT_FILE_HEAD = ("You are an expert software architect performing deep architectural analysis.\n"
+                    "Below is a structured AST summary of a source file — NOT raw source code.\n\n")
+PROMPT_FILE_SKIP = "Already detected by static analysis — do NOT re-flag these:\n"
+PROMPT_FILE_TAIL = (
+    "Identify architectural smells not listed above.\n"
+    "Focus on: layer violations, feature envy, missing abstractions, temporal coupling, anemic domain model.\n\n"
+    "CRITICAL: Your ENTIRE response must be a single raw JSON array. No markdown, no prose, "
+    "no explanation before or after.\n"
+    "Start your response with [ and end with ]. Return [] if no smells found.\n\n"
+    "Each element:\n"
+    '{"smell_type":"snake_case","component":"Type.method or func","line":0,'
+    '"severity":"CRITIQUE|MOYEN|FAIBLE","explanation":"one sentence",'
+    '"pattern":"design pattern","effort":"Faible|Moyen|Élevé",'
+    '"refactor_before":"snippet ≤10 lines","refactor_after":"snippet ≤10 lines"}'
+    "\n\nAST summary:\n")

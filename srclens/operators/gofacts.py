@@ -203,7 +203,7 @@ def go_types(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """
     heads = tokens.filter("is_head").select(
         "fid", "pos", F.col("tok").alias("name"), "line", "next1", "next2", "next3",
-        F.col("depth_before").alias("d"))
+        F.col("depth_before").alias("d"), (F.col("kw.tok") == "type").alias("top_level"))
     closers = (tokens.filter((F.col("tok") == "]") & F.col("head.pos").isNotNull()
                              & (F.col("depth_after") == F.col("head.d")))
                .groupBy("fid", F.col("head.pos").alias("pos"))
@@ -221,7 +221,7 @@ def go_types(tokens: DataFrame, keys: DataFrame) -> DataFrame:
             .otherwise(F.lit("other")))
     return (h.join(keys, "fid")
             .select("fid", "repo", F.col("dir").alias("pkg"), "path", "name", kind.alias("kind"),
-                    "line", F.col("pos").alias("head_pos"), "d"))
+                    "line", F.col("pos").alias("head_pos"), "d", F.col("top_level")))
 
 
 def go_struct_fields(tokens: DataFrame, types: DataFrame) -> DataFrame:

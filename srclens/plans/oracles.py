@@ -512,3 +512,81 @@ FROM sk LEFT JOIN skip USING (repo, dir)
 
 
 PACKAGE_PROMPTS = _package_prompts()
+
+# ---------------------------------------------------------------- summaries
+GO_SUMMARY = _with(GO_BASE, """
+gof2 AS (SELECT o_custkey AS k, string_agg('{"name":"F_' || o_orderkey || '","type":"int"}', ',' ORDER BY o_orderkey) AS fs
+         FROM orders GROUP BY 1),
+gms AS (SELECT k, st, string_agg('{"name":"M_' || l_orderkey || '_' || l_linenumber || '","line":' || line
+                                 || ',"params":["x int","y int"],"complexity":'
+                                 || (1 + q + 2 * CAST(k % 5 = 0 AS INTEGER) + CAST(k % 6 = 0 AS INTEGER))
+                                 || ',"lines":' || (sz - 1) || ',"calls":["helper.Sum"]}', ','
+                                 ORDER BY line) AS ms
+        FROM gml GROUP BY k, st)
+""") + """
+SELECT b.repo, b.spath AS path,
+  '{"file":"' || b.spath || '","package":"g' || (b.k // 8) || '","types":['
+  || CASE WHEN b.k % 2 = 0 THEN '{"name":"Store_' || b.k || '","kind":"struct","line":4,"fields":[{"name":"id","type":"int"}]},' ELSE '' END
+  || '{"name":"Cust_' || b.k || '","kind":"struct","line":8,"fields":[{"name":"db","type":"*Store_' || b.k || '"}'
+  || coalesce(',' || gof2.fs, '')
+  || CASE WHEN b.k % 3 = 0 THEN ',{"name":"Base","type":"Base"}' ELSE '' END
+  || CASE WHEN b.k % 4 = 0 THEN ',{"name":"a","type":"int"},{"name":"b","type":"int"}' ELSE '' END
+  || CASE WHEN b.k % 5 = 0 THEN ',{"name":"cache","type":"*Cache_' || b.k || '"},{"name":"x","type":"*Cache_' || b.k
+          || '"},{"name":"logger","type":"*log.Logger"}' ELSE '' END
+  || ']}],"funcs":[{"name":"New_' || b.k || '","line":'
+  || (12 + b.n_o + CAST(b.k % 3 = 0 AS INTEGER) + CAST(b.k % 4 = 0 AS INTEGER) + 2 * CAST(b.k % 5 = 0 AS INTEGER))
+  || ',"complexity":1,"lines":1}]}' AS json
+FROM gbase b LEFT JOIN gof2 USING (k)
+UNION ALL
+SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go',
+  '{"file":"' || b.dir || '/c_' || m.k || '_' || m.st || '.go' || '","package":"g' || (m.k // 8)
+  || '","types":[{"name":"Cust_' || m.k || '","kind":"struct","line":0,"methods":[' || m.ms || ']}]}'
+FROM gms m JOIN gbase b USING (k)
+"""
+
+_PM2 = """
+pm2 AS (SELECT k, string_agg('{"name":"m_' || l_orderkey || '_' || l_linenumber || '","line":' || CAST(line AS INTEGER)
+                             || ',"complexity":' || (1 + q + CAST(k % 7 = 0 AS INTEGER)) || '}', ','
+                             ORDER BY line) AS ms FROM ml GROUP BY k)
+"""
+
+_PY_SUMMARY_SELECT = """
+SELECT e.repo, e.path,
+  '{"file":"' || e.path || '","types":['
+  || CASE WHEN e.k % 19 = 0 THEN '{"name":"C_' || e.k || '","kind":"class","line":4},' ELSE '' END
+  || '{"name":"C_' || e.k || '","kind":"class","line":'
+  || CASE WHEN e.k % 19 = 0 THEN e.e + 1 + 2 * CAST(e.k % 11 = 0 AS INTEGER) + 2 * CAST(e.k % 13 = 0 AS INTEGER)
+          ELSE 4 END
+  || ',"methods":[{"name":"__init__","line":6,"complexity":1}' || coalesce(',' || pm2.ms, '')
+  || CASE WHEN e.k % 19 = 0 THEN ',{"name":"extra","line":'
+          || (e.e + 2 + 2 * CAST(e.k % 11 = 0 AS INTEGER) + 2 * CAST(e.k % 13 = 0 AS INTEGER)) || ',"complexity":1}'
+          ELSE '' END
+  || ']}]'
+  || CASE WHEN e.k % 17 = 0 OR e.k % 11 = 0 THEN ',"funcs":['
+          || concat_ws(',', CASE WHEN e.k % 17 = 0 THEN '{"name":"_inner","line":' || (8 + e.n_o) || ',"complexity":2}' END,
+                       CASE WHEN e.k % 11 = 0 THEN '{"name":"helper_' || e.k || '","line":' || (e.e + 1) || ',"complexity":2}' END)
+          || ']' ELSE '' END
+  || '}' AS json
+FROM ends e LEFT JOIN pm2 USING (k)
+"""
+
+PY_SUMMARY = _with(PY_BASE, _PM2) + _PY_SUMMARY_SELECT
+
+
+def _deep_file_prompts() -> str:
+    from ..functions import patterns as P
+    return _with(PY_BASE, _PM2, "pyf AS (" + PY_GOD_CLASS_ROWS + "\nUNION ALL\n" + PY_HIGH_COMPLEXITY_ROWS + ")",
+                 "summ AS (" + _PY_SUMMARY_SELECT + ")",
+                 """skip AS (SELECT repo, file AS path,
+                      string_agg('  - ' || smell_type || ' at line ' || line || ' (' || component || ')' || chr(10), ''
+                                 ORDER BY line, smell_type, component) AS lines
+                    FROM pyf GROUP BY 1, 2)""") + f"""
+SELECT s.repo, s.path,
+       {_sql_lit(P.PROMPT_FILE_HEAD)}
+       || CASE WHEN k.lines IS NOT NULL THEN {_sql_lit(P.PROMPT_FILE_SKIP)} || k.lines || chr(10) ELSE '' END
+       || {_sql_lit(P.PROMPT_FILE_TAIL)} || s.json AS prompt
+FROM summ s LEFT JOIN skip k USING (repo, path)
+"""
+
+
+DEEP_FILE_PROMPTS = _deep_file_prompts()

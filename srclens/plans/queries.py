@@ -251,6 +251,25 @@ def q_package_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_prompts(package_sketches(files), f)
 
 
+# ------------------------------------------------------------------ summaries
+def q_go_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import go_summary
+    return go_summary(go_facts(go_corpus(spark, sf_dir))).select("repo", "path", F.to_json("summary").alias("json"))
+
+
+def q_py_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import py_summary
+    return py_summary(py_facts(python_corpus(spark, sf_dir))).select("repo", "path",
+                                                                      F.to_json("summary").alias("json"))
+
+
+def q_deep_file_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import deep_file_prompts, py_summary
+    facts = py_facts(python_corpus(spark, sf_dir))
+    f = D.py_god_class(facts).unionByName(D.py_high_complexity(facts))
+    return deep_file_prompts(py_summary(facts), f)
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -287,4 +306,7 @@ QUERIES = {
     "go_calls": q_go_calls,
     "go_imports": q_go_imports,
     "package_prompts": q_package_prompts,
+    "go_summary": q_go_summary,
+    "py_summary": q_py_summary,
+    "deep_file_prompts": q_deep_file_prompts,
 }

@@ -41,6 +41,9 @@ ORACLES = {
     "go_calls": O.GO_CALLS,
     "go_imports": O.GO_IMPORTS,
     "package_prompts": O.PACKAGE_PROMPTS,
+    "go_summary": O.GO_SUMMARY,
+    "py_summary": O.PY_SUMMARY,
+    "deep_file_prompts": O.DEEP_FILE_PROMPTS,
 }
 
 
