@@ -101,18 +101,17 @@ def with_def_groups(lines: DataFrame) -> DataFrame:
                                          .otherwise(F.col("indent"))).over(wg))
             .withColumn("in_body", (F.col("grp") > 0) & ~F.col("is_def")
                         & (F.col("run_min") > F.col("def_indent")))
-            .drop("run_min"))
+            .drop("run_min")
+            # P11 in the same (file, def group) partition: the sort is shared.
+            .withColumn("complexity", (F.lit(1) + F.sum(
+                F.when(F.col("in_body") & ~F.col("is_class"), F.col("kw")).otherwise(F.lit(0)))
+                .over(Window.partitionBy(*FILE, "grp"))).cast("int")))
 
 
 def def_complexity(glines: DataFrame) -> DataFrame:
     """One row per def with its complexity: repo, path, grp, line,
-    name, indent, is_method, complexity. The sum runs as a window over the
-    same (file, def group) partition as P10, so it reuses that sort."""
-    wg = Window.partitionBy(*FILE, "grp")
-    counted = F.when(F.col("in_body") & ~F.col("is_class"), F.col("kw")).otherwise(F.lit(0))
-    return (glines.filter(F.col("grp") > 0)
-            .withColumn("complexity", (F.lit(1) + F.sum(counted).over(wg)).cast("int"))
-            .filter("is_def")
+    name, indent, is_method, complexity (computed by ``with_def_groups``)."""
+    return (glines.filter((F.col("grp") > 0) & F.col("is_def"))
             .select(*FILE, "grp", "line", F.col("def_name").alias("name"), "indent", "is_method",
                     "complexity"))
 
@@ -123,9 +122,11 @@ def enclosing_class(lines: DataFrame) -> DataFrame:
     Returns repo, path, line (of the def), encl (class name), encl_line.
     Defs outside every class are absent.
     """
-    wfile = Window.partitionBy(*FILE)
-    thr = lines.withColumn(
-        "thr", F.collect_set(F.when(F.col("is_class"), F.col("indent"))).over(wfile))
+    if "cls_thr" in lines.columns:
+        thr = lines.withColumnRenamed("cls_thr", "thr").filter(F.size("thr") > 0)
+    else:
+        thr = lines.withColumn("thr", F.collect_set(F.when(F.col("is_class"), F.col("indent")))
+                               .over(Window.partitionBy(*FILE)))
     closers = (thr.select(*FILE, "line", "indent", "is_class", "cls_name",
                           F.explode(F.filter("thr", lambda t: t >= F.col("indent"))).alias("t"))
                .select(*FILE, "t", "line", F.lit(False).alias("probe"),
@@ -153,9 +154,11 @@ def scope_ends(lines: DataFrame) -> DataFrame:
     ``(file, t)`` a header of indent ``t`` is followed by its closer, so the
     closer is the next row there.
     """
-    wfile = Window.partitionBy(*FILE)
     hdr = F.col("is_class") | F.col("is_def")
-    thr = lines.withColumn("thr", F.collect_set(F.when(hdr, F.col("indent"))).over(wfile))
+    if "hdr_thr" in lines.columns:
+        thr = lines.withColumnRenamed("hdr_thr", "thr").filter(F.size("thr") > 0)
+    else:
+        thr = lines.withColumn("thr", F.collect_set(F.when(hdr, F.col("indent"))).over(Window.partitionBy(*FILE)))
     rows = (thr.select(*FILE, "line", "indent", "is_class", "is_def", "cls_name", "def_name",
                        F.explode(F.filter("thr", lambda t: t >= F.col("indent"))).alias("t"))
             .withColumn("opens", (F.col("is_class") | F.col("is_def")) & (F.col("indent") == F.col("t"))))
@@ -193,6 +196,13 @@ def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
              .select(*FILE, "line", "indent", "cls_name", "is_class", "def_name", "is_def",
                      "is_method", "kw", "self_field"))
     lines = with_def_groups(lines)
+    # Header indents per file (P6/P7 thresholds), in the same pass: the
+    # staged table loses its partitioning, so computing them later would
+    # shuffle every line again.
+    wfile = Window.partitionBy(*FILE)
+    lines = (lines.withColumn("cls_thr", F.collect_set(F.when(F.col("is_class"), F.col("indent"))).over(wfile))
+             .withColumn("hdr_thr", F.collect_set(F.when(F.col("is_class") | F.col("is_def"), F.col("indent")))
+                         .over(wfile)))
     if materialize:
         lines = stage(lines)
     glines = lines
