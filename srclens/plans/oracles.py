@@ -590,3 +590,20 @@ FROM summ s LEFT JOIN skip k USING (repo, path)
 
 
 DEEP_FILE_PROMPTS = _deep_file_prompts()
+
+
+_DEEP_ROWS = """
+SELECT 'r' || (user_id % 25) AS repo,
+       CASE event_type WHEN 'click' THEN 'CRITIQUE' WHEN 'error' THEN 'MOYEN' WHEN 'view' THEN 'CRITIQUE'
+            ELSE 'FAIBLE' END AS severity
+FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+UNION ALL
+SELECT 'r' || (user_id % 25), 'FAIBLE' FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+"""
+
+REPO_SCORE_WITH_DEEP = ALL_FINDINGS + ",\n" + "deepf AS (" + _DEEP_ROWS + ")" + """
+SELECT r.repo, CAST(greatest(0, 100 - coalesce(sum(CASE f.severity WHEN 'CRITIQUE' THEN 15
+             WHEN 'MOYEN' THEN 7 WHEN 'FAIBLE' THEN 3 ELSE 0 END), 0)) AS INTEGER) AS score
+FROM repos r LEFT JOIN (SELECT repo, severity FROM allf UNION ALL SELECT repo, severity FROM deepf) f USING (repo)
+GROUP BY r.repo
+"""

@@ -170,7 +170,18 @@ def q_apply_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_parse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.enrich import parse_deep
     from ..sources.testcorpus import deep_responses
-    return parse_deep(deep_responses(spark, sf_dir)).drop("metrics")
+    return parse_deep(deep_responses(spark, sf_dir)).drop("metrics", "repo")
+
+
+def q_repo_score_with_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8 + A1: static findings plus the parsed deep-analysis findings of
+    each repo, scored together."""
+    from ..operators.enrich import append_deep
+    from ..operators.enrich import parse_deep
+    from ..sources.testcorpus import deep_responses
+    f, repos = analysed_corpus(spark, sf_dir)
+    allf = append_deep(f, parse_deep(deep_responses(spark, sf_dir)))
+    return S.repo_score(allf, repos)
 
 
 # ------------------------------------------------------------------ skeletons
@@ -309,4 +320,5 @@ QUERIES = {
     "go_summary": q_go_summary,
     "py_summary": q_py_summary,
     "deep_file_prompts": q_deep_file_prompts,
+    "repo_score_with_deep": q_repo_score_with_deep,
 }

@@ -44,6 +44,7 @@ ORACLES = {
     "go_summary": O.GO_SUMMARY,
     "py_summary": O.PY_SUMMARY,
     "deep_file_prompts": O.DEEP_FILE_PROMPTS,
+    "repo_score_with_deep": O.REPO_SCORE_WITH_DEEP,
 }
 
 

@@ -260,5 +260,6 @@ def deep_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
          CASE WHEN event_id % 11 = 0 THEN '"12"' ELSE CAST(event_id % 97 AS STRING) END, '}')"""
     raw = F.expr(f"""concat('Here are the smells:\n[', {e1}, ',\n ', {e2},
                      CASE WHEN event_id % 13 = 0 THEN '' ELSE ']' END, '\nHope this helps.')""")
-    return ev.select("event_id", F.concat(F.lit("pkg/u"), F.col("user_id"), F.lit(".go")).alias("default_file"),
+    return ev.select("event_id", F.concat(F.lit("r"), F.col("user_id") % 25).alias("repo"),
+                     F.concat(F.lit("pkg/u"), F.col("user_id"), F.lit(".go")).alias("default_file"),
                      raw.alias("raw"))
