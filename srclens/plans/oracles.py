@@ -607,3 +607,15 @@ SELECT r.repo, CAST(greatest(0, 100 - coalesce(sum(CASE f.severity WHEN 'CRITIQU
 FROM repos r LEFT JOIN (SELECT repo, severity FROM allf UNION ALL SELECT repo, severity FROM deepf) f USING (repo)
 GROUP BY r.repo
 """
+
+
+CORPUS_FILTER = """
+WITH p AS (
+  SELECT 'r' || (p_partkey % 25) AS repo, p_partkey, p_partkey % 8 AS d,
+         lower(replace(p_type, ' ', '_')) AS name FROM part),
+s AS (SELECT *, ['venv', 'pkg.egg-info', '__pycache__', 'build', 'src', 'lib/.tox', 'app/core', 'vendor'][d + 1] AS seg
+      FROM p)
+SELECT repo, p_partkey, seg || '/' || name || '.py' AS path, 'python' AS lang FROM s WHERE d IN (4, 6, 7)
+UNION ALL
+SELECT repo, p_partkey, seg || '/' || name || '.go', 'go' FROM s WHERE d <> 7
+"""

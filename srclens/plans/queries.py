@@ -281,6 +281,17 @@ def q_deep_file_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep_file_prompts(py_summary(facts), f)
 
 
+def q_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: directory exclusion of both walkers on paths built from ``part``."""
+    from ..sources.corpus import skip_dirs
+    from ..sources.testcorpus import part_paths
+    p = part_paths(spark, sf_dir)
+    py = skip_dirs(p.select("repo", "p_partkey", F.concat("stem", F.lit(".py")).alias("path")), "python")
+    go = skip_dirs(p.select("repo", "p_partkey", F.concat("stem", F.lit(".go")).alias("path")), "go")
+    return (py.withColumn("lang", F.lit("python")).unionByName(go.withColumn("lang", F.lit("go")))
+            .select("repo", "p_partkey", "path", "lang"))
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -321,4 +332,5 @@ QUERIES = {
     "py_summary": q_py_summary,
     "deep_file_prompts": q_deep_file_prompts,
     "repo_score_with_deep": q_repo_score_with_deep,
+    "corpus_filter": q_corpus_filter,
 }

@@ -45,6 +45,7 @@ ORACLES = {
     "py_summary": O.PY_SUMMARY,
     "deep_file_prompts": O.DEEP_FILE_PROMPTS,
     "repo_score_with_deep": O.REPO_SCORE_WITH_DEEP,
+    "corpus_filter": O.CORPUS_FILTER,
 }
 
 

@@ -263,3 +263,15 @@ def deep_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.concat(F.lit("r"), F.col("user_id") % 25).alias("repo"),
                      F.concat(F.lit("pkg/u"), F.col("user_id"), F.lit(".go")).alias("default_file"),
                      raw.alias("raw"))
+
+
+def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative source paths built from ``part``: repo r<partkey % 25>, a
+    directory chosen by ``partkey % 8`` (some of them excluded by the
+    walkers) and a file named after the part type."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    seg = F.expr("""element_at(array('venv', 'pkg.egg-info', '__pycache__', 'build', 'src', 'lib/.tox',
+                                     'app/core', 'vendor'), CAST(p_partkey % 8 AS INT) + 1)""")
+    name = F.lower(F.regexp_replace("p_type", " ", "_"))
+    return p.select(F.concat(F.lit("r"), F.col("p_partkey") % 25).alias("repo"), "p_partkey",
+                    F.concat(seg, F.lit("/"), name).alias("stem"))
