@@ -619,3 +619,16 @@ SELECT repo, p_partkey, seg || '/' || name || '.py' AS path, 'python' AS lang FR
 UNION ALL
 SELECT repo, p_partkey, seg || '/' || name || '.go', 'go' FROM s WHERE d <> 7
 """
+
+
+IGNORE_FILTER = """
+WITH p AS (
+  SELECT 'r' || (p_partkey % 25) AS repo, p_partkey % 25 AS nk, p_partkey, p_partkey % 8 AS d,
+         lower(replace(p_type, ' ', '_')) AS name FROM part),
+s AS (SELECT *, ['venv', 'pkg.egg-info', '__pycache__', 'build', 'src', 'lib/.tox', 'app/core', 'vendor'][d + 1] AS seg,
+             ['medium', 'standard', 'large', 'promo', 'small', 'economy'][nk % 6 + 1] AS word
+      FROM p WHERE d IN (4, 6, 7))
+SELECT repo, p_partkey, seg || '/' || name || '.py' AS path
+FROM s
+WHERE NOT (seg = 'src' OR (seg = 'app/core' AND NOT ends_with(name, word)))
+"""

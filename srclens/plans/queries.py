@@ -292,6 +292,23 @@ def q_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("repo", "p_partkey", "path", "lang"))
 
 
+def q_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root ignore rules per repo (derived from ``nation``) applied
+    to the Python paths kept by the directory filter."""
+    from ..sources.corpus import ignore_filter
+    files = q_corpus_filter(spark, sf_dir).filter(F.col("lang") == "python")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey")
+    word = F.element_at(F.array(*[F.lit(m) for m in ("medium", "standard", "large", "promo", "small",
+                                                      "economy")]),
+                        (F.col("n_nationkey") % 6 + 1).cast("int"))
+    repo = F.concat(F.lit("r"), F.col("n_nationkey"))
+    rules = (nation.select(repo.alias("repo"), F.lit(1).alias("ordinal"), F.lit("app/").alias("pattern"))
+             .unionByName(nation.select(repo.alias("repo"), F.lit(2).alias("ordinal"),
+                                        F.concat(F.lit("!app/core/*"), word, F.lit(".py")).alias("pattern")))
+             .unionByName(nation.select(repo.alias("repo"), F.lit(3).alias("ordinal"), F.lit("/src").alias("pattern"))))
+    return ignore_filter(files, rules).select("repo", "p_partkey", "path")
+
+
 QUERIES = {
     "py_lines_indent": q_py_lines_indent,
     "py_doc_branch_keywords": q_py_doc_branch_keywords,
@@ -333,4 +350,5 @@ QUERIES = {
     "deep_file_prompts": q_deep_file_prompts,
     "repo_score_with_deep": q_repo_score_with_deep,
     "corpus_filter": q_corpus_filter,
+    "ignore_filter": q_ignore_filter,
 }

@@ -46,6 +46,7 @@ ORACLES = {
     "deep_file_prompts": O.DEEP_FILE_PROMPTS,
     "repo_score_with_deep": O.REPO_SCORE_WITH_DEEP,
     "corpus_filter": O.CORPUS_FILTER,
+    "ignore_filter": O.IGNORE_FILTER,
 }
 
 
