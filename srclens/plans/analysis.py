@@ -43,3 +43,30 @@ def analyse(files: DataFrame, min_score: int = 0) -> dict[str, DataFrame]:
         "go_facts": gf,
         "py_facts": pf,
     }
+
+
+def analyse_directories(spark, roots: dict[str, str], min_score: int = 0) -> dict[str, DataFrame]:
+    """The reference's static run for many roots at once: scan ``.go`` and
+    ``.py`` files below each root (repo name -> folder), analyse, score and
+    gate. Repos without any source file get no row (S7)."""
+    from ..sources.corpus import scan_directory
+    files = None
+    for repo, root in roots.items():
+        for lang in ("go", "python"):
+            df = scan_directory(spark, root, repo, lang)
+            files = df if files is None else files.unionByName(df)
+    return analyse(files, min_score)
+
+
+def write_reports(result: dict[str, DataFrame], out_dir: str, fmt: str = "json") -> None:
+    """One document per repo under ``out_dir/repo=<repo>/`` in the
+    chosen format (json lines, text, or html table rows)."""
+    from ..operators import report as R
+    f, scores = result["findings"], result["scores"]
+    if fmt == "json":
+        rows, col = R.report_json_rows(f, scores), "json"
+    elif fmt == "html":
+        rows, col = R.report_html_rows(f, scores), "html"
+    else:
+        rows, col = R.report_text_rows(f, scores, result["counts"]), "text"
+    R.write_report(rows, out_dir, col)
