@@ -79,24 +79,9 @@ RE2_PY_CC = r"\b(?:" + "|".join(PY_CC_WORDS) + r")\b"
 # ---- fixed values: Go tokens that add one to cyclomatic complexity ----
 GO_CC_TOKENS = ["if", "for", "case", "&&", "||"]
 
-# Go token pattern. Every alternative is possessive so that very long
-# literals cannot overflow the regex engine's stack. Whitespace runs are
-# kept as tokens so that the tokens join back to the exact source.
-GO_TOKEN = (
-    r"(?s)[ \t\r]++"
-    r"|//[^\n]*+"
-    r"|/\*.*?\*/"
-    r"|`[^`]*+`"
-    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
-    r"|'(?:\\.[^'\n]*+|[^'\\\n]++)'"
-    r"|\n"
-    r"|&&|\|\|"
-    r"|[A-Za-z_]\w*+"
-    r"|[{}()\[\];,]"
-    r"|\S"
-)
-
-# Analysis form of the Go token pattern: no whitespace tokens; numbers,
+# Go token pattern (type-declaration lines only). Every alternative is
+# possessive so that very long literals cannot overflow the regex engine's
+# stack. No whitespace tokens; numbers,
 # strings, runes and operator runs are still consumed (so their text never
 # yields false tokens) but are dropped right after (``GO_DROP``). '/' never
 # starts an operator run before the comment alternatives had their turn.

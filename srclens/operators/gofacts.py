@@ -1,31 +1,31 @@
-"""Go structural facts from a token stream.
+"""Go structural facts.
 
 ``if``, ``for``, ``case`` are reserved words and ``&&``/``||`` have no other
-use, so once comments, strings, runes and raw strings are consumed as single
-tokens, token counts equal the syntax-tree counts of the analysed tool.
-
-G1  tokens: ``regexp_extract_all`` (possessive alternatives, see
-    ``functions.patterns.GO_TOKEN``) and ``posexplode``; one window per file
-    gives line numbers (running count of newlines), brace/paren depth
-    (running sums) and neighbours (lag/lead).
-    The *enclosing bracket* of every token is found without any join: each
-    opener also emits a marker row at the level it opens, and within the
-    window of ``(file, level)`` the last marker before a token is its parent
-    (for a closer: its matching opener).
-G2  declarations: a running count of top-level ``func/type/var/const/import``
-    keywords at line start splits a file into declarations.
-G3-G5, G15  per function declaration: receiver, name, body braces,
-    complexity and line span, from windows and one aggregate per declaration.
-G6/G7  type specs (after ``type`` or inside ``type (``), their kind and the
-    fields of struct types (children of the struct's brace, split at newline
-    or ``;`` children).
-G8  methods per receiver are counted per package and joined to structs.
+use, so once comments and string/rune/raw literals are out of the way,
+counts of those tokens equal the syntax-tree counts of the analysed tool.
+
+G1   ``go_masked_lines``: each file is cut into comments, literals and code
+     runs (``functions.patterns.GO_CHUNK``); comments and literals are
+     blanked character by character (newlines kept) with array functions, so
+     the masked text keeps the raw text's lines and columns. Lines are
+     exploded; one ordered window over (file id, line) gives depth at line
+     start and declaration ids.
+G2-G5, G12, G14, G15  functions, parameters and calls: one aggregate per
+     declaration over its lines (``go_funcs_lines``, ``go_params``,
+     ``go_calls``).
+G6/G7  only the lines of ``type`` declarations are tokenized
+     (``type_region_files``, ``go_tokens``); every token feature (depth,
+     type-group state, latest type-spec head and its body) is a running
+     aggregate over one ordering (file id, pos); no token is joined to
+     another token.
+G8   methods per receiver are counted per package and joined to structs.
 G9/G10 see ``concrete_fields``.
+G11  ``go_imports`` from the raw lines of import declarations.
 
 Type resolution (G9) is a join over the corpus, not a type checker: a field
 type is resolved against the types declared in the same package
-(directory); names not found there fall back to the syntactic rule (G10).
-Aliases, dot imports and qualified names are not resolved.
+(directory); names not declared there fall back to the syntactic rule
+(G10). Aliases, dot imports and qualified names are not resolved.
 """
 
 from __future__ import annotations
@@ -44,17 +44,6 @@ _OPEN = ["{", "(", "["]
 _CLOSE = ["}", ")", "]"]
 
 
-def go_raw_tokens(files: DataFrame, keep_space: bool = False,
-                  keys: tuple[str, ...] = ("repo", "path", "dir")) -> DataFrame:
-    """All tokens of each file with their ordinal ``pos`` (whitespace kept
-    only on request, for skeleton re-assembly)."""
-    toks = files.select(*keys, F.posexplode(
-        F.regexp_extract_all(F.col("content"), F.lit(P.GO_TOKEN), 0)).alias("pos", "tok"))
-    if not keep_space:
-        toks = toks.filter(~F.col("tok").rlike(r"^[ \t\r]+$"))
-    return toks
-
-
 def go_tokens(files: DataFrame) -> DataFrame:
     """G1: token rows keyed by a numeric file id, with line, depth,
     neighbours, declaration, type-group and type-head state.
@@ -154,46 +143,6 @@ def _recv_name(recv: F.Column, allow_index: bool) -> F.Column:
     return F.when(plain != "", plain).otherwise(idx)
 
 
-def go_funcs(tokens: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per function declaration with a body.
-
-    Columns: repo, pkg, path, name, recv (god-struct variant), recv_cc
-    (complexity variant), line, lines, complexity. One hash aggregate per
-    declaration over the token rows.
-    """
-    t = tokens.filter((F.col("kw.tok") == "func") & (F.col("pos") > F.col("kw.pos")))
-    has_recv = F.col("kw.next1") == "("
-    in_recv = (has_recv & (F.col("n_top_close") == F.col("kw.ntc")) & (F.col("depth_before") >= 1)
-               & (F.col("tok") != "\n"))
-    in_body = F.col("n_body_open") > F.col("kw.nbo")
-    first_close = (F.col("tok") == ")") & (F.col("depth_after") == 0) \
-        & (F.col("n_top_close") == F.col("kw.ntc") + 1)
-    agg = (t.groupBy("fid", "decl_id").agg(
-        F.first("kw").alias("kw"),
-        F.max(in_body).alias("has_body"),
-        F.sort_array(F.collect_list(F.when(in_recv, F.struct("pos", "tok")))).alias("recv_toks"),
-        F.max(F.when(first_close, F.col("next1"))).alias("after_recv"),
-        F.count_if(in_body & F.col("tok").isin(*P.GO_CC_TOKENS)).alias("cc"),
-        F.max(F.when(in_body & (F.col("tok") == "}") & (F.col("depth_after") == 0), F.col("line")))
-        .alias("end_line")))
-    name = F.when(F.col("kw.next1") == "(", F.col("after_recv")).otherwise(F.col("kw.next1"))
-    agg = agg.withColumn("name", name).filter(F.col("has_body") & F.col("name").rlike(_IDENT))
-    # Receiver text without its name: drop a leading identifier that is
-    # followed by another token ("c *T" -> "*T", "T" stays).
-    toks = F.transform("recv_toks", lambda x: x["tok"])
-    typ = F.when((F.size(toks) >= 2) & F.element_at(toks, 1).rlike(_IDENT),
-                 F.slice(toks, 2, 1 << 20)).otherwise(toks)
-    recv_text = F.array_join(typ, "")
-    has_recv_c = F.col("kw.next1") == "("
-    return agg.join(keys, "fid").select(
-        "repo", F.col("dir").alias("pkg"), "path", "name",
-        F.when(has_recv_c, _recv_name(recv_text, True)).alias("recv"),
-        F.when(has_recv_c, _recv_name(recv_text, False)).alias("recv_cc"),
-        F.col("kw.line").cast("int").alias("line"),
-        (F.col("end_line") - F.col("kw.line") + 1).cast("int").alias("lines"),
-        (F.col("cc") + 1).cast("int").alias("complexity"))
-
-
 def go_types(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """G6 (all kinds): type specs with name, kind (struct/interface/other),
     line, and the position of a struct's opening brace.
