@@ -14,7 +14,7 @@ G2-G5, G12, G14, G15  functions, parameters and calls: one aggregate per
      declaration over its lines (``go_funcs_lines``, ``go_params``,
      ``go_calls``).
 G6/G7  only the lines of ``type`` declarations are tokenized
-     (``type_region_files``, ``go_tokens``); every token feature (depth,
+     (``type_region_lines``, ``line_tokens``); every token feature (depth,
      type-group state, latest type-spec head and its body) is a running
      aggregate over one ordering (file id, pos); no token is joined to
      another token.
@@ -61,13 +61,31 @@ def go_tokens(files: DataFrame) -> DataFrame:
     t = (t.withColumn("nls", nls.cast("int"))
          .filter(F.col("tok").rlike(P.GO_KEEP) | (F.col("nls") > 0))
          .withColumn("tok", F.when(F.col("nls") > 0, F.lit("\n")).otherwise(F.col("tok"))))
+    w = Window.partitionBy("fid").orderBy("pos")
+    t = t.withColumn("line", (F.lit(1) + F.sum("nls").over(w.rowsBetween(Window.unboundedPreceding, 0))
+                              - F.col("nls")).cast("int"))
+    return token_features(t.drop("nls"))
+
+
+def line_tokens(lines: DataFrame) -> DataFrame:
+    """Token rows of selected masked lines (literals and comments are
+    already blank), each line closed by a newline token; ``pos`` orders
+    tokens by (line, index)."""
+    t = lines.select("fid", "line", F.posexplode(F.regexp_extract_all(
+        F.col("m"), F.lit(P.GO_TOKEN_ANALYSIS), 0)).alias("i", "tok")).filter(F.col("tok").rlike(P.GO_KEEP))
+    nl = lines.select("fid", "line", F.lit(1 << 20).alias("i"), F.lit("\n").alias("tok"))
+    return (t.unionByName(nl)
+            .select("fid", (F.col("line").cast("long") * F.lit(1 << 21) + F.col("i")).alias("pos"), "tok", "line"))
+
+
+def token_features(t: DataFrame) -> DataFrame:
+    """Window features of token rows (fid, pos, tok, line)."""
     bd = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     pd = (F.when(F.col("tok").isin("(", "["), 1).when(F.col("tok").isin(")", "]"), -1)
           .otherwise(0))
     w = Window.partitionBy("fid").orderBy("pos")
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
     t = (t.withColumn("dlt", (bd + pd).cast("int"))
-         .withColumn("line", (F.lit(1) + F.sum("nls").over(wr) - F.col("nls")).cast("int"))
          .withColumn("depth_after", F.sum("dlt").over(wr).cast("int"))
          .withColumn("prev1", F.lag("tok", 1).over(w))
          .withColumn("next1", F.lead("tok", 1).over(w))
@@ -121,7 +139,7 @@ def go_tokens(files: DataFrame) -> DataFrame:
                      & (F.coalesce(F.col("hopen"), F.lit(-1)) > F.col("head.pos"))
                      & (F.coalesce(F.col("hclose"), F.lit(-1)) < F.col("head.pos"))
                      & (F.col("depth_before") == F.col("head.d") + 1)))
-    return t.drop("dlt", "nls", "grp", "grp_close_pos", "hopen", "hclose")
+    return t.drop("dlt", "grp", "grp_close_pos", "hopen", "hclose")
 
 
 def _file_keys(files: DataFrame) -> DataFrame:
@@ -339,11 +357,10 @@ def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
         (F.col("cc") + 1).cast("int").alias("complexity")))
 
 
-def type_region_files(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """Files reduced to the lines of type declarations (top-level ``type``
-    declarations and ``type`` statements inside functions, with their
-    bodies); every other line is blanked so line numbers stay exact. Only
-    these go through the token-level type analysis."""
+def type_region_lines(lines: DataFrame) -> DataFrame:
+    """The lines of type declarations: top-level ``type`` declarations and
+    ``type`` statements inside functions, with their bodies. Only these go
+    through the token-level type analysis."""
     w = Window.partitionBy("fid").orderBy("line")
     inner = (F.col("first") == "type") & (F.col("depth_before") > 0)
     t = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.col("first")), ignorenulls=True)
@@ -355,14 +372,7 @@ def type_region_files(lines: DataFrame, keys: DataFrame) -> DataFrame:
                                       ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     region = ((F.col("kw") == "type") & (F.col("decl_id") > 0)) | (
         F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l")))
-    t = t.withColumn("region", region)
-    return (t.groupBy("fid")
-            .agg(F.max("region").alias("any"),
-                 F.sort_array(F.collect_list(F.struct("line", F.when(F.col("region"), F.col("raw"))
-                                                      .otherwise(F.lit("")).alias("text")))).alias("ls"))
-            .filter("any")
-            .join(keys, "fid")
-            .select(*FILE, "dir", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("content")))
+    return t.filter(region).select("fid", "line", "m")
 
 
 def go_imports(lines: DataFrame, keys: DataFrame) -> DataFrame:
@@ -444,8 +454,7 @@ def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
     if materialize:
         lines = stage(lines)
     funcs = go_funcs_lines(lines, keys)
-    typed = type_region_files(lines, keys)
-    tokens = go_tokens(typed.repartition(n, F.xxhash64(*FILE)))
+    tokens = token_features(line_tokens(type_region_lines(lines)))
     if materialize:
         tokens = stage(tokens)
     types = go_types(tokens, keys)
