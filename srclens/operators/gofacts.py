@@ -321,9 +321,31 @@ def go_masked_lines(files: DataFrame) -> DataFrame:
     df = (df.withColumn("depth_before", F.coalesce(F.sum("dl").over(wb), F.lit(0)).cast("int"))
           .withColumn("bdepth_before", F.coalesce(F.sum("bd").over(wb), F.lit(0)).cast("int")))
     start = (F.col("depth_before") == 0) & F.col("first").isin(*_DECL_KW)
-    return (df.withColumn("decl_start", start)
-            .withColumn("decl_id", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("depth_after", F.col("depth_before") + F.col("dl")))
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = (df.withColumn("decl_start", start)
+          .withColumn("decl_id", F.sum(start.cast("int")).over(wr))
+          .withColumn("depth_after", F.col("depth_before") + F.col("dl"))
+          # Declaration keyword and first line, carried to every line.
+          .withColumn("kw", F.last(F.when(start, F.struct(F.col("first").alias("k"), F.col("line").alias("l"))),
+                                   ignorenulls=True).over(wr)))
+    return with_type_regions(df)
+
+
+def with_type_regions(lines: DataFrame) -> DataFrame:
+    """Flag the lines of type declarations (``region``): top-level ``type``
+    declarations, and ``type`` statements inside functions with their
+    bodies. Runs in the same ordered window pass as the line facts."""
+    w = Window.partitionBy("fid").orderBy("line")
+    inner = (F.col("first") == "type") & (F.col("depth_before") > 0)
+    t = lines.withColumn("ts", F.last(F.when(inner, F.struct(F.col("line").alias("l"),
+                                                              F.col("depth_before").alias("d"))),
+                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("tclose", F.last(F.when(F.col("ts").isNotNull() & (F.col("line") > F.col("ts.l"))
+                                             & (F.col("depth_after") <= F.col("ts.d")), F.col("line")),
+                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    region = ((F.col("kw.k") == "type") & (F.col("decl_id") > 0)) | (
+        F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l")))
+    return t.withColumn("region", F.coalesce(region, F.lit(False))).drop("ts", "tclose")
 
 
 def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
@@ -333,7 +355,8 @@ def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
     signature, so the declaration's complexity is 1 + the cc tokens of all
     its lines; the body ends at the last line that returns to depth 0.
     """
-    d = (lines.filter(F.col("decl_id") > 0)
+    useful = F.col("decl_start") | (F.col("cc") > 0) | F.col("has_close") | F.col("m").contains("{")
+    d = (lines.filter((F.col("kw.k") == "func") & (F.col("decl_id") > 0) & useful)
          .groupBy("fid", "decl_id")
          .agg(F.min_by(F.struct("first", "m", "line"), F.col("line")).alias("h"),
               F.sum("cc").alias("cc"),
@@ -358,29 +381,15 @@ def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def type_region_lines(lines: DataFrame) -> DataFrame:
-    """The lines of type declarations: top-level ``type`` declarations and
-    ``type`` statements inside functions, with their bodies. Only these go
-    through the token-level type analysis."""
-    w = Window.partitionBy("fid").orderBy("line")
-    inner = (F.col("first") == "type") & (F.col("depth_before") > 0)
-    t = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.col("first")), ignorenulls=True)
-                          .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("ts", F.last(F.when(inner, F.struct(F.col("line").alias("l"), F.col("depth_before").alias("d"))),
-                                  ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    t = t.withColumn("tclose", F.last(F.when(F.col("ts").isNotNull() & (F.col("line") > F.col("ts.l"))
-                                             & (F.col("depth_after") <= F.col("ts.d")), F.col("line")),
-                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    region = ((F.col("kw") == "type") & (F.col("decl_id") > 0)) | (
-        F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l")))
-    return t.filter(region).select("fid", "line", "m")
+    """The lines of type declarations (see ``with_type_regions``); only these
+    go through the token-level type analysis."""
+    return lines.filter("region").select("fid", "line", "m")
 
 
 def go_imports(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """Imports of each file (alias or NULL, path without quotes), read
     from the raw lines of ``import`` declarations."""
-    w = Window.partitionBy("fid").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    imp = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.col("first")), ignorenulls=True).over(w))
-           .filter((F.col("kw") == "import") & (F.col("decl_id") > 0)))
+    imp = lines.filter((F.col("kw.k") == "import") & (F.col("decl_id") > 0))
     spec = r'(?:^|[ \t(;])(?:([A-Za-z_.]\w*)[ \t]+)?"([^"]+)"'
     text = F.regexp_replace("raw", r"^[ \t]*import(?![A-Za-z0-9_])", " ")
     return (imp.select("fid", "line", F.explode(F.regexp_extract_all(text, F.lit(spec), 0)).alias("s"))
@@ -391,12 +400,9 @@ def go_imports(lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def go_decl_lines(lines: DataFrame, funcs_only: bool = True) -> DataFrame:
-    """Lines tagged with the keyword and first line of their declaration."""
-    w = Window.partitionBy("fid").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    t = (lines.withColumn("kw", F.last(F.when(F.col("decl_start"), F.struct(F.col("first").alias("k"),
-                                                                           F.col("line").alias("l"))),
-                                       ignorenulls=True).over(w)))
-    return t.filter(F.col("kw.k") == "func") if funcs_only else t
+    """Lines of function declarations (``kw`` holds the declaration's
+    keyword ``k`` and first line ``l``)."""
+    return lines.filter(F.col("kw.k") == "func") if funcs_only else lines
 
 
 def go_params(lines: DataFrame, keys: DataFrame) -> DataFrame:
