@@ -457,6 +457,9 @@ def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
     keys = _file_keys(files)
     n = file_partitions(files.sparkSession)
     lines = go_masked_lines(files.repartition(n, F.xxhash64(*FILE)))
+    # Raw text is only read for import declarations; the staged table keeps
+    # the masked text of every line and the raw text of those lines only.
+    lines = lines.withColumn("raw", F.when(F.col("kw.k") == "import", F.col("raw")))
     if materialize:
         lines = stage(lines)
     funcs = go_funcs_lines(lines, keys)
