@@ -36,15 +36,23 @@ def repo_score(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def severity_counts(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """A2: the three severity counts per repo, zero-filled, plus a map of
-    any other severity strings."""
+    """A2: the three severity counts per repo, zero-filled, and ``other``:
+    any other severity string with its count, as sorted ``k=v`` text."""
+    known = F.col("severity").isin(*P.SEVERITIES)
     agg = findings.groupBy("repo").agg(
         F.count_if(F.col("severity") == P.CRITIQUE).alias("critique"),
         F.count_if(F.col("severity") == P.MOYEN).alias("moyen"),
         F.count_if(F.col("severity") == P.FAIBLE).alias("faible"))
-    return (repos.select("repo").distinct().join(agg, "repo", "left")
+    other = (findings.filter(~known & F.col("severity").isNotNull())
+             .groupBy("repo", "severity").agg(F.count("*").alias("n"))
+             .groupBy("repo")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("severity", "n"))),
+                                           lambda x: F.concat(x["severity"], F.lit("="), x["n"].cast("string"))),
+                               ", ").alias("other")))
+    return (repos.select("repo").distinct().join(agg, "repo", "left").join(other, "repo", "left")
             .select("repo", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                              for c in ("critique", "moyen", "faible")]))
+                              for c in ("critique", "moyen", "faible")],
+                    F.coalesce("other", F.lit("")).alias("other")))
 
 
 def quality_gate(scores: DataFrame, min_score: int) -> DataFrame:

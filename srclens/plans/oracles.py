@@ -216,7 +216,8 @@ SEVERITY_COUNTS = ALL_FINDINGS + """
 SELECT r.repo,
        CAST(count(*) FILTER (WHERE f.severity = 'CRITIQUE') AS BIGINT) AS critique,
        CAST(count(*) FILTER (WHERE f.severity = 'MOYEN') AS BIGINT) AS moyen,
-       CAST(count(*) FILTER (WHERE f.severity = 'FAIBLE') AS BIGINT) AS faible
+       CAST(count(*) FILTER (WHERE f.severity = 'FAIBLE') AS BIGINT) AS faible,
+       '' AS other
 FROM repos r LEFT JOIN allf f USING (repo) GROUP BY r.repo
 """
 

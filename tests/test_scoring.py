@@ -21,8 +21,8 @@ def test_score_cases(spark):
 def test_counts_gate_band(spark):
     f = spark.createDataFrame([("r", "CRITIQUE"), ("r", "X")], "repo string, severity string")
     repos = spark.createDataFrame([("r",), ("s",)], "repo string")
-    c = {r.repo: (r.critique, r.moyen, r.faible) for r in S.severity_counts(f, repos).collect()}
-    assert c == {"r": (1, 0, 0), "s": (0, 0, 0)}
+    c = {r.repo: (r.critique, r.moyen, r.faible, r.other) for r in S.severity_counts(f, repos).collect()}
+    assert c == {"r": (1, 0, 0, "X=1"), "s": (0, 0, 0, "")}
     g = S.quality_gate(S.repo_score(f, repos), 90).withColumn("band", S.score_band(F.col("score")))
     got = {r.repo: (r.score, r.failed, r.band) for r in g.collect()}
     assert got == {"r": (85, True, "good"), "s": (100, False, "good")}
