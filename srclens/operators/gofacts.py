@@ -138,7 +138,8 @@ def token_features(t: DataFrame) -> DataFrame:
          .withColumn("in_head_body", F.col("head.pos").isNotNull()
                      & (F.coalesce(F.col("hopen"), F.lit(-1)) > F.col("head.pos"))
                      & (F.coalesce(F.col("hclose"), F.lit(-1)) < F.col("head.pos"))
-                     & (F.col("depth_before") == F.col("head.d") + 1)))
+                     & (F.col("depth_before") >= F.col("head.d") + 1))
+         .withColumn("body_top", F.col("depth_before") == F.col("head.d") + 1))
     return t.drop("dlt", "grp", "grp_close_pos", "hopen", "hclose")
 
 
@@ -205,19 +206,23 @@ def go_struct_fields(tokens: DataFrame, types: DataFrame) -> DataFrame:
     # after the brace. The brace itself is the first '{' after the head at
     # the head's level.
     body = (tokens.filter("in_head_body")
-            .select("fid", F.col("head.pos").alias("hpos"), "pos", "tok", "line"))
-    sep = (F.col("tok") == "\n") | (F.col("tok") == ";")
+            .select("fid", F.col("head.pos").alias("hpos"), "pos", "tok", "line", "body_top"))
+    sep = F.col("body_top") & ((F.col("tok") == "\n") | (F.col("tok") == ";"))
     k = body.join(st.select("fid", "hpos"), ["fid", "hpos"], "left_semi")
     wf = Window.partitionBy("fid", "hpos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     k = (k.withColumn("field_no", F.sum(sep.cast("int")).over(wf))
-         .filter(~sep))
+         .filter(~sep & (F.col("tok") != "\n")))
     f = (k.groupBy("fid", "hpos", "field_no")
          .agg(F.min("line").alias("line"),
-              F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("ts"))
+              F.sort_array(F.collect_list(F.when(F.col("body_top"), F.struct("pos", "tok")))).alias("ts"),
+              F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("ts_all"))
+         .filter(F.size("ts") > 0)
          .join(st, ["fid", "hpos"])
-         .withColumn("toks", F.transform("ts", lambda x: x["tok"])))
+         .withColumn("toks", F.transform("ts", lambda x: x["tok"]))
+         .withColumn("all", F.transform("ts_all", lambda x: x["tok"])))
     toks = F.col("toks")
-    # Drop a trailing tag literal.
+    # Drop a trailing tag literal (literals are blank in masked lines, so
+    # this only matters for token streams that keep them).
     last = F.element_at(toks, -1)
     toks_nt = F.when((F.size(toks) > 1) & (last.startswith('"') | last.startswith("`")),
                      F.slice(toks, 1, F.size(toks) - 1)).otherwise(toks)
@@ -230,14 +235,32 @@ def go_struct_fields(tokens: DataFrame, types: DataFrame) -> DataFrame:
                                    & (F.try_element_at(toks, i - 1) != ",")), 1)
     names = F.filter(F.slice(toks, 1, tstart - 1), lambda x: x != ",")
     typ = F.when(embedded, toks).otherwise(F.slice(toks, tstart, 1 << 20))
+    full = F.when(embedded, F.col("all")).otherwise(F.slice(F.col("all"), tstart, 1 << 20))
     return f.select(
         "repo", "pkg", "path", "struct", F.col("line").cast("int").alias("line"),
         F.when(embedded, F.array().cast("array<string>")).otherwise(names).alias("names"),
         embedded.alias("embedded"),
-        F.array_join(typ, "").alias("type"),
+        type_text(full).alias("type"),
         (~F.exists(typ, lambda x: x.isin("(", "[", "{"))).alias("simple"))
 
 
+def type_text(toks: F.Column) -> F.Column:
+    """Type expression text from its tokens: words separated by a
+    space only where two words meet (``chan int``, ``map[string]int``);
+    array lengths are already gone (numbers are not kept); function types
+    read ``func(...)``, interface types ``interface{}``, struct literals
+    ``?``."""
+    n = F.size(toks)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(
+        F.coalesce(F.try_element_at(toks, i), F.lit("")),
+        F.when((i < n) & F.try_element_at(toks, i).rlike(_IDENT)
+               & F.try_element_at(toks, i + 1).rlike(_IDENT), F.lit(" ")).otherwise(F.lit(""))))
+    t = F.array_join(parts, "")
+    t = F.regexp_replace(t, r"func\(.*$", "func(...)")
+    t = F.regexp_replace(t, r"interface\{[^{}]*\}", "interface{}")
+    return F.regexp_replace(t, r"struct\{[^{}]*\}", "?")
+
+
 def go_structs(types: DataFrame, fields: DataFrame, funcs: DataFrame) -> DataFrame:
     """G6-G8 + J1: struct rows with field and method counts.
 

@@ -142,3 +142,12 @@ def test_imports_params_calls(files):
                 key=lambda x: (x[0], x[1]))
     assert ps[:3] == [("Do", 0, "a", "int"), ("Do", 1, "b", "int"), ("Do", 2, "c", "string")]
     assert ("U", 0, None, "int") in ps and ("U", 1, None, "string") in ps
+
+
+def test_field_type_text(files):
+    src = ("package p\n\ntype T struct {\n\tm map[string]int\n\tc chan int\n\ta [5]*Node\n"
+           "\tf func(x int) error\n\ti interface{ Get() }\n\tn struct {\n\t\tX int\n\t}\n\tq *pkg.Q `json:\"q\"`\n}\n")
+    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    got = {tuple(r.names): r.type for r in facts["fields"].collect()}
+    assert got == {("m",): "map[string]int", ("c",): "chan int", ("a",): "[]*Node", ("f",): "func(...)",
+                   ("i",): "interface{}", ("n",): "?", ("q",): "*pkg.Q"}
