@@ -151,3 +151,38 @@ def test_field_type_text(files):
     got = {tuple(r.names): r.type for r in facts["fields"].collect()}
     assert got == {("m",): "map[string]int", ("c",): "chan int", ("a",): "[]*Node", ("f",): "func(...)",
                    ("i",): "interface{}", ("n",): "?", ("q",): "*pkg.Q"}
+
+
+def test_randomized_functions(files):
+    """Random functions with decoys; complexity and line known by construction."""
+    import random
+    pieces = [("if x > 0 {\n\tx++\n}", 1), ("for i := 0; i < 3; i++ {\n}", 1), ("x = a && b", 1),
+              ("y = a || b && c", 2), ('s := "if && { case"', 0), ("// for case {", 0), ("/* if {\n for */", 0),
+              ("r := '{'", 0), ("switch x {\ncase 1:\ncase 2, 3:\ndefault:\n}", 2),
+              ("f := func() bool { return a && b }", 1), ("t := `if\n{ case`", 0),
+              ("select {\ncase <-ch:\ndefault:\n}", 1), ("if a {\n} else if b {\n}", 2)]
+    rng = random.Random(5)
+    sources, expected = {}, {}
+    for n in range(40):
+        lines, exp = ["package p", ""], []
+        for j in range(rng.randint(1, 4)):
+            recv = rng.choice(["", "(s *S) ", "(s S) "])
+            start = len(lines) + 1
+            body, cc = [], 1
+            for _ in range(rng.randint(0, 8)):
+                text, c = rng.choice(pieces)
+                body.extend("\t" + part for part in text.split("\n"))
+                cc += c
+            lines.append(f"func {recv}F{j}(x int) int {{")
+            lines.extend(body)
+            lines.extend(["\treturn x", "}", ""])
+            exp.append((("S." if recv else "") + f"F{j}", start, cc))
+        sources[f"p/f{n}.go"] = "\n".join(lines)
+        expected[f"p/f{n}.go"] = sorted(exp)
+    facts = go_facts(files(sources), materialize=False)
+    got = {}
+    for r in facts["funcs"].collect():
+        comp = (r.recv_cc + "." if r.recv_cc else "") + r.name
+        got.setdefault(r.path, []).append((comp, r.line, r.complexity))
+    for path, exp in expected.items():
+        assert sorted(got.get(path, [])) == exp, (path, sources[path])

@@ -198,3 +198,41 @@ def test_randomized_against_stack_scan(files):
         exp_c, exp_f = stack_scan(src)
         assert sorted(got_c.get(path, [])) == exp_c, (path, src)
         assert sorted(got_f.get(path, [])) == exp_f, (path, src)
+
+
+def strip_scan(src):
+    """Plain restatement of the skeleton rules, for comparison."""
+    out, frames = [], []
+    for line in src.split("\n"):
+        t = line.strip(" \t\r\n\f\v")
+        if t == "":
+            if not frames:
+                out.append(line)
+            continue
+        ind = _indent(line)
+        while frames and ind <= frames[-1][0]:
+            frames.pop()
+        is_def = t.startswith("def ") or t.startswith("async def ")
+        keep = is_def or t.startswith("class ") or t.startswith("@")
+        if frames:
+            if not frames[-1][1]:
+                out.append(" " * (frames[-1][0] + 4) + "...")
+                frames[-1][1] = True
+            if keep:
+                out.append(line)
+                if is_def:
+                    frames.append([ind, False])
+        else:
+            out.append(line)
+            if is_def:
+                frames.append([ind, False])
+    return "\n".join(out)
+
+
+def test_randomized_skeleton(files):
+    from srclens.operators.skeleton import py_skeleton
+    rng = random.Random(11)
+    sources = {f"s{i}.py": _random_source(rng) for i in range(120)}
+    got = {r.path: r.skeleton for r in py_skeleton(files(sources)).collect()}
+    for path, src in sources.items():
+        assert got.get(path, "") == strip_scan(src), (path, src)
