@@ -186,3 +186,63 @@ def test_randomized_functions(files):
         got.setdefault(r.path, []).append((comp, r.line, r.complexity))
     for path, exp in expected.items():
         assert sorted(got.get(path, [])) == exp, (path, sources[path])
+
+
+def test_randomized_structs(files):
+    import random
+    rng = random.Random(9)
+    field_kinds = [("{n} int", 1), ("{n}, {n}x string", 2), ("Base{i}", 1), ("*pkg.T{i}", 1),
+                   ('{n} []byte `json:"{n}"`', 1), ("{n} map[string]struct{{ a int }}", 1),
+                   ("{n} struct {{\n\t\tX int\n\t\tY int\n\t}}", 1), ("db *Store", 1), ("{n} func(a, b int) error", 1)]
+    sources, expected = {}, {}
+    for f in range(25):
+        out, exp, deps = ["package p", "", "type Store struct{ a int }", ""], {}, []
+        decls = []
+        for s in range(rng.randint(1, 4)):
+            name = f"S{f}_{s}"
+            fields, count, has_db = [], 0, 0
+            for i in range(rng.randint(0, 6)):
+                text, c = rng.choice(field_kinds)
+                fields.append(text.format(n=f"f{i}", i=i))
+                count += c
+                has_db += text.startswith("db ")
+            decls.append((name, fields, count, has_db))
+        group = rng.random() < 0.5
+        if group:
+            out.append("type (")
+        for name, fields, count, has_db in decls:
+            generic = rng.random() < 0.3
+            head = f"{name}[T any]" if generic else name
+            kw = "" if group else "type "
+            start = len(out) + 1
+            if not fields and rng.random() < 0.5:
+                out.append(f"{kw}{head} struct{{}}")
+            elif len(fields) <= 2 and all("\n" not in x and "`" not in x for x in fields) and rng.random() < 0.4:
+                out.append(f"{kw}{head} struct{{ " + "; ".join(fields) + " }")
+            else:
+                out.append(f"{kw}{head} struct {{")
+                for x in fields:
+                    out.extend("\t" + part for part in x.split("\n"))
+                out.append("}")
+            exp[name] = (start, count)
+            deps.extend([f"{name}.db"] * has_db)
+        if group:
+            out.append(")")
+        n_methods = rng.randint(0, 3)
+        target = decls[0][0]
+        for m in range(n_methods):
+            out.append(f"func (x *{target}) M{m}() {{}}")
+        sources[f"p{f}/a.go"] = "\n".join(out) + "\n"
+        expected[f"p{f}/a.go"] = ({k: (v[0], v[1], n_methods if k == target else 0) for k, v in exp.items()},
+                                  sorted(deps))
+    facts = go_facts(files(sources), materialize=False)
+    got = {}
+    for r in facts["structs"].collect():
+        got.setdefault(r.path, {})[r.name] = (r.line, r.fields, r.methods)
+    deps = {}
+    for r in D.go_concrete_dep(facts).collect():
+        deps.setdefault(r.file, []).append(r.component)
+    for path, (exp, exp_deps) in expected.items():
+        g = {k: v for k, v in got.get(path, {}).items() if k != "Store"}
+        assert g == exp, (path, sources[path])
+        assert sorted(deps.get(path, [])) == exp_deps, (path, sources[path])
