@@ -46,17 +46,19 @@ def test_skeletons(files):
 def test_parsers(spark):
     resp = spark.createDataFrame([("a", 'x {"explanation":"e","effort":"Moyen"} y'),
                                   ("b", '{"explanation": 1}'), ("c", "nothing"),
-                                  ("d", '{"explanation":"e2","refactor_before":"b","refactor_after":"a","effort":""}')],
+                                  ("d", '{"explanation":"e2","refactor_before":"b","refactor_after":"a","effort":""}'),
+                                  ("e", '{"Explanation":"ci","EFFORT":"Faible"}'), ("f", '{"Effort": 3}')],
                                  "finding_id string, raw string")
     got = {r.finding_id: (r.explanation, r.effort) for r in E.parse_enrichment(resp).collect()}
-    assert got == {"a": ("e", "Moyen"), "d": ("e2", "")}
+    assert got == {"a": ("e", "Moyen"), "d": ("e2", ""), "e": ("ci", "Faible")}
     deep = spark.createDataFrame([
         (1, "f.go", 'ok [{"smell_type":"x","severity":"moyen","line":3,"effort":"Élevé"}] done'),
-        (2, "f.go", '[{"line":"3"}]'), (3, "f.go", '[{"line":3.5}]'), (4, "g.go", '[{"file":"h.go"}, {}]')],
+        (2, "f.go", '[{"line":"3"}]'), (3, "f.go", '[{"line":3.5}]'), (4, "g.go", '[{"file":"h.go"}, {}]'),
+        (5, "f.go", '[{"Line":7,"SEVERITY":"critique"}]'), (6, "f.go", '[{"LINE":"7"}]')],
         "id int, default_file string, raw string")
     rows = sorted((r.id, r.elem_pos, r.severity, r.file, r.line, r.effort) for r in E.parse_deep(deep).collect())
     assert rows == [(1, 0, "MOYEN", "f.go", 3, "Élevé"), (4, 0, "FAIBLE", "h.go", 0, "Faible"),
-                    (4, 1, "FAIBLE", "g.go", 0, "Faible")]
+                    (4, 1, "FAIBLE", "g.go", 0, "Faible"), (5, 0, "CRITIQUE", "f.go", 7, "Faible")]
 
 
 def test_infer_hook(spark):
