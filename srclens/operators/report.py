@@ -67,6 +67,35 @@ def report_json_rows(findings: DataFrame, scores: DataFrame) -> DataFrame:
     return head.unionByName(f)
 
 
+def report_json_document_rows(findings: DataFrame, scores: DataFrame) -> DataFrame:
+    """S8 as one JSON document per repo, written line by line:
+    ``{"dir":..,"score":..,"findings":[`` / one finding per line, each but
+    the first led by a comma / ``]}``; a repo without findings is the single
+    line ``{"dir":..,"score":..,"findings":null}``. The first finding of a
+    repo comes from a grouped ``min`` of the sort key (map-side combined),
+    so no repo is ever gathered in one task; a global sort on the key puts
+    the lines in order."""
+    rows = report_json_rows(findings, scores).filter(F.col("rank") >= 0)
+    key = F.struct("rank", "file", "line", "smell_type", "component")
+    first = rows.groupBy("repo").agg(F.min(key).alias("first"))
+    body = (rows.join(first, "repo")
+            .withColumn("json", F.when(key == F.col("first"), F.col("json"))
+                        .otherwise(F.concat(F.lit(","), F.col("json"))))
+            .drop("first"))
+    has = first.select("repo", F.lit(True).alias("has"))
+    heads = scores.join(has, "repo", "left")
+    open_ = F.expr("substring(to_json(named_struct('dir', repo, 'score', score)), 1, "
+                   "length(to_json(named_struct('dir', repo, 'score', score))) - 1)")
+    head = heads.select("repo", F.lit(-1).alias("rank"), F.lit("").alias("file"), F.lit(0).alias("line"),
+                        F.lit("").alias("smell_type"), F.lit("").alias("component"),
+                        F.when(F.col("has"), F.concat(open_, F.lit(',"findings":[')))
+                        .otherwise(F.concat(open_, F.lit(',"findings":null}'))).alias("json"))
+    tail = heads.filter("has").select("repo", F.lit(9).alias("rank"), F.lit("").alias("file"), F.lit(0).alias("line"),
+                                      F.lit("").alias("smell_type"), F.lit("").alias("component"),
+                                      F.lit("]}").alias("json"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def report_text_rows(findings: DataFrame, scores: DataFrame, counts: DataFrame) -> DataFrame:
     """One text block per finding (severity order), then the score block."""
     sev_label = F.concat(F.lit("["), F.col("severity"), F.lit("]"))

@@ -633,3 +633,22 @@ SELECT repo, p_partkey, seg || '/' || name || '.py' AS path
 FROM s
 WHERE NOT (seg = 'src' OR (seg = 'app/core' AND NOT ends_with(name, word)))
 """
+
+
+REPORT_JSON_DOCUMENT = ALL_FINDINGS + ",\n" + _SCORE.strip() + f""",
+fr AS (
+  SELECT repo, {_RANK} AS rank, file, line, smell_type, component,
+         '{{"severity":"' || severity || '","smell_type":"' || smell_type || '","file":"' || file
+         || '","line":' || line || ',"component":"' || component || '","metrics":' || {_METRICS_JSON}
+         || ',"pattern":"' || pattern || '","effort":"' || effort || '"}}' AS json,
+         row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, file, line, smell_type, component) AS rn
+  FROM allf)
+SELECT repo, -1 AS rank, '' AS file, 0 AS line, '' AS smell_type, '' AS component,
+       '{{"dir":"' || repo || '","score":' || score
+       || CASE WHEN repo IN (SELECT repo FROM fr) THEN ',"findings":[' ELSE ',"findings":null}}' END AS json
+FROM scores
+UNION ALL
+SELECT repo, rank, file, line, smell_type, component, CASE WHEN rn = 1 THEN json ELSE ',' || json END FROM fr
+UNION ALL
+SELECT DISTINCT repo, 9, '', 0, '', '', ']}}' FROM fr
+"""

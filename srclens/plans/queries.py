@@ -129,6 +129,12 @@ def q_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_json_rows(f, S.repo_score(f, repos))
 
 
+def q_report_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.report import report_json_document_rows
+    f, repos = analysed_corpus(spark, sf_dir)
+    return report_json_document_rows(f, S.repo_score(f, repos))
+
+
 def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.report import report_text_rows
     f, repos = analysed_corpus(spark, sf_dir)
@@ -327,6 +333,7 @@ QUERIES = {
     "quality_gate": q_quality_gate,
     "score_band": q_score_band,
     "report_json": q_report_json,
+    "report_json_document": q_report_json_document,
     "report_text": q_report_text,
     "report_html_rows": q_report_html_rows,
     "enrich_prompts": q_enrich_prompts,

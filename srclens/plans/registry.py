@@ -23,6 +23,7 @@ ORACLES = {
     "quality_gate": O.QUALITY_GATE,
     "score_band": O.SCORE_BAND,
     "report_json": O.REPORT_JSON,
+    "report_json_document": O.REPORT_JSON_DOCUMENT,
     "report_text": O.REPORT_TEXT,
     "report_html_rows": O.REPORT_HTML_ROWS,
     "enrich_prompts": O.ENRICH_PROMPTS,

@@ -46,3 +46,15 @@ def test_text_blocks(spark):
     assert "             uses & abuses" in t[1]
     assert "Before:\n               before\n\n             After:\n               after" in t[1]
     assert t[3] == "score de maintenabilité : 78 / 100\n  critique : 1  moyen : 1  faible : 0"
+
+
+def test_json_document(spark):
+    f = _findings(spark)
+    scores = spark.createDataFrame([("r", 78), ("s", 100)], "repo string, score int")
+    rows = R.report_json_document_rows(f, scores).orderBy(*R.SORT_KEY).collect()
+    docs = {}
+    for r in rows:
+        docs[r.repo] = docs.get(r.repo, "") + r.json + "\n"
+    r = json.loads(docs["r"])
+    assert r["dir"] == "r" and r["score"] == 78 and [x["component"] for x in r["findings"]] == ["F", "S<T>"]
+    assert json.loads(docs["s"]) == {"dir": "s", "score": 100, "findings": None}
