@@ -60,10 +60,14 @@ def analyse_directories(spark, roots: dict[str, str], min_score: int = 0) -> dic
 
 def write_reports(result: dict[str, DataFrame], out_dir: str, fmt: str = "json") -> None:
     """One document per repo under ``out_dir/repo=<repo>/`` in the
-    chosen format (json lines, text, or html table rows)."""
+    chosen format: ``json`` (one JSON document per repo), ``jsonl`` (a
+    header line and one JSON line per finding), ``text``, or ``html`` table
+    rows. Part files of a repo concatenate in name order."""
     from ..operators import report as R
     f, scores = result["findings"], result["scores"]
     if fmt == "json":
+        rows, col = R.report_json_document_rows(f, scores), "json"
+    elif fmt == "jsonl":
         rows, col = R.report_json_rows(f, scores), "json"
     elif fmt == "html":
         rows, col = R.report_html_rows(f, scores), "html"

@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 from srclens.plans.analysis import analyse_directories, write_reports
@@ -29,6 +30,10 @@ def test_directories_to_reports(spark, tmp_path):
     assert "[MOYEN]                concrete_dep         svc/h.go:4" in text
     assert "H.db est un type concret, pas une interface" in text
     assert text.rstrip().endswith("critique : 0  moyen : 1  faible : 1")
+    out_json = str(tmp_path / "json")
+    write_reports(res, out_json, "json")
+    doc = json.loads("".join(open(p).read() for p in sorted(glob.glob(out_json + "/repo=b/*.txt"))))
+    assert doc["dir"] == "b" and doc["score"] == 93 and doc["findings"][0]["metrics"] == {"cc": 17}
 
 
 def test_stream_of_snapshots(spark, tmp_path):
