@@ -6,7 +6,7 @@ import public_tokenizers as tok
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, context_tree, language_id, mixing, nn_descent, quality, token_cache
+from . import bpe_codec, context_tree, language_id, mixing, ngram_join, nn_descent, quality, token_cache
 from .common import fold, read, shared_dir
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group(read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
     return language_id.identify(d, language_id.training_rows(d, F.col("held_out")), ["doc_id", "held_out"])
@@ -44,5 +48,5 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent)}
 ORACLES: dict[str, str] = {}
