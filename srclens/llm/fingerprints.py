@@ -1,21 +1,24 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut at line ends and behind sentence marks; the set of the pieces'
-64-bit digests goes into a sketch of three sub-tables. Each digest adds one
-to the count and itself and its check hash (XOR) to one cell of every
-sub-table. Sketches of one size subtract cell by cell, which leaves the
-digests of one side only. Peeling takes all cells that hold a single digest,
-removes these digests from their other cells and goes on until every cell is
-empty: the differing digests are recovered. On failure both texts are
-sketched again with more cells (in proportion to their pieces, then four
-times that); the last resort is the plain difference of the digests.
-
-The fingerprint is the first sketch in hexadecimal. Likeness is the share of
-common digests, (a + b - d) / (a + b + d) for a and b pieces and d
-differing ones, and 1 for two texts without pieces.
-
-Only SQL functions run here. The cells of a text are built by sorting its
-(cell, digest) pairs and taking running sums and XORs over them.
+A text is cut at line ends and sentence marks; the set of the pieces' 64-bit
+digests goes into a sketch of three sub-tables. Each digest adds one to the
+count and itself and its check hash (XOR) to one cell of every sub-table.
+Sketches of one size subtract cell by cell, which leaves the digests of one
+side only. Peeling takes the cells of a sub-table that hold a single digest,
+moves these digests out of their other cells and goes on with the next
+sub-table until every cell is empty: the differing digests are recovered.
+On failure both texts are sketched again with more cells; the last resort is
+the plain difference of the digests.
+
+The fingerprint is the first sketch (``CELLS`` cells) in hexadecimal.
+Likeness is the share of common digests, (a + b - d) / (a + b + d) for a and
+b pieces and d differing ones, and 1 for two texts without pieces.
+
+Only SQL functions run here. Cells are rows: the first sketch and one in
+proportion to the pieces are built, subtracted and peeled by grouped sums
+and XORs, all inside the partitioning that the neighbour window made, so
+documents move once. The few pairs that neither sketch recovers are sketched
+again, four and sixteen times larger, with array functions on their row.
 
 Null texts count as empty. Equal texts have equal fingerprints; the order
 and repetition of pieces do not show. The next document in descending id
@@ -32,9 +35,11 @@ from pyspark.sql.window import Window
 
 from .common import shuffle_partitions
 
-CELLS, ROUNDS = 45, 14
-#: Ends of pieces: line ends, and white space behind a sentence mark.
-CUT = "\\n|(?<=[.!?])\\s+"
+CELLS, ROUNDS, CYCLES = 45, 14, 6
+#: Marks that end a piece, beside line ends.
+MARKS = ".!?"
+#: Place of the row that counts the digests peeled so far.
+COUNT = 0xFFFFFFFF
 
 
 def let(value: Column, use) -> Column:
@@ -43,7 +48,8 @@ def let(value: Column, use) -> Column:
 
 
 def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    pieces = F.filter(F.split(F.translate(text, MARKS, "\n" * len(MARKS)), "\n"), lambda p: (p != "") & (p != " "))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def check(k: Column) -> Column:
@@ -91,11 +97,6 @@ def signed(keys: Column, sign: int = 1) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("s"), k.alias("k")))
 
 
-def minus(a: Column, b: Column) -> Column:
-    """a - b, cell by cell."""
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
-
-
 def peel(cells: Column, m: Column) -> Column:
     """The number of differing digests, or null where peeling does not empty the cells."""
     def step(a, _):
@@ -110,26 +111,86 @@ def peel(cells: Column, m: Column) -> Column:
     return let(end, lambda e: F.when(~F.exists(e["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0)), e["found"]))
 
 
-def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Number of digests in one of the key sets only: from the sketches given, then from larger ones."""
+def again(a: Column, b: Column) -> Column:
+    """Number of digests in one of two key sets only, from ever larger sketches."""
     both = F.concat(signed(a), signed(b, -1))  # the difference of two sketches is the sketch of the signed digests
     larger = lambda f: (F.ceil((F.size(a) + F.size(b)) * F.lit(f) / 3) * 3 + CELLS).cast("int")
     retry = lambda f: let(larger(f), lambda m: peel(sketch(both, m), m))
-    plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(peel(minus(cells_a, cells_b), F.lit(CELLS)), retry(1.5), retry(6.0), plain)
+    return F.coalesce(retry(6), retry(24), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
-def likeness(a: Column, b: Column, d: Column) -> Column:
-    n = F.size(a) + F.size(b)
+def likeness(n: Column, d: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise((n - d) / (n + d)).cast("double")
 
 
-def hexed(cells: Column) -> Column:
-    return F.array_join(F.transform(cells, lambda x: F.concat(F.lpad(F.lower(F.hex(x["n"])), 4, "0"), F.lpad(F.lower(F.hex(x["k"])), 16, "0"), F.lpad(F.lower(F.hex(x["h"])), 8, "0"))), "")
+def _place(g: Column) -> Column:
+    return g.bitwiseAND(COUNT)
+
+
+def _add(rows: DataFrame) -> DataFrame:
+    """Cells from contributions, without the empty ones. g packs row, comparison and place."""
+    cells = rows.groupBy("bucket", "g", "m3").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return cells.filter("n <> 0 or k <> 0 or h <> 0")
+
+
+def _cell(k: Column, i: int, m3: Column) -> Column:
+    return F.pmod(F.xxhash64(k, F.lit(i)), m3) + m3 * i
+
+
+def _peel_table(cells: DataFrame, i: int) -> DataFrame:
+    """One step: the single digests of sub-table i leave their other cells and are counted."""
+    k, m3, n = F.col("k"), F.col("m3"), F.col("n")
+    place, base = _place(F.col("g")), F.col("g") - _place(F.col("g"))
+    pure = (F.abs(n) == 1) & (place >= m3 * i) & (place < m3 * (i + 1)) & (F.col("h") == check(k))
+    row = lambda g, n, k, h: F.struct(g.alias("g"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
+    zero = F.lit(0).cast("long")
+    moved = [row(base + _cell(k, j, m3), -n, k, F.col("h")) for j in range(3) if j != i]
+    out = F.when(pure, F.array(*moved, row(base + COUNT, F.lit(1), zero, zero))).otherwise(F.array(row(F.col("g"), n, k, F.col("h"))))
+    return _add(cells.select("bucket", "m3", F.inline(out)))
+
+
+def _contributions(rows: DataFrame) -> DataFrame:
+    """rows: bucket, rn, c (comparison), m3, s (sign), k (digest) -> one row per sub-table."""
+    base = F.shiftleft(F.col("rn").cast("long"), 35) + F.shiftleft(F.col("c").cast("long"), 32)
+    places = F.array(*(_cell(F.col("k"), i, F.col("m3")) for i in range(3)))
+    return rows.select("bucket", "m3", "s", "k", base.alias("base"), F.explode(places).alias("p")).select(
+        "bucket", (F.col("base") + F.col("p")).alias("g"), "m3", F.col("s").cast("long").alias("n"), "k", check(F.col("k")).alias("h"))
+
+
+def _sides(keys: DataFrame, sides: list[tuple[int, Column, int, str]]) -> DataFrame:
+    """Signed digests of (comparison, sub-table size, sign, key column) sides."""
+    all_ = F.array(*(F.struct(F.lit(c).alias("c"), m3.cast("long").alias("m3"), F.lit(s).alias("s"), F.col(x).alias("x")) for c, m3, s, x in sides))
+    return keys.select("bucket", "rn", F.inline(all_)).select("bucket", "rn", "c", "m3", "s", F.explode("x").alias("k"))
+
+
+def differences(keys: DataFrame) -> DataFrame:
+    """bucket, rn, d_e, d_b: digests that a and e, a and b do not share; null where two sketches failed."""
+    m3 = F.lit(CELLS // 3)
+    own = lambda x: F.ceil((F.size("a") + F.size(x)) * 0.5) + CELLS // 3
+    sides = [(c, m, s, x) for c, m, y in ((2, m3, "e"), (3, m3, "b"), (4, own("e"), "e"), (5, own("b"), "b")) for s, x in ((1, "a"), (-1, y))]
+    cells = _add(_contributions(_sides(keys, sides)))
+    for r in range(3 * CYCLES):
+        cells = _peel_table(cells, r % 3)
+    c, counted = F.shiftright("g", 32).bitwiseAND(7), _place(F.col("g")) == COUNT
+    got = cells.groupBy("bucket", F.shiftright("g", 35).cast("int").alias("rn")).agg(
+        *(x for k in (2, 3, 4, 5) for x in (F.max(F.when((c == k) & counted, F.col("n"))).alias(f"n{k}"), F.max(F.when((c == k) & ~counted, F.lit(1))).alias(f"f{k}"))))
+    d = lambda k: F.when(F.col(f"f{k}").isNull(), F.coalesce(f"n{k}", F.lit(0).cast("long"))).when(F.col(f"f{k + 2}").isNull(), F.coalesce(f"n{k + 2}", F.lit(0).cast("long")))
+    return got.select("bucket", "rn", d(2).alias("d_e"), d(3).alias("d_b"))
+
+
+def sketches(keys: DataFrame) -> DataFrame:
+    """bucket, rn, f_a, f_e: the first sketches in hexadecimal."""
+    m3 = F.lit(CELLS // 3)
+    cells = _add(_contributions(_sides(keys, [(0, m3, 1, "a"), (1, m3, 1, "e")])))
+    text = F.concat(F.lpad(F.lower(F.hex("n")), 4, "0"), F.lpad(F.lower(F.hex("k")), 16, "0"), F.lpad(F.lower(F.hex("h")), 8, "0"))
+    c, place = F.shiftright("g", 32).bitwiseAND(7), _place(F.col("g"))
+    got = cells.groupBy("bucket", F.shiftright("g", 35).cast("int").alias("rn")).agg(F.map_from_entries(F.collect_list(F.struct((c * CELLS + place).alias("key"), text.alias("value")))).alias("cells"))
+    hexed = lambda k: F.array_join(F.transform(F.sequence(F.lit(k * CELLS), F.lit(k * CELLS + CELLS - 1)), lambda p: F.coalesce(F.col("cells")[p.cast("long")], F.lit("0" * 28))), "")
+    return got.select("bucket", "rn", hexed(0).alias("f_a"), hexed(1).alias("f_e"))
 
 
 def with_next(d: DataFrame) -> DataFrame:
-    """d (key, text) with next_text, the text of the next document in descending key, round to the first."""
+    """bucket, rn, key, text, a (its digests), and text and digests of the next document in descending key, round to the first."""
     spark = d.sparkSession
     n = 2 * shuffle_partitions(spark)
     order = F.coalesce(F.col("key"), F.lit(-2 ** 63)).alias("order")
@@ -140,26 +201,28 @@ def with_next(d: DataFrame) -> DataFrame:
     d = d.withColumn("bucket", bucket)
     heads = sorted((r.bucket, r.top) for r in d.groupBy("bucket").agg(F.max("order").alias("top")).collect())
     if not heads:
-        return d.withColumn("next_text", F.col("text")).select("key", "text", "next_text")
+        heads = [(0, 0)]
     # the head of each range goes behind the range above it, the first head behind the last range
     to = [(heads[k][1], heads[(k + 1) % len(heads)][0]) for k in range(len(heads))]
     places = spark.createDataFrame(to, "order long, to int")
     head = d.join(F.broadcast(places), "order").groupBy("order", "to").agg(F.min("text").alias("text"))
     extra = head.select(F.lit(None).cast("long").alias("key"), "text", "order", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
     w = Window.partitionBy("bucket").orderBy("extra", F.desc("order"), "text")
-    rows = d.select("key", "text", "order", "bucket", F.lit(False).alias("extra")).unionByName(extra)
-    return rows.withColumn("next_text", F.lead("text").over(w)).filter("not extra").select("key", "text", "next_text")
+    rows = d.select("key", "text", "order", "bucket", F.lit(False).alias("extra")).unionByName(extra).withColumn("a", digests(F.col("text")))
+    rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).withColumn("rn", F.row_number().over(w))
+    return rows.filter("not extra").drop("extra", "order")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     d = with_next(docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     n = F.length("text")
-    d = d.withColumn("n_chars", n.cast("long")).withColumn("third", F.floor(n / 3).cast("int"))
-    d = d.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - third)"), F.expr("substring(next_text, 1, third)")))
-    d = d.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"))
-    m = F.lit(CELLS)
-    d = d.select("*", *(sketch(signed(F.col(c)), m).alias(f"s_{c}") for c in "aeb"))
-    near = lambda x: likeness(F.col("a"), F.col(x), difference(F.col("a"), F.col(x), F.col("s_a"), F.col(f"s_{x}")))
-    return d.select(F.col("key").alias(key), "n_chars", "edited_sha256", hexed(F.col("s_a")).alias("fingerprint"), hexed(F.col("s_e")).alias("edited_fingerprint"),
-                    near("e").alias("near_edited"), near("b").alias("near_next"))
+    third = F.floor(n / 3).cast("int")
+    d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
+    keys = d.select("bucket", "rn", "a", digests(F.col("edited")).alias("e"), "b")
+    d = d.select("bucket", "rn", "key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
+    out = d.join(sketches(keys), ["bucket", "rn"], "left").join(differences(keys).withColumn("found", F.lit(True)), ["bucket", "rn"], "left")
+    near = lambda x: likeness(F.size("a") + F.size(x), F.when(F.col("found").isNull(), 0).otherwise(F.coalesce(f"d_{x}", again(F.col("a"), F.col(x)))))
+    blank = F.lit("0" * 28 * CELLS)
+    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", F.coalesce("f_a", blank).alias("fingerprint"), F.coalesce("f_e", blank).alias("edited_fingerprint"),
+                      near("e").alias("near_edited"), near("b").alias("near_next"))
