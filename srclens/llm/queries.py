@@ -6,7 +6,7 @@ import public_tokenizers as tok
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, context_tree, fingerprints, language_id, mixing, ngram_join, nn_descent, quality, token_cache
+from . import bpe_codec, context_tree, fingerprints, language_id, mixing, ngram_join, nn_descent, pii, quality, token_cache
 from .common import fold, read, shared_dir
 
 
@@ -22,6 +22,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
     return language_id.identify(d, language_id.training_rows(d, F.col("held_out")), ["doc_id", "held_out"])
@@ -52,5 +56,5 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_fingerprints, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_fingerprints, op4_pii, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent)}
 ORACLES: dict[str, str] = {}
