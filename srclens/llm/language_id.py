@@ -93,9 +93,9 @@ def bundles(c: np.ndarray, grams: np.ndarray, dim: int = DIM, block: int = 8192)
     return out
 
 
-def _pieces(batch: pa.RecordBatch):
+def _pieces(batch: pa.RecordBatch, text: str = "text"):
     """Slices small enough for a dense count matrix."""
-    for part in chunks(batch):
+    for part in chunks(batch, text):
         for at in range(0, len(part), 256):
             yield part.slice(at, 256)
 
@@ -127,14 +127,14 @@ def prototypes(train: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]
     return [r.lang for r in rows], p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
 
 
-def _predict(keys: list[str], names: list[str], p: np.ndarray):
+def _predict(keys: list[str], names: list[str], p: np.ndarray, text: str, out: tuple[str, str]):
     p = p.astype(np.float32)
 
     def run(batches):
         for b in batches:
             pred, score = [], []
-            for part in _pieces(b):
-                c, grams = counts(part.column("text").to_pylist())
+            for part in _pieces(b, text):
+                c, grams = counts(part.column(text).to_pylist())
                 if not len(grams) or not names:
                     pred += ["und"] * len(part)
                     score += [0.0] * len(part)
@@ -145,16 +145,16 @@ def _predict(keys: list[str], names: list[str], p: np.ndarray):
                 some = c[:, (grams != 32).any(1)].sum(1) > 0
                 pred += [names[k] if ok else "und" for k, ok in zip(best, some)]
                 score += np.where(some, np.clip(cos[np.arange(len(cos)), best], 0, 1), 0).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keys, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keys, *out])
     return run
 
 
-def identify(docs: DataFrame, train: DataFrame, keep: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
-    """keep columns of docs, lang_pred, score; train has columns text and lang."""
-    names, p = prototypes(train, dim)
-    d = docs.select(*keep, *([F.col(text).alias("text")] if "text" not in keep else []))
+def identify(docs: DataFrame, train: DataFrame, keep: list[str], text: str = "text", dim: int = DIM, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep columns of docs, the predicted language and its score; train has columns text and lang."""
+    langs, p = prototypes(train, dim)
+    d = docs.select(*dict.fromkeys([*keep, text]))
     fields = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    return d.mapInArrow(_predict(keep, names, p), f"{fields}, lang_pred string, score double")
+    return d.mapInArrow(_predict(keep, langs, p, text, names), f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:
