@@ -16,8 +16,8 @@ b pieces and d differing ones, and 1 for two texts without pieces.
 
 Only SQL functions run here. Cells are rows: the first sketch and one in
 proportion to the pieces are built, subtracted and peeled by grouped sums
-and XORs, all inside the partitioning that the neighbour window made, so
-documents move once. The few pairs that neither sketch recovers are sketched
+and XORs, all inside the partitioning that the neighbour window made; the fingerprints
+themselves are array functions on the row. The few pairs that neither sketch recovers are sketched
 again, four and sixteen times larger, with array functions on their row.
 
 Null texts count as empty. Equal texts have equal fingerprints; the order
@@ -178,39 +178,36 @@ def differences(keys: DataFrame) -> DataFrame:
     return got.select("bucket", "rn", d(2).alias("d_e"), d(3).alias("d_b"))
 
 
-def sketches(keys: DataFrame) -> DataFrame:
-    """bucket, rn, f_a, f_e: the first sketches in hexadecimal."""
-    m3 = F.lit(CELLS // 3)
-    cells = _add(_contributions(_sides(keys, [(0, m3, 1, "a"), (1, m3, 1, "e")])))
-    text = F.concat(F.lpad(F.lower(F.hex("n")), 4, "0"), F.lpad(F.lower(F.hex("k")), 16, "0"), F.lpad(F.lower(F.hex("h")), 8, "0"))
-    c, place = F.shiftright("g", 32).bitwiseAND(7), _place(F.col("g"))
-    got = cells.groupBy("bucket", F.shiftright("g", 35).cast("int").alias("rn")).agg(F.map_from_entries(F.collect_list(F.struct((c * CELLS + place).alias("key"), text.alias("value")))).alias("cells"))
-    hexed = lambda k: F.array_join(F.transform(F.sequence(F.lit(k * CELLS), F.lit(k * CELLS + CELLS - 1)), lambda p: F.coalesce(F.col("cells")[p.cast("long")], F.lit("0" * 28))), "")
-    return got.select("bucket", "rn", hexed(0).alias("f_a"), hexed(1).alias("f_e"))
+def fingerprint(keys: Column) -> Column:
+    """The first sketch of a text's digests in hexadecimal: per cell count, digests and check hashes."""
+    zero = F.lit(0).cast("long")
+
+    def table(i):
+        placed = F.transform(keys, lambda k: F.struct(F.pmod(F.xxhash64(k, F.lit(i)), F.lit(CELLS // 3)).alias("c"), k.alias("k"), check(k).alias("h")))
+        cell = lambda x: F.concat(F.lpad(F.lower(F.hex(F.size(x))), 4, "0"), *(
+            F.lpad(F.lower(F.hex(F.aggregate(x, zero, lambda a, y: a.bitwiseXOR(y[f])))), w, "0") for f, w in (("k", 16), ("h", 8))))
+        return let(placed, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(CELLS // 3 - 1)), lambda c: let(F.filter(p, lambda x: x["c"] == c), cell)), ""))
+    return F.concat(*(table(i) for i in range(3)))
 
 
 def with_next(d: DataFrame) -> DataFrame:
     """bucket, rn, key, text, a (its digests), and text and digests of the next document in descending key, round to the first."""
     spark = d.sparkSession
     n = 2 * shuffle_partitions(spark)
-    order = F.coalesce(F.col("key"), F.lit(-2 ** 63)).alias("order")
-    d = d.withColumn("order", order)
-    bounds = d.agg(F.percentile_approx("order", [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("order")))
+    order = F.coalesce("key", F.lit(-2 ** 63))
+    bounds = sorted(set(d.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10_000)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]).cast("array<bigint>"), lambda b: b < order))
     d = d.withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.top) for r in d.groupBy("bucket").agg(F.max("order").alias("top")).collect())
-    if not heads:
-        heads = [(0, 0)]
+    heads = sorted((r.bucket, r.top) for r in d.groupBy("bucket").agg(F.max(order).alias("top")).collect()) or [(0, 0)]
     # the head of each range goes behind the range above it, the first head behind the last range
     to = [(heads[k][1], heads[(k + 1) % len(heads)][0]) for k in range(len(heads))]
-    places = spark.createDataFrame(to, "order long, to int")
-    head = d.join(F.broadcast(places), "order").groupBy("order", "to").agg(F.min("text").alias("text"))
-    extra = head.select(F.lit(None).cast("long").alias("key"), "text", "order", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
-    w = Window.partitionBy("bucket").orderBy("extra", F.desc("order"), "text")
-    rows = d.select("key", "text", "order", "bucket", F.lit(False).alias("extra")).unionByName(extra).withColumn("a", digests(F.col("text")))
+    places = spark.createDataFrame(to, "top long, to int")
+    head = d.join(F.broadcast(places), order == F.col("top")).groupBy("top", "to").agg(F.min("text").alias("text"))
+    extra = head.select(F.lit(None).cast("long").alias("key"), "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
+    w = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("key"), "text")
+    rows = d.select("key", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra).withColumn("a", digests(F.col("text")))
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).withColumn("rn", F.row_number().over(w))
-    return rows.filter("not extra").drop("extra", "order")
+    return rows.filter("not extra").drop("extra")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,10 +216,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    keys = d.select("bucket", "rn", "a", digests(F.col("edited")).alias("e"), "b")
     d = d.select("bucket", "rn", "key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
-    out = d.join(sketches(keys), ["bucket", "rn"], "left").join(differences(keys).withColumn("found", F.lit(True)), ["bucket", "rn"], "left")
+    # both sides of this join read one shuffle of the documents
+    out = d.join(differences(d).withColumn("found", F.lit(True)), ["bucket", "rn"], "left")
     near = lambda x: likeness(F.size("a") + F.size(x), F.when(F.col("found").isNull(), 0).otherwise(F.coalesce(f"d_{x}", again(F.col("a"), F.col(x)))))
-    blank = F.lit("0" * 28 * CELLS)
-    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", F.coalesce("f_a", blank).alias("fingerprint"), F.coalesce("f_e", blank).alias("edited_fingerprint"),
+    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
                       near("e").alias("near_edited"), near("b").alias("near_next"))
