@@ -36,6 +36,8 @@ from pyspark.sql.window import Window
 from .common import shuffle_partitions
 
 CELLS, ROUNDS, CYCLES = 45, 14, 6
+#: Bytes of text in a range of ids: its cells are many times as large.
+PART = 4 << 20
 #: Marks that end a piece, beside line ends.
 MARKS = ".!?"
 #: Place of the row that counts the digests peeled so far.
@@ -193,19 +195,21 @@ def fingerprint(keys: Column) -> Column:
 def with_next(d: DataFrame) -> DataFrame:
     """bucket, rn, key, text, a (its digests), and text and digests of the next document in descending key, round to the first."""
     spark = d.sparkSession
-    n = 2 * shuffle_partitions(spark)
+    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(spark), -(-total // PART))
     order = F.coalesce("key", F.lit(-2 ** 63))
     bounds = sorted(set(d.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10_000)).first()[0] or []))
     bucket = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]).cast("array<bigint>"), lambda b: b < order))
     d = d.withColumn("bucket", bucket)
     heads = sorted((r.bucket, r.top) for r in d.groupBy("bucket").agg(F.max(order).alias("top")).collect()) or [(0, 0)]
     # the head of each range goes behind the range above it, the first head behind the last range
-    to = [(heads[k][1], heads[(k + 1) % len(heads)][0]) for k in range(len(heads))]
-    places = spark.createDataFrame(to, "top long, to int")
-    head = d.join(F.broadcast(places), order == F.col("top")).groupBy("top", "to").agg(F.min("text").alias("text"))
+    to = [x for k, (_, _) in enumerate(heads) for x in (F.lit(heads[k][1]).cast("long"), F.lit(heads[(k + 1) % len(heads)][0]))]
+    head = d.filter(order.isin([top for _, top in heads])).withColumn("to", F.element_at(F.create_map(*to), order))
+    # heads are few; of rows with one id the first in order
+    head = head.groupBy("to").agg(F.min("text").alias("text"))
     extra = head.select(F.lit(None).cast("long").alias("key"), "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
     w = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("key"), "text")
-    rows = d.select("key", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra).withColumn("a", digests(F.col("text")))
+    rows = d.select("key", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra).withColumn("a", digests(F.col("text"))).repartition(n, "bucket")
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).withColumn("rn", F.row_number().over(w))
     return rows.filter("not extra").drop("extra")
 
