@@ -177,7 +177,7 @@ def differences(keys: DataFrame) -> DataFrame:
     got = cells.groupBy("bucket", F.shiftright("g", 35).cast("int").alias("rn")).agg(
         *(x for k in (2, 3, 4, 5) for x in (F.max(F.when((c == k) & counted, F.col("n"))).alias(f"n{k}"), F.max(F.when((c == k) & ~counted, F.lit(1))).alias(f"f{k}"))))
     d = lambda k: F.when(F.col(f"f{k}").isNull(), F.coalesce(f"n{k}", F.lit(0).cast("long"))).when(F.col(f"f{k + 2}").isNull(), F.coalesce(f"n{k + 2}", F.lit(0).cast("long")))
-    return got.select("bucket", "rn", d(2).alias("d_e"), d(3).alias("d_b"))
+    return got.select(F.col("bucket").alias("at_bucket"), F.col("rn").alias("at_rn"), d(2).alias("d_e"), d(3).alias("d_b"))
 
 
 def fingerprint(keys: Column) -> Column:
@@ -221,8 +221,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     third = F.floor(n / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
     d = d.select("bucket", "rn", "key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
-    # both sides of this join read one shuffle of the documents
-    out = d.join(differences(d).withColumn("found", F.lit(True)), ["bucket", "rn"], "left")
+    # both sides of this join read one shuffle of the documents; a plain equality would add a null test to one side's scan and part them
+    out = d.join(differences(d).withColumn("found", F.lit(True)), F.col("bucket").eqNullSafe(F.col("at_bucket")) & F.col("rn").eqNullSafe(F.col("at_rn")), "left")
     near = lambda x: likeness(F.size("a") + F.size(x), F.when(F.col("found").isNull(), 0).otherwise(F.coalesce(f"d_{x}", again(F.col("a"), F.col(x)))))
     return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
                       near("e").alias("near_edited"), near("b").alias("near_next"))
