@@ -197,7 +197,7 @@ def _score(model: Model, keys: list[str]):
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted; learns from rows whose fold 3 remainder is not 1."""
-    x = stage(features(docs.withColumn("held_out", fold(F.col(key), 3) == 1).withColumnRenamed(key, "key") if key != "key" else docs, ["key", "held_out"], text), "quality")
+    x = stage(features(docs.select(F.col(key).alias("key"), (fold(F.col(key), 3) == 1).alias("held_out"), F.col(text).alias("text")), ["key", "held_out"]), "quality")
     y = labels.filter("quality in (0, 1)").groupBy(F.col(key).alias("key")).agg(F.max("quality").cast("double").alias("y"))
     part = (F.pmod(F.xxhash64("key"), F.lit(FOLDS))).cast("int").alias("part")
     train = stage(x.filter(~F.col("held_out")).join(y, "key").select("x", "y", part), "quality-train")
