@@ -1,10 +1,6 @@
-"""Inline cases of the analysed tool's Python parser tests, plus a
-randomized comparison with a plain stack scan written here."""
+"""Python facts on small sources and on sources generated from a plan."""
 
 import random
-import re
-
-import pytest
 
 from srclens.operators import detectors as D
 from srclens.operators.pyfacts import py_facts
@@ -110,129 +106,47 @@ def test_god_class_and_complexity_findings(files):
     assert got == [("G", "MOYEN", {"methods": 17, "fields": 11})]
 
 
-# ---------------------------------------------------------------- randomized
-_CLASS = re.compile(r"^class\s+(\w+)")
-_METHOD = re.compile(r"^def\s+\w+\s*\(\s*(?:self|cls)\b")
-_FUNC = re.compile(r"^def\s+(\w+)\s*\(")
-_SELF = re.compile(r"^\s+self\.(\w+)\s*=")
-_CC = re.compile(r"(?<![A-Za-z0-9_])(?:if|elif|for|while|except|and|or)(?![A-Za-z0-9_])")
-
-
-def _indent(line):
-    n = 0
-    for ch in line:
-        if ch == " ":
-            n += 1
-        elif ch == "\t":
-            n += 4
-        else:
-            break
-    return n
-
-
-def stack_scan(src):
-    """Plain restatement of the scanner semantics, for comparison."""
-    classes, funcs, by_name, stack, cur = [], [], {}, [], None
-    for i, raw in enumerate(src.split("\n")):
-        s = raw.strip(" \t\r\n\f\v")
-        if not s or s.startswith("#"):
-            continue
-        ind = _indent(raw)
-        while stack and ind <= stack[-1][2]:
-            if stack[-1][0] == "func" and cur is not None:
-                funcs.append(cur)
-                cur = None
-            stack.pop()
-        m = _CLASS.match(s)
-        if m:
-            c = [m.group(1), i + 1, 0, 0]
-            classes.append(c)
-            by_name[m.group(1)] = c
-            stack.append(("class", m.group(1), ind))
-            continue
-        m = _FUNC.match(s)
-        if m:
-            if cur is not None:
-                funcs.append(cur)
-            cls = next((e[1] for e in reversed(stack) if e[0] == "class"), "")
-            if cls and _METHOD.match(s):
-                by_name[cls][2] += 1
-            else:
-                cls = ""
-            cur = [m.group(1), i + 1, cls, 1]
-            stack.append(("func", m.group(1), ind))
+# Sources written from a plan whose facts are known before any text is.
+def _planned(rng):
+    """(source, class facts, function facts) of random top-level classes and functions."""
+    lines, classes, funcs = [], [], []
+
+    def body(pad, branches):
+        for k in range(branches):
+            lines.append(f"{pad}if v{k}:")
+            lines.append(f"{pad}    pass")
+        lines.append(f"{pad}pass")
+
+    for k in range(rng.randint(1, 6)):
+        lines.extend(rng.choice([[], [""], ["# note: if and or"], ["", ""]]))
+        if rng.random() < 0.5:
+            n = rng.randint(0, 5)
+            lines.append(f"def free{k}(a, b):")
+            funcs.append((f"free{k}", len(lines), "", 1 + n))
+            body("    ", n)
             continue
-        if cur is not None:
-            cur[3] += len(_CC.findall(s))
-            if cur[0] == "__init__" and cur[2] and _SELF.match(raw):
-                by_name[cur[2]][3] += 1
-    if cur is not None:
-        funcs.append(cur)
-    return sorted(map(tuple, classes)), sorted(map(tuple, funcs))
-
-
-def _random_source(rng):
-    pieces = ["class K:", "class L(K):", "def f(x):", "def __init__(self):", "def m(self, a):",
-              "def c(cls):", "async def g(self):", "self.v = 1", "self.w == 2", "if a and b: pass",
-              "for i in x: pass", "while y or z: pass", "# if for", "", "x = 1", "@decorator",
-              "return a if b else c", "except E: pass", "elif q: pass", "'éor'"]
-    lines = []
-    for _ in range(rng.randint(0, 40)):
-        ind = rng.choice([0, 0, 4, 4, 8, 8, 12, 2, "\t", "\t\t"])
-        pre = ind if isinstance(ind, str) else " " * ind
-        lines.append(pre + rng.choice(pieces))
-    return "\n".join(lines)
-
-
-def test_randomized_against_stack_scan(files):
-    rng = random.Random(7)
-    sources = {f"r{i}.py": _random_source(rng) for i in range(150)}
-    f = py_facts(files(sources), materialize=False)
-    got_c = {}
+        at, methods, fields = len(lines) + 1, rng.randint(1, 4), rng.randint(0, 3)
+        lines.append(f"class Kind{k}:")
+        for m in range(methods):
+            n = rng.randint(0, 4)
+            lines.append(f"    def step{m}(self, x):")
+            funcs.append((f"step{m}", len(lines), f"Kind{k}", 1 + n))
+            if m == 0:
+                lines.extend(f"        self.part{j} = {j}" for j in range(fields))
+            body("        ", n)
+        classes.append((f"Kind{k}", at, methods, fields))
+    return "\n".join(lines) + "\n", sorted(classes), sorted(funcs)
+
+
+def test_planned_sources(files):
+    rng = random.Random(11)
+    plans = {f"f{i}.py": _planned(rng) for i in range(40)}
+    f = py_facts(files({p: src for p, (src, _, _) in plans.items()}), materialize=False)
+    classes, funcs = {}, {}
     for r in f["classes"].collect():
-        got_c.setdefault(r.path, []).append((r.name, r.line, r.methods, r.fields))
-    got_f = {}
+        classes.setdefault(r.path, []).append((r.name, r.line, r.methods, r.fields))
     for r in f["funcs"].collect():
-        got_f.setdefault(r.path, []).append((r.name, r.line, r["class"], r.complexity))
-    for path, src in sources.items():
-        exp_c, exp_f = stack_scan(src)
-        assert sorted(got_c.get(path, [])) == exp_c, (path, src)
-        assert sorted(got_f.get(path, [])) == exp_f, (path, src)
-
-
-def strip_scan(src):
-    """Plain restatement of the skeleton rules, for comparison."""
-    out, frames = [], []
-    for line in src.split("\n"):
-        t = line.strip(" \t\r\n\f\v")
-        if t == "":
-            if not frames:
-                out.append(line)
-            continue
-        ind = _indent(line)
-        while frames and ind <= frames[-1][0]:
-            frames.pop()
-        is_def = t.startswith("def ") or t.startswith("async def ")
-        keep = is_def or t.startswith("class ") or t.startswith("@")
-        if frames:
-            if not frames[-1][1]:
-                out.append(" " * (frames[-1][0] + 4) + "...")
-                frames[-1][1] = True
-            if keep:
-                out.append(line)
-                if is_def:
-                    frames.append([ind, False])
-        else:
-            out.append(line)
-            if is_def:
-                frames.append([ind, False])
-    return "\n".join(out)
-
-
-def test_randomized_skeleton(files):
-    from srclens.operators.skeleton import py_skeleton
-    rng = random.Random(11)
-    sources = {f"s{i}.py": _random_source(rng) for i in range(120)}
-    got = {r.path: r.skeleton for r in py_skeleton(files(sources)).collect()}
-    for path, src in sources.items():
-        assert got.get(path, "") == strip_scan(src), (path, src)
+        funcs.setdefault(r.path, []).append((r.name, r.line, r["class"], r.complexity))
+    for path, (src, want_classes, want_funcs) in plans.items():
+        assert sorted(classes.get(path, [])) == want_classes, src
+        assert sorted(funcs.get(path, [])) == want_funcs, src
