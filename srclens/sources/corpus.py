@@ -29,10 +29,10 @@ def scan_directory(spark: SparkSession, root: str, repo: str, lang: str) -> Data
           .option("ignoreCorruptFiles", "true")
           .option("ignoreMissingFiles", "true")
           .load(root_uri)
-          .select("path", "content"))
+          .select("path", "content"))  # bytes that are not UTF-8 become replacement characters
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + re.escape(root_uri.lstrip("/")) + "/", "")
     out = df.select(F.lit(repo).alias("repo"), rel.alias("path"),
-                    F.decode(F.col("content"), "UTF-8").alias("content"))
+                    F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     out = out.withColumn("dir", F.concat_ws("/", F.lit(repo), dir_name(F.col("path"))))
     out = out.withColumn("lang", F.lit(lang)).filter(F.col("content").isNotNull())
     return skip_dirs(out.select("repo", "path", "dir", "lang", "content"), lang)
