@@ -128,10 +128,11 @@ def _name(kind: Column, value: Column, h: Column, draw: Column) -> Column:
     def per_script(make):
         return F.when(script == "cyrillic", make("cyrillic")).when(script == "greek", make("greek")).otherwise(make("latin"))
 
-    def given(i):
+    def given(w, i):
         def make(s):
             lists = {g: GIVEN[s][g] for g in "fm"} | {"n": GIVEN[s]["f"] + GIVEN[s]["m"]}
-            pick = lambda g: F.element_at(F.array(*map(F.lit, lists[g])), (_number(h, i) % len(lists[g]) + 1).cast("int"))
+            # never the name itself
+            pick = lambda g: F.element_at(F.array_remove(F.array(*map(F.lit, lists[g])), w), (_number(h, i) % (len(lists[g]) - 1) + 1).cast("int"))
             return F.when(kind == "name_f", pick("f")).when(kind == "name_m", pick("m")).otherwise(pick("n"))
         return per_script(make)
 
@@ -141,7 +142,7 @@ def _name(kind: Column, value: Column, h: Column, draw: Column) -> Column:
             return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + F.floor(draw / 4).cast("int")),
                                                       lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), (_number(h, k + 4, 2) % n + 1).cast("int"))), ""))
         return per_script(make)
-    return F.array_join(F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, given(i)).otherwise(family())), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, given(w, i)).otherwise(family())), " ")
 
 
 def surrogate(kind: Column, value: Column, draw: Column) -> Column:
