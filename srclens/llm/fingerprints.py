@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions
+from .common import let, shuffle_partitions
 
 CELLS, ROUNDS, CYCLES = 45, 14, 6
 #: Bytes of text in a range of ids: its cells are many times as large.
@@ -44,11 +44,6 @@ MARKS = ".!?"
 COUNT = 0xFFFFFFFF
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def digests(text: Column) -> Column:
     pieces = F.filter(F.split(F.translate(text, MARKS, "\n" * len(MARKS)), "\n"), lambda p: (p != "") & (p != " "))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
