@@ -49,17 +49,21 @@ def _sorted_map(m: Column) -> Column:
 
 def report_json_rows(findings: DataFrame, scores: DataFrame) -> DataFrame:
     """S8 as JSON lines: per repo a header row (dir, score) and one row per
-    finding; empty optional texts are omitted like ``omitempty``."""
+    finding; empty optional texts are omitted like ``omitempty``, missing
+    metrics are written as null."""
+    fixed = F.to_json(F.struct(
+        "severity", "smell_type", "file", "line", "component",
+        F.when(F.col("metrics").isNotNull(), _sorted_map(F.col("metrics"))).alias("metrics"),
+        "pattern", "effort"), {"ignoreNullFields": "false"})
+    texts = F.to_json(F.struct(
+        F.nullif(F.col("explanation"), F.lit("")).alias("explanation"),
+        F.nullif(F.col("refactor_before"), F.lit("")).alias("refactor_before"),
+        F.nullif(F.col("refactor_after"), F.lit("")).alias("refactor_after")))
     f = findings.select(
         "repo", severity_rank(F.col("severity")).alias("rank"), "file", "line", "smell_type",
         "component",
-        F.to_json(F.struct(
-            "severity", "smell_type", "file", "line", "component",
-            F.when(F.col("metrics").isNotNull(), _sorted_map(F.col("metrics"))).alias("metrics"),
-            "pattern", "effort",
-            F.nullif(F.col("explanation"), F.lit("")).alias("explanation"),
-            F.nullif(F.col("refactor_before"), F.lit("")).alias("refactor_before"),
-            F.nullif(F.col("refactor_after"), F.lit("")).alias("refactor_after"))).alias("json"))
+        F.when(texts == "{}", fixed)
+        .otherwise(F.concat(F.regexp_replace(fixed, r"\}$", ","), F.regexp_replace(texts, r"^\{", ""))).alias("json"))
     head = scores.select("repo", F.lit(-1).alias("rank"), F.lit("").alias("file"),
                          F.lit(0).alias("line"), F.lit("").alias("smell_type"),
                          F.lit("").alias("component"),
@@ -76,7 +80,11 @@ def report_json_document_rows(findings: DataFrame, scores: DataFrame) -> DataFra
     so no repo is ever gathered in one task; a global sort on the key puts
     the lines in order."""
     rows = report_json_rows(findings, scores).filter(F.col("rank") >= 0)
-    key = F.struct("rank", "file", "line", "smell_type", "component")
+    place = ["rank", "file", "line", "smell_type", "component"]
+    # findings of one place (repeats, or answers of a model) share a line, so places are unique
+    rows = (rows.groupBy("repo", *place)
+            .agg(F.array_join(F.sort_array(F.collect_list("json")), ",\n").alias("json")))
+    key = F.struct(*place)
     first = rows.groupBy("repo").agg(F.min(key).alias("first"))
     body = (rows.join(first, "repo")
             .withColumn("json", F.when(key == F.col("first"), F.col("json"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -47,53 +47,50 @@ def skip_dirs(files: DataFrame, lang: str) -> DataFrame:
     return files.filter(~bad)
 
 
-def gitignore_regex(pattern: str) -> tuple[str, bool] | None:
-    """One ignore-file line -> (Java regex on the relative path, negated).
-
-    Covers the common syntax: comments, blank lines, ``!`` negation, a
-    leading ``/`` anchoring to the root, a trailing ``/`` for directories,
-    ``*``, ``?`` and ``**``. Patterns without a slash match at any depth."""
-    line = pattern.rstrip("\n").rstrip()
-    if not line or line.startswith("#"):
-        return None
-    neg = line.startswith("!")
-    if neg:
-        line = line[1:]
-    anchored = line.startswith("/") or "/" in line.rstrip("/")
-    line = line.strip("/")
-    out, i = "", 0
-    while i < len(line):
-        c = line[i]
-        if line.startswith("**/", i):
-            out += "(?:.*/)?"
-            i += 3
-            continue
-        if line.startswith("**", i):
-            out += ".*"
-            i += 2
-            continue
-        out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
-        i += 1
-    prefix = "^" if anchored else "^(?:.*/)?"
-    return prefix + out + "(?:/.*)?$", neg
+#: Parts of an ignore pattern: wildcards, character classes, escapes, single characters.
+IGNORE_PART = r"\*\*/|\*\*|\*|\?|\[[!^]?\]?[^\]]*\]|\\.|[\s\S]"
+
+
+def ignore_regex(pattern: Column) -> Column:
+    """One ignore-file line -> struct (regex on the relative path, neg), null
+    for comments and blank lines.
+
+    Covers the common syntax: ``!`` negation, a leading ``/`` anchoring to the
+    root, a trailing ``/`` for directories, ``*``, ``?``, ``**``, character
+    classes (``[co]``, ``[!a-z]``) and ``\\`` escapes. Patterns without a slash
+    match at any depth."""
+    line = F.regexp_replace(pattern, r"\s+$", "")
+    neg = F.startswith(line, F.lit("!"))
+    body = F.regexp_replace(line, "^!", "")
+    anchored = F.regexp_replace(body, "/+$", "").contains("/")
+
+    def quoted(c: Column) -> Column:
+        return F.regexp_replace(c, r"([^\p{L}\p{Nd}_\s])", r"\\$1")
+
+    def part(t: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_replace(t, r"^\[[!^]?|\]$", ""), r"([\[\]&])", r"\\$1")
+        return (F.when(t == "**/", F.lit("(?:.*/)?")).when(t == "**", F.lit(".*"))
+                .when(t == "*", F.lit("[^/]*")).when(t == "?", F.lit("[^/]"))
+                .when(t.rlike(r"^\[.+"), F.concat(F.lit("(?!/)["), F.when(t.rlike(r"^\[[!^]"), F.lit("^")).otherwise(F.lit("")),
+                                                  inside, F.lit("]")))
+                .when(t.rlike(r"^\\."), quoted(F.substring(t, 2, 1)))
+                .otherwise(quoted(t)))
+
+    parts = F.regexp_extract_all(F.regexp_replace(body, "^/+|/+$", ""), F.lit(IGNORE_PART), F.lit(0))
+    regex = F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")),
+                     F.array_join(F.transform(parts, part), ""), F.lit("(?:/.*)?$"))
+    return F.when((line != "") & ~F.startswith(line, F.lit("#")), F.struct(regex.alias("regex"), neg.alias("neg")))
 
 
 def ignore_filter(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop files whose last matching ignore rule is not a
     negation. ``rules`` is (repo, ordinal, pattern) with the raw lines of the
-    root ignore file; it is small by nature (one file per repo) and is
-    broadcast after its row count is checked."""
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-
-    n = rules.count()
-    if n > 100_000:
-        raise ValueError(f"{n} ignore rules: too many to broadcast")
-    schema = StructType([StructField("regex", StringType()), StructField("neg", BooleanType())])
-    conv = F.udf(lambda p: gitignore_regex(p), schema)
-    compiled = (rules.withColumn("c", conv(F.col("pattern"))).filter(F.col("c").isNotNull())
-                .select("repo", "ordinal", F.col("c.regex").alias("regex"), F.col("c.neg").alias("neg")))
-    hits = (files.select("repo", "path").join(F.broadcast(compiled), "repo")
-            .filter(F.expr("path rlike regex"))
-            .groupBy("repo", "path").agg(F.max_by("neg", "ordinal").alias("last_neg")))
-    ignored = hits.filter(~F.col("last_neg")).select("repo", "path")
-    return files.join(ignored, ["repo", "path"], "left_anti")
+    root ignore file. The rules of one repo (one file) become one array,
+    joined by repo and read in order for each path."""
+    compiled = rules.withColumn("c", ignore_regex(F.col("pattern"))).filter(F.col("c").isNotNull())
+    per_repo = compiled.groupBy("repo").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "c.regex", "c.neg"))).alias("__rules"))
+    ignored = F.aggregate("__rules", F.lit(False),
+                          lambda a, r: F.when(F.regexp_like(F.col("path"), r["regex"]), ~r["neg"]).otherwise(a))
+    return (files.join(per_repo, "repo", "left").filter(~F.coalesce(ignored, F.lit(False)))
+            .select(files.columns))

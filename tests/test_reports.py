@@ -58,3 +58,13 @@ def test_json_document(spark):
     r = json.loads(docs["r"])
     assert r["dir"] == "r" and r["score"] == 78 and [x["component"] for x in r["findings"]] == ["F", "S<T>"]
     assert json.loads(docs["s"]) == {"dir": "s", "score": 100, "findings": None}
+
+
+def test_json_document_with_null_metrics_and_repeats(spark):
+    rows = [("r", "MOYEN", "leak", "a.go", 1, "C", None, "p", "Faible", t, "", "") for t in ("one", "one", "two")]
+    scores = spark.createDataFrame([("r", 90)], "repo string, score int")
+    got = R.report_json_document_rows(spark.createDataFrame(rows, FINDINGS), scores).orderBy(*R.SORT_KEY).collect()
+    doc = json.loads("\n".join(r.json for r in got))
+    assert [x["explanation"] for x in doc["findings"]] == ["one", "one", "two"]
+    assert all(x["metrics"] is None and "refactor_before" not in x for x in doc["findings"])
+    assert list(doc["findings"][0])[-4:] == ["metrics", "pattern", "effort", "explanation"]

@@ -7,7 +7,7 @@ from srclens.operators.extensions import go_primitive_obsession, py_primitive_ob
 from srclens.operators.gofacts import go_facts
 from srclens.operators.pyfacts import py_facts, py_lines
 from srclens.operators.skeleton import go_skeleton, py_skeleton
-from srclens.sources.corpus import gitignore_regex, ignore_filter, scan_directory
+from srclens.sources.corpus import ignore_filter, ignore_regex, scan_directory
 
 
 def _write(root, rel, text):
@@ -30,10 +30,22 @@ def test_scan_skip_and_ignore(spark, tmp_path):
     assert kept == ["keep/g.py"]
 
 
-def test_gitignore_regex():
-    assert gitignore_regex("# x") is None
-    assert gitignore_regex("!a") == ("^(?:.*/)?a(?:/.*)?$", True)
-    assert gitignore_regex("/build")[0] == "^build(?:/.*)?$"
+def test_ignore_regex(spark):
+    lines = ["# x", "  ", "!a", "/build", r"\#x", "*.py[co]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, pattern string")
+    got = [r.c and tuple(r.c) for r in df.select("i", ignore_regex(F.col("pattern")).alias("c")).orderBy("i").collect()]
+    assert got[:4] == [None, None, ("^(?:.*/)?a(?:/.*)?$", True), ("^build(?:/.*)?$", False)]
+
+
+def test_ignore_classes_escapes_and_many_rules(spark):
+    paths = ["a.pyc", "a.py", "d/b.pyo", "#x", "d/x", "src/m1.py", "src/m2.py", "src/mA.py", "a+b.py", "q[1].py"]
+    files = spark.createDataFrame([(r, p) for r in ("r", "s") for p in paths], "repo string, path string")
+    rules = ["*.py[co]", r"\#x", "/src/m[!0-9].py", "src/m[2].py", "a+b.py", r"q\[1].py", "[", "[]x].none"]
+    rows = [("r", i, x) for i, x in enumerate(rules)] + [(f"o{k % 9}", k, "*.py") for k in range(500)]
+    kept = ignore_filter(files, spark.createDataFrame(rows, "repo string, ordinal int, pattern string"))
+    assert kept.columns == files.columns
+    got = sorted((r.repo, r.path) for r in kept.collect())
+    assert got == sorted([("s", p) for p in paths] + [("r", p) for p in ("a.py", "d/x", "src/m1.py")])
 
 
 def test_skeletons(files):
@@ -67,6 +79,30 @@ def test_infer_hook(spark):
     assert sorted((r.finding_id, r.raw) for r in out.collect()) == [("a", "P1"), ("b", "P2")]
 
 
+def test_infer_keeps_keys_contains_errors_and_writes_once(spark, tmp_path):
+    def model(prompts):
+        if prompts.str.contains("bad").any():
+            raise RuntimeError("refused")
+        return prompts.str.upper()
+
+    prompts = spark.createDataFrame([("r", "d1", "ok"), ("r", "d2", "bad"), ("s", "d1", "fine")],
+                                    "repo string, dir string, prompt string").coalesce(1)
+    out = E.infer(prompts, model, table=f"file://{tmp_path}/responses")
+    assert out.columns == ["repo", "dir", "raw"] and out.inputFiles()
+    assert sorted(map(tuple, out.collect()), key=str) == [("r", "d1", "OK"), ("r", "d2", None), ("s", "d1", "FINE")]
+
+
+def test_apply_enrichment_with_repeated_responses(spark):
+    findings = spark.createDataFrame([("r", "a.go", 1, "x", "C", "", "", "", "Faible")],
+                                     "repo string, file string, line int, smell_type string, component string, "
+                                     "explanation string, refactor_before string, refactor_after string, effort string")
+    fid = findings.select(E.finding_id(findings)).first()[0]
+    parsed = spark.createDataFrame([(fid, "e2", "b", "a", ""), (fid, "e1", "b", "a", "Moyen")],
+                                   "finding_id string, explanation string, refactor_before string, refactor_after string, effort string")
+    got = E.apply_enrichment(findings, parsed).collect()
+    assert [(r.explanation, r.effort) for r in got] == [("e1", "Moyen")]
+
+
 def test_primitive_obsession(files):
     go = "package p\n\ntype U struct {\n\tUserID int\n\tEmail string\n\tPhoneNo string\n\tx int\n}\n"
     py = "class U:\n    def __init__(self, user_id, user_email, home_url, x):\n        pass\n"
