@@ -71,16 +71,26 @@ def _round(rows: DataFrame, need: DataFrame, last: bool) -> DataFrame:
                     F.coalesce(F.col("m.upto"), F.col("e.before")).cast("double").alias("took")))
 
 
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+    """docs with __size (words) and __h (hash of id and text): all that mixing needs of the text."""
+    h = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return docs.select(*docs.columns, size_of(F.col(text)).alias("__size"), h.alias("__h"))
+
+
 def mix(docs: DataFrame, quality: Column | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17,
         weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with size, source_size, target, epochs (whole and fractional passes of the document), taken.
 
     quality: a column of docs with positive weights (null: 1)."""
+    return mix_measured(measure(docs, key, text, seed), quality, source, weights)
+
+
+def mix_measured(docs: DataFrame, quality: Column | None = None, source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """As mix, of rows that went through measure(); the text itself may have been dropped since."""
     w = F.greatest(F.coalesce(quality, F.lit(1.0)).cast("double"), F.lit(1e-6)) if quality is not None else F.lit(1.0)
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-    cols = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "taken")]
-    d = docs.select(*cols, size_of(F.col(text)).alias("size"), h.alias("__h"), (-F.log(u) / w).alias("__key"))
+    u = (F.shiftrightunsigned("__h", 11).cast("double") + 0.5) / float(1 << 53)
+    cols = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "taken", "__size", "__h")]
+    d = docs.select(*cols, F.col("__size").alias("size"), "__h", (-F.log(u) / w).alias("__key"))
     d = d.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS)).cast("int"))
     narrow = stage(d.select(F.col(source).alias("source"), "size", F.col("__h").alias("h"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket")), "mix")
     t = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, context_tree, fingerprints, language_id, mixing, ngram_join, nn_descent, pii, quality, token_cache
-from .common import fold, read, shared_dir
+from .common import fold, read, shared_dir, stage
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good weigh four times those labelled bad; the others lie between."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = mixing.measure(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    d = stage(d, "mix-sizes")  # the texts are read once and never moved
     q = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     w = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    return mixing.mix(d.join(q, "doc_id", "left"), w).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_measured(d.join(q, "doc_id", "left"), w).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
