@@ -129,10 +129,13 @@ def _planned(rng):
         lines.append(f"class Kind{k}:")
         for m in range(methods):
             n = rng.randint(0, 4)
-            lines.append(f"    def step{m}(self, x):")
-            funcs.append((f"step{m}", len(lines), f"Kind{k}", 1 + n))
+            name = f"step{m}" if m else "__init__"
+            lines.append(f"    def {name}(self, x):")
+            funcs.append((name, len(lines), f"Kind{k}", 1 + n))
             if m == 0:
                 lines.extend(f"        self.part{j} = {j}" for j in range(fields))
+            elif m == 1:  # fields are counted in __init__ only
+                lines.append("        self.late = x")
             body("        ", n)
         classes.append((f"Kind{k}", at, methods, fields))
     return "\n".join(lines) + "\n", sorted(classes), sorted(funcs)
