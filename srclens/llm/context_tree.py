@@ -1,28 +1,30 @@
-"""Language-model scores by context-tree weighting over the bytes of words.
+"""Language-model scores by context-tree weighting over the bytes of texts.
 
-A text is its lower-cased words and one end token. A word is coded byte by
-byte with a closing space, the end token as a line feed; each byte by eight
-binary decisions. The context of a byte is the bytes before it inside its
-word, padded with spaces, to a depth of five. Every context of every depth
-holds Krichevsky-Trofimov counts per decision, and the weighted probability
-of a node is half its own estimate and half the product of its children's:
+A text is its lower-cased words, each with a closing space, and one end
+token, a line feed. It is coded byte by byte, each byte by eight binary
+decisions. The context of a byte is the five bytes before it in the running
+text, so also the end of the word before; only the beginning of a text is
+padded, with spaces. Every context of every depth holds Krichevsky-Trofimov
+counts per decision, and the weighted probability of a node is half its own
+estimate and half the product of its children's:
 
     P_w(s) = (P_kt(s) + prod P_w(child)) / 2,  P_w = P_kt at full depth
 
 A decision is predicted from the depths mixed with the weights that
 training left at the nodes of its path; a context never seen hands the
 decision to its parent. As a byte's probability depends on its six bytes
-only, and a word's on the word only, each is worked out once per distinct
-six bytes or word, and documents are a join of their words with word
-scores. The same join gives the training counts of the unigram base.
+only, it is worked out once per distinct six bytes, and a text's score is a
+join of its distinct six bytes, with their number of times, with these.
+Its code length per byte is given in bits. Words are counted for the unigram
+base only.
 
 All tables (words, six-byte counts, nodes) are distributed and grow with
 the corpus. Trees are solved per two nearest context bytes, so one task
 holds the counts below 65,536 contexts at most; the two shallow levels (65,536 contexts
-at most) go through the driver. The ``TOP`` most frequent entries of a table
-are also sent to all tasks, which spares most of the shuffle; all others
-take the join. Null and empty texts are the end token alone. Repeated rows
-each give a row. Extra columns are ignored.
+at most) go through the driver. The ``TOP`` most frequent words and ``GRAMS``
+most frequent six bytes are also sent to all tasks, which spares most of the
+shuffle; all others take the join. Null and empty texts are the end token
+alone. Repeated rows each give a row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, lower_bytes, per_row_unique, stage, utf8, words
 
-DEPTH, TOP = 5, 1 << 17
-END = b"\n"
+DEPTH, TOP, GRAMS = 5, 1 << 17, 1 << 20
 _SYMBOL = np.arange(256)
 #: For each byte, its eight (node, bit) decisions.
 NODES = np.stack([(1 << k) | (_SYMBOL >> (8 - k)) for k in range(8)], 1)
@@ -128,88 +129,68 @@ def shallow(n1: np.ndarray, below: np.ndarray):
     return lam0 * k0 + (1 - lam0) * lam1 * k1, (1 - lam0) * (1 - lam1), np.where(seen1, k1, k0 + 0 * k1)
 
 
-def _word_rows(batches):
-    """Distinct words of a partition with their training counts."""
-    def flush(held):
-        h = np.concatenate([x[0] for x in held])
-        c = np.concatenate([x[1] for x in held])
-        found, first, at = np.unique(h, return_index=True, return_inverse=True)
-        text = pa.concat_arrays([x[2] for x in held]).take(pa.array(first))
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), text, pa.array(np.bincount(at, c, len(found)).astype(np.int64))], ["h", "word", "c"])
-    held, size, ends = [], 0, 0
-    for b in batches:
-        for part in chunks(b):
-            raw, offsets = utf8(part.column("text"))
-            learn = ~np.array(part.column("held_out").to_pylist(), bool)
-            ends += int(learn.sum())
-            row, start, end, h = words(raw, offsets)
-            found, first, at = np.unique(h, return_index=True, return_inverse=True)
-            c = np.bincount(at, learn[row].astype(float), len(found))
-            low = lower_bytes(raw)
-            solid = np.zeros(len(raw) + 1, np.int8)
-            solid[start[first]] += 1
-            np.add.at(solid, end[first], -1)
-            order = np.argsort(first)
-            data = low[np.cumsum(solid[:-1]).astype(bool)].tobytes()
-            at = np.append(0, np.cumsum((end - start)[first][order])).astype(np.int64)
-            text = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
-            held.append((found[order], c[order], text))
-            size += len(order)
-            if size > 400_000:
-                yield flush(held)
-                held, size = [], 0
-    if held:
-        yield flush(held)
-    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["h", "word", "c"])
-
-
-def coded(words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, six bytes) of every byte to code: the words with closing spaces, the end token alone."""
-    raw, offsets = utf8(words_)
-    n, size = len(words_), np.diff(offsets)
-    is_end = (size == 1) & (raw[np.minimum(offsets[:-1], len(raw) - 1)] == 10) if n else np.zeros(0, bool)
-    # the padding, then the bytes, then a space
-    length = size + DEPTH + np.where(is_end, 0, 1)
-    start = np.append(0, np.cumsum(length))
-    out = np.full(start[-1], 32, np.int64)
-    put = np.repeat(start[:-1] + DEPTH - offsets[:-1], size) + np.arange(len(raw))
-    out[put] = raw
-    gram = np.zeros(len(out), np.int64)
-    for d in range(DEPTH + 1):
-        gram[DEPTH:] |= out[DEPTH - d:len(out) - d] << (8 * d)
-    idx = np.repeat(np.arange(n), length)
-    inside = np.arange(len(out)) - start[idx] >= DEPTH
-    return idx[inside], gram[inside]
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at, found = pd.factorize(np.concatenate(keys))
+    return found, np.bincount(at, np.concatenate(counts), len(found))
+
+
+def _counted(of_part, names: list[str], most: int = 2_000_000):
+    """Keys of a partition's texts with their training counts, summed as far as memory goes."""
+    def run(batches):
+        keys, counts, size = [], [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(counts[0].astype(np.int64))], names)
+        for b in batches:
+            for part in chunks(b):
+                k, c = of_part(part, ~np.array(part.column("held_out").to_pylist(), bool))
+                keys.append(k)
+                counts.append(c)
+                size += len(k)
+                if size > 2 * most:
+                    keys, counts = ([x] for x in _sums(keys, counts))
+                    size = len(keys[0])
+                    if size > most:
+                        yield out()
+                        keys, counts, size = [], [], 0
+        if keys:
+            keys, counts = ([x] for x in _sums(keys, counts))
+            yield out()
+    return run
 
 
-def _slices(batch, column):
-    _, offsets = utf8(batch.column(column))
-    at = 0
-    while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 19), "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
-def _gram_rows(batches):
-    held, size = [], 0
-
-    def flush():
-        g, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        found, at = np.unique(g, return_inverse=True)
-        return found, np.bincount(at, n, len(found))
-    for b in batches:
-        for part in _slices(b, "word"):
-            idx, gram = coded(part.column("word"))
-            c = np.asarray(part.column("c").to_numpy(zero_copy_only=False), float)
-            held.append((gram, c[idx]))
-            size += len(gram)
-            if size > 2_000_000:
-                held = [flush()]
-                size = len(held[0][0])
-    if held:
-        g, n = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["gram", "n"])
+def _part_words(part: pa.RecordBatch, learn: np.ndarray):
+    """Hashes of the words with their training counts; the end token is 0."""
+    row, _, _, h = words(*utf8(part.column("text")))
+    found, c = _sums([h.view(np.int64)], [learn[row].astype(float)])
+    return np.append(found, 0), np.append(c, float(learn.sum()))
+
+
+def _part_grams(part: pa.RecordBatch, learn: np.ndarray):
+    raw, offsets = utf8(part.column("text"))
+    idx, gram = coded(raw, offsets, *words(raw, offsets)[:3])
+    return _sums([gram], [learn[idx].astype(float)])
+
+
+def coded(raw: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, six bytes) of every byte to code, in order; row, start and end are the texts' words."""
+    n, size = len(offsets) - 1, end - start
+    # each text: the padding, its words with closing spaces, the end token
+    length = np.bincount(row, size + 1, n).astype(np.int64) + DEPTH + 1
+    first = np.append(0, np.cumsum(length))
+    out = np.full(first[-1], 32, np.uint8)
+    out[first[1:] - 1] = 10
+    solid = np.zeros(len(raw) + 1, np.int8)
+    solid[start] += 1
+    np.add.at(solid, end, -1)
+    data = lower_bytes(raw)[np.cumsum(solid[:-1]).astype(bool)]
+    at = np.cumsum(size + 1) - (size + 1) + DEPTH + row * (DEPTH + 1)
+    out[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(data))] = data
+    gram = out.astype(np.int64)
+    for d in range(1, DEPTH + 1):
+        gram[DEPTH:] |= np.left_shift(out[DEPTH - d:len(out) - d], 8 * d, dtype=np.int64)
+    idx = np.repeat(np.arange(n, dtype=np.int32), length)
+    inside = np.ones(len(out), bool)
+    inside[(first[:-1, None] + np.arange(DEPTH)).ravel()] = False
+    return idx[inside], gram[inside]
 
 
 def _tree_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,26 +230,11 @@ def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.nda
     return keys[at] == x, at
 
 
-def _word_scores(keys: np.ndarray, logp: np.ndarray):
-    """Per word the sum over its frequent six bytes, and the others with their number of times."""
-    def run(batches):
-        for b in batches:
-            for part in _slices(b, "word"):
-                idx, gram = coded(part.column("word"))
-                ok, at = _lookup(keys, logp, gram)
-                s = np.bincount(idx[ok], logp[at[ok]], len(part)) if len(keys) else np.zeros(len(part))
-                rest, g, c = per_row_unique(idx[~ok], gram[~ok])
-                offsets = np.append(0, np.cumsum(np.bincount(rest, minlength=len(part)))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["gram", "k"]))
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("c"), pa.array(s), rare], ["h", "c", "s", "rare"])
-    return run
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """h, c, logp: every distinct word of docs (text, held_out) by hash, its training count and log10 probability."""
-    w = docs.select("text", "held_out").mapInArrow(_word_rows, "h long, word binary, c long")
-    w = stage(w.groupBy("word").agg(F.min("h").alias("h"), F.sum("c").alias("c")), "ctw-words")
-    grams = stage(w.mapInArrow(_gram_rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs (text, held_out): (h, c), every distinct word by hash with its training count, and (gram, n, logp), all six bytes with theirs and the last byte's log10 probability."""
+    d = docs.select("text", "held_out")
+    w = stage(d.mapInArrow(_counted(_part_words, ["h", "c"]), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "ctw-words")
+    grams = stage(d.mapInArrow(_counted(_part_grams, ["gram", "n"]), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
     near = F.shiftright("gram", 8).bitwiseAND(65_535)
     deep = grams.groupBy(near.alias("k")).applyInPandas(_tree_rows, "b1 long, node long, logw double")
     below, counts = np.zeros((256, 256)), np.zeros((256, 256))
@@ -276,52 +242,72 @@ def train(docs: DataFrame) -> DataFrame:
         below[r.b1, r.node] = r.v
     for r in grams.groupBy(F.shiftright("gram", 8).bitwiseAND(255).alias("b1"), F.col("gram").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n")).collect():
         counts[r.b1, r.s] = r.n
-    scored = stage(grams.groupBy(near.alias("k")).applyInPandas(_gram_scores(*shallow(counts, below)), "gram long, n long, logp double"), "ctw-scores")
-    hot = frequent(scored, "n", TOP).select("gram", "logp").toPandas().sort_values("gram")
-    found = stage(w.mapInArrow(_word_scores(hot["gram"].to_numpy(np.int64), hot["logp"].to_numpy(float)), "h long, c long, s double, rare array<struct<gram:long,k:long>>"), "ctw-found")
-    rare = (found.select("h", F.explode("rare").alias("r")).select("h", "r.gram", "r.k").join(scored.select("gram", "logp"), "gram")
-            .groupBy("h").agg(F.sum(F.col("k") * F.col("logp")).alias("more")))
-    return stage(found.select("h", "c", "s").join(rare, "h", "left").select("h", "c", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("logp")), "ctw-model")
+    return w, stage(grams.groupBy(near.alias("k")).applyInPandas(_gram_scores(*shallow(counts, below)), "gram long, n long, logp double"), "ctw-scores")
+
+
+def _sorted_columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table as arrays, by the first one."""
+    t = df.toArrow()
+    cols = [t.column(c).to_numpy() for c in t.column_names]
+    order = np.argsort(cols[0])
+    return [c[order] for c in cols]
 
 
-def _doc_rows(keys: np.ndarray, c: np.ndarray, logp: np.ndarray, end: tuple[int, float], total: int, distinct: int):
+def _lists(row: np.ndarray, n: int, **cols: np.ndarray) -> pa.Array:
+    off = np.append(0, np.cumsum(np.bincount(row, minlength=n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in cols.values()], list(cols)))
+
+
+def _doc_rows(keys: np.ndarray, c: np.ndarray, grams: np.ndarray, logp: np.ndarray, end: int, total: int, distinct: int):
     base = lambda n: np.log10((n + 1.0) / (total + 1.0 * (distinct + 1)))
 
     def run(batches):
         for b in batches:
             for part in chunks(b):
+                size = len(part)
                 raw, offsets = utf8(part.column("text"))
-                row, _, _, h = words(raw, offsets)
-                n = np.bincount(row, minlength=len(part)) + 1
+                row, start, stop, h = words(raw, offsets)
+                n = np.bincount(row, minlength=size) + 1
                 ur, uh, k = per_row_unique(row, h.view(np.int64))
                 ok, at = _lookup(keys, c, uh)
-                per = lambda x: np.bincount(ur[ok], x, len(part)) if ok.any() else np.zeros(len(part))
-                known = per(k[ok] * (c[at[ok]] > 0) if ok.any() else None) + (end[0] > 0)
-                bs = per(k[ok] * base(c[at[ok]]) if ok.any() else None) + base(end[0])
-                sc = per(k[ok] * logp[at[ok]] if ok.any() else None) + end[1]
-                off = np.append(0, np.cumsum(np.bincount(ur[~ok], minlength=len(part)))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(uh[~ok]), pa.array(k[~ok].astype(np.int64))], ["h", "k"]))
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("key"), part.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(bs), pa.array(sc), rare],
-                                                 ["rid", "key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                per = lambda x: np.bincount(ur[ok], x, size) if ok.any() else np.zeros(size)
+                known = per(k[ok] * (c[at[ok]] > 0) if ok.any() else None) + (end > 0)
+                bs = per(k[ok] * base(c[at[ok]]) if ok.any() else None) + base(end)
+                # frequent six bytes are looked up once per chunk, the others listed with their number of times
+                idx, gram = coded(raw, offsets, row, start, stop)
+                which, found = pd.factorize(gram)
+                hit, place = _lookup(grams, logp, found)
+                value = np.zeros(len(found))
+                value[hit] = logp[place[hit]] if hit.any() else 0
+                sc = np.bincount(idx, value[which], size)
+                rest = ~hit[which]
+                gr, g, gk = per_row_unique(idx[rest], gram[rest])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rid"), part.column("key"), part.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.bincount(idx, minlength=size).astype(np.int64)),
+                     pa.array(bs), pa.array(sc), _lists(ur[~ok], size, h=uh[~ok], k=k[~ok]), _lists(gr, size, gram=g, k=gk)],
+                    ["rid", "key", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score", "rare", "grams"])
     return run
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is false."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row; learns where held_out is false."""
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
-    model = train(d)
+    model, scored = train(d)
     total, distinct = (v or 0 for v in model.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
-    e = model.filter("h = 0").agg(F.first("c"), F.first("logp")).first()
-    end = (int(e[0] or 0), float(e[1] or 0.0))
-    hot = frequent(model.filter("h <> 0"), "c", TOP).toPandas().sort_values("h")
+    end = int(model.filter("h = 0").agg(F.sum("c")).first()[0] or 0)
+    hot = _sorted_columns(frequent(model.filter("h <> 0"), "c", TOP).select("h", "c"))
+    often = _sorted_columns(frequent(scored, "n", GRAMS).select("gram", "logp"))
     d = d.withColumn("rid", F.monotonically_increasing_id()).select("rid", "key", "held_out", "text")
     kind = d.schema["key"].dataType.simpleString()
-    run = _doc_rows(hot["h"].to_numpy(np.int64), hot["c"].to_numpy(np.int64), hot["logp"].to_numpy(float), end, int(total), int(distinct))
-    part = stage(d.mapInArrow(run, f"rid long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,k:long>>"), "ctw-docs")
-    rare = part.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.k").join(model, "h")
+    run = _doc_rows(*hot, *often, end, int(total), int(distinct))
+    part = stage(d.mapInArrow(run, f"rid long, key {kind}, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double, rare array<struct<h:long,k:long>>, grams array<struct<gram:long,k:long>>"), "ctw-docs")
     base = F.log10((F.col("c") + 1.0) / (total + 1.0 * (distinct + 1)))
-    rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("more_known"), F.sum(F.col("k") * base).alias("more_base"), F.sum(F.col("k") * F.col("logp")).alias("more_score"))
+    rare = part.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.k").join(model, "h")
+    rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("more_known"), F.sum(F.col("k") * base).alias("more_base"))
+    seldom = part.select("rid", F.explode("grams").alias("r")).select("rid", "r.gram", "r.k").join(scored.select("gram", "logp"), "gram")
+    seldom = seldom.groupBy("rid").agg(F.sum(F.col("k") * F.col("logp")).alias("more_score"))
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return part.drop("rare").join(rare, "rid", "left").select(
+    return part.drop("rare", "grams").join(rare, "rid", "left").join(seldom, "rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens", add("n_known", "more_known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        add("base_score", "more_base").alias("base_score"), add("score", "more_score").alias("score"))
+        add("base_score", "more_base").alias("base_score"), add("score", "more_score").alias("score"), "n_bytes",
+        (-add("score", "more_score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

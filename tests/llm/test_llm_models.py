@@ -1,6 +1,8 @@
 """Learned operators, mixing, surrogates and the pipeline."""
 
 import collections
+import functools
+import math
 import re
 
 import numpy as np
@@ -124,3 +126,52 @@ def test_pipeline_stages(spark):
             assert out.count() == docs.count() - 2
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def _plain_bits(train, text, depth=5):
+    """Bits of the running text under context-tree weighting, by recursion over the nodes."""
+    def decisions(t):
+        run = " " * depth + "".join(w + " " for w in t.split()) + "\n"
+        for i in range(depth, len(run)):
+            for k in range(8):
+                yield run[i - depth:i], 1 << k | ord(run[i]) >> (8 - k), ord(run[i]) >> (7 - k) & 1
+    counts, below = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for t in train:
+        for ctx, node, bit in decisions(t):
+            for d in range(depth + 1):
+                counts[ctx[depth - d:], node][bit] += 1
+                if d:
+                    below[ctx[depth - d + 1:], node].add(ctx[depth - d:])
+
+    @functools.cache
+    def weight(ctx, node):
+        a, b = counts[ctx, node]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        return (own, own) if len(ctx) == depth else (own, np.logaddexp(own, sum(weight(c, node)[1] for c in below[ctx, node])) - math.log(2))
+    bits = 0.0
+    for ctx, node, bit in decisions(text):
+        p, rest, est = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            s = ctx[depth - d:]
+            if (s, node) not in counts:
+                break
+            est = (counts[s, node][1] + 0.5) / (sum(counts[s, node]) + 1)
+            own, w = weight(s, node)
+            lam = 1.0 if d == depth else math.exp(own - math.log(2) - w)
+            p, rest = p + rest * lam * est, rest * (1 - lam)
+        p += rest * est
+        bits -= math.log2(p if bit else 1 - p)
+    return bits
+
+
+def test_context_tree_reads_across_words(spark, monkeypatch):
+    learn = ["the red cat sat on the mat", "a red cat ran on the road", "the dog sat on the red mat"]
+    asked = ["the red cat sat on the road", "road the on sat cat red the", "a zebra"]
+    docs = spark.createDataFrame([(i, t, i >= 3) for i, t in enumerate(learn + asked)], "doc_id long, text string, held boolean")
+    for top in (1 << 20, 0):  # all six bytes sent to the tasks, or all joined
+        monkeypatch.setattr(context_tree, "GRAMS", top)
+        got = {r.doc_id: r for r in context_tree.score(docs, F.col("held")).collect()}
+        for i, t in enumerate(asked):
+            r, want = got[3 + i], _plain_bits(learn, t)
+            assert r.n_bytes == len(t) + 2 and np.isclose(r.bits_per_byte, want / r.n_bytes, rtol=1e-6) and np.isclose(-r.score * np.log2(10), want, rtol=1e-6)
+        assert got[3].score > got[4].score + 3
