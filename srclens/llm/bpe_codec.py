@@ -7,8 +7,8 @@ first pre-token boundary behind the cut that both found is where they have
 resynchronised: from there on both readings are the same, because a match of
 the pattern depends only on what follows its start. A cut without such a
 boundary is dropped, so its piece simply stays longer. The pieces between
-the cuts are encoded in parallel; decoding concatenates the raw bytes of the
-ids. Long texts are keyed by their digest, so copies are encoded once and a
+the cuts are encoded in parallel and their ids concatenated; decode() turns a
+column of ids back into bytes. Long texts are keyed by their digest, so copies are encoded once and a
 lost task is recomputed with the same keys.
 
 Null or empty text: no ids, the digests of empty bytes. Repeated rows each
@@ -63,24 +63,42 @@ def _cuts(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _encode(path: str, pattern: str, keys: list[str], keep: bool):
-    """Ids of each piece; keep: the ids and decoded bytes themselves, else their digests."""
+def _encode(path: str, pattern: str, keys: list[str]):
+    """Ids of each piece."""
     def run(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            n, first, second = [], [], []
-            for text in b.column("part").to_pylist():
-                ids = enc.encode_ordinary(text or "")
-                raw, back = np.asarray(ids, "<u4").tobytes(), enc.decode_bytes(ids)
-                n.append(len(ids))
-                first.append(raw if keep else hashlib.sha256(raw).hexdigest())
-                second.append(back if keep else hashlib.sha256(back).hexdigest())
-            kind = pa.binary() if keep else pa.string()
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, kind)],
-                                             [*keys, "n_tokens", "ids", "decoded"])
+            ids = [enc.encode_ordinary(text or "") for text in b.column("part").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(ids, pa.list_(pa.int32()))], [*keys, "ids"])
     return run
 
 
+def _decode(path: str, pattern: str, ids: str, names: list[str], digest: bool):
+    """The columns, then the decoded bytes or the digests of the ids and of the decoded bytes."""
+    def run(batches):
+        enc = encoder(path, pattern)
+        for b in batches:
+            rows = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in b.column(ids).to_pylist()]
+            back = [enc.decode_bytes(x.tolist()) for x in rows]
+            if digest:
+                more = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+            else:
+                more = [pa.array(back, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], [*names, *(["ids_sha256", "decoded_sha256"] if digest else ["decoded"])])
+    return run
+
+
+def _with_decoded(coded: DataFrame, path: str, pattern: str, ids: str, digest: bool) -> DataFrame:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema]
+    fields += ["ids_sha256 string", "decoded_sha256 string"] if digest else ["decoded binary"]
+    return coded.mapInArrow(_decode(path, pattern, ids, coded.columns, digest), ", ".join(fields))
+
+
+def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """coded and decoded, the bytes of its ids column; null ids are no bytes."""
+    return _with_decoded(coded, path, pattern, ids, False)
+
+
 def pieces(long: DataFrame, pattern: str, chunk: int = 1 << 15, overlap: int = 1 << 10) -> DataFrame:
     """digest, piece, part: the stitched pieces of each distinct long text (columns digest, text)."""
     n = F.length("text")
@@ -99,15 +117,14 @@ def pieces(long: DataFrame, pattern: str, chunk: int = 1 << 15, overlap: int = 1
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", chunk: int = 1 << 15, overlap: int = 1 << 10) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
+    """key, n_tokens, ids, ids_sha256, decoded_sha256 of every row of docs; the digests are of these ids and of what they decode to."""
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("part"))
     kind = d.schema["key"].dataType.simpleString()
-    short = d.filter(F.length("part") <= chunk).mapInArrow(_encode(path, pattern, ["key"], False), f"key {kind}, n_tokens long, ids string, decoded string")
+    short = d.filter(F.length("part") <= chunk).mapInArrow(_encode(path, pattern, ["key"]), f"key {kind}, ids array<int>")
     long = stage(d.filter(F.length("part") > chunk).select("key", F.sha2("part", 256).alias("digest"), F.col("part").alias("text")), "bpe")
     parts = pieces(long.dropDuplicates(["digest"]).select("digest", "text"), pattern, chunk, overlap)
-    coded = parts.repartition("digest", "piece").mapInArrow(_encode(path, pattern, ["digest", "piece"], True), "digest string, piece int, n_tokens long, ids binary, decoded binary")
-    joined = lambda c: F.sha2(F.aggregate(F.transform(F.col("p"), lambda x: x[c]), F.lit(b""), lambda a, x: F.concat(a, x)), 256)
-    whole = (coded.groupBy("digest").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
-             .select("digest", "n_tokens", joined("ids").alias("ids"), joined("decoded").alias("decoded")))
+    coded = parts.repartition("digest", "piece").mapInArrow(_encode(path, pattern, ["digest", "piece"]), "digest string, piece int, ids array<int>")
+    whole = (coded.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+             .select("digest", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")))
     out = short.unionByName(long.select("key", "digest").join(whole, "digest").drop("digest"))
-    return out.select(F.col("key").alias(key), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    return _with_decoded(out.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_tokens"), "ids"), path, pattern, "ids", True)

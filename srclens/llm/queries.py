@@ -37,7 +37,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode(read(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+    return bpe_codec.encode(read(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN).drop("ids")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,14 @@ def test_chunked_encoding_equals_the_library(odd, prose):
         assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got))) == sorted(str((r.doc_id, *_expected(r.text))) for r in rows)
 
 
+def test_ids_are_returned_and_decode(spark, odd):
+    rows = {str(r.doc_id): r.text or "" for r in odd.collect()}
+    coded = bpe_codec.encode(odd, RANKS, tok.PATTERN, chunk=300, overlap=40)
+    got = bpe_codec.decode(coded, RANKS, tok.PATTERN).collect()
+    assert len(got) == odd.count() and all(r.ids == bpe_codec.encoder(RANKS, tok.PATTERN).encode_ordinary(rows[str(r.doc_id)]) for r in got)
+    assert all(bytes(r.decoded).decode() == rows[str(r.doc_id)] for r in got)
+
+
 def test_no_boundary_in_the_overlap(spark):
     text = "a" * 1000 + " " * 700 + "b'll" * 100 + "1" * 500
     got = bpe_codec.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, tok.PATTERN, chunk=64, overlap=8).first()
