@@ -14,8 +14,9 @@ ordered. So no task holds a source, and a decision is one comparison with
 the cut of the document's source.
 
 Null texts have size 0 and are never taken; a null source is a source of
-its own, the last. Rows with equal id and text share one key and are taken
-together. Reruns give the same rows. Extra columns are kept.
+its own, the last. Rows with equal id and text share one key and are counted
+as one group, of which as many are taken as fit; which of them is open, so
+reruns give the same rows but for their extra columns. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql.window import Window
 from .common import stage
 
 BUCKETS, ROUNDS = 4096, 3
-CUT = "struct<bucket:int,key:double,h:bigint>"
+CUT = "struct<bucket:int,key:double,h:bigint,size:bigint>"
+#: Stands for all rows of a group; rows of a block are numbered in one task.
+ALL, BLOCK = 1 << 62, 1 << 14
 
 
 def size_of(text: Column) -> Column:
@@ -51,24 +54,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 
 def _round(rows: DataFrame, need: DataFrame, last: bool) -> DataFrame:
-    """source, cut, took: the largest (bucket, key, h) taken in order within need.left."""
+    """source, cut, m, took: the last group (bucket, key, h, size) taken in order within need.left, and how many of its n rows (ALL: the rest of it)."""
     need = need.select(F.col("source").alias("s"), "left")
     rows = rows.join(need, F.col("source").eqNullSafe(F.col("s"))).drop("s").filter("left > 0 and size > 0 and size <= left" + " * 2" * last)
-    hist = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+    hist = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.first("left").alias("left"))
     w = Window.partitionBy("source").orderBy("bucket")
     cum = hist.withColumn("upto", F.sum("size").over(w)).withColumn("before", F.col("upto") - F.col("size"))
     edge = cum.filter("before <= left").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("bucket", "before", "upto", "left")).alias("e"))
     inside = rows.drop("left").join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("e.bucket")))
-    order = Window.partitionBy("source").orderBy(F.struct("key", "h"))
-    run = inside.withColumn("upto", F.col("e.before") + F.sum("size").over(order))
-    fits = F.col("upto") <= F.col("e.left")
+    order = Window.partitionBy("source").orderBy(F.struct("key", "h", "size"))
+    all_of_it = F.col("size") * F.col("n")
+    run = inside.withColumn("from", F.col("e.before") + F.sum(all_of_it).over(order) - all_of_it).withColumn("room", F.col("e.left") - F.col("from"))
+    run = run.withColumn("m", F.least(F.col("n"), F.floor(F.greatest(F.col("room"), F.lit(0.0)) / F.col("size"))))
     if last:  # one more if nearer
-        fits = fits | (F.col("upto") - F.col("e.left") < F.col("e.left") - (F.col("upto") - F.col("size")))
-    got = run.filter(fits).groupBy("source").agg(F.max(F.struct(F.col("bucket"), F.col("key"), F.col("h"), F.col("upto"))).alias("m"))
-    start = F.struct((F.col("e.bucket") - 1).cast("int").alias("bucket"), F.lit(float("inf")).alias("key"), F.lit(2 ** 63 - 1).cast("long").alias("h"))
+        over = (F.col("m") + 1) * F.col("size") - F.col("room")
+        run = run.withColumn("m", F.col("m") + ((F.col("m") < F.col("n")) & (over < F.col("room") - F.col("m") * F.col("size"))).cast("long"))
+    some = F.when(F.col("m") == F.col("n"), F.lit(ALL)).otherwise(F.col("m")).cast("long").alias("m")
+    got = run.filter("m > 0").groupBy("source").agg(F.max(F.struct("bucket", "key", "h", "size", (F.col("from") + F.col("m") * F.col("size")).alias("upto"), some)).alias("m"))
+    most = F.lit(2 ** 63 - 1).cast("long")
+    start = F.struct((F.col("e.bucket") - 1).cast("int").alias("bucket"), F.lit(float("inf")).alias("key"), most.alias("h"), most.alias("size"))
     return (edge.join(got, F.col("s").eqNullSafe(F.col("source")), "left")
-            .select(F.col("s").alias("source"), F.when(F.col("m").isNull(), start).otherwise(F.struct("m.bucket", "m.key", "m.h")).cast(CUT).alias("cut"),
-                    F.coalesce(F.col("m.upto"), F.col("e.before")).cast("double").alias("took")))
+            .select(F.col("s").alias("source"), F.when(F.col("m").isNull(), start).otherwise(F.struct("m.bucket", "m.key", "m.h", "m.size")).cast(CUT).alias("cut"),
+                    F.coalesce(F.col("m.m"), F.lit(ALL)).cast("long").alias("m"), F.coalesce(F.col("m.upto"), F.col("e.before")).cast("double").alias("took")))
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
@@ -92,29 +99,52 @@ def mix_measured(docs: DataFrame, quality: Column | None = None, source: str = "
     cols = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "taken", "__size", "__h")]
     d = docs.select(*cols, F.col("__size").alias("size"), "__h", (-F.log(u) / w).alias("__key"))
     d = d.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS)).cast("int"))
-    narrow = stage(d.select(F.col(source).alias("source"), "size", F.col("__h").alias("h"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket")), "mix")
-    t = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    narrow = stage(d.select(F.col(source).alias("source"), "size", F.col("__h").alias("h"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket"))
+                   .groupBy("source", "bucket", "key", "h", "size").agg(F.count("*").alias("n")), "mix")
+    t = targets(narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
-    plan = stage(t.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("picks", F.array().cast(f"array<struct<left:double,cut:{CUT}>>")), "mix-plan")
+    plan = stage(t.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("picks", F.array().cast(f"array<struct<left:double,cut:{CUT},m:bigint>>")), "mix-plan")
     for k in range(ROUNDS):
         last = k == ROUNDS - 1
         rows = narrow
         if k:
             j = narrow.join(plan.select(F.col("source").alias("s"), "picks"), F.col("source").eqNullSafe(F.col("s")))
-            rows = j.filter(~_picked(F.col("picks"), "bucket", "key", "h", "size")).select(narrow.columns)
+            rows = j.withColumn("n", F.col("n") - _picked(F.col("picks"), "bucket", "key", "h", "size", F.col("n"))).filter("n > 0").select(narrow.columns)
         cuts = _round(rows, plan, last)
         plan = stage(plan.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
                      .withColumn("picks", F.when(F.col("cut").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct(
-                         (F.col("left") * (2 if last else 1)).cast("double").alias("left"), "cut")))))
-                     .withColumn("left", F.col("left") - F.coalesce("took", F.lit(0.0))).drop("s", "cut", "took"), "mix-plan")
+                         (F.col("left") * (2 if last else 1)).cast("double").alias("left"), "cut", "m")))))
+                     .withColumn("left", F.col("left") - F.coalesce("took", F.lit(0.0))).drop("s", "cut", "m", "took"), "mix-plan")
+    cut = not plan.filter(F.exists("picks", lambda p: p["m"] < ALL)).isEmpty()
     plan = plan.select(F.col("source").alias("__source"), "source_size", "target", F.col("whole").alias("__whole"), F.col("picks").alias("__picks"))
     out = d.join(plan, F.col(source).eqNullSafe(F.col("__source")))
-    more = (F.col("size") > 0) & _picked(F.col("__picks"), "__bucket", "__key", "__h", "size")
-    return out.select(*cols, "size", "source_size", "target", (F.col("__whole") + more.cast("int")).alias("epochs"),
-                      (F.col("size") * (F.col("__whole") + more.cast("int"))).cast("long").alias("taken"))
-
-
-def _picked(picks: Column, bucket: str, key: str, h: str, size: str) -> Column:
-    """Whether one of the rounds took the document: within its cut and not too long for it."""
-    own = F.struct(F.col(bucket).alias("bucket"), F.col(key).alias("key"), F.col(h).alias("h")).cast(CUT)
-    return F.exists(picks, lambda p: (own <= p["cut"]) & (F.col(size) <= p["left"]))
+    some = F.when(F.col("size") > 0, _picked(F.col("__picks"), "__bucket", "__key", "__h", "size", F.lit(ALL))).otherwise(0)
+    out = out.withColumn("__some", some).withColumn("__more", (F.col("__some") > 0).cast("int"))
+    if cut:
+        in_part = (F.col("__some") > 0) & (F.col("__some") < ALL)
+        out = out.filter(~in_part).unionByName(_numbered(out.filter(in_part)))
+    return out.select(*cols, "size", "source_size", "target", (F.col("__whole") + F.col("__more")).alias("epochs"),
+                      (F.col("size") * (F.col("__whole") + F.col("__more"))).cast("long").alias("taken"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of groups of which __some rows are taken, with __more for as many; numbered block by block, so no task holds a group."""
+    group = ["__source", "__key", "__h", "size"]
+    rows = stage(rows.withColumn("__rid", F.monotonically_increasing_id()), "mix-cut").withColumn("__block", F.floor(F.col("__rid") / BLOCK))
+    blocks = rows.groupBy(*group, "__block").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(*group).orderBy("__block")) - F.col("__rows")
+    blocks = blocks.select(*(F.col(c).alias(f"{c}_b") for c in [*group, "__block"]), before.alias("__before"))
+    same = F.lit(True)
+    for c in [*group, "__block"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__block").orderBy("__rid"))
+    placed = rows.join(blocks, same).withColumn("__more", (place <= F.col("__some")).cast("int"))
+    return placed.drop("__rid", "__block", "__before", *(f"{c}_b" for c in [*group, "__block"]))
+
+
+def _picked(picks: Column, bucket: str, key: str, h: str, size: str, n: Column) -> Column:
+    """How many of a group's n rows the rounds took: those before a cut and not too long for it, and as many as the cut says at it."""
+    own = F.struct(F.col(bucket).alias("bucket"), F.col(key).alias("key"), F.col(h).alias("h"), F.col(size).alias("size")).cast(CUT)
+    fits = lambda p: F.col(size) <= p["left"]
+    return F.aggregate(picks, F.lit(0).cast("long"), lambda got, p: F.when(fits(p) & ((own < p["cut"]) | ((own == p["cut"]) & (p["m"] == ALL))), n.cast("long"))
+                       .when(fits(p) & (own == p["cut"]), F.least(n.cast("long"), got + p["m"])).otherwise(got))

@@ -175,3 +175,17 @@ def test_context_tree_reads_across_words(spark, monkeypatch):
             r, want = got[3 + i], _plain_bits(learn, t)
             assert r.n_bytes == len(t) + 2 and np.isclose(r.bits_per_byte, want / r.n_bytes, rtol=1e-6) and np.isclose(-r.score * np.log2(10), want, rtol=1e-6)
         assert got[3].score > got[4].score + 3
+
+
+def test_repeated_rows_are_cut_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rows = [(None, "copy of some words", "a")] * 300 + [(i, "w " * (1 + i % 5), "a") for i in range(200)]
+    rows += [(1000 + i, "other words", "b") for i in range(700)]
+    rows += [(5000, "same id " * 4, "c")] * 300
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+    copies = {r.epochs for r in got if r.source == "c"}
+    assert len(copies) == 2 and max(copies) - min(copies) == 1
