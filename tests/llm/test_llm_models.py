@@ -189,3 +189,13 @@ def test_repeated_rows_are_cut_one_by_one(spark, monkeypatch):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
     copies = {r.epochs for r in got if r.source == "c"}
     assert len(copies) == 2 and max(copies) - min(copies) == 1
+
+
+def test_language_stage_rejects_by_score(spark):
+    rng = np.random.RandomState(6)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    noise = [" ".join("".join(rng.choice(list("qxzjkvwpbg"), 7)) for _ in range(40)) for _ in range(20)]
+    junk = spark.createDataFrame([(90000 + i, x, None, "src1", len(x)) for i, x in enumerate(noise)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(junk), SMALL).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert clean <= kept and not [i for i in kept if i >= 90000]
