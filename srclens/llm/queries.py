@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers as tok
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, context_tree, fingerprints, language_id, mixing, ngram_join, nn_descent, pii, quality, token_cache
+from . import bpe_codec, context_tree, fingerprints, language_id, mixing, ngram_join, nn_descent, oracles, pii, quality, residue_gemm, slots, token_cache, turn_trie
 from .common import fold, read, shared_dir, stage
 
 
@@ -57,5 +59,33 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_fingerprints, op4_pii, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent)}
-ORACLES: dict[str, str] = {}
+def op11_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``; with a new store of maps per call. slot is the position in the shard."""
+    store = slots.MapStore(spark, f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
+    placed = slots.assign(read(spark, sf_dir, "documents"), store, 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op12_residue_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residue_gemm.mine(e.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def rebuilt(keys: DataFrame) -> DataFrame:
+    """The first h turns of conversation c - c % 5, then c's own turns after its first h; h is crc32 of c as text, modulo 9."""
+    c, w = F.col("conv_id"), turn_trie.WIDTH
+    head = keys.select(c.alias("base"), F.expr(f"substring(key, 1, {8 * w})").alias("head"))
+    h = keys.withColumn("base", c - c % 5).withColumn("h", (F.crc32(c.cast("string").cast("binary")) % 9).cast("int"))
+    both = h.join(head, "base", "left")
+    start = F.coalesce(F.expr(f"substring(head, 1, h * {w})"), F.lit(b""))
+    return both.select("conv_id", F.concat(start, F.expr(f"substring(key, h * {w} + 1)")).alias("key"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(rebuilt(turn_trie.turn_keys(read(spark, sf_dir, "conversations")))).drop("turn_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_fingerprints, op4_pii, op5_language, op6_token_counts, op7_bpe, op8_mix, op9_context_tree, op10_nn_descent,
+                                    op11_slots, op12_residue_gemm, op13_turn_trie)}
+ORACLES: dict[str, str] = oracles.ORACLES
