@@ -73,11 +73,14 @@ PY_SELF_FIELD = r"^" + WS + r"+self\.(\w+)" + WS + r"*="
 PY_CC_WORDS = ["if", "elif", "for", "while", "except", "and", "or"]
 PY_CC = NOT_WORD_BEFORE + "(?:" + "|".join(PY_CC_WORDS) + ")" + NOT_WORD_AFTER
 
-# The same patterns in RE2 syntax, for DuckDB oracles.
-RE2_PY_CC = r"\b(?:" + "|".join(PY_CC_WORDS) + r")\b"
-
-# ---- fixed values: Go tokens that add one to cyclomatic complexity ----
-GO_CC_TOKENS = ["if", "for", "case", "&&", "||"]
+# ---- fixed values: Go identifiers, words that start a type, predeclared types ----
+GO_ID = r"[\p{L}_][\p{L}\p{Nd}_]*"
+GO_NOT_ID_BEFORE = r"(?<![\p{L}\p{Nd}_])"
+GO_NOT_ID_AFTER = r"(?![\p{L}\p{Nd}_])"
+GO_TYPE_WORDS = ["func", "map", "chan", "struct", "interface"]
+GO_PREDECLARED = ["any", "bool", "byte", "comparable", "complex64", "complex128", "error", "float32", "float64",
+                  "int", "int8", "int16", "int32", "int64", "rune", "string", "uint", "uint8", "uint16", "uint32",
+                  "uint64", "uintptr"]
 
 # Go token pattern (type-declaration lines only). Every alternative is
 # possessive so that very long literals cannot overflow the regex engine's
@@ -93,11 +96,11 @@ GO_TOKEN_ANALYSIS = (
     r"|'(?:\\.[^'\n]*+|[^'\\\n]++)'"
     r"|\n"
     r"|&&|\|\|"
-    r"|[A-Za-z_]\w*+"
+    r"|[\p{L}_][\p{L}\p{Nd}_]*+"
     r"|\d[\w.]*+"
     r"|[{}()\[\];,.*=]"
     r"|[-+/%<>!:^|&~?]++"
-    r"|[^\s\w]"
+    r"|[^\s\p{L}\p{Nd}_]"
 )
 # Chunks for masking: comments, literals, and maximal runs of other code
 # (which may span lines); joined back they give the exact source.
@@ -113,11 +116,7 @@ GO_CHUNK = (
 
 # Tokens dropped before any window: numbers, strings, runes, raw strings,
 # single-line comments, operator runs and other symbols.
-GO_KEEP = r"^(?:[A-Za-z_]\w*|[{}()\[\];,.*=]|&&|\|\||\n)$"
-
-# Directory markers of skeleton headers.
-GO_SKETCH_HEADER = "// === {path} ===\n\n"
-PY_SKETCH_HEADER = "# === {path} ===\n\n"
+GO_KEEP = r"^(?:[\p{L}_][\p{L}\p{Nd}_]*|[{}()\[\];,.*=]|&&|\|\||\n)$"
 
 # ---- fixed values: prompt texts of the model-assisted steps ----
 PROMPT_FINDING_HEAD = ("You are a software architect expert in Go design patterns.\n"

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
-def lit_re(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def go_trim(col: Column) -> Column:
     """strings.TrimSpace: strip Unicode white space at both ends."""
     return F.trim(col, F.lit(P.GO_SPACE_CHARS))

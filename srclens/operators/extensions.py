@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .gotypes import KEY
 from .pyfacts import FILE
 
 
@@ -27,15 +28,13 @@ def go_primitive_obsession(facts: dict[str, DataFrame]) -> DataFrame:
     """R2: structs with >= 3 field names holding a domain word, typed as a
     bare string/int/float64/bool."""
     f = (facts["fields"].filter(~F.col("embedded") & F.col("type").isin(*P.GO_PRIMITIVE_TYPES))
-         .select("repo", "pkg", "path", "struct", F.explode("names").alias("n")))
+         .select(*KEY, "head_pos", F.explode("names").alias("n")))
     hit = F.lit(False)
     for w in P.GO_DOMAIN_WORDS:
         hit = hit | F.col("n").contains(w)
-    counts = f.filter(hit).groupBy("repo", "pkg", "path", "struct").agg(F.count("*").alias("c"))
-    s = facts["types"].filter(F.col("kind") == "struct").select(
-        "repo", "pkg", "path", F.col("name").alias("struct"), "line")
-    return _obsession(counts.filter(F.col("c") >= P.PRIMITIVE_MIN).join(s, ["repo", "pkg", "path", "struct"])
-                      .withColumnRenamed("struct", "component"), "c")
+    counts = f.filter(hit).groupBy(*KEY, "head_pos").agg(F.count("*").alias("c"))
+    s = facts["types"].filter(F.col("kind") == "struct").select(*KEY, "head_pos", F.col("name").alias("component"), "line")
+    return _obsession(counts.filter(F.col("c") >= P.PRIMITIVE_MIN).join(s, [*KEY, "head_pos"]), "c")
 
 
 def py_primitive_obsession(lines: DataFrame, defs: DataFrame) -> DataFrame:

@@ -8,24 +8,21 @@ G1   ``go_masked_lines``: each file is cut into comments, literals and code
      runs (``functions.patterns.GO_CHUNK``); comments and literals are
      blanked character by character (newlines kept) with array functions, so
      the masked text keeps the raw text's lines and columns. Lines are
-     exploded; one ordered window over (file id, line) gives depth at line
-     start and declaration ids.
-G2-G5, G12, G14, G15  functions, parameters and calls: one aggregate per
-     declaration over its lines (``go_funcs_lines``, ``go_params``,
-     ``go_calls``).
-G6/G7  only the lines of ``type`` declarations are tokenized
-     (``type_region_lines``, ``line_tokens``); every token feature (depth,
-     type-group state, latest type-spec head and its body) is a running
-     aggregate over one ordering (file id, pos); no token is joined to
-     another token.
+     exploded; one ordered window over (file, line) gives depth at line
+     start, declaration ids and the lines of signatures and type
+     declarations.
+G2-G5, G14, G15  functions and calls: one aggregate per declaration over its
+     lines (``go_funcs_lines``, ``go_calls``).
+G12  ``go_params``: the tokens of a signature, over all its lines, are cut
+     into parameters by running bracket depth.
+G6/G7, G9/G10, G13  see ``gotypes``.
 G8   methods per receiver are counted per package and joined to structs.
-G9/G10 see ``concrete_fields``.
 G11  ``go_imports`` from the raw lines of import declarations.
 
-Type resolution (G9) is a join over the corpus, not a type checker: a field
-type is resolved against the types declared in the same package
-(directory); names not declared there fall back to the syntactic rule
-(G10). Aliases, dot imports and qualified names are not resolved.
+The text of a file is read once: ``go_facts`` stages one narrow row per line
+(masked text only where a signature or a type needs it), and every fact reads
+the columns it needs from there. Rows carry repo, path and directory, so no
+fact goes back to the files.
 """
 
 from __future__ import annotations
@@ -35,117 +32,25 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import dir_name
+from .gotypes import (KEY, bracket_delta, concrete_fields, go_struct_fields, go_types, import_targets, is_ident,
+                      line_tokens, token_features, type_text)
 from .pyfacts import FILE, file_partitions
 from .stage import stage
 
-_IDENT = r"^[A-Za-z_]\w*$"
 _DECL_KW = ["func", "type", "var", "const", "import", "package"]
-_OPEN = ["{", "(", "["]
-_CLOSE = ["}", ")", "]"]
+_CC_LINE = P.GO_NOT_ID_BEFORE + "(?:if|for|case)" + P.GO_NOT_ID_AFTER + r"|&&|\|\|"
+_CALL = r"(?<![\p{L}\p{Nd}_.])(" + P.GO_ID + r")\.(" + P.GO_ID + r")[ \t]*\("
+_TYPE_LINE = r"(?:^|[{;])[ \t]*type" + P.GO_NOT_ID_AFTER
+#: Columns of the staged line table.
+LINE_FACTS = [*KEY, "dir", "line", "m", "raw", "cc", "first", "has_open", "has_close", "depth_after", "decl_start",
+              "decl_id", "kw", "sig", "region", "top", "calls"]
 
 
-def go_tokens(files: DataFrame) -> DataFrame:
-    """G1: token rows keyed by a numeric file id, with line, depth,
-    neighbours, declaration, type-group and type-head state.
-
-    Everything is a running aggregate or an offset over ONE ordering
-    (fid, pos), so the token rows are sorted once; no token is ever joined
-    to another token.
-    """
-    t = (files.withColumn("fid", F.xxhash64(*FILE))
-         .select("fid", F.posexplode(F.regexp_extract_all(
-             F.col("content"), F.lit(P.GO_TOKEN_ANALYSIS), 0)).alias("pos", "tok")))
-    nls = F.length("tok") - F.length(F.replace(F.col("tok"), F.lit("\n"), F.lit("")))
-    # Block comments and raw strings spanning lines still count their
-    # newlines: they become one newline token carrying the count.
-    t = (t.withColumn("nls", nls.cast("int"))
-         .filter(F.col("tok").rlike(P.GO_KEEP) | (F.col("nls") > 0))
-         .withColumn("tok", F.when(F.col("nls") > 0, F.lit("\n")).otherwise(F.col("tok"))))
-    w = Window.partitionBy("fid").orderBy("pos")
-    t = t.withColumn("line", (F.lit(1) + F.sum("nls").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                              - F.col("nls")).cast("int"))
-    return token_features(t.drop("nls"))
-
-
-def line_tokens(lines: DataFrame) -> DataFrame:
-    """Token rows of selected masked lines (literals and comments are
-    already blank), each line closed by a newline token; ``pos`` orders
-    tokens by (line, index)."""
-    t = lines.select("fid", "line", F.posexplode(F.regexp_extract_all(
-        F.col("m"), F.lit(P.GO_TOKEN_ANALYSIS), 0)).alias("i", "tok")).filter(F.col("tok").rlike(P.GO_KEEP))
-    nl = lines.select("fid", "line", F.lit(1 << 20).alias("i"), F.lit("\n").alias("tok"))
-    return (t.unionByName(nl)
-            .select("fid", (F.col("line").cast("long") * F.lit(1 << 21) + F.col("i")).alias("pos"), "tok", "line"))
-
-
-def token_features(t: DataFrame) -> DataFrame:
-    """Window features of token rows (fid, pos, tok, line)."""
-    bd = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
-    pd = (F.when(F.col("tok").isin("(", "["), 1).when(F.col("tok").isin(")", "]"), -1)
-          .otherwise(0))
-    w = Window.partitionBy("fid").orderBy("pos")
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = (t.withColumn("dlt", (bd + pd).cast("int"))
-         .withColumn("depth_after", F.sum("dlt").over(wr).cast("int"))
-         .withColumn("prev1", F.lag("tok", 1).over(w))
-         .withColumn("next1", F.lead("tok", 1).over(w))
-         .withColumn("next2", F.lead("tok", 2).over(w))
-         .withColumn("next3", F.lead("tok", 3).over(w))
-         .withColumn("depth_before", (F.col("depth_after") - F.col("dlt")).cast("int")))
-    line_start = F.col("prev1").isNull() | F.col("prev1").isin("\n", ";")
-    decl_start = (F.col("depth_before") == 0) & F.col("tok").isin(*_DECL_KW) & line_start
-    # Type groups "type (" never nest: a token is inside the latest one until
-    # a ')' brings the depth back to the group's level.
-    grp_open = (F.col("tok") == "(") & (F.col("prev1") == "type")
-    # Top-level ')' and body '{' counters used by the function aggregate.
-    top_close = (F.col("tok") == ")") & (F.col("depth_after") == 0)
-    body_open = ((F.col("tok") == "{") & (F.col("depth_before") == 0)
-                 & ~F.coalesce(F.col("prev1"), F.lit("")).isin("struct", "interface"))
-    t = (t.withColumn("decl_start", decl_start)
-         .withColumn("decl_id", F.sum(decl_start.cast("int")).over(wr).cast("int"))
-         .withColumn("n_top_close", F.sum(top_close.cast("int")).over(wr).cast("int"))
-         .withColumn("n_body_open", F.sum(body_open.cast("int")).over(wr).cast("int"))
-         .withColumn("grp", F.last(F.when(grp_open, F.struct(F.col("pos").alias("p"),
-                                                             F.col("depth_after").alias("d"))),
-                                   ignorenulls=True).over(wr)))
-    grp_close = (F.col("tok") == ")") & (F.col("depth_after") == F.col("grp.d") - 1)
-    t = (t.withColumn("grp_close_pos", F.last(F.when(grp_close, F.col("pos")), ignorenulls=True).over(wr))
-         .withColumn("in_group", F.col("grp.p").isNotNull()
-                     & (F.coalesce(F.col("grp_close_pos"), F.lit(-1)) < F.col("grp.p"))
-                     & (F.col("depth_before") == F.col("grp.d")))
-         .withColumn("kw", F.last(F.when(F.col("decl_start"),
-                                         F.struct(F.col("pos").alias("pos"), F.col("tok").alias("tok"),
-                                                  F.col("line").alias("line"),
-                                                  F.col("next1").alias("next1"),
-                                                  F.col("n_top_close").alias("ntc"),
-                                                  F.col("n_body_open").alias("nbo"))),
-                                  ignorenulls=True).over(wr)))
-    # Type spec heads (G6): right after 'type', or at a line start directly
-    # inside a type group.
-    is_head = (F.col("tok").rlike(_IDENT) & ~F.col("tok").isin("type", "struct", "interface")
-               & ((F.col("prev1") == "type") | (F.col("in_group") & F.col("prev1").isin("\n", ";", "("))))
-    t = (t.withColumn("is_head", is_head)
-         .withColumn("head", F.last(F.when(is_head, F.struct(F.col("pos").alias("pos"),
-                                                             F.col("depth_before").alias("d"))),
-                                    ignorenulls=True).over(wr)))
-    # Body of the latest head: after a '{' at the head's level and before the
-    # first '}' that returns to that level, one level deep.
-    hopen = F.last(F.when((F.col("tok") == "{") & (F.col("depth_before") == F.col("head.d")),
-                          F.col("pos")), ignorenulls=True).over(wr)
-    hclose = F.last(F.when((F.col("tok") == "}") & (F.col("depth_after") == F.col("head.d")),
-                           F.col("pos")), ignorenulls=True).over(wr)
-    t = (t.withColumn("hopen", hopen).withColumn("hclose", hclose)
-         .withColumn("in_head_body", F.col("head.pos").isNotNull()
-                     & (F.coalesce(F.col("hopen"), F.lit(-1)) > F.col("head.pos"))
-                     & (F.coalesce(F.col("hclose"), F.lit(-1)) < F.col("head.pos"))
-                     & (F.col("depth_before") >= F.col("head.d") + 1))
-         .withColumn("body_top", F.col("depth_before") == F.col("head.d") + 1))
-    return t.drop("dlt", "grp", "grp_close_pos", "hopen", "hclose")
-
-
-def _file_keys(files: DataFrame) -> DataFrame:
-    """fid -> repo, path, dir (one row per file; joined to small outputs only)."""
-    return files.select(F.xxhash64(*FILE).alias("fid"), *FILE, "dir")
+def go_files(files: DataFrame) -> DataFrame:
+    """The Go files that are analysed: those of a package load, without ``_test.go``."""
+    files = files.filter((F.col("lang") == "go") & F.col("content").isNotNull()
+                         & ~F.col("path").endswith("_test.go"))
+    return files if "dir" in files.columns else files.withColumn("dir", dir_name(F.col("path")))
 
 
 def _recv_name(recv: F.Column, allow_index: bool) -> F.Column:
@@ -155,168 +60,24 @@ def _recv_name(recv: F.Column, allow_index: bool) -> F.Column:
     (one index); everything else -> ''.
     """
     base = F.regexp_replace(recv, r"^\*+", "")
-    plain = F.regexp_extract(base, r"^([A-Za-z_]\w*)$", 1)
+    plain = F.regexp_extract(base, "^(" + P.GO_ID + ")$", 1)
     if not allow_index:
         return plain
-    idx = F.regexp_extract(base, r"^([A-Za-z_]\w*)\[[^,\[\]]+\]$", 1)
+    idx = F.regexp_extract(base, "^(" + P.GO_ID + r")\[[^,\[\]]+\]$", 1)
     return F.when(plain != "", plain).otherwise(idx)
 
 
-def go_types(tokens: DataFrame, keys: DataFrame) -> DataFrame:
-    """G6 (all kinds): type specs with name, kind (struct/interface/other),
-    line, and the position of a struct's opening brace.
-
-    For a generic head ``Name[...]`` the token after the closing ``]`` is
-    read from the ``]`` row (the running ``head`` state points back to it).
-    """
-    heads = tokens.filter("is_head").select(
-        "fid", "pos", F.col("tok").alias("name"), "line", "next1", "next2", "next3",
-        F.col("depth_before").alias("d"), (F.col("kw.tok") == "type").alias("top_level"))
-    closers = (tokens.filter((F.col("tok") == "]") & F.col("head.pos").isNotNull()
-                             & (F.col("depth_after") == F.col("head.d")))
-               .groupBy("fid", F.col("head.pos").alias("pos"))
-               .agg(F.min_by(F.struct("next1", "next2", "next3", "pos"), F.col("pos")).alias("g")))
-    h = heads.join(closers, ["fid", "pos"], "left")
-    gen = (F.col("next1") == "[") & F.col("g").isNotNull()
-    n1 = F.when(gen, F.col("g.next1")).otherwise(F.col("next1"))
-    n2 = F.when(gen, F.col("g.next2")).otherwise(F.col("next2"))
-    n3 = F.when(gen, F.col("g.next3")).otherwise(F.col("next3"))
-    alias = n1 == "="
-    kind_tok = F.when(alias, n2).otherwise(n1)
-    brace_tok = F.when(alias, n3).otherwise(n2)
-    kind = (F.when((kind_tok == "struct") & (brace_tok == "{"), F.lit("struct"))
-            .when(kind_tok == "interface", F.lit("interface"))
-            .otherwise(F.lit("other")))
-    return (h.join(keys, "fid")
-            .select("fid", "repo", F.col("dir").alias("pkg"), "path", "name", kind.alias("kind"),
-                    "line", F.col("pos").alias("head_pos"), "d", F.col("top_level")))
-
-
-def go_struct_fields(tokens: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per field declaration of every struct type spec.
-
-    Field tokens are the tokens one level inside the struct's brace that
-    follow the latest struct head; fields split at newline or ``;``.
-    Columns: repo, pkg, path, struct, line, names (array), embedded, type
-    (type text without spaces), simple (type has no nested brackets).
-    """
-    st = types.filter(F.col("kind") == "struct").select(
-        "fid", F.col("head_pos").alias("hpos"), "repo", "pkg", "path", F.col("name").alias("struct"))
-    # Body tokens: depth one past the head's level + 1 (the struct brace),
-    # after the brace. The brace itself is the first '{' after the head at
-    # the head's level.
-    body = (tokens.filter("in_head_body")
-            .select("fid", F.col("head.pos").alias("hpos"), "pos", "tok", "line", "body_top"))
-    sep = F.col("body_top") & ((F.col("tok") == "\n") | (F.col("tok") == ";"))
-    k = body.join(st.select("fid", "hpos"), ["fid", "hpos"], "left_semi")
-    wf = Window.partitionBy("fid", "hpos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    k = (k.withColumn("field_no", F.sum(sep.cast("int")).over(wf))
-         .filter(~sep & (F.col("tok") != "\n")))
-    f = (k.groupBy("fid", "hpos", "field_no")
-         .agg(F.min("line").alias("line"),
-              F.sort_array(F.collect_list(F.when(F.col("body_top"), F.struct("pos", "tok")))).alias("ts"),
-              F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("ts_all"))
-         .filter(F.size("ts") > 0)
-         .join(st, ["fid", "hpos"])
-         .withColumn("toks", F.transform("ts", lambda x: x["tok"]))
-         .withColumn("all", F.transform("ts_all", lambda x: x["tok"])))
-    toks = F.col("toks")
-    # Drop a trailing tag literal (literals are blank in masked lines, so
-    # this only matters for token streams that keep them).
-    last = F.element_at(toks, -1)
-    toks_nt = F.when((F.size(toks) > 1) & (last.startswith('"') | last.startswith("`")),
-                     F.slice(toks, 1, F.size(toks) - 1)).otherwise(toks)
-    f = f.withColumn("toks", toks_nt)
-    first, second = F.try_element_at(toks, F.lit(1)), F.try_element_at(toks, F.lit(2))
-    embedded = ((first == "*") | (F.size(toks) == 1) | (second == "."))
-    # Type starts at the first position >= 2 not adjacent to a comma.
-    tstart = F.element_at(F.filter(F.sequence(F.lit(2), F.greatest(F.size(toks), F.lit(2))),
-                                   lambda i: (F.try_element_at(toks, i) != ",")
-                                   & (F.try_element_at(toks, i - 1) != ",")), 1)
-    names = F.filter(F.slice(toks, 1, tstart - 1), lambda x: x != ",")
-    typ = F.when(embedded, toks).otherwise(F.slice(toks, tstart, 1 << 20))
-    full = F.when(embedded, F.col("all")).otherwise(F.slice(F.col("all"), tstart, 1 << 20))
-    return f.select(
-        "repo", "pkg", "path", "struct", F.col("line").cast("int").alias("line"),
-        F.when(embedded, F.array().cast("array<string>")).otherwise(names).alias("names"),
-        embedded.alias("embedded"),
-        type_text(full).alias("type"),
-        (~F.exists(typ, lambda x: x.isin("(", "[", "{"))).alias("simple"))
-
-
-def type_text(toks: F.Column) -> F.Column:
-    """Type expression text from its tokens: words separated by a
-    space only where two words meet (``chan int``, ``map[string]int``);
-    array lengths are already gone (numbers are not kept); function types
-    read ``func(...)``, interface types ``interface{}``, struct literals
-    ``?``."""
-    n = F.size(toks)
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(
-        F.coalesce(F.try_element_at(toks, i), F.lit("")),
-        F.when((i < n) & F.try_element_at(toks, i).rlike(_IDENT)
-               & F.try_element_at(toks, i + 1).rlike(_IDENT), F.lit(" ")).otherwise(F.lit(""))))
-    t = F.array_join(parts, "")
-    t = F.regexp_replace(t, r"func\(.*$", "func(...)")
-    t = F.regexp_replace(t, r"interface\{[^{}]*\}", "interface{}")
-    return F.regexp_replace(t, r"struct\{[^{}]*\}", "?")
-
-
-def go_structs(types: DataFrame, fields: DataFrame, funcs: DataFrame) -> DataFrame:
-    """G6-G8 + J1: struct rows with field and method counts.
-
-    A (pkg, name) declared twice keeps the last one (latest file, line).
-    Methods are counted per (pkg, receiver) across all files of the package.
-    """
-    st = types.filter(F.col("kind") == "struct")
-    nf = (fields.groupBy("repo", "pkg", "path", "struct", )
-          .agg(F.sum(F.when(F.col("embedded"), 1).otherwise(F.size("names"))).alias("nf"),
-               F.min("line").alias("_l")))
-    st = (st.join(nf.withColumnRenamed("struct", "name").drop("_l"), ["repo", "pkg", "path", "name"], "left")
-          .groupBy("repo", "pkg", "name")
-          .agg(F.max_by(F.struct("path", "line", "nf"), F.struct("path", "line")).alias("s")))
-    methods = (funcs.filter(F.coalesce(F.col("recv"), F.lit("")) != "")
-               .groupBy("repo", "pkg", F.col("recv").alias("name")).agg(F.count("*").alias("methods")))
-    return (st.join(methods, ["repo", "pkg", "name"], "left")
-            .select("repo", "pkg", F.col("s.path").alias("path"), "name",
-                    F.col("s.line").cast("int").alias("line"),
-                    F.coalesce(F.col("s.nf"), F.lit(0)).cast("int").alias("fields"),
-                    F.coalesce("methods", F.lit(0)).cast("int").alias("methods")))
-
-
-def concrete_fields(types: DataFrame, fields: DataFrame) -> DataFrame:
-    """G9/G10 + J6: named fields with an injectable name whose type is concrete.
-
-    Resolution: the type (one leading ``*`` removed) is looked up among the
-    types of the same package; a struct there is concrete, any other kind is
-    not. Names not declared in the package fall back to the syntactic rule:
-    pointer to an unqualified name.
-    """
-    inj = F.exists("names", lambda n: F.lower(n).isin(*P.INJECTABLE_NAMES))
-    cand = (fields.filter(~F.col("embedded") & inj)
-            .withColumn("base", F.regexp_extract("type", r"^\*?([A-Za-z_]\w*)$", 1)))
-    kinds = (types.groupBy("repo", "pkg", F.col("name").alias("base"))
-             .agg(F.max(F.col("kind") == "struct").alias("is_struct")))
-    j = cand.join(kinds, ["repo", "pkg", "base"], "left")
-    concrete = F.when(F.col("is_struct").isNotNull() & (F.col("base") != ""), F.col("is_struct")) \
-        .otherwise(F.col("type").rlike(r"^\*[A-Za-z_]\w*$"))
-    return (j.filter(concrete)
-            .select("repo", "pkg", "path", "struct", "line",
-                    F.element_at("names", 1).alias("first_name"), "type"))
-
-
-_CC_LINE = (r"(?<![A-Za-z0-9_])(?:if|for|case)(?![A-Za-z0-9_])|&&|\|\|")
-
-
 def go_masked_lines(files: DataFrame) -> DataFrame:
-    """G1 at line granularity: one row per source line with the masked text
-    (comments removed, string/rune/raw literals replaced by ``""`` while their
-    newlines are kept), brace/paren deltas, cc-token count, depth at line
-    start and the declaration id.
+    """G1 at line granularity: one row per source line with the raw and the
+    masked text, brace/paren deltas, cc-token count, depth at line start, the
+    declaration id and the flags ``sig`` (line of a function's signature),
+    ``region`` (line of a type declaration) and ``top`` (that one is at top
+    level).
 
     Masking is a per-file array transform of the token array (no rows per
-    token); the only window runs over lines, ordered by (fid, line).
+    token); the only windows run over lines, in one order per file.
     """
-    toks = F.regexp_extract_all(F.col("content"), F.lit(P.GO_CHUNK), 0)
+    toks = F.regexp_extract_all(F.col("content"), F.lit(P.GO_CHUNK), F.lit(0))
 
     def mask(t):
         # Length-preserving: every character of a comment or literal except
@@ -326,171 +87,213 @@ def go_masked_lines(files: DataFrame) -> DataFrame:
         com = t.startswith("//") | (t.startswith("/*") & (F.length(t) > 3))
         return F.when(lit | com, F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
     masked = F.array_join(F.transform(toks, mask), "")
-    df = files.select(F.xxhash64(*FILE).alias("fid"),
+    files = files.withColumn("fid", F.xxhash64(*FILE)).repartition(file_partitions(files.sparkSession), "fid")
+    df = files.select(*KEY, "dir",
                       F.posexplode(F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("raw"),
                                                 F.split(masked, "\n", -1).alias("m"))).alias("pos", "z"))
 
     def cnt(ch):
         return F.length("m") - F.length(F.replace(F.col("m"), F.lit(ch), F.lit("")))
-    df = (df.select("fid", (F.col("pos") + 1).cast("int").alias("line"),
+    df = (df.select(*KEY, "dir", (F.col("pos") + 1).cast("int").alias("line"),
                     F.col("z.raw").alias("raw"), F.coalesce(F.col("z.m"), F.lit("")).alias("m"))
           .withColumn("bd", (cnt("{") - cnt("}")).cast("int"))
-          .withColumn("dl", (cnt("{") - cnt("}") + cnt("(") - cnt(")") + cnt("[") - cnt("]")).cast("int"))
+          .withColumn("dl", (F.col("bd") + cnt("(") - cnt(")") + cnt("[") - cnt("]")).cast("int"))
           .withColumn("cc", F.regexp_count(F.col("m"), F.lit(_CC_LINE)).cast("int"))
+          .withColumn("has_open", F.col("m").contains("{"))
           .withColumn("has_close", F.col("m").contains("}"))
-          .withColumn("first", F.regexp_extract("m", r"^[ \t]*([A-Za-z_]\w*)", 1)))
-    w = Window.partitionBy("fid").orderBy("line")
-    wb = w.rowsBetween(Window.unboundedPreceding, -1)
+          .withColumn("first", F.regexp_extract("m", r"^[ \t]*(" + P.GO_ID + ")", 1)))
+    w = Window.partitionBy(*KEY).orderBy("line")
+    wb, wr = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     df = (df.withColumn("depth_before", F.coalesce(F.sum("dl").over(wb), F.lit(0)).cast("int"))
           .withColumn("bdepth_before", F.coalesce(F.sum("bd").over(wb), F.lit(0)).cast("int")))
     start = (F.col("depth_before") == 0) & F.col("first").isin(*_DECL_KW)
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    # A body opens where nothing but braces is open (not inside a parameter list).
+    body_open = F.col("has_open") & (F.col("bdepth_before") == 0) & (F.col("depth_after") == F.col("bd"))
     df = (df.withColumn("decl_start", start)
           .withColumn("decl_id", F.sum(start.cast("int")).over(wr))
           .withColumn("depth_after", F.col("depth_before") + F.col("dl"))
-          # Declaration keyword and first line, carried to every line.
-          .withColumn("kw", F.last(F.when(start, F.struct(F.col("first").alias("k"), F.col("line").alias("l"))),
-                                   ignorenulls=True).over(wr)))
-    return with_type_regions(df)
-
-
-def with_type_regions(lines: DataFrame) -> DataFrame:
-    """Flag the lines of type declarations (``region``): top-level ``type``
-    declarations, and ``type`` statements inside functions with their
-    bodies. Runs in the same ordered window pass as the line facts."""
-    w = Window.partitionBy("fid").orderBy("line")
-    inner = (F.col("first") == "type") & (F.col("depth_before") > 0)
-    t = lines.withColumn("ts", F.last(F.when(inner, F.struct(F.col("line").alias("l"),
-                                                              F.col("depth_before").alias("d"))),
-                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("tclose", F.last(F.when(F.col("ts").isNotNull() & (F.col("line") > F.col("ts.l"))
-                                             & (F.col("depth_after") <= F.col("ts.d")), F.col("line")),
-                                      ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    region = ((F.col("kw.k") == "type") & (F.col("decl_id") > 0)) | (
-        F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l")))
-    return t.withColumn("region", F.coalesce(region, F.lit(False))).drop("ts", "tclose")
-
-
-def go_funcs_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
+          .withColumn("bodies", F.coalesce(F.sum(body_open.cast("int")).over(wb), F.lit(0)))
+          # Declaration keyword, first line and bodies opened before, carried to every line.
+          .withColumn("kw", F.last(F.when(start, F.struct(F.col("first").alias("k"), F.col("line").alias("l"),
+                                                          F.col("bodies").alias("o"))), ignorenulls=True).over(wr))
+          # A signature runs from the func line to the line that opens the body.
+          .withColumn("sig", F.coalesce((F.col("kw.k") == "func") & (F.col("bodies") == F.col("kw.o")), F.lit(False))))
+    # Type statements inside functions, with their bodies.
+    inner = (F.col("first") != "type") | (F.col("depth_before") > 0)
+    inner = inner & F.col("m").contains("type") & F.col("m").rlike(_TYPE_LINE)
+    df = df.withColumn("ts", F.last(F.when(inner, F.struct(F.col("line").alias("l"), F.col("depth_before").alias("d"))),
+                                    ignorenulls=True).over(wr))
+    df = df.withColumn("tclose", F.last(F.when((F.col("line") >= F.col("ts.l")) & (F.col("depth_after") <= F.col("ts.d")),
+                                               F.col("line")), ignorenulls=True).over(wb))
+    top = F.coalesce((F.col("kw.k") == "type") & (F.col("decl_id") > 0), F.lit(False))
+    local = F.col("ts").isNotNull() & (F.coalesce(F.col("tclose"), F.lit(-1)) < F.col("ts.l"))
+    return df.withColumn("region", top | local).withColumn("top", top).drop("ts", "tclose", "bodies")
+
+
+def line_facts(lines: DataFrame) -> DataFrame:
+    """The columns that are staged: masked text of signatures, type
+    declarations and package clauses, raw text of imports, call targets."""
+    is_func = F.col("kw.k") == "func"
+    keep = F.col("sig") | F.col("region") | (F.col("kw.k") == "package")
+    calls = F.when(is_func & F.col("m").contains("."), F.regexp_extract_all("m", F.lit(_CALL), F.lit(0)))
+    return lines.select(*KEY, "dir", "line", F.when(keep, F.col("m")).alias("m"),
+                        F.when(F.col("kw.k") == "import", F.col("raw")).alias("raw"), "cc",
+                        F.when(F.col("decl_start"), F.col("first")).alias("first"), "has_open", "has_close",
+                        "depth_after", "decl_start", "decl_id", "kw", "sig", "region", "top",
+                        F.when(F.size(calls) > 0, calls).alias("calls")).select(*LINE_FACTS)
+
+
+def go_funcs_lines(lines: DataFrame) -> DataFrame:
     """G2-G5, G15 from line rows: one aggregate per declaration.
 
-    The ``func`` line gives receiver and name; cc tokens cannot occur in a
-    signature, so the declaration's complexity is 1 + the cc tokens of all
-    its lines; the body ends at the last line that returns to depth 0.
+    The signature's lines give receiver and name; cc tokens cannot occur in
+    it, so the declaration's complexity is 1 + the cc tokens of all its
+    lines; the body ends at the last line that returns to depth 0.
     """
-    useful = F.col("decl_start") | (F.col("cc") > 0) | F.col("has_close") | F.col("m").contains("{")
+    useful = F.col("sig") | (F.col("cc") > 0) | F.col("has_close") | F.col("has_open")
+    part = F.when(F.col("sig"), F.struct("line", "m"))
     d = (lines.filter((F.col("kw.k") == "func") & (F.col("decl_id") > 0) & useful)
-         .groupBy("fid", "decl_id")
-         .agg(F.min_by(F.struct("first", "m", "line"), F.col("line")).alias("h"),
-              F.sum("cc").alias("cc"),
-              F.max(F.col("m").contains("{")).alias("has_brace"),
+         .groupBy(*KEY, "dir", "decl_id")
+         .agg(F.min("kw.l").alias("at"), F.sort_array(F.collect_list(part)).alias("sig"),
+              F.sum("cc").alias("cc"), F.max("has_open").alias("has_brace"),
               F.max(F.when(F.col("has_close") & (F.col("depth_after") == 0), F.col("line"))).alias("end_line"))
-         .filter((F.col("h.first") == "func") & F.col("has_brace")))
-    sig = r"^[ \t]*func[ \t]*(?:\(([^)]*)\))?[ \t]*([A-Za-z_]\w*)"
-    recv = F.regexp_extract("h.m", sig, 1)
-    name = F.regexp_extract("h.m", sig, 2)
-    has_recv = F.col("h.m").rlike(r"^[ \t]*func[ \t]*\(")
+         .filter("has_brace")
+         .withColumn("h", F.array_join(F.transform("sig", lambda x: x["m"]), " ")))
+    sig = r"^[ \t]*func[ \t]*(?:\(([^)]*)\))?[ \t]*(" + P.GO_ID + ")"
+    recv = F.trim(F.regexp_extract("h", sig, 1))
+    name = F.regexp_extract("h", sig, 2)
+    has_recv = F.col("h").rlike(r"^[ \t]*func[ \t]*\(")
     rtype = F.regexp_replace(
-        F.when(F.trim(recv).rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
-               F.regexp_replace(F.trim(recv), r"^[A-Za-z_]\w*[ \t]+", "")).otherwise(F.trim(recv)),
-        r"[ \t]+", "")
-    return (d.filter(name != "").join(keys, "fid").select(
+        F.when(recv.rlike("^" + P.GO_ID + r"[ \t]+\S"), F.regexp_replace(recv, "^" + P.GO_ID + r"[ \t]+", ""))
+        .otherwise(recv), r"[ \t]+", "")
+    return (d.filter(name != "").select(
         "repo", F.col("dir").alias("pkg"), "path", name.alias("name"),
         F.when(has_recv, _recv_name(rtype, True)).alias("recv"),
         F.when(has_recv, _recv_name(rtype, False)).alias("recv_cc"),
-        F.col("h.line").cast("int").alias("line"),
-        (F.col("end_line") - F.col("h.line") + 1).cast("int").alias("lines"),
+        F.col("at").cast("int").alias("line"),
+        (F.col("end_line") - F.col("at") + 1).cast("int").alias("lines"),
         (F.col("cc") + 1).cast("int").alias("complexity")))
 
 
-def type_region_lines(lines: DataFrame) -> DataFrame:
-    """The lines of type declarations (see ``with_type_regions``); only these
-    go through the token-level type analysis."""
-    return lines.filter("region").select("fid", "line", "m")
+def go_packages(lines: DataFrame) -> DataFrame:
+    """repo, path, pkg (directory), package: the package clause of every file (null if it has none)."""
+    clause = F.regexp_extract("m", r"package[ \t]+(" + P.GO_ID + ")", 1)
+    named = F.when((F.col("first") == "package") & (clause != ""), F.struct("line", clause.alias("package")))
+    return (lines.filter((F.col("line") == 1) | (F.col("first") == "package"))
+            .groupBy(*FILE, F.col("dir").alias("pkg")).agg(F.min(named).alias("c"))
+            .select(*FILE, "pkg", F.col("c.package").alias("package")))
 
 
-def go_imports(lines: DataFrame, keys: DataFrame) -> DataFrame:
+def go_imports(lines: DataFrame) -> DataFrame:
     """Imports of each file (alias or NULL, path without quotes), read
-    from the raw lines of ``import`` declarations."""
+    from the raw lines of ``import`` declarations, comments removed."""
     imp = lines.filter((F.col("kw.k") == "import") & (F.col("decl_id") > 0))
-    spec = r'(?:^|[ \t(;])(?:([A-Za-z_.]\w*)[ \t]+)?"([^"]+)"'
-    text = F.regexp_replace("raw", r"^[ \t]*import(?![A-Za-z0-9_])", " ")
-    return (imp.select("fid", "line", F.explode(F.regexp_extract_all(text, F.lit(spec), 0)).alias("s"))
-            .select("fid", "line", F.regexp_extract("s", spec, 1).alias("alias"),
-                    F.regexp_extract("s", spec, 2).alias("import_path"))
-            .join(keys, "fid")
-            .select("repo", "path", "line", F.nullif(F.col("alias"), F.lit("")).alias("alias"), "import_path"))
-
-
-def go_decl_lines(lines: DataFrame, funcs_only: bool = True) -> DataFrame:
-    """Lines of function declarations (``kw`` holds the declaration's
-    keyword ``k`` and first line ``l``)."""
-    return lines.filter(F.col("kw.k") == "func") if funcs_only else lines
-
-
-def go_params(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """Parameters ``name type`` per function declaration, each name
-    repeated with its type, an unnamed parameter giving the type; read from
-    the signature on the ``func`` line (masked text)."""
-    sig = r"^[ \t]*func[ \t]*(?:\([^)]*\))?[ \t]*([A-Za-z_]\w*)[ \t]*(?:\[[^\]]*\])?\((.*?)\)"
-    heads = (lines.filter(F.col("decl_start") & (F.col("first") == "func"))
-             .select("fid", "line", F.regexp_extract("m", sig, 1).alias("func"),
-                     F.regexp_extract("m", sig, 2).alias("plist"))
-             .filter(F.col("func") != ""))
-    parts = F.filter(F.transform(F.split(F.col("plist"), ","), lambda x: F.trim(x)), lambda x: x != "")
-    p = heads.select("fid", "line", "func", F.posexplode(parts).alias("idx", "p"))
-    # "a, b int": a name-only part takes the type of the next part that has one.
-    p = (p.withColumn("pname", F.when(F.col("p").rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
-                                      F.regexp_extract("p", r"^([A-Za-z_]\w*)", 1))
-                      .when(F.col("p").rlike(r"^[A-Za-z_]\w*$"), F.col("p")))
-         .withColumn("ptype", F.when(F.col("p").rlike(r"^[A-Za-z_]\w*[ \t]+\S"),
-                                     F.regexp_replace("p", r"^[A-Za-z_]\w*[ \t]+", ""))))
-    w = Window.partitionBy("fid", "line").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    p = p.withColumn("next_type", F.first("ptype", ignorenulls=True).over(w))
-    any_typed = F.max(F.col("ptype").isNotNull()).over(Window.partitionBy("fid", "line"))
-    p = p.withColumn("any_typed", any_typed)
-    return (p.join(keys, "fid").select(
-        "repo", "path", "func", F.col("line").cast("int").alias("line"), F.col("idx").cast("int").alias("idx"),
-        F.when(F.col("any_typed"), F.col("pname")).alias("name"),
-        F.when(F.col("any_typed"), F.col("next_type")).otherwise(F.col("p")).alias("type")))
-
-
-def go_calls(lines: DataFrame, keys: DataFrame, limit: int = 10) -> DataFrame:
+    spec = r'(?:^|[ \t(;])(?:(\.|' + P.GO_ID + r')[ \t]+)?["`]([^"`]+)["`]'
+    text = F.regexp_replace(F.regexp_replace("raw", r"//.*$|/\*.*?\*/", " "), "^[ \t]*import" + P.GO_NOT_ID_AFTER, " ")
+    return (imp.select(*FILE, "line", F.posexplode(F.regexp_extract_all(text, F.lit(spec), F.lit(0))).alias("nth", "s"))
+            .select(*FILE, "line", "nth", F.nullif(F.regexp_extract("s", spec, 1), F.lit("")).alias("alias"),
+                    F.regexp_extract("s", spec, 2).alias("import_path")))
+
+
+def go_structs(types: DataFrame, fields: DataFrame, funcs: DataFrame) -> DataFrame:
+    """G6-G8 + J1: struct rows with field and method counts.
+
+    A (pkg, name) declared twice keeps the last one (latest file, then line),
+    with that declaration's fields. Methods are counted per (pkg, receiver)
+    across all files of the package.
+    """
+    nf = fields.groupBy(*KEY, "head_pos").agg(F.sum(F.when(F.col("embedded"), 1).otherwise(F.size("names"))).alias("nf"))
+    st = (types.filter(F.col("kind") == "struct").join(nf, [*KEY, "head_pos"], "left")
+          .groupBy("repo", "pkg", "name")
+          .agg(F.max_by(F.struct("path", "line", "nf"), F.struct("path", "head_pos")).alias("s")))
+    methods = (funcs.filter(F.coalesce(F.col("recv"), F.lit("")) != "")
+               .groupBy("repo", "pkg", F.col("recv").alias("name")).agg(F.count("*").alias("methods")))
+    return (st.join(methods, ["repo", "pkg", "name"], "left")
+            .select("repo", "pkg", F.col("s.path").alias("path"), "name",
+                    F.col("s.line").cast("int").alias("line"),
+                    F.coalesce(F.col("s.nf"), F.lit(0)).cast("int").alias("fields"),
+                    F.coalesce("methods", F.lit(0)).cast("int").alias("methods")))
+
+
+def go_params(lines: DataFrame) -> DataFrame:
+    """Parameters of each function declaration in order: name (null where
+    the list has types only) and type text (G13).
+
+    The tokens of the signature's lines are ordered once per declaration. The
+    parameter list is the first ``(`` at depth 0 after the function's name; a
+    comma one level inside starts the next parameter. ``a, b int``: a lone name
+    takes the type of the next parameter that has one."""
+    t = line_tokens(lines.filter("sig").withColumn("at", F.col("kw.l")), "at").filter(F.col("tok") != "\n")
+    decl = [*KEY, "at"]
+    w = Window.partitionBy(*decl).orderBy("line", "i").rowsBetween(Window.unboundedPreceding, 0)
+    t = (t.withColumn("d", F.sum(bracket_delta(F.col("tok"))).over(w)).withColumn("d0", F.col("d") - bracket_delta(F.col("tok")))
+         .withColumn("name", F.first(F.when((F.col("d0") == 0) & is_ident(F.col("tok")) & (F.col("tok") != "func"), F.col("tok")),
+                                     ignorenulls=True).over(w))
+         .withColumn("opened", F.sum(F.when((F.col("tok") == "(") & (F.col("d0") == 0) & F.col("name").isNotNull(), 1)
+                                     .otherwise(0)).over(w))
+         .withColumn("closed", F.sum(F.when((F.col("tok") == ")") & (F.col("d") == 0) & F.col("name").isNotNull(), 1)
+                                     .otherwise(0)).over(w)))
+    p = (t.filter((F.col("opened") == 1) & (F.col("closed") == 0) & (F.col("d0") >= 1))
+         .withColumn("comma", (F.col("tok") == ",") & (F.col("d0") == 1))
+         .withColumn("idx", F.sum(F.col("comma").cast("int")).over(w)).filter("not comma"))
+    p = (p.groupBy(*decl, F.col("name").alias("func"), "idx")
+         .agg(F.sort_array(F.collect_list(F.struct("line", "i", "tok", "d"))).alias("ts"))
+         .withColumn("toks", F.transform("ts", lambda x: x["tok"])))
+    toks, n = F.col("toks"), F.size("toks")
+    first, second, third = (F.try_element_at(toks, F.lit(k)) for k in (1, 2, 3))
+    # In ``a [n]T`` the bracket closes before the end, in the instance ``T[K]`` at the end.
+    closes = F.array_position(F.transform("ts", lambda x: (x["tok"] == "]") & (x["d"] == 1)), F.lit(True))
+    named = is_ident(first) & ~first.isin(*P.GO_TYPE_WORDS) & (
+        is_ident(second) | second.isin("*", "(") | ((second == "[") & (closes < n)) | ((second == ".") & (third == ".")))
+    p = p.withColumn("named", F.coalesce(named, F.lit(False)))
+    wd = Window.partitionBy(*decl)
+    after = wd.orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    own = F.when(F.col("named"), type_text(F.slice(toks, 2, F.greatest(n - 1, F.lit(0)))))
+    p = (p.withColumn("any_named", F.max("named").over(wd)).withColumn("own", own)
+         .withColumn("next", F.first("own", ignorenulls=True).over(after)))
+    return p.select("repo", "path", "func", F.col("at").cast("int").alias("line"), F.col("idx").cast("int").alias("idx"),
+                    F.when(F.col("any_named"), first).alias("name"),
+                    F.when(F.col("any_named"), F.col("next")).otherwise(type_text(toks)).alias("type"))
+
+
+def go_calls(lines: DataFrame, limit: int = 10) -> DataFrame:
     """G14 + O3/O5: call targets ``x.Sel(`` with a plain identifier on the
     left, distinct per function, the first ``limit`` in source order."""
-    t = go_decl_lines(lines)
-    pat = r"(?<![\w.])([A-Za-z_]\w*)\.([A-Za-z_]\w*)[ \t]*\("
-    c = (t.select("fid", F.col("kw.l").alias("fline"), "line",
-                  F.posexplode(F.regexp_extract_all("m", F.lit(pat), 0)).alias("k", "c"))
-         .withColumn("call", F.regexp_replace(F.regexp_replace("c", r"[ \t]*\($", ""), r"[ \t]", "")))
-    first = c.groupBy("fid", "fline", "call").agg(F.min(F.struct("line", "k")).alias("at"))
-    w = Window.partitionBy("fid", "fline").orderBy("at")
+    c = (lines.filter((F.col("kw.k") == "func") & F.col("calls").isNotNull())
+         .select(*KEY, F.col("kw.l").alias("fline"), "line", F.posexplode("calls").alias("k", "c"))
+         .withColumn("call", F.regexp_replace("c", r"[ \t]*\($", "")))
+    first = c.groupBy(*KEY, "fline", "call").agg(F.min(F.struct("line", "k")).alias("at"))
+    w = Window.partitionBy(*KEY, "fline").orderBy("at")
     return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-            .join(keys, "fid")
             .select("repo", "path", F.col("fline").cast("int").alias("func_line"), "call",
                     F.col("rank").cast("int").alias("rank")))
 
 
-def go_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
-    """All Go facts of a source table (``_test.go`` files excluded)."""
-    files = files.filter((F.col("lang") == "go") & F.col("content").isNotNull()
-                         & ~F.col("path").endswith("_test.go"))
-    if "dir" not in files.columns:
-        files = files.withColumn("dir", dir_name(F.col("path")))
-    keys = _file_keys(files)
-    n = file_partitions(files.sparkSession)
-    lines = go_masked_lines(files.repartition(n, F.xxhash64(*FILE)))
-    # Raw text is only read for import declarations; the staged table keeps
-    # the masked text of every line and the raw text of those lines only.
-    lines = lines.withColumn("raw", F.when(F.col("kw.k") == "import", F.col("raw")))
-    if materialize:
-        lines = stage(lines)
-    funcs = go_funcs_lines(lines, keys)
-    tokens = token_features(line_tokens(type_region_lines(lines)))
-    if materialize:
-        tokens = stage(tokens)
-    types = go_types(tokens, keys)
-    fields = go_struct_fields(tokens, types)
-    structs = go_structs(types, fields, funcs)
-    return {"tokens": tokens, "lines": lines, "keys": keys, "funcs": funcs, "types": types, "fields": fields,
-            "structs": structs, "concrete_fields": concrete_fields(types, fields)}
+class Facts(dict):
+    """Fact tables by name, each built (and staged) when first asked for, so that a detector plans and runs only what it reads."""
+
+    def __init__(self, makers: dict):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = table = self.makers[name](self)
+        return table
+
+
+def go_facts(files: DataFrame, materialize: bool = True) -> Facts:
+    """All Go facts of a source table (``_test.go`` files excluded): lines,
+    packages, imports, funcs, types, fields, structs, concrete_fields."""
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name) if materialize else df
+    return Facts({
+        "lines": lambda f: kept(line_facts(go_masked_lines(go_files(files))), "golines"),
+        "packages": lambda f: go_packages(f["lines"]),
+        "imports": lambda f: go_imports(f["lines"]),
+        "funcs": lambda f: go_funcs_lines(f["lines"]),
+        "tokens": lambda f: token_features(line_tokens(f["lines"].filter("region"), "top")),
+        "types": lambda f: kept(go_types(f["tokens"]), "gotypes"),
+        "fields": lambda f: kept(go_struct_fields(f["tokens"], f["types"]), "gofields"),
+        "structs": lambda f: go_structs(f["types"], f["fields"], f["funcs"]),
+        "concrete_fields": lambda f: concrete_fields(f["types"], f["fields"], import_targets(f["imports"], f["packages"])),
+    })

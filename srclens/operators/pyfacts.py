@@ -60,7 +60,7 @@ def cluster_files(files: DataFrame) -> DataFrame:
     return files.repartition(file_partitions(files.sparkSession), *FILE)
 
 
-def py_lines(files: DataFrame, keep_skipped: bool = False) -> DataFrame:
+def py_lines(files: DataFrame, keep_skipped: bool | str = False) -> DataFrame:
     """One row per line with header classification.
 
     Columns: repo, path, line, raw, text (trimmed), indent, skip, cls_name,
@@ -72,6 +72,8 @@ def py_lines(files: DataFrame, keep_skipped: bool = False) -> DataFrame:
           .withColumn("skip", (F.col("text") == "") | F.col("text").startswith("#")))
     if not keep_skipped:
         df = df.filter(~F.col("skip"))
+    elif keep_skipped == "first":  # so that a file without code still has a row
+        df = df.filter(~F.col("skip") | (F.col("line") == 1))
     # Regexes run only on lines whose prefix can match (cheap guard).
     cls_name = F.regexp_extract("text", P.PY_CLASS, 1)
     def_name = F.regexp_extract("text", P.PY_FUNC, 1)
@@ -185,15 +187,15 @@ def _latest_header_of_name(classes: DataFrame, lookups: DataFrame) -> DataFrame:
 def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
     """All Python facts of a source table: lines, funcs, classes.
 
-    The narrow per-line fact table (no text columns) is materialized once
-    (reliable checkpoint in ``spark.checkpoint.dir``) because funcs, classes,
-    scopes and fields all read it; without it every consumer would re-run the
-    scan, the split and the regexes.
+    The narrow per-line fact table (no text columns) is staged once because
+    funcs, classes, scopes and fields all read it; without it every consumer
+    would re-run the scan, the split and the regexes. It keeps the first line
+    of every file, so ``files`` (S7, P16) needs no second scan.
     """
     files = cluster_files(files.filter(F.col("lang") == "python").filter(F.col("content").isNotNull()))
-    lines = (py_lines(files)
+    lines = (py_lines(files, keep_skipped="first")
              .withColumn("self_field", F.col("raw").rlike(P.PY_SELF_FIELD))
-             .select(*FILE, "line", "indent", "cls_name", "is_class", "def_name", "is_def",
+             .select(*FILE, "line", "skip", "indent", "cls_name", "is_class", "def_name", "is_def",
                      "is_method", "kw", "self_field"))
     lines = with_def_groups(lines)
     # Header indents per file (P6/P7 thresholds), in the same pass: the
@@ -204,8 +206,9 @@ def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
              .withColumn("hdr_thr", F.collect_set(F.when(F.col("is_class") | F.col("is_def"), F.col("indent")))
                          .over(wfile)))
     if materialize:
-        lines = stage(lines)
-    glines = lines
+        lines = stage(lines, "pylines")
+    names = lines.filter("line = 1").select(*FILE)
+    glines = lines = lines.filter("not skip")
     defs = def_complexity(glines)
     encl = enclosing_class(lines)
     defs = (defs.join(encl, [*FILE, "line"], "left")
@@ -231,4 +234,4 @@ def py_facts(files: DataFrame, materialize: bool = True) -> dict[str, DataFrame]
                           F.coalesce("methods", F.lit(0)).alias("methods"),
                           F.coalesce("fields", F.lit(0)).alias("fields")))
     return {"lines": glines, "funcs": funcs, "classes": class_rows, "defs": defs,
-            "scopes": scope_ends(glines)}
+            "scopes": scope_ends(glines), "files": names}

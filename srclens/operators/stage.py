@@ -1,24 +1,34 @@
 """Materialization of intermediate fact tables.
 
-``stage`` writes a reliable checkpoint into the session's
-``spark.checkpoint.dir`` (a shared folder on a cluster), which cuts the
-lineage: a lost executor re-reads the checkpoint instead of re-running
-the scan and the windows. Never a machine-local folder, never a local
-checkpoint.
+``stage`` writes a table once as Parquet below the shared folder that the
+session names in ``spark.checkpoint.dir`` and reads it back: the lineage ends
+there (a lost executor re-reads files instead of re-running the scan and the
+windows), and every reader takes only the columns and row groups it needs. A
+session without that setting gets a folder of its own only on a local master
+(tests, bench); on a cluster it is an error, because executors would not see
+the driver's disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def stage(df: DataFrame) -> DataFrame:
+from ..session import ensure_checkpoint_dir
+
+
+def staging_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return ensure_checkpoint_dir(spark)
+
+
+def stage(df: DataFrame, name: str = "facts") -> DataFrame:
     spark = df.sparkSession
-    ckpt = spark.conf.get("spark.checkpoint.dir", None)
-    if ckpt and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(ckpt)
-    if spark.sparkContext.getCheckpointDir() is None:
-        # No shared folder configured: keep the plan lazy rather than
-        # inventing a machine-local one.
-        return df
-    return df.checkpoint(eager=True)
+    path = f"{staging_folder(spark)}/srclens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

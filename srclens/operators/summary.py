@@ -29,42 +29,37 @@ def go_summary(facts: dict[str, DataFrame]) -> DataFrame:
     """File, package, imports, struct types (fields, methods) and
     standalone functions per Go file. A method whose receiver type is not a
     struct of the same file gets a stub type (line 0)."""
-    from .gofacts import go_imports
-    lines, keys = facts["lines"], facts["keys"]
-    files = keys.select("repo", "path")
-    pkg = (lines.filter(F.col("decl_start") & (F.col("first") == "package"))
-           .select("fid", F.regexp_extract("m", r"package[ \t]+([A-Za-z_]\w*)", 1).alias("package"))
-           .groupBy("fid").agg(F.first("package").alias("package"))
-           .join(keys, "fid").select("repo", "path", "package"))
-    imps = (go_imports(lines, keys).groupBy("repo", "path")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "import_path"))),
+    lines = facts["lines"]
+    files = facts["packages"].select("repo", "path", "package")
+    imps = (facts["imports"].groupBy("repo", "path")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "nth", "import_path"))),
                              lambda x: x["import_path"]).alias("imports")))
-    params = (go_params(lines, keys)
+    params = (go_params(lines)
               .withColumn("p", F.when(F.col("name").isNotNull(), F.concat_ws(" ", "name", "type"))
                           .otherwise(F.col("type")))
               .groupBy("repo", "path", "line")
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "p"))), lambda x: x["p"]).alias("params")))
-    calls = (go_calls(lines, keys).groupBy("repo", "path", F.col("func_line").alias("line"))
+    calls = (go_calls(lines).groupBy("repo", "path", F.col("func_line").alias("line"))
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "call"))), lambda x: x["call"])
                   .alias("calls")))
     funcs = (facts["funcs"].join(params, ["repo", "path", "line"], "left")
              .join(calls, ["repo", "path", "line"], "left")
              .withColumn("params", F.coalesce("params", F.array().cast("array<string>")))
              .withColumn("calls", F.coalesce("calls", F.array().cast("array<string>"))))
-    structs = facts["types"].filter((F.col("kind") == "struct") & F.col("top_level"))
+    structs = facts["types"].filter((F.col("kind") == "struct") & F.col("top"))
     fields = (facts["fields"]
               .withColumn("fl", F.when(F.col("embedded"), F.array(F.struct(F.col("type").alias("name"),
                                                                            F.col("type").alias("type"))))
                           .otherwise(F.transform("names", lambda n: F.struct(n.alias("name"), F.col("type").alias("type")))))
-              .groupBy("repo", "path", "struct")
-              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "fl"))), lambda x: x["fl"]))
+              .groupBy("repo", "path", "head_pos")
+              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("field_no", "fl"))), lambda x: x["fl"]))
                    .alias("fields")))
     methods = (funcs.filter(F.col("recv_cc").isNotNull())
                .groupBy("repo", "path", F.col("recv_cc").alias("name"))
                .agg(F.sort_array(F.collect_list(F.struct("line", "name", "params", "complexity", "lines", "calls")))
                     .alias("ms"), F.min("line").alias("first_method")))
-    types = (structs.select("repo", "path", "name", "line")
-             .join(fields.withColumnRenamed("struct", "name"), ["repo", "path", "name"], "left")
+    types = (structs.select("repo", "path", "name", "line", "head_pos")
+             .join(fields, ["repo", "path", "head_pos"], "left").drop("head_pos")
              .join(methods, ["repo", "path", "name"], "full")
              .withColumn("stub", F.col("line").isNull())
              .withColumn("order", F.when(F.col("stub"), F.lit(1)).otherwise(F.lit(0)))
@@ -85,7 +80,7 @@ def go_summary(facts: dict[str, DataFrame]) -> DataFrame:
              .groupBy("repo", "path")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("line", _func_node().alias("n")))),
                               lambda x: x["n"]).alias("funcs")))
-    out = (files.join(pkg, ["repo", "path"], "left").join(imps, ["repo", "path"], "left")
+    out = (files.join(imps, ["repo", "path"], "left")
            .join(types, ["repo", "path"], "left").join(plain, ["repo", "path"], "left"))
     summary = F.struct(F.col("path").alias("file"), F.nullif(F.col("package"), F.lit("")).alias("package"),
                        "imports", "types", "funcs")
@@ -114,8 +109,7 @@ def py_summary(facts: dict[str, DataFrame]) -> DataFrame:
              .agg(F.transform(F.sort_array(F.collect_list(F.struct(
                  "line", F.struct("name", "line", F.nullif(F.col("complexity"), F.lit(0)).alias("complexity"))
                  .alias("n")))), lambda x: x["n"]).alias("funcs")))
-    files = facts["lines"].select("repo", "path").distinct()
-    out = files.join(types, ["repo", "path"], "left").join(plain, ["repo", "path"], "left")
+    out = facts["files"].join(types, ["repo", "path"], "left").join(plain, ["repo", "path"], "left")
     return out.select("repo", "path", F.struct(F.col("path").alias("file"), "types", "funcs").alias("summary"))
 
 

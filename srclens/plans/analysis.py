@@ -29,10 +29,9 @@ def analyse(files: DataFrame, min_score: int = 0) -> dict[str, DataFrame]:
     findings = parts[0]
     for p in parts[1:]:
         findings = findings.unionByName(p)
-    findings = stage(findings)
-    # Repos with at least one analysable file.
-    repos = (files.filter(F.col("lang").isin("go", "python") & F.col("content").isNotNull())
-             .select("repo").distinct())
+    findings = stage(findings, "findings")
+    # Repos with at least one analysable file, from the staged lines: the texts are not read again.
+    repos = gf["packages"].select("repo").union(pf["files"].select("repo")).distinct()
     scores = S.repo_score(findings, repos)
     return {
         "findings": findings,

@@ -143,7 +143,14 @@ gbase AS (SELECT gc.*, coalesce(goc.n_o, 0) AS n_o, coalesce(gcnt.n_li, 0) AS n_
                    + 3 * CAST(gc.k % 5 = 0 AS INTEGER) AS nf,
                  gc.dir || '/c_' || gc.k || '.go' AS spath
           FROM gc LEFT JOIN goc USING (k) LEFT JOIN gcnt USING (k)),
+gext AS (SELECT c_custkey AS k, 'r' || c_nationkey AS repo, 'r' || c_nationkey || '/e' || c_custkey AS dir
+         FROM customer WHERE c_custkey % 4 = 1),
 gofuncs AS (
+  SELECT repo, dir AS pkg, dir || '/app.go' AS path, 'Évaluer' AS name, NULL AS recv, NULL AS recv_cc, 44 AS line,
+         22 AS lines, 1 AS complexity FROM gext
+  UNION ALL SELECT repo, dir, dir || '/app.go', 'Run', 'Service', 'Service', 67, 9, 3 FROM gext
+  UNION ALL SELECT repo, dir || '/store', dir || '/store/pg.go', 'Open', NULL, NULL, 11, 1, 1 FROM gext
+  UNION ALL
   SELECT b.repo, b.dir AS pkg, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path,
          'M_' || m.l_orderkey || '_' || m.l_linenumber AS name, 'Cust_' || m.k AS recv,
          'Cust_' || m.k AS recv_cc, CAST(m.line AS INTEGER) AS line, CAST(m.sz - 1 AS INTEGER) AS lines,
@@ -158,7 +165,14 @@ gostructs AS (
   SELECT repo, dir AS pkg, spath AS path, 'Cust_' || k AS name, 8 AS line,
          CAST(nf AS INTEGER) AS fields, CAST(n_li AS INTEGER) AS methods FROM gbase
   UNION ALL
-  SELECT repo, dir, spath, 'Store_' || k, 4, 1, 0 FROM gbase WHERE k % 2 = 0)
+  SELECT repo, dir, spath, 'Store_' || k, 4, 1, 0 FROM gbase WHERE k % 2 = 0
+  UNION ALL SELECT repo, dir, dir || '/app.go', 'real_' || k, 9, 1, 0 FROM gext
+  UNION ALL SELECT repo, dir, dir || '/app.go', 'Gen', 19, 1, 0 FROM gext
+  UNION ALL SELECT repo, dir, dir || '/app.go', 'Service', 29, 13, 1 FROM gext
+  UNION ALL SELECT repo, dir, dir || '/app.go', 'args', 68, 1, 0 FROM gext
+  UNION ALL SELECT repo, dir, dir || '/made.go', 'Written', 5, 1, 0 FROM gext
+  UNION ALL SELECT repo, dir || '/gen', dir || '/gen/g.go', 'Made_' || k, 3, 1, 0 FROM gext
+  UNION ALL SELECT repo, dir || '/store', dir || '/store/pg.go', 'PG', 3, 1, 0 FROM gext)
 """
 
 GO_FUNCS = _with(GO_BASE) + "SELECT * FROM gofuncs"
@@ -189,6 +203,9 @@ SELECT repo, 'MOYEN', 'concrete_dep', spath,
        CAST(10 + n_o + CAST(k % 3 = 0 AS INTEGER) + CAST(k % 4 = 0 AS INTEGER) AS INTEGER),
        'Cust_' || k || '.cache', '', 'Injection de dépendances', 'Faible'
 FROM gbase WHERE k % 5 = 0
+UNION ALL
+SELECT repo, 'MOYEN', 'concrete_dep', dir || '/app.go', f.line, 'Service.' || f.name, '', 'Injection de dépendances', 'Faible'
+FROM gext CROSS JOIN (VALUES (30, 'cache'), (32, 'db'), (33, 'store'), (34, 'client')) f(line, name)
 """
 
 GO_HIGH_COMPLEXITY = _with(GO_BASE) + GO_HIGH_COMPLEXITY_ROWS
@@ -378,32 +395,106 @@ pyskel AS (
              FROM li GROUP BY k) pm USING (k))
 """
 
+_APP_SKELETON = """package app
+
+import (
+\t"fmt"
+\tst "example.com/org/e<k>/store"
+\t// "not/imported"
+)
+
+type real_<k> struct {
+\tdsn string
+}
+
+type MyDB real_<k>
+
+type Deep MyDB
+
+type Short = real_<k>
+
+type Gen[K comparable, V any] struct {
+\titem V
+}
+
+type Cases []struct {
+\ta, b, c int
+}
+
+type Fixed [4]struct{ a int }
+
+type Service struct {
+\tcache   *st.PG
+\trepo    st.Reader
+\tdb      MyDB
+\tstore   Deep
+\tclient  *Gen[string, int]
+\tqueue   [4]real_<k>
+\tbus     Short
+\tlogger  *log.Logger
+\tOrderID, UserID string
+\tClientEmail     string
+\t*st.PG
+\tGen[int, int]
+}
+
+func Évaluer(
+\ta int,
+\tcb func(x int) (int, error), opts ...string,
+) (int, error) { /* 17 lines */ }
+
+func (s *Service) Run(m map[string][]int, g Gen[string, int]) error { /* 7 lines */ }
+"""
+_PG_SKELETON = """package store
+
+type PG struct {
+\tID int
+}
+
+type Reader interface {
+\tRead() int
+}
+
+func Open(m map[string][]int) error { return nil }
+"""
+_MADE_SKELETON = "// Code generated by maker. DO NOT EDIT.\n\npackage app\n\ntype Written struct{ y int }\n"
+
 _GO_SKEL = """
 gof AS (SELECT o_custkey AS k, string_agg(chr(9) || 'F_' || o_orderkey || ' int', chr(10) ORDER BY o_orderkey) AS fs
         FROM orders GROUP BY 1),
 goskel AS (
   SELECT b.repo, b.spath AS path, b.dir,
     concat_ws(chr(10), 'package g' || (b.k // 8), '',
-      '// Cust_' || b.k || ' keeps "quoted { braces" and if for case words.',
-      CASE WHEN b.k % 2 = 0 THEN 'type Store_' || b.k || ' struct {' || chr(10) || chr(9) || 'id int' || chr(10) || '}'
-           ELSE 'type Store_' || b.k || ' interface {' || chr(10) || chr(9) || 'Get() int' || chr(10) || '}' END,
-      '', 'type Cust_' || b.k || ' struct {', chr(9) || 'db *Store_' || b.k, gof.fs,
+      '// Cust_' || b.k || ' keeps "quoted {{ braces" and if for case words.',
+      CASE WHEN b.k % 2 = 0 THEN 'type Store_' || b.k || ' struct {{' || chr(10) || chr(9) || 'id int' || chr(10) || '}}'
+           ELSE 'type Store_' || b.k || ' interface {{' || chr(10) || chr(9) || 'Get() int' || chr(10) || '}}' END,
+      '', 'type Cust_' || b.k || ' struct {{', chr(9) || 'db *Store_' || b.k, gof.fs,
       CASE WHEN b.k % 3 = 0 THEN chr(9) || 'Base' END,
       CASE WHEN b.k % 4 = 0 THEN chr(9) || 'a, b int' END,
       CASE WHEN b.k % 5 = 0 THEN chr(9) || 'cache, x *Cache_' || b.k || chr(10) || chr(9) || 'logger *log.Logger' END,
-      '}', '', 'func New_' || b.k || '() *Cust_' || b.k || ' { return nil }', '') AS skeleton
+      '}}', '', 'func New_' || b.k || '() *Cust_' || b.k || ' {{ return nil }}', '') AS skeleton
   FROM gbase b LEFT JOIN gof USING (k)
   UNION ALL
   SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go', b.dir,
     'package g' || (m.k // 8) || chr(10) || chr(10)
     || string_agg('func (c ' || CASE WHEN m.k % 7 = 0 THEN '' ELSE '*' END || 'Cust_' || m.k || ') M_'
-                  || m.l_orderkey || '_' || m.l_linenumber || '(x int, y int) int { /* ' || (m.sz - 3)
-                  || ' lines */ }' || chr(10), chr(10) ORDER BY m.l_orderkey, m.l_linenumber, m.q)
-  FROM gm m JOIN gbase b USING (k) GROUP BY b.repo, b.dir, m.k, m.st)
+                  || m.l_orderkey || '_' || m.l_linenumber || '(x int, y int) int {{ /* ' || (m.sz - 3)
+                  || ' lines */ }}' || chr(10), chr(10) ORDER BY m.l_orderkey, m.l_linenumber, m.q)
+  FROM gm m JOIN gbase b USING (k) GROUP BY b.repo, b.dir, m.k, m.st
+  UNION ALL SELECT repo, dir || '/app.go', dir, replace('{app}', '<k>', CAST(k AS VARCHAR)) FROM gext
+  UNION ALL SELECT repo, dir || '/store/pg.go', dir || '/store', '{pg}' FROM gext),
+gogen AS (
+  SELECT repo, dir || '/made.go' AS path, dir, '{made}' AS skeleton FROM gext
+  UNION ALL SELECT repo, dir || '/gen/g.go', dir || '/gen', 'package gen
+
+type Made_' || k || ' struct{{ x int }}
+' FROM gext)
 """
 
+_GO_SKEL = _GO_SKEL.format(app=_APP_SKELETON, pg=_PG_SKELETON, made=_MADE_SKELETON)
+
 PY_SKELETON = _with(PY_BASE, _PY_SKEL) + "\nSELECT * FROM pyskel"
-GO_SKELETON = _with(GO_BASE, _GO_SKEL) + "\nSELECT * FROM goskel"
+GO_SKELETON = _with(GO_BASE, _GO_SKEL) + "\nSELECT * FROM goskel UNION ALL SELECT * FROM gogen"
 
 PACKAGE_SKETCHES = _with(PY_BASE, _PY_SKEL, GO_BASE, _GO_SKEL) + """
 SELECT repo, dir, language, string_agg(path, ',' ORDER BY path) AS files,
@@ -415,13 +506,16 @@ GROUP BY repo, dir, language
 """
 
 # ---------------------------------------------------------------- extensions
-# The corpora hold no domain-named primitive fields or __init__ parameters,
-# so the primitive-obsession detectors find nothing there.
-PRIMITIVE_OBSESSION_GO = """
-SELECT 'r' AS repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, '' AS file, 0 AS line,
-       '' AS component, '' AS metrics, 'Value Object' AS pattern, 'Faible' AS effort WHERE false
+PRIMITIVE_OBSESSION_GO = _with(GO_BASE) + """
+SELECT repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, dir || '/app.go' AS file, 29 AS line,
+       'Service' AS component, 'primitive_fields=3' AS metrics, 'Value Object' AS pattern, 'Faible' AS effort FROM gext
+"""
+PRIMITIVE_OBSESSION_PY = _with(PY_BASE) + """
+SELECT repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, path AS file, 6 AS line,
+       'C_' || k || '.__init__' AS component, 'primitive_fields=3' AS metrics, 'Value Object' AS pattern,
+       'Faible' AS effort
+FROM base WHERE false
 """
-PRIMITIVE_OBSESSION_PY = PRIMITIVE_OBSESSION_GO
 
 SCORE_HISTORY = """
 WITH s AS (
@@ -467,16 +561,26 @@ SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path,
        p.idx, p.name, 'int' AS type
 FROM gml m JOIN gbase b USING (k)
 CROSS JOIN (SELECT 0 AS idx, 'x' AS name UNION ALL SELECT 1, 'y') p
+UNION ALL
+SELECT repo, dir || p.file, p.func, p.line, p.idx, p.name, p.type FROM gext CROSS JOIN (VALUES
+  ('/app.go', 'Évaluer', 44, 0, 'a', 'int'), ('/app.go', 'Évaluer', 44, 1, 'cb', 'func(...)'),
+  ('/app.go', 'Évaluer', 44, 2, 'opts', '...string'), ('/app.go', 'Run', 67, 0, 'm', 'map[string][]int'),
+  ('/app.go', 'Run', 67, 1, 'g', '?'), ('/store/pg.go', 'Open', 11, 0, 'm', 'map[string][]int')) p(file, func, line, idx, name, type)
 """
 
 GO_CALLS = _with(GO_BASE) + """
 SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go' AS path, CAST(m.line AS INTEGER) AS func_line,
        'helper.Sum' AS call, 1 AS rank
 FROM gml m JOIN gbase b USING (k)
+UNION ALL
+SELECT repo, dir || '/app.go', 44, 'fmt.A' || i, CAST(i AS INTEGER) FROM gext CROSS JOIN range(1, 11) t(i)
+UNION ALL
+SELECT repo, dir || '/app.go', 67, 'st.Open', 1 FROM gext
 """
 
-GO_IMPORTS = """
-SELECT 'r' AS repo, '' AS path, 0 AS line, CAST(NULL AS VARCHAR) AS alias, '' AS import_path WHERE false
+GO_IMPORTS = _with(GO_BASE) + """
+SELECT repo, dir || '/app.go' AS path, 4 AS line, CAST(NULL AS VARCHAR) AS alias, 'fmt' AS import_path FROM gext
+UNION ALL SELECT repo, dir || '/app.go', 5, 'st', 'example.com/org/e' || k || '/store' FROM gext
 """
 
 
@@ -543,6 +647,24 @@ SELECT b.repo, b.dir || '/c_' || m.k || '_' || m.st || '.go',
   '{"file":"' || b.dir || '/c_' || m.k || '_' || m.st || '.go' || '","package":"g' || (m.k // 8)
   || '","types":[{"name":"Cust_' || m.k || '","kind":"struct","line":0,"methods":[' || m.ms || ']}]}'
 FROM gms m JOIN gbase b USING (k)
+UNION ALL
+SELECT repo, dir || '/app.go', '{"file":"' || dir || '/app.go","package":"app","imports":["fmt","example.com/org/e' || k || '/store"],"types":['
+  || '{"name":"real_' || k || '","kind":"struct","line":9,"fields":[{"name":"dsn","type":"string"}]},'
+  || '{"name":"Gen","kind":"struct","line":19,"fields":[{"name":"item","type":"V"}]},'
+  || '{"name":"Service","kind":"struct","line":29,"fields":[{"name":"cache","type":"*st.PG"},{"name":"repo","type":"st.Reader"},'
+  || '{"name":"db","type":"MyDB"},{"name":"store","type":"Deep"},{"name":"client","type":"*?"},{"name":"queue","type":"[]real_' || k || '"},'
+  || '{"name":"bus","type":"Short"},{"name":"logger","type":"*log.Logger"},{"name":"OrderID","type":"string"},{"name":"UserID","type":"string"},'
+  || '{"name":"ClientEmail","type":"string"},{"name":"*st.PG","type":"*st.PG"},{"name":"?","type":"?"}],'
+  || '"methods":[{"name":"Run","line":67,"params":["m map[string][]int","g ?"],"complexity":3,"lines":9,"calls":["st.Open"]}]}],'
+  || '"funcs":[{"name":"Évaluer","line":44,"params":["a int","cb func(...)","opts ...string"],"complexity":1,"lines":22,'
+  || '"calls":["fmt.A1","fmt.A2","fmt.A3","fmt.A4","fmt.A5","fmt.A6","fmt.A7","fmt.A8","fmt.A9","fmt.A10"]}]}' FROM gext
+UNION ALL
+SELECT repo, dir || '/store/pg.go', '{"file":"' || dir || '/store/pg.go","package":"store","types":[{"name":"PG","kind":"struct","line":3,"fields":[{"name":"ID","type":"int"}]}],'
+  || '"funcs":[{"name":"Open","line":11,"params":["m map[string][]int"],"complexity":1,"lines":1}]}' FROM gext
+UNION ALL
+SELECT repo, dir || '/made.go', '{"file":"' || dir || '/made.go","package":"app","types":[{"name":"Written","kind":"struct","line":5,"fields":[{"name":"y","type":"int"}]}]}' FROM gext
+UNION ALL
+SELECT repo, dir || '/gen/g.go', '{"file":"' || dir || '/gen/g.go","package":"gen","types":[{"name":"Made_' || k || '","kind":"struct","line":3,"fields":[{"name":"x","type":"int"}]}]}' FROM gext
 """
 
 _PM2 = """

@@ -240,24 +240,18 @@ def q_py_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return py_facts(python_corpus(spark, sf_dir))["scopes"]
 
 
-def _go_lines(spark: SparkSession, sf_dir: str):
-    f = go_facts(go_corpus(spark, sf_dir))
-    return f["lines"], f["keys"]
-
-
 def q_go_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.gofacts import go_params
-    return go_params(*_go_lines(spark, sf_dir))
+    return go_params(go_facts(go_corpus(spark, sf_dir))["lines"])
 
 
 def q_go_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.gofacts import go_calls
-    return go_calls(*_go_lines(spark, sf_dir))
+    return go_calls(go_facts(go_corpus(spark, sf_dir))["lines"])
 
 
 def q_go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.gofacts import go_imports
-    return go_imports(*_go_lines(spark, sf_dir))
+    return go_facts(go_corpus(spark, sf_dir))["imports"].drop("nth")
 
 
 def q_package_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

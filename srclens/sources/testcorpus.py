@@ -127,6 +127,106 @@ _GO_DECOYS = "\n".join([
 _GO_SWITCH = "\n".join(["\tswitch x {", "\tcase 1:", "\tcase 2:", "\tdefault:", "\t}"])
 
 
+#: Files of customer <k> with the shapes that the other Go files lack, by path below ``r<n>/e<k>/``.
+GO_SHAPES = {
+    "app.go": """package app
+
+import (
+\t"fmt"
+\tst "example.com/org/e<k>/store"
+\t// "not/imported"
+)
+
+type real_<k> struct {
+\tdsn string
+}
+
+type MyDB real_<k>
+
+type Deep MyDB
+
+type Short = real_<k>
+
+type Gen[K comparable, V any] struct {
+\titem V
+}
+
+type Cases []struct {
+\ta, b, c int
+}
+
+type Fixed [4]struct{ a int }
+
+type Service struct {
+\tcache   *st.PG
+\trepo    st.Reader
+\tdb      MyDB
+\tstore   Deep
+\tclient  *Gen[string, int]
+\tqueue   [4]real_<k>
+\tbus     Short
+\tlogger  *log.Logger
+\tOrderID, UserID string
+\tClientEmail     string
+\t*st.PG
+\tGen[int, int]
+}
+
+func Évaluer(
+\ta int,
+\tcb func(x int) (int, error), opts ...string,
+) (int, error) {
+\ttype args struct {
+\t\tp, q int
+\t}
+\téif := a
+""" + "".join(f"\tfmt.A{i}(a)\n" for i in range(1, 12)) + """\tfmt.A1(éif)
+\treturn cb(a)
+}
+
+func (s *Service) Run(m map[string][]int, g Gen[string, int]) error {
+\ttype args struct {
+\t\tonly int
+\t}
+\tif s.db != nil && m != nil {
+\t\treturn s.cache.Close()
+\t}
+\treturn st.Open(m)
+}
+""",
+    "store/pg.go": """package store
+
+type PG struct {
+\tID int
+}
+
+type Reader interface {
+\tRead() int
+}
+
+func Open(m map[string][]int) error { return nil }
+""",
+    "gen/g.go": "package gen\n\ntype Made_<k> struct{ x int }\n",
+    "made.go": "// Code generated by maker. DO NOT EDIT.\n\npackage app\n\ntype Written struct{ y int }\n",
+    "app_test.go": "package app\n\ntype Big struct {\n" + "".join(f"\tf{i} int\n" for i in range(12)) + "}\n\nfunc TestBig() {\n\tx := 1\n}\n",
+}
+
+
+def go_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of GO_SHAPES for every customer with k % 4 = 1: import aliases
+    and qualified fields, chains of defined types, aliases, generics, slices and
+    arrays of structs, local types of one name, names beyond ASCII, signatures
+    over several lines, repeated and more than ten calls, domain names, test
+    files and generated files."""
+    cust = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 1").select(
+        F.col("c_custkey").cast("string").alias("k"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("repo"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in GO_SHAPES.items()]))
+    f = cust.select("repo", "k", each.alias("f"))
+    path = F.concat_ws("/", "repo", F.concat(F.lit("e"), F.col("k")), F.col("f.name"))
+    return f.select("repo", path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.lit("go").alias("lang"),
+                    F.replace(F.col("f.text"), F.lit("<k>"), F.col("k")).alias("content"))
+
+
 def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_files with one Go struct file per customer and one method file
     per (customer, order status); all files of a customer share the package
@@ -154,6 +254,8 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ceil(q/5) lines ``if x > 0 && y > 0 ... { x++ }`` with q keywords, a
     switch with two cases and a default (k % 5 = 0), a function literal with
     ``||`` (k % 6 = 0), ``return helper.Sum(x, y)`` (one call target).
+
+    See ``go_shapes`` for the other files.
     """
     cust = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
@@ -217,7 +319,8 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                             .alias("content")))
     return (struct_files.unionByName(method_files)
             .withColumn("lang", F.lit("go"))
-            .select("repo", "path", "dir", "lang", "content"))
+            .select("repo", "path", "dir", "lang", "content")
+            .unionByName(go_shapes(spark, sf_dir)))
 
 
 def enrichment_responses(findings: DataFrame) -> DataFrame:

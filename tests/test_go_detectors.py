@@ -1,4 +1,4 @@
-"""Inline cases of the analysed tool's Go detector tests, as DataFrames."""
+"""Go facts and detectors on small sources."""
 
 import pytest
 
@@ -13,7 +13,7 @@ def _func_with(body_lines, name="f", recv=""):
 
 
 def _cc_findings(files, src):
-    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    facts = go_facts(files({"p/a.go": src}))
     return [(r.severity, r.metrics["cc"], r.component) for r in D.go_high_complexity(facts).collect()]
 
 
@@ -64,7 +64,7 @@ def _struct(n_fields, extra=""):
 
 
 def _god(files, sources):
-    facts = go_facts(files(sources), materialize=False)
+    facts = go_facts(files(sources))
     return sorted((r.component, r.severity, r.metrics["fields"], r.metrics["methods"])
                   for r in D.go_god_struct(facts).collect())
 
@@ -99,7 +99,7 @@ def test_god_struct_two_files(files):
 
 def _deps(files, body):
     src = f"package p\n\ntype OrderHandler struct {{\n{body}\n}}\n"
-    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    facts = go_facts(files({"p/a.go": src}))
     return sorted((r.component, r.severity, r.effort) for r in D.go_concrete_dep(facts).collect())
 
 
@@ -121,24 +121,24 @@ def test_concrete_dep(files, body, expected):
 def test_concrete_dep_resolves_declared_types(files):
     src = ("package p\n\ntype Store struct{ a int }\n\ntype Repo interface{ Get() }\n\n"
            "type H struct {\n\tdb Store\n\trepo *Repo\n\tcache *Store\n}\n")
-    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    facts = go_facts(files({"p/a.go": src}))
     got = sorted(r.component for r in D.go_concrete_dep(facts).collect())
     assert got == ["H.cache", "H.db"]
 
 
 def test_imports_params_calls(files):
-    from srclens.operators.gofacts import go_calls, go_imports, go_params
+    from srclens.operators.gofacts import go_calls, go_params
     src = ('package p\n\nimport (\n\t"fmt"\n\tlg "log"\n)\n\nimport "os"\n\n'
            'func (s *S) Do(a, b int, c string, f func(x int) error) (int, error) {\n'
            '\tfmt.Println(a)\n\tlg.Printf("%d", b)\n\tfmt.Println(c)\n\tos.Exit(1)\n\ts.x.Y()\n\treturn 0, nil\n}\n'
            'func U(int, string) {}\n')
-    facts = go_facts(files({"p/a.go": src}), materialize=False)
-    lines, keys = facts["lines"], facts["keys"]
-    imps = sorted(((r.alias, r.import_path) for r in go_imports(lines, keys).collect()), key=lambda x: x[1])
+    facts = go_facts(files({"p/a.go": src}))
+    lines = facts["lines"]
+    imps = sorted(((r.alias, r.import_path) for r in facts["imports"].collect()), key=lambda x: x[1])
     assert imps == [(None, "fmt"), ("lg", "log"), (None, "os")]
-    calls = [r.call for r in go_calls(lines, keys).orderBy("rank").collect()]
+    calls = [r.call for r in go_calls(lines).orderBy("rank").collect()]
     assert calls == ["fmt.Println", "lg.Printf", "os.Exit"]
-    ps = sorted(((r.func, r.idx, r.name, r.type) for r in go_params(lines, keys).collect()),
+    ps = sorted(((r.func, r.idx, r.name, r.type) for r in go_params(lines).collect()),
                 key=lambda x: (x[0], x[1]))
     assert ps[:3] == [("Do", 0, "a", "int"), ("Do", 1, "b", "int"), ("Do", 2, "c", "string")]
     assert ("U", 0, None, "int") in ps and ("U", 1, None, "string") in ps
@@ -147,7 +147,7 @@ def test_imports_params_calls(files):
 def test_field_type_text(files):
     src = ("package p\n\ntype T struct {\n\tm map[string]int\n\tc chan int\n\ta [5]*Node\n"
            "\tf func(x int) error\n\ti interface{ Get() }\n\tn struct {\n\t\tX int\n\t}\n\tq *pkg.Q `json:\"q\"`\n}\n")
-    facts = go_facts(files({"p/a.go": src}), materialize=False)
+    facts = go_facts(files({"p/a.go": src}))
     got = {tuple(r.names): r.type for r in facts["fields"].collect()}
     assert got == {("m",): "map[string]int", ("c",): "chan int", ("a",): "[]*Node", ("f",): "func(...)",
                    ("i",): "interface{}", ("n",): "?", ("q",): "*pkg.Q"}
@@ -179,7 +179,7 @@ def test_randomized_functions(files):
             exp.append((("S." if recv else "") + f"F{j}", start, cc))
         sources[f"p/f{n}.go"] = "\n".join(lines)
         expected[f"p/f{n}.go"] = sorted(exp)
-    facts = go_facts(files(sources), materialize=False)
+    facts = go_facts(files(sources))
     got = {}
     for r in facts["funcs"].collect():
         comp = (r.recv_cc + "." if r.recv_cc else "") + r.name
@@ -235,7 +235,7 @@ def test_randomized_structs(files):
         sources[f"p{f}/a.go"] = "\n".join(out) + "\n"
         expected[f"p{f}/a.go"] = ({k: (v[0], v[1], n_methods if k == target else 0) for k, v in exp.items()},
                                   sorted(deps))
-    facts = go_facts(files(sources), materialize=False)
+    facts = go_facts(files(sources))
     got = {}
     for r in facts["structs"].collect():
         got.setdefault(r.path, {})[r.name] = (r.line, r.fields, r.methods)
@@ -246,3 +246,72 @@ def test_randomized_structs(files):
         g = {k: v for k, v in got.get(path, {}).items() if k != "Store"}
         assert g == exp, (path, sources[path])
         assert sorted(deps.get(path, [])) == exp_deps, (path, sources[path])
+
+
+# ---------------------------------------------------------------- names, scopes, signatures
+def _sources(files, sources):
+    rows = files({f"r/{p}": text for p, text in sources.items()}, repo="r")
+    return go_facts(rows)
+
+
+def test_qualified_defined_and_generic_types_are_resolved(files):
+    facts = _sources(files, {
+        "store/pg.go": "package store\n\ntype PG struct{ id int }\n\ntype Reader interface{ Read() int }\n\ntype Wrapped PG\n",
+        "deep/store/x.go": "package store\n\ntype PG interface{ Do() }\n",
+        "dots/d.go": "package dots\n\ntype Dotted struct{ a int }\n",
+        "app/a.go": ("package app\n\nimport (\n\t\"fmt\"\n\tst \"example.com/m/store\"\n\t\"example.com/m/deep/store\"\n"
+                     "\t. \"example.com/m/dots\" // \"not/this\"\n)\n\n"
+                     "type real struct{ a int }\n\ntype A real\ntype B A\ntype C B\ntype D st.Wrapped\ntype Al = real\ntype FromAl Al\n"
+                     "type Loop1 Loop2\ntype Loop2 Loop1\ntype Num int\ntype Gen[K comparable, V any] struct{ v V }\ntype Set[T any] map[T]int\n\n"
+                     "type H[T any] struct {\n\tcache *st.PG\n\trepo st.Reader\n\tstore store.PG\n\tdb C\n\tclient D\n\tqueue Al\n\tbus FromAl\n"
+                     "\tmanager Loop1\n\tlogger Num\n\tsvc *Gen[int, string]\n\tservice Set[int]\n\thandler T\n\tpublisher *T\n"
+                     "\trepository Dotted\n\tdatabase *string\n\tClient *http.Client\n\tDB [4]real\n\tCache **real\n\tStore *Unknown\n}\n"),
+    })
+    got = sorted(r.component for r in D.go_concrete_dep(facts).collect())
+    assert got == sorted(["H.cache", "H.db", "H.client", "H.bus", "H.svc", "H.repository", "H.Store"])
+
+
+def test_slices_arrays_and_local_structs(files):
+    src = ("package p\n\ntype Cases []struct {\n\ta, b int\n}\ntype Five [5]struct{ a int }\ntype Many [N]struct{ a int }\n"
+           "type Fn func(x struct{ a int }) error\n\nfunc a() {\n\ttype args struct {\n\t\tx int\n\t\ty, z int\n\t}\n\t_ = args{}\n}\n\n"
+           "func b() {\n\ttype args struct {\n\t\tw int\n\t}\n\ttype (\n\t\tinner struct{ a, b int }\n\t)\n}\n\ntype Last struct{ Gen[int]; *pkg.T; q [3]int }\n")
+    facts = _sources(files, {"p/a.go": src})
+    got = {r.name: (r.line, r.fields) for r in facts["structs"].collect()}
+    assert got == {"args": (19, 1), "inner": (23, 2), "Last": (27, 3)}
+    from srclens.operators.summary import go_summary
+    summary = go_summary(facts).first().summary
+    assert [t.name for t in summary.types] == ["Last"]
+    assert [f.type for f in summary.types[0].fields] == ["?", "*pkg.T", "[]int"]
+
+
+def test_names_beyond_ascii(files):
+    src = "package p\n\ntype Été struct {\n\tdb *Clé\n}\n\ntype Clé struct{ a int }\n\nfunc (é *Été) Évaluer(\n\ta int,\n\tb string) int {\n\téif := a\n\tif éif > 0 {\n\t}\n\treturn é.Calculé()\n}\n"
+    facts = _sources(files, {"p/a.go": src})
+    assert [(r.recv, r.name, r.line, r.lines, r.complexity) for r in facts["funcs"].collect()] == [("Été", "Évaluer", 9, 8, 2)]
+    assert [r.component for r in D.go_concrete_dep(facts).collect()] == ["Été.db"]
+    from srclens.operators.gofacts import go_calls
+    assert [r.call for r in go_calls(facts["lines"]).collect()] == ["é.Calculé"]
+
+
+def test_signatures_over_lines(files):
+    from srclens.operators.gofacts import go_params
+    src = ("package p\n\nfunc (s *S[K]) Run(\n\tctx context.Context, // a, b\n\ta, b int,\n\tcb func(x int, y string) (int, error),\n"
+           "\tm map[struct{ k int }][]func(),\n\topts ...Option[int],\n) (n int, err error) {\n}\n\n"
+           "func F[T any, U interface{ ~int }](t T, xs [3]T, ch <-chan int, g Gen[T], p *(int)) T { return g(t, 1) }\n\n"
+           "func G(int, Gen[int], ...string, map[string]int, func(a int) error, interface{ M(x int) }, chan<- int) {}\n\nfunc H() (a, b int) { return }\n")
+    facts = _sources(files, {"p/a.go": src})
+    got = {}
+    for r in sorted(go_params(facts["lines"]).collect(), key=lambda r: (r.line, r.idx)):
+        got.setdefault(r.func, []).append((r.name, r.type))
+    assert got == {
+        "Run": [("ctx", "context.Context"), ("a", "int"), ("b", "int"), ("cb", "func(...)"), ("m", "map[?][]func(...)"), ("opts", "...?")],
+        "F": [("t", "T"), ("xs", "[]T"), ("ch", "chan int"), ("g", "?"), ("p", "*?")],
+        "G": [(None, x) for x in ("int", "?", "...string", "map[string]int", "func(...)", "interface{}", "chan int")]}
+
+
+def test_a_very_long_line_and_test_files(files):
+    long_line = "\tx := []int{" + "1, " * 700_000 + "}"
+    wide = "type W struct { " + "; ".join(f"f{i} int" for i in range(60_000)) + " }"
+    facts = _sources(files, {"p/a.go": f"package p\n\n{wide}\n\nfunc F() {{\n{long_line}\n\tif a {{\n\t}}\n}}\n", "p/a_test.go": _struct(30)})
+    assert [(r.name, r.fields) for r in facts["structs"].collect()] == [("W", 60_000)]
+    assert [(r.name, r.complexity, r.lines) for r in facts["funcs"].collect()] == [("F", 2, 5)]
