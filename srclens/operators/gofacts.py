@@ -87,7 +87,7 @@ def go_masked_lines(files: DataFrame) -> DataFrame:
         com = t.startswith("//") | (t.startswith("/*") & (F.length(t) > 3))
         return F.when(lit | com, F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
     masked = F.array_join(F.transform(toks, mask), "")
-    files = files.withColumn("fid", F.xxhash64(*FILE)).repartition(file_partitions(files.sparkSession), "fid")
+    files = files.withColumn("fid", F.xxhash64(*FILE)).repartition(file_partitions(files), "fid")
     df = files.select(*KEY, "dir",
                       F.posexplode(F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("raw"),
                                                 F.split(masked, "\n", -1).alias("m"))).alias("pos", "z"))
@@ -291,7 +291,8 @@ def go_facts(files: DataFrame, materialize: bool = True) -> Facts:
         "packages": lambda f: go_packages(f["lines"]),
         "imports": lambda f: go_imports(f["lines"]),
         "funcs": lambda f: go_funcs_lines(f["lines"]),
-        "tokens": lambda f: token_features(line_tokens(f["lines"].filter("region"), "top")),
+        # An explicit count again: few bytes of lines become many tokens.
+        "tokens": lambda f: kept(token_features(line_tokens(f["lines"].filter("region").repartition(file_partitions(f["lines"]), "fid"), "top")), "gotokens"),
         "types": lambda f: kept(go_types(f["tokens"]), "gotypes"),
         "fields": lambda f: kept(go_struct_fields(f["tokens"], f["types"]), "gofields"),
         "structs": lambda f: go_structs(f["types"], f["fields"], f["funcs"]),

@@ -38,26 +38,35 @@ FILE = ["repo", "path"]
 _BIG = 1 << 30
 
 
-def file_partitions(spark) -> int:
-    """Partition count for the file shuffle.
+#: Bytes of input that one task of the file shuffle should get at most.
+TASK_BYTES = 32 << 20
+
+
+def file_partitions(files: DataFrame) -> int:
+    """Partition count for the file shuffle; it grows with the input.
 
     The raw content is small on disk but explodes into lines or tokens, so
     adaptive coalescing (which looks at shuffle bytes) would squeeze it into
-    a handful of tasks. An explicit count is never coalesced. Override with
-    ``srclens.files.partitions``; by default it is the larger of the shuffle
-    partitions and four tasks per core.
+    a handful of tasks. An explicit count is never coalesced. It is the
+    largest of the shuffle partitions, four tasks per core, and one task per
+    TASK_BYTES of the scanned tables' size (the optimizer's figure; leaves
+    without one do not count). Override with ``srclens.files.partitions``.
     """
+    spark = files.sparkSession
     conf = spark.conf.get("srclens.files.partitions", None)
     if conf:
         return int(conf)
+    leaves = files._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    scanned = sum(x for x in sizes if x < 1 << 60)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, 4 * spark.sparkContext.defaultParallelism)
+    return max(shuffle, 4 * spark.sparkContext.defaultParallelism, -(-scanned // TASK_BYTES))
 
 
 def cluster_files(files: DataFrame) -> DataFrame:
     """Hash-partition a source table by file so that all per-file windows
     and aggregations downstream reuse one shuffle of the raw content."""
-    return files.repartition(file_partitions(files.sparkSession), *FILE)
+    return files.repartition(file_partitions(files), *FILE)
 
 
 def py_lines(files: DataFrame, keep_skipped: bool | str = False) -> DataFrame:

@@ -45,16 +45,12 @@ def analyse(files: DataFrame, min_score: int = 0) -> dict[str, DataFrame]:
 
 
 def analyse_directories(spark, roots: dict[str, str], min_score: int = 0) -> dict[str, DataFrame]:
-    """The reference's static run for many roots at once: scan ``.go`` and
-    ``.py`` files below each root (repo name -> folder), analyse, score and
-    gate. Repos without any source file get no row (S7)."""
-    from ..sources.corpus import scan_directory
-    files = None
-    for repo, root in roots.items():
-        for lang in ("go", "python"):
-            df = scan_directory(spark, root, repo, lang)
-            files = df if files is None else files.unionByName(df)
-    return analyse(files, min_score)
+    """The static run for many roots at once: one scan of the ``.go`` and
+    ``.py`` files below each root (repo name -> folder) with its excluded
+    directories and ignore file, then analyse, score and gate. Repos without
+    any source file get no row (S7)."""
+    from ..sources.corpus import scan_directories
+    return analyse(scan_directories(spark, roots), min_score)
 
 
 def write_reports(result: dict[str, DataFrame], out_dir: str, fmt: str = "json") -> None:

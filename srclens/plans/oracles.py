@@ -753,7 +753,8 @@ s AS (SELECT *, ['venv', 'pkg.egg-info', '__pycache__', 'build', 'src', 'lib/.to
       FROM p WHERE d IN (4, 6, 7))
 SELECT repo, p_partkey, seg || '/' || name || '.py' AS path
 FROM s
-WHERE NOT (seg = 'src' OR (seg = 'app/core' AND NOT ends_with(name, word)))
+WHERE NOT (seg = 'src' OR (seg = 'app/core' AND NOT ends_with(name, word))
+           OR (seg = 'vendor' AND name[1] > 'l' AND ends_with(name, '_steel')))
 """
 
 

@@ -306,6 +306,10 @@ def q_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
              .unionByName(nation.select(repo.alias("repo"), F.lit(2).alias("ordinal"),
                                         F.concat(F.lit("!app/core/*"), word, F.lit(".py")).alias("pattern")))
              .unionByName(nation.select(repo.alias("repo"), F.lit(3).alias("ordinal"), F.lit("/src").alias("pattern"))))
+    # A class, an escape, and lines that match nothing: a reversed range, an escaped '#'.
+    more = ["vendor/[!a-l\\]]*_steel.py", r"\#note.py", "[z-a]*.py", "# comment"]
+    for n, line in enumerate(more):
+        rules = rules.unionByName(nation.select(repo.alias("repo"), F.lit(4 + n).alias("ordinal"), F.lit(line).alias("pattern")))
     return ignore_filter(files, rules).select("repo", "p_partkey", "path")
 
 

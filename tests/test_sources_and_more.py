@@ -7,7 +7,7 @@ from srclens.operators.extensions import go_primitive_obsession, py_primitive_ob
 from srclens.operators.gofacts import go_facts
 from srclens.operators.pyfacts import py_facts, py_lines
 from srclens.operators.skeleton import go_skeleton, py_skeleton
-from srclens.sources.corpus import ignore_filter, ignore_regex, scan_directory
+from srclens.sources.corpus import ignore_filter, ignore_regex, scan_directories, scan_directory
 
 
 def _write(root, rel, text):
@@ -48,6 +48,37 @@ def test_ignore_classes_escapes_and_many_rules(spark):
     assert got == sorted([("s", p) for p in paths] + [("r", p) for p in ("a.py", "d/x", "src/m1.py")])
 
 
+def test_one_scan_of_many_roots_reads_kept_files_only(spark, tmp_path):
+    roots = {}
+    for k in range(100):
+        root = roots[f"r{k}"] = str(tmp_path / "build" / f"r{k}")
+        for rel in ["a.py", "pkg/b.go", "venv/c.py", "vendor/d.go", "gen/e.py", "gen/keep.py"]:
+            _write(root, rel, f"x = {k}")
+        _write(root, ".gitignore", "# none\ngen/*\n!gen/keep.py\n[z-a].py\n" if k % 2 else "*.txt\n")
+    with open(os.path.join(roots["r1"], "latin.py"), "wb") as fh:
+        fh.write("é = 1".encode("latin-1"))
+    df = scan_directories(spark, {**roots, "inner": roots["r0"] + "/pkg"})
+    plan = df._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("FileScan") == 1
+    got = sorted((r.repo, r.path, r.lang, r.content) for r in df.collect())
+    want = [("inner", "b.go", "go", "x = 0"), ("r0", "gen/e.py", "python", "x = 0"), ("r1", "latin.py", "python", "\ufffd = 1")]
+    for k in range(100):
+        want += [(f"r{k}", p, "python", f"x = {k}") for p in ["a.py", "gen/keep.py"] + ([] if k % 2 or k == 0 else ["gen/e.py"])]
+        want += [(f"r{k}", "pkg/b.go", "go", f"x = {k}")] if k else []
+    assert got == sorted(want)
+    assert {r.dir for r in df.filter("path = 'pkg/b.go' and repo = 'r5'").collect()} == {"r5/pkg"}
+    leaves = plan.collectLeaves()
+    assert leaves.apply(0).metrics().apply("numFiles").value() == len(want)
+
+
+def test_ignore_classes_that_are_not_valid(spark):
+    paths = ["a.py", "].py", "b.py", "z.py", "^.py", "-.py", "q&.py", "m/b.py"]
+    files = spark.createDataFrame([("r", p, i) for i, p in enumerate(paths)], "repo string, path string, __salt int")
+    rules = ["[z-a].py", "[a\\]b].py", "[!-z^a-m&]q.py", "[&&z].py", "[]"]
+    kept = ignore_filter(files.drop("__salt"), spark.createDataFrame([("r", i, x) for i, x in enumerate(rules)], "repo string, ordinal int, pattern string"))
+    assert sorted(r.path for r in kept.collect()) == sorted(["^.py", "-.py", "q&.py"])
+
+
 def test_skeletons(files):
     df = files({"a.py": "class A:\n    def m(self):\n        x = 1\n\n    def n(self):\n        pass\n",
                 "b.go": "package p\n\nfunc F() {\n\tx := 1\n\t_ = x\n}\n"})
