@@ -353,6 +353,31 @@ SELECT {_FID} AS finding_id, explanation,
 FROM enr WHERE line % 5 IN (0, 1, 4)
 """
 
+PARSE_ENRICHMENT_BODY = _PY_FINDINGS + f"""
+SELECT {_FID} AS finding_id, component || ' mixes concerns' AS explanation, 'a' AS refactor_before,
+       'b' AS refactor_after, '' AS effort
+FROM pyf WHERE line % 5 = 1
+"""
+
+INFER_ENRICHMENT = _PY_FINDINGS + f""",
+st AS (SELECT *, line % 1999 = 6 AND file LIKE '%/c_1%' AS hangs, line % 10 = 3 AS fails,
+              '{{"explanation":"line ' || line || '","effort":"Moyen"}}' AS body FROM pyf)
+SELECT {_FID} AS finding_id,
+       CASE WHEN hangs OR fails THEN NULL WHEN line % 2 = 0 THEN 'Here: ' || body || ' done' ELSE body END AS raw,
+       CASE WHEN hangs THEN 'no answer in 1 s' WHEN fails THEN 'ValueError: refused' END AS error
+FROM st
+"""
+
+INFER_PACKAGES = """
+WITH p AS (SELECT DISTINCT 'r' || c_nationkey AS repo, c_custkey // 8 AS n,
+                  'r' || c_nationkey || '/p' || (c_custkey // 8) AS dir FROM customer)
+SELECT repo, dir, 0 AS elem_pos, 'MOYEN' AS severity, 'feature_envy' AS smell_type, dir AS file,
+       CAST(n + 1 AS INTEGER) AS line, 'P' || n AS component, 'Faible' AS effort
+FROM p WHERE n <> 49 AND n % 7 <> 3
+UNION ALL
+SELECT repo, dir, 1, 'FAIBLE', 'layer_violation', dir || '/x.py', 0, '', 'Élevé' FROM p WHERE n <> 49 AND n % 7 <> 3
+"""
+
 APPLY_ENRICHMENT = _PY_FINDINGS + ",\n" + _ENRICHED.strip() + """
 SELECT repo, severity, smell_type, file, line, component, metrics, pattern, new_effort AS effort,
        explanation, refactor_before, refactor_after

@@ -173,6 +173,34 @@ def q_apply_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(*FINDING_VIEW, "explanation", "refactor_before", "refactor_after"))
 
 
+MODEL_SECONDS = 1.0
+
+
+def q_infer_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L7 on all Python findings, with a model that hangs, fails and answers."""
+    from ..operators.enrich import enrich_prompts, infer
+    from ..sources.testcorpus import stub_enricher
+    out = infer(enrich_prompts(_py_findings(spark, sf_dir)), stub_enricher, timeout=MODEL_SECONDS)
+    return out.select("finding_id", "raw", "error")
+
+
+def q_infer_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4 on all Python packages: sketch, prompt, call, parse."""
+    from ..operators.enrich import infer_packages, package_prompts
+    from ..operators.skeleton import package_sketches
+    from ..sources.testcorpus import stub_package_analyser
+    sketches = package_sketches(python_corpus(spark, sf_dir))
+    found = infer_packages(package_prompts(sketches, _py_findings(spark, sf_dir)), stub_package_analyser, timeout=MODEL_SECONDS)
+    return found.select("repo", "dir", "elem_pos", "severity", "smell_type", "file", "line", "component", "effort")
+
+
+def q_parse_enrichment_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4, whole-body rule: the response must be the JSON object and nothing else."""
+    from ..operators.enrich import parse_enrichment
+    from ..sources.testcorpus import enrichment_responses
+    return parse_enrichment(enrichment_responses(_py_findings(spark, sf_dir)), strict_whole_body=True)
+
+
 def q_parse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.enrich import parse_deep
     from ..sources.testcorpus import deep_responses
@@ -337,6 +365,9 @@ QUERIES = {
     "enrich_prompts": q_enrich_prompts,
     "parse_enrichment": q_parse_enrichment,
     "apply_enrichment": q_apply_enrichment,
+    "infer_enrichment": q_infer_enrichment,
+    "infer_packages": q_infer_packages,
+    "parse_enrichment_body": q_parse_enrichment_body,
     "parse_deep": q_parse_deep,
     "py_skeleton": q_py_skeleton,
     "go_skeleton": q_go_skeleton,

@@ -29,6 +29,9 @@ ORACLES = {
     "enrich_prompts": O.ENRICH_PROMPTS,
     "parse_enrichment": O.PARSE_ENRICHMENT,
     "apply_enrichment": O.APPLY_ENRICHMENT,
+    "infer_enrichment": O.INFER_ENRICHMENT,
+    "infer_packages": O.INFER_PACKAGES,
+    "parse_enrichment_body": O.PARSE_ENRICHMENT_BODY,
     "parse_deep": O.PARSE_DEEP,
     "py_skeleton": O.PY_SKELETON,
     "go_skeleton": O.GO_SKELETON,

@@ -345,6 +345,44 @@ def enrichment_responses(findings: DataFrame) -> DataFrame:
     return findings.select(finding_id(findings).alias("finding_id"), raw.alias("raw"))
 
 
+def stub_enricher(prompts):
+    """A model for the inference queries: it answers a finding's prompt by its line number.
+
+    line % 1999 = 6 in a file c_1*: no answer before the time limit; line % 10 = 3: an error;
+    else one JSON object, inside prose where the line is even."""
+    import re
+    import time
+
+    def answer(prompt: str) -> str:
+        line = int(re.search(r"Location         : .*:(\d+)\n", prompt).group(1))
+        if line % 1999 == 6 and "/c_1" in prompt:
+            time.sleep(3600)
+        if line % 10 == 3:
+            raise ValueError("refused")
+        body = f'{{"explanation":"line {line}","effort":"Moyen"}}'
+        return f"Here: {body} done" if line % 2 == 0 else body
+    return prompts.map(answer)
+
+
+def stub_package_analyser(prompts):
+    """A model for package prompts: the number n at the end of the directory decides.
+
+    n = 49: no answer before the time limit; n % 7 = 3: an error; else two
+    findings in prose, one of them with a file of its own."""
+    import re
+    import time
+
+    def answer(prompt: str) -> str:
+        where, n = re.search(r"package at: (\S*?(\d+))\n", prompt).groups()
+        if n == "49":
+            time.sleep(3600)
+        if int(n) % 7 == 3:
+            raise ValueError("refused")
+        return (f'Smells: [{{"smell_type":"feature_envy","component":"P{n}","line":{int(n) + 1},"severity":"moyen"}}, '
+                f'{{"smell_type":"layer_violation","file":"{where}/x.py","effort":"Élevé"}}]')
+    return prompts.map(answer)
+
+
 def deep_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One deep-analysis answer per event: prose around a JSON array of two
     elements whose values come from the event. Broken on purpose:

@@ -119,8 +119,39 @@ def test_infer_keeps_keys_contains_errors_and_writes_once(spark, tmp_path):
     prompts = spark.createDataFrame([("r", "d1", "ok"), ("r", "d2", "bad"), ("s", "d1", "fine")],
                                     "repo string, dir string, prompt string").coalesce(1)
     out = E.infer(prompts, model, table=f"file://{tmp_path}/responses")
-    assert out.columns == ["repo", "dir", "raw"] and out.inputFiles()
-    assert sorted(map(tuple, out.collect()), key=str) == [("r", "d1", "OK"), ("r", "d2", None), ("s", "d1", "FINE")]
+    assert out.columns == ["repo", "dir", "raw", "error"] and out.inputFiles()
+    assert sorted(map(tuple, out.collect()), key=str) == [
+        ("r", "d1", "OK", None), ("r", "d2", None, "RuntimeError: refused"), ("s", "d1", "FINE", None)]
+
+
+def test_infer_limits_calls_and_resumes(spark, tmp_path):
+    log, table = str(tmp_path / "calls"), f"file://{tmp_path}/answers"
+    os.makedirs(log)
+
+    def model(prompts, stop=()):
+        import time
+        import uuid
+        for p in prompts:
+            open(f"{log}/{p}-{uuid.uuid4().hex}", "w").close()
+            if p.startswith("slow"):
+                time.sleep(3600)
+            if p.startswith("bad"):
+                raise RuntimeError("refused")
+        return prompts.str.upper()
+
+    def called():
+        return sorted(n.split("-")[0] for n in os.listdir(log))
+    rows = [(i, p) for i, p in enumerate(["a", "b", "slow1", "bad1", "a", None])]
+    first = spark.createDataFrame(rows, "id int, prompt string")
+    got = sorted(map(tuple, E.infer(first, model, table, timeout=1.0, wave=2).collect()))
+    want = [(0, "A", None), (1, "B", None), (2, None, "no answer in 1 s"), (3, None, "RuntimeError: refused"), (4, "A", None), (5, None, None)]
+    assert got == want and called() == ["a", "b", "bad1", "slow1"]
+    assert sorted(map(tuple, E.infer(first, model, table, timeout=1.0).collect())) == want and len(called()) == 4
+    more = first.union(spark.createDataFrame([(6, "c")], "id int, prompt string"))
+    assert sorted(map(tuple, E.infer(more, model, table, timeout=1.0).collect()))[-1] == (6, "C", None)
+    assert called() == ["a", "b", "bad1", "c", "slow1"]
+    better = E.infer(more, lambda p: p + "!", table, retry_failed=True).collect()
+    assert {r.id: r.raw for r in better} == {0: "A", 1: "B", 2: "slow1!", 3: "bad1!", 4: "A", 5: None, 6: "C"}
 
 
 def test_apply_enrichment_with_repeated_responses(spark):
