@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
@@ -52,3 +53,31 @@ def metrics_text(metrics: Column) -> Column:
     """Sorted ``k=v`` pairs joined by ``, `` (empty string for an empty or null map)."""
     entries = F.array_sort(F.map_entries(F.coalesce(metrics, F.create_map().cast("map<string,int>"))))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string the way Go's encoder writes it: also <, > and & and the line separators are escaped."""
+    out = F.to_json(F.array(text))
+    out = F.substring(out, 2, F.length(out) - 2)
+    for ch, code in (("<", "003c"), (">", "003e"), ("&", "0026"), ("\u2028", "2028"), ("\u2029", "2029")):
+        out = F.replace(out, F.lit(ch), F.lit("\\u" + code))
+    return out
+
+
+def json_indented(value: Column, kind: T.DataType, level: int = 0) -> Column:
+    """JSON text with two spaces per level, one field or element a line; null
+    fields are left out. The nesting is that of the type, so every indent is a
+    constant and the text is put together in one pass."""
+    pad, inner = "\n" + "  " * level, "\n" + "  " * (level + 1)
+
+    def listed(open_: str, empty: Column, items: Column, close: str) -> Column:
+        return F.when(empty, F.lit(open_ + close)).otherwise(
+            F.concat(F.lit(open_ + inner), F.array_join(items, "," + inner), F.lit(pad + close)))
+    if isinstance(kind, T.StructType):
+        fields = [F.when(value[f.name].isNotNull(), F.concat(F.lit(f'"{f.name}": '), json_indented(value[f.name], f.dataType, level + 1)))
+                  for f in kind.fields]
+        empty = F.coalesce(*[F.when(value[f.name].isNotNull(), F.lit(False)) for f in kind.fields], F.lit(True))
+        return listed("{", empty, F.array_compact(F.array(*fields)), "}")
+    if isinstance(kind, T.ArrayType):
+        return listed("[", F.size(value) == 0, F.transform(value, lambda x: json_indented(x, kind.elementType, level + 1)), "]")
+    return json_string(value) if isinstance(kind, T.StringType) else value.cast("string")

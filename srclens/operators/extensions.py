@@ -7,12 +7,13 @@ not do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import go_trim
 from .gotypes import KEY
-from .pyfacts import FILE
+from .pyfacts import FILE, cluster_files
 
 
 def _obsession(df: DataFrame, count_col: str) -> DataFrame:
@@ -37,18 +38,56 @@ def go_primitive_obsession(facts: dict[str, DataFrame]) -> DataFrame:
     return _obsession(counts.filter(F.col("c") >= P.PRIMITIVE_MIN).join(s, [*KEY, "head_pos"]), "c")
 
 
-def py_primitive_obsession(lines: DataFrame, defs: DataFrame) -> DataFrame:
-    """``__init__`` methods with >= 3 parameters ending in a domain
-    suffix (names read from the def line)."""
-    inits = defs.filter((F.col("name") == "__init__") & (F.col("class") != ""))
-    text = lines.select(*FILE, "line", "text")
-    params = F.split(F.regexp_extract("text", r"\((.*)\)", 1), ",")
-    names = F.transform(params, lambda p: F.trim(F.regexp_extract(p, r"^\s*\**\s*(\w+)", 1)))
+#: String literals of one line, or a comment.
+_PY_LITERAL = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*"|#.*$"""
+
+
+def py_signatures(files: DataFrame) -> DataFrame:
+    """repo, path, line, signature: every ``def`` header as one logical line.
+
+    A header goes on while its brackets are open, literals and comments not
+    counted: from the def line on, the running bracket depth of the file's lines
+    decides which physical lines belong to it. Literals are blank in the text."""
+    code = F.regexp_replace("raw", _PY_LITERAL, " ")
+    lines = (cluster_files(files.filter((F.col("lang") == "python") & F.col("content").isNotNull()))
+             .select(*FILE, F.posexplode(F.split("content", "\n", -1)).alias("pos", "raw"))
+             .select(*FILE, (F.col("pos") + 1).cast("int").alias("line"), code.alias("code")))
+    opens, closes = (F.regexp_count("code", F.lit(r)) for r in (r"[(\[{]", r"[)\]}]"))
+    is_def = go_trim(F.col("code")).rlike(P.PY_FUNC)
+    wf = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    wg = Window.partitionBy(*FILE, "grp").orderBy("line")
+    lines = (lines.withColumn("grp", F.sum(is_def.cast("int")).over(wf)).filter("grp > 0")
+             .withColumn("depth", F.sum(opens - closes).over(wg.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("low", F.min("depth").over(wg.rowsBetween(Window.unboundedPreceding, -1))))
+    return (lines.filter(F.coalesce(F.col("low") > 0, F.lit(True)))
+            .groupBy(*FILE, "grp").agg(F.min("line").alias("line"), F.sort_array(F.collect_list(F.struct("line", "code"))).alias("ls"))
+            .select(*FILE, "line", F.array_join(F.transform("ls", lambda x: x["code"]), " ").alias("signature")))
+
+
+def parameters(signature: Column) -> Column:
+    """The parameters of a logical def line: its text one bracket deep, cut at the commas; what lies in inner brackets is left out."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("done"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        text = (s["depth"] == 1) & ~opens & ~closes & ~s["done"]
+        return F.struct(depth.alias("depth"), F.when(text, F.concat(s["out"], t)).otherwise(s["out"]).alias("out"),
+                        (s["done"] | (closes & (depth == 0))).alias("done"))
+    parts = F.regexp_extract_all(signature, F.lit(r"[()\[\]{}]|[^()\[\]{}]+"), F.lit(0))
+    return F.split(F.aggregate(parts, start, step, lambda s: s["out"]), ",")
+
+
+def py_primitive_obsession(files: DataFrame, defs: DataFrame) -> DataFrame:
+    """``__init__`` methods of a class with >= 3 parameters ending in a
+    domain suffix; signatures may span lines."""
+    inits = defs.filter((F.col("name") == "__init__") & F.col("encl").isNotNull())
+    names = F.transform(parameters(F.col("signature")), lambda p: F.regexp_extract(p, r"^\s*\**\s*(\w+)", 1))
     hits = F.size(F.filter(names, lambda n: F.exists(F.array(*[F.lit(s) for s in P.PY_DOMAIN_SUFFIXES]),
                                                      lambda s: n.endswith(s))))
-    j = inits.join(text, [*FILE, "line"]).withColumn("c", hits)
+    j = inits.join(py_signatures(files), [*FILE, "line"]).withColumn("c", hits)
     return _obsession(j.filter(F.col("c") >= P.PRIMITIVE_MIN)
-                      .withColumn("component", F.concat_ws(".", "class", "name")), "c")
+                      .withColumn("component", F.concat_ws(".", "encl", "name")), "c")
 
 
 def score_history(scans: DataFrame, k: int = P.HISTORY_SCANS, salt_buckets: int = 16) -> DataFrame:

@@ -9,12 +9,15 @@ with a third of all findings still spreads over many tasks) and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import html_escape
 from .scoring import score_band, severity_rank
+from .stage import stage
 
 INDENT = " " * 13
 SORT_KEY = ["repo", "rank", "file", "line", "smell_type", "component"]
@@ -162,7 +165,33 @@ def report_html_rows(findings: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, column: str) -> None:
-    """One text document per repo under ``path/repo=<repo>/``, lines in
-    report order (global sort, then per-repo files)."""
-    (rows.orderBy(*SORT_KEY).select("repo", F.col(column).alias("value"))
-     .write.mode("overwrite").partitionBy("repo").text(path))
+    """One text document per repo under ``path/repo=<repo>/``, in report order.
+
+    The rows are range-partitioned by (repo, sort key), so a repo with a third
+    of all rows is written by many tasks. The pieces of a document are the
+    ``part=<p>`` folders below its repo, p growing with the sort key, one file
+    each; ``_manifest`` (Parquet) lists repo, part, rows and first sort key of
+    every piece, which ``read_report`` follows. The numbered rows are staged
+    first, so a task that is run again writes the same piece."""
+    order = [F.col(c) for c in SORT_KEY]
+    spark = rows.sparkSession
+    dealt = stage(rows.select(*SORT_KEY, F.col(column).alias("value")), "report")
+    dealt = dealt.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = stage(dealt.withColumn("part", F.spark_partition_id()), "report")
+    # Sorted by the folder columns first: the writer then keeps this order as it is.
+    pieces = dealt.repartition("part").sortWithinPartitions("repo", "part", *order[1:])
+    pieces.select("value", "repo", "part").write.mode("overwrite").partitionBy("repo", "part").text(path)
+    first = F.min(F.struct(*SORT_KEY[1:])).alias("first")
+    dealt.groupBy("repo", "part").agg(F.count("*").alias("n_rows"), first).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def read_report(spark: SparkSession, path: str, repo: str) -> Iterator[str]:
+    """A repo's document, piece by piece in order, as the manifest lists them; one piece at a time is on the driver."""
+    root = path.rstrip("/")
+    text = spark.read.schema("value string, repo string, part int").text(root, wholetext=True)
+    pieces = spark.read.parquet(f"{root}/_manifest").filter(F.col("repo") == repo).orderBy("part").select("part")
+    for piece in pieces.toLocalIterator():
+        found = text.filter((F.col("repo") == repo) & (F.col("part") == piece.part)).collect()
+        if len(found) != 1:
+            raise ValueError(f"piece {piece.part} of {repo} has {len(found)} files, not one")
+        yield found[0].value

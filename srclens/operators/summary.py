@@ -2,8 +2,8 @@
 
 A summary is one nested row per file, assembled from the fact tables with
 grouped ``collect_list`` of structs (each group is one file's own types or
-functions) and joins on the file key; the JSON text is ``to_json`` of that
-row (compact; empty lists are omitted like ``omitempty``).
+functions) and joins on the file key; empty lists are omitted like
+``omitempty``. Prompts carry the row as JSON indented by two spaces.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_indented
 from .gofacts import go_calls, go_params
 
 
@@ -114,8 +115,8 @@ def py_summary(facts: dict[str, DataFrame]) -> DataFrame:
 
 
 def deep_file_prompts(summaries: DataFrame, findings: DataFrame) -> DataFrame:
-    """L3 + J5: per-file prompt from the JSON summary and the findings of
-    that file."""
+    """L3 + J5: per-file prompt from the indented JSON summary and the findings
+    of that file, for Go and Python files alike."""
     from ..functions import patterns as P
     skip = (findings.groupBy("repo", F.col("file").alias("path"))
             .agg(F.sort_array(F.collect_list(F.struct("line", "smell_type", "component"))).alias("sk")))
@@ -125,4 +126,5 @@ def deep_file_prompts(summaries: DataFrame, findings: DataFrame) -> DataFrame:
                       F.concat(F.lit(P.PROMPT_FILE_SKIP), F.array_join(lines, ""), F.lit("\n"))).otherwise(F.lit(""))
     return (summaries.join(skip, ["repo", "path"], "left")
             .select("repo", "path", F.concat(F.lit(P.PROMPT_FILE_HEAD), skip_txt, F.lit(P.PROMPT_FILE_TAIL),
-                                             F.to_json("summary")).alias("prompt")))
+                                             json_indented(F.col("summary"), summaries.schema["summary"].dataType))
+                    .alias("prompt")))

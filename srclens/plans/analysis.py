@@ -57,7 +57,7 @@ def write_reports(result: dict[str, DataFrame], out_dir: str, fmt: str = "json")
     """One document per repo under ``out_dir/repo=<repo>/`` in the
     chosen format: ``json`` (one JSON document per repo), ``jsonl`` (a
     header line and one JSON line per finding), ``text``, or ``html`` table
-    rows. Part files of a repo concatenate in name order."""
+    rows. ``report.read_report`` reads a repo's document back in order."""
     from ..operators import report as R
     f, scores = result["findings"], result["scores"]
     if fmt == "json":

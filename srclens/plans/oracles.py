@@ -535,11 +535,11 @@ PRIMITIVE_OBSESSION_GO = _with(GO_BASE) + """
 SELECT repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, dir || '/app.go' AS file, 29 AS line,
        'Service' AS component, 'primitive_fields=3' AS metrics, 'Value Object' AS pattern, 'Faible' AS effort FROM gext
 """
-PRIMITIVE_OBSESSION_PY = _with(PY_BASE) + """
-SELECT repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type, path AS file, 6 AS line,
-       'C_' || k || '.__init__' AS component, 'primitive_fields=3' AS metrics, 'Value Object' AS pattern,
-       'Faible' AS effort
-FROM base WHERE false
+PRIMITIVE_OBSESSION_PY = """
+SELECT 'r' || c_nationkey AS repo, 'MOYEN' AS severity, 'primitive_obsession' AS smell_type,
+       'r' || c_nationkey || '/e' || c_custkey || '/shape.py' AS file, 2 AS line, 'Client_' || c_custkey || '.__init__' AS component,
+       'primitive_fields=3' AS metrics, 'Value Object' AS pattern, 'Faible' AS effort
+FROM customer WHERE c_custkey % 4 = 1
 """
 
 SCORE_HISTORY = """
@@ -644,7 +644,7 @@ FROM sk LEFT JOIN skip USING (repo, dir)
 PACKAGE_PROMPTS = _package_prompts()
 
 # ---------------------------------------------------------------- summaries
-GO_SUMMARY = _with(GO_BASE, """
+_GO_SUMMARY_LISTS = """
 gof2 AS (SELECT o_custkey AS k, string_agg('{"name":"F_' || o_orderkey || '","type":"int"}', ',' ORDER BY o_orderkey) AS fs
          FROM orders GROUP BY 1),
 gms AS (SELECT k, st, string_agg('{"name":"M_' || l_orderkey || '_' || l_linenumber || '","line":' || line
@@ -653,7 +653,8 @@ gms AS (SELECT k, st, string_agg('{"name":"M_' || l_orderkey || '_' || l_linenum
                                  || ',"lines":' || (sz - 1) || ',"calls":["helper.Sum"]}', ','
                                  ORDER BY line) AS ms
         FROM gml GROUP BY k, st)
-""") + """
+"""
+_GO_SUMMARY_SELECT = """
 SELECT b.repo, b.spath AS path,
   '{"file":"' || b.spath || '","package":"g' || (b.k // 8) || '","types":['
   || CASE WHEN b.k % 2 = 0 THEN '{"name":"Store_' || b.k || '","kind":"struct","line":4,"fields":[{"name":"id","type":"int"}]},' ELSE '' END
@@ -692,6 +693,8 @@ UNION ALL
 SELECT repo, dir || '/gen/g.go', '{"file":"' || dir || '/gen/g.go","package":"gen","types":[{"name":"Made_' || k || '","kind":"struct","line":3,"fields":[{"name":"x","type":"int"}]}]}' FROM gext
 """
 
+GO_SUMMARY = _with(GO_BASE, _GO_SUMMARY_LISTS) + _GO_SUMMARY_SELECT
+
 _PM2 = """
 pm2 AS (SELECT k, string_agg('{"name":"m_' || l_orderkey || '_' || l_linenumber || '","line":' || CAST(line AS INTEGER)
                              || ',"complexity":' || (1 + q + CAST(k % 7 = 0 AS INTEGER)) || '}', ','
@@ -721,10 +724,10 @@ FROM ends e LEFT JOIN pm2 USING (k)
 PY_SUMMARY = _with(PY_BASE, _PM2) + _PY_SUMMARY_SELECT
 
 
-def _deep_file_prompts() -> str:
+def _deep_file_prompts(ctes: list[str], summary: str, findings: list[str]) -> str:
     from ..functions import patterns as P
-    return _with(PY_BASE, _PM2, "pyf AS (" + PY_GOD_CLASS_ROWS + "\nUNION ALL\n" + PY_HIGH_COMPLEXITY_ROWS + ")",
-                 "summ AS (" + _PY_SUMMARY_SELECT + ")",
+    return _with(*ctes, "pyf AS (" + "\nUNION ALL\n".join(findings) + ")",
+                 "summ AS (" + summary + ")",
                  """skip AS (SELECT repo, file AS path,
                       string_agg('  - ' || smell_type || ' at line ' || line || ' (' || component || ')' || chr(10), ''
                                  ORDER BY line, smell_type, component) AS lines
@@ -732,12 +735,19 @@ def _deep_file_prompts() -> str:
 SELECT s.repo, s.path,
        {_sql_lit(P.PROMPT_FILE_HEAD)}
        || CASE WHEN k.lines IS NOT NULL THEN {_sql_lit(P.PROMPT_FILE_SKIP)} || k.lines || chr(10) ELSE '' END
-       || {_sql_lit(P.PROMPT_FILE_TAIL)} || s.json AS prompt
+       || {_sql_lit(P.PROMPT_FILE_TAIL)} || {_TWO_SPACES} AS prompt
 FROM summ s LEFT JOIN skip k USING (repo, path)
 """
 
 
-DEEP_FILE_PROMPTS = _deep_file_prompts()
+#: DuckDB indents by four spaces; no value holds a line break.
+_TWO_SPACES = """array_to_string(list_transform(string_split(json_pretty(s.json), chr(10)),
+         lambda l: repeat(' ', (len(l) - len(ltrim(l, ' '))) // 2) || ltrim(l, ' ')), chr(10))"""
+
+DEEP_FILE_PROMPTS = _deep_file_prompts(
+    [PY_BASE, _PM2], _PY_SUMMARY_SELECT, [PY_GOD_CLASS_ROWS, PY_HIGH_COMPLEXITY_ROWS])
+DEEP_FILE_PROMPTS_GO = _deep_file_prompts(
+    [GO_BASE, _GO_SUMMARY_LISTS], _GO_SUMMARY_SELECT, [GO_GOD_STRUCT_ROWS, GO_CONCRETE_DEP_ROWS, GO_HIGH_COMPLEXITY_ROWS])
 
 
 _DEEP_ROWS = """

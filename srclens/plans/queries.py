@@ -15,6 +15,7 @@ from ..operators import detectors as D
 from ..operators import scoring as S
 from ..operators.gofacts import go_facts
 from ..operators.pyfacts import py_facts, py_lines
+from ..operators.stage import stage
 from ..sources.tables import table
 from ..sources.testcorpus import go_corpus, python_corpus
 
@@ -243,10 +244,9 @@ def q_primitive_obsession_go(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_primitive_obsession_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.extensions import py_primitive_obsession
-    files = python_corpus(spark, sf_dir)
-    facts = py_facts(files)
-    lines = py_lines(files.filter(F.col("content").isNotNull()))
-    return findings_view(py_primitive_obsession(lines, facts["defs"]))
+    from ..sources.testcorpus import py_shapes
+    files = python_corpus(spark, sf_dir).unionByName(py_shapes(spark, sf_dir))
+    return findings_view(py_primitive_obsession(files, py_facts(files)["defs"]))
 
 
 def q_score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +309,12 @@ def q_deep_file_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep_file_prompts(py_summary(facts), f)
 
 
+def q_deep_file_prompts_go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import deep_file_prompts, go_summary
+    facts = go_facts(go_corpus(spark, sf_dir))
+    return deep_file_prompts(stage(go_summary(facts), "summary"), D.run_all(facts, D.GO_DETECTORS))
+
+
 def q_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: directory exclusion of both walkers on paths built from ``part``."""
     from ..sources.corpus import skip_dirs
@@ -384,6 +390,7 @@ QUERIES = {
     "go_summary": q_go_summary,
     "py_summary": q_py_summary,
     "deep_file_prompts": q_deep_file_prompts,
+    "deep_file_prompts_go": q_deep_file_prompts_go,
     "repo_score_with_deep": q_repo_score_with_deep,
     "corpus_filter": q_corpus_filter,
     "ignore_filter": q_ignore_filter,

@@ -48,6 +48,7 @@ ORACLES = {
     "go_summary": O.GO_SUMMARY,
     "py_summary": O.PY_SUMMARY,
     "deep_file_prompts": O.DEEP_FILE_PROMPTS,
+    "deep_file_prompts_go": O.DEEP_FILE_PROMPTS_GO,
     "repo_score_with_deep": O.REPO_SCORE_WITH_DEEP,
     "corpus_filter": O.CORPUS_FILTER,
     "ignore_filter": O.IGNORE_FILTER,

@@ -117,6 +117,33 @@ def python_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("repo", "path", "dir", "lang", "content"))
 
 
+#: A Python file of customer <k> with a signature over several lines.
+PY_SHAPE = """class Client_<k>:
+    def __init__(
+        self, user_id: int,  # the (id
+        user_email: dict[str, list[int]] = "a)b",
+        *, home_url=None, x=(1, [2, 3]), **rest_opts
+    ) -> None:
+        self.a = [
+            1]
+
+    def other(self, a_id, b_id, c_id): pass
+
+class Small_<k>:
+    def __init__(self, a_id, b_code, c=f(d_id, e_id)): pass
+"""
+
+
+def py_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<n>/e<k>/shape.py`` (PY_SHAPE) for every customer with k % 4 = 1."""
+    k = F.col("c_custkey").cast("string")
+    repo = F.concat(F.lit("r"), F.col("c_nationkey"))
+    folder = F.concat_ws("/", repo, F.concat(F.lit("e"), k))
+    return table(spark, sf_dir, "customer").filter("c_custkey % 4 = 1").select(
+        repo.alias("repo"), F.concat(folder, F.lit("/shape.py")).alias("path"), folder.alias("dir"), F.lit("python").alias("lang"),
+        F.replace(F.lit(PY_SHAPE), F.lit("<k>"), k).alias("content"))
+
+
 _GO_DECOYS = "\n".join([
     "\ts := \"if { && }\"",
     "\tr := '{'",

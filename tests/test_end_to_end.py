@@ -1,8 +1,9 @@
-import glob
 import json
 import os
 
+from srclens.operators.report import read_report, report_json_document_rows, write_report
 from srclens.plans.analysis import analyse_directories, write_reports
+from srclens.schemas import FINDINGS
 
 
 def _write(root, rel, text):
@@ -26,16 +27,32 @@ def test_directories_to_reports(spark, tmp_path):
     assert gate == {"a": (90, True), "b": (93, True)}
     out = str(tmp_path / "out")
     write_reports(res, out, "text")
-    text = "".join(open(p).read() for p in sorted(glob.glob(out + "/repo=a/*.txt")))
+    text = "".join(read_report(spark, out, "a"))
     assert "[MOYEN]                concrete_dep         svc/h.go:4" in text
     assert "H.db est un type concret, pas une interface" in text
     assert text.rstrip().endswith("critique : 0  moyen : 1  faible : 1")
     out_json = str(tmp_path / "json")
     write_reports(res, out_json, "json")
-    doc = json.loads("".join(open(p).read() for p in sorted(glob.glob(out_json + "/repo=b/*.txt"))))
+    doc = json.loads("".join(read_report(spark, out_json, "b")))
     assert doc["dir"] == "b" and doc["score"] == 93 and doc["findings"][0]["metrics"] == {"cc": 17}
 
 
+def test_a_report_of_many_parts_keeps_its_order(spark, tmp_path):
+    rows = [("big" if k % 3 else f"r:{k % 5}", ["CRITIQUE", "MOYEN", "FAIBLE"][k % 3], "s", f"f{k % 40}.go", k, f"C{k}\n", None, "p", "Faible", "", "", "")
+            for k in range(3000)]
+    findings = spark.createDataFrame(rows, FINDINGS).repartition(7)
+    scores = spark.createDataFrame([("big", 0), *((f"r:{k}", 1) for k in range(5)), ("none", 100)], "repo string, score int")
+    out = str(tmp_path / "out")
+    write_report(report_json_document_rows(findings, scores), out, "json")
+    parts = spark.read.parquet(out + "/_manifest").groupBy("repo").count().collect()
+    assert {r.repo: r["count"] for r in parts}["big"] > 1
+    rank = {"CRITIQUE": 0, "MOYEN": 1, "FAIBLE": 2}
+    for repo, n in (("big", 2000), ("r:0", 200), ("none", 0)):
+        found = json.loads("".join(read_report(spark, out, repo)))["findings"] or []
+        keys = [(rank[x["severity"]], x["file"], x["line"]) for x in found]
+        assert len(keys) == n and keys == sorted(keys)
+
+
 def test_stream_of_snapshots(spark, tmp_path):
     from srclens.schemas import SOURCE_FILES
     from srclens.streaming import analyse_stream

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from srclens.operators import enrich as E
 from srclens.operators.extensions import go_primitive_obsession, py_primitive_obsession, score_history
 from srclens.operators.gofacts import go_facts
-from srclens.operators.pyfacts import py_facts, py_lines
+from srclens.operators.pyfacts import py_facts
 from srclens.operators.skeleton import go_skeleton, py_skeleton
 from srclens.sources.corpus import ignore_filter, ignore_regex, scan_directories, scan_directory
 
@@ -173,7 +173,7 @@ def test_primitive_obsession(files):
     assert g == [("U", 3)]
     facts = py_facts(df, False)
     p = [(r.component, r.metrics["primitive_fields"])
-         for r in py_primitive_obsession(py_lines(df.filter(F.col("lang") == "python")), facts["defs"]).collect()]
+         for r in py_primitive_obsession(df, facts["defs"]).collect()]
     assert p == [("U.__init__", 3)]
 
 
