@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import chunks, stage
 
-EMPTY = hashlib.sha256(b"").hexdigest()
+SPAN = 1 << 16
+SUMS = ["ids_sha256", "decoded_sha256"]
 
 
 @functools.lru_cache(maxsize=4)
@@ -63,34 +64,48 @@ def _cuts(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _encode(path: str, pattern: str, keys: list[str]):
-    """Ids of each piece."""
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))).cast(pa.list_(pa.int32()))
+
+
+def _digests(enc: tiktoken.Encoding, ids: np.ndarray) -> tuple[str, str]:
+    """Of the ids and of the bytes they decode to, SPAN ids at a time."""
+    back = hashlib.sha256()
+    for at in range(0, len(ids), SPAN):
+        back.update(enc.decode_bytes(ids[at:at + SPAN].tolist()))
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest()
+
+
+def _encode(path: str, pattern: str, keys: list[str], digest: bool):
+    """Ids of each piece, with digests on demand; about CHUNK bytes of text are Python objects at once."""
     def run(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            ids = [enc.encode_ordinary(text or "") for text in b.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(ids, pa.list_(pa.int32()))], [*keys, "ids"])
+            for c in chunks(b, "part"):
+                ids = [np.asarray(enc.encode_ordinary(text or ""), np.int32) for text in c.column("part").to_pylist()]
+                more = [pa.array(x, pa.string()) for x in zip(*(_digests(enc, x) for x in ids))] if digest else []
+                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in keys), _lists(ids), *more], [*keys, "ids", *(SUMS if digest else [])])
     return run
 
 
 def _decode(path: str, pattern: str, ids: str, names: list[str], digest: bool):
-    """The columns, then the decoded bytes or the digests of the ids and of the decoded bytes."""
+    """The columns, then the decoded bytes or the digests of the ids and of the decoded bytes; rows go out one by one."""
     def run(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            rows = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in b.column(ids).to_pylist()]
-            back = [enc.decode_bytes(x.tolist()) for x in rows]
-            if digest:
-                more = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
-            else:
-                more = [pa.array(back, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], [*names, *(["ids_sha256", "decoded_sha256"] if digest else ["decoded"])])
+            for k in range(len(b)):
+                row = b.slice(k, 1)
+                x = row.column(ids)[0].values
+                x = np.zeros(0, np.int32) if x is None else x.to_numpy(zero_copy_only=False).astype(np.int32)
+                more = [pa.array([v], pa.string()) for v in _digests(enc, x)] if digest else [pa.array([enc.decode_bytes(x.tolist())], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), *more], [*names, *(SUMS if digest else ["decoded"])])
     return run
 
 
 def _with_decoded(coded: DataFrame, path: str, pattern: str, ids: str, digest: bool) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema]
-    fields += ["ids_sha256 string", "decoded_sha256 string"] if digest else ["decoded binary"]
+    fields += [f"{x} string" for x in SUMS] if digest else ["decoded binary"]
     return coded.mapInArrow(_decode(path, pattern, ids, coded.columns, digest), ", ".join(fields))
 
 
@@ -120,11 +135,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     """key, n_tokens, ids, ids_sha256, decoded_sha256 of every row of docs; the digests are of these ids and of what they decode to."""
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("part"))
     kind = d.schema["key"].dataType.simpleString()
-    short = d.filter(F.length("part") <= chunk).mapInArrow(_encode(path, pattern, ["key"]), f"key {kind}, ids array<int>")
+    columns = ["key", "ids", *SUMS]
+    short = d.filter(F.length("part") <= chunk).mapInArrow(_encode(path, pattern, ["key"], True), f"key {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string")
     long = stage(d.filter(F.length("part") > chunk).select("key", F.sha2("part", 256).alias("digest"), F.col("part").alias("text")), "bpe")
     parts = pieces(long.dropDuplicates(["digest"]).select("digest", "text"), pattern, chunk, overlap)
-    coded = parts.repartition("digest", "piece").mapInArrow(_encode(path, pattern, ["digest", "piece"]), "digest string, piece int, ids array<int>")
+    coded = parts.repartition("digest", "piece").mapInArrow(_encode(path, pattern, ["digest", "piece"], False), "digest string, piece int, ids array<int>")
     whole = (coded.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
              .select("digest", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")))
-    out = short.unionByName(long.select("key", "digest").join(whole, "digest").drop("digest"))
-    return _with_decoded(out.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_tokens"), "ids"), path, pattern, "ids", True)
+    whole = _with_decoded(whole, path, pattern, "ids", True)
+    out = short.select(columns).unionByName(long.select("key", "digest").join(whole, "digest").select(columns))
+    return out.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_tokens"), "ids", *SUMS)
