@@ -144,7 +144,7 @@ def type_text(toks: Column) -> Column:
                .when(t == "interface", F.concat(s["out"], F.lit("interface{}")))
                .when(t == "struct", F.concat(s["out"], F.lit("?")))
                .when(t == "chan", F.concat(s["out"], F.lit("chan ")))
-               .when(instance, F.regexp_replace(s["out"], r"[\p{L}\p{Nd}_.]+$", "?"))
+               .when(instance, F.regexp_replace(s["out"], r"(?:" + P.GO_ID + r"\.)?" + P.GO_ID + "$", "?"))
                .when(key, F.concat(s["out"], t))
                .when(t == "[", F.concat(s["out"], F.lit("[]")))
                .when(t == "(", F.concat(s["out"], F.lit("?")))
