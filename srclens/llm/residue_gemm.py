@@ -216,7 +216,9 @@ def negatives(anchors: DataFrame, rows: DataFrame, k: int, low: int, high: int)
     n_r = max(1, -(-rows.count() // BLOCK))
 
     def dealt(t: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return t.withColumn(own, F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        # Both numbers as long on either side: int and long keys of one value hash to different partitions.
+        mine = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n)).cast("long")
+        return t.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     a = dealt(anchors.select("uid", "label", "v", F.transform("found", lambda x: x["score"]).alias("scores")), "a", n_a, "r", n_r)
     r = dealt(rows.select("uid", "id", "label", "v"), "r", n_r, "a", n_a)
     r = r.toDF(*r.columns)

@@ -167,6 +167,21 @@ def test_negatives_equal_plain_version(spark, monkeypatch):
         assert sorted(got, key=str) == want and len(want) > 100
 
 
+def test_negatives_when_partitions_are_not_coalesced(spark, monkeypatch):
+    rows = _vectors(2, 200)
+    want = _plain_negatives(rows, lambda i: i is not None and i % 10 == 0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(residue_gemm, "BLOCK", 64)
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        got = [tuple(r) for r in residue_gemm.mine(df, F.col("vec_id") % 10 == 0).collect()]
+    finally:
+        spark.conf.set(conf, was)
+    assert sorted(got, key=str) == want and len(want) > 100
+
+
 def test_negatives_of_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert residue_gemm.mine(none, F.col("vec_id") % 50 == 0).count() == 0
