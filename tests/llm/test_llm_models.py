@@ -3,6 +3,7 @@
 import collections
 import functools
 import math
+import random
 import re
 
 import numpy as np
@@ -199,3 +200,17 @@ def test_language_stage_rejects_by_score(spark):
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(junk), SMALL).select("doc_id").collect()}
     clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert clean <= kept and not [i for i in kept if i >= 90000]
+
+
+def test_language_bounds_come_from_every_training_document(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["en", "de", None]), rng.randrange(0, 32, 5), rng.choice(["en", "de", "und"]), round(rng.random(), rng.choice([2, 9]))) for i in range(30_000)]
+    scored = spark.createDataFrame(rows, "doc_id int, lang string, __size int, __lang string, __score double")
+    got = {(r["__lang"], r["__size"]): r.least for r in corpus_pipeline.score_bounds(scored, F.col("doc_id") % 3 == 1).collect()}
+    want = collections.defaultdict(list)
+    for i, lang, size, pred, score in rows:
+        if i % 3 != 1 and lang == pred:
+            for k in range(size, min(size + corpus_pipeline.NEAR, corpus_pipeline.SIZES - 1) + 1):
+                want[pred, k].append(score)
+    assert got.keys() == want.keys() and max(map(len, want.values())) > 300
+    assert all(abs(got[k] - np.quantile(v, 0.001) / 2) < 1e-12 for k, v in want.items())
