@@ -315,3 +315,11 @@ def test_a_very_long_line_and_test_files(files):
     facts = _sources(files, {"p/a.go": f"package p\n\n{wide}\n\nfunc F() {{\n{long_line}\n\tif a {{\n\t}}\n}}\n", "p/a_test.go": _struct(30)})
     assert [(r.name, r.fields) for r in facts["structs"].collect()] == [("W", 60_000)]
     assert [(r.name, r.complexity, r.lines) for r in facts["funcs"].collect()] == [("F", 2, 5)]
+
+
+def test_a_skeleton_moves_the_files_once(files):
+    from srclens.operators.skeleton import go_skeleton
+    sk = go_skeleton(files({"p/a.go": "package p\n\nfunc A() {\n\tx := 1\n}\n\nfunc B() { return }\n"}))
+    assert sk.first().skeleton == "package p\n\nfunc A() { /* 1 lines */ }\n\nfunc B() { return }\n"
+    plan = sk._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan and plan.count("Exchange ") == 1
