@@ -183,3 +183,18 @@ def test_score_history_salted(spark):
     got = score_history(scans, k=3, salt_buckets=4).orderBy("repo", "rank").collect()
     assert [(r.repo, r.scan_id, r.rank) for r in got] == [("r", 99, 1), ("r", 98, 2), ("r", 97, 3), ("s", 1, 1)]
     assert got[0].trend == (99 % 7) - (98 % 7)
+
+
+def test_a_python_skeleton_moves_the_files_once(files):
+    src = "\n".join(["class A:", "", "    def m(self):", "", "        x = 1", "        def n():", "            return 2", "        return n",
+                     "    async def o(self): pass", "", "y = 1", ""])
+    want = "\n".join(["class A:", "", "    def m(self):", "        ...", "        def n():", "            ...", "    async def o(self): pass", "y = 1", ""])
+    df = files({"p/a.py": src, "p/b.py": "\n\n"})
+    sk = py_skeleton(df)
+    assert {r.path: r.skeleton for r in sk.collect()} == {"p/a.py": want, "p/b.py": "\n\n"}
+    assert sk._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # in the first and the final plan
+    # Files of one name are read as one; files without a name keep their code.
+    twice = py_skeleton(files({"q.py": "def f():\n    x\n"}).union(files({"q.py": "def f():\n    x\n"})))
+    assert [r.skeleton for r in twice.collect()] == ["def f():\ndef f():\n    ..."]
+    odd = py_skeleton(files({"q.py": "def f():\n\n    x\n"}).selectExpr("repo", "cast(null as string) path", "dir", "lang", "content"))
+    assert [r.skeleton for r in odd.collect()] == ["def f():\n    x"]
