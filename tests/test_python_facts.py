@@ -3,6 +3,8 @@
 import random
 
 from srclens.operators import detectors as D
+from pyspark.sql import functions as F
+
 from srclens.operators.pyfacts import py_facts
 
 
@@ -153,3 +155,16 @@ def test_planned_sources(files):
     for path, (src, want_classes, want_funcs) in plans.items():
         assert sorted(classes.get(path, [])) == want_classes, src
         assert sorted(funcs.get(path, [])) == want_funcs, src
+
+
+def test_files_are_in_order_before_their_lines_are_cut(files):
+    from srclens.operators.pyfacts import cluster_files
+    df = cluster_files(files({"b.py": "x", "a.py": "y"}))
+    assert "Sort [repo" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_are_counted_where_any_is(spark):
+    from srclens.functions.text import py_keyword_count
+    rows = [("", 0), ("elif x", 1), ("for y", 1), ("orb = band", 0), ("while a and b or c", 3), ("except E: pass", 1), ("x = 1", 0), (None, None)]
+    got = spark.createDataFrame(rows, "t string, n int").select("n", py_keyword_count(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
