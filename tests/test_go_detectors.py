@@ -3,7 +3,7 @@
 import pytest
 
 from srclens.operators import detectors as D
-from srclens.operators.gofacts import go_facts
+from srclens.operators.gofacts import go_facts, go_params
 
 
 def _func_with(body_lines, name="f", recv=""):
@@ -323,3 +323,23 @@ def test_a_skeleton_moves_the_files_once(files):
     assert sk.first().skeleton == "package p\n\nfunc A() { /* 1 lines */ }\n\nfunc B() { return }\n"
     plan = sk._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_lines_of_a_body_without_facts_are_not_staged(files):
+    facts = go_facts(files({"p/a.go": "package p\n\nfunc A(a, b int) {\n\tx := 1\n\tif a && b { y() }\n\tz := &x\n}\n"}))
+    assert sorted(r.line for r in facts["lines"].collect()) == [1, 2, 3, 5, 7]
+    assert [(r.name, r.line, r.lines, r.complexity) for r in facts["funcs"].collect()] == [("A", 3, 5, 3)]
+
+
+def test_cc_tokens_are_counted_in_any_neighbourhood(files):
+    body = "\tx = a&&b||c && elif_ || iff\n\tif(a){for{}}; éif := 1; switch x {case 1:}\n"
+    facts = go_facts(files({"p/a.go": "package p\n\nfunc A() {\n" + body + "}\n"}))
+    assert [r.complexity for r in facts["funcs"].collect()] == [1 + 4 + 3]
+
+
+def test_signatures_move_as_lines(files):
+    facts = go_facts(files({"p/a.go": "package p\n\nfunc A(a, b int,\n\tc string) {\n}\n"}))
+    params = go_params(facts["lines"])
+    plan = params._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.index("Generate")
+    assert [(r.idx, r.name, r.type) for r in params.orderBy("idx").collect()] == [(0, "a", "int"), (1, "b", "int"), (2, "c", "string")]
