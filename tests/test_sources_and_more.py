@@ -154,6 +154,21 @@ def test_infer_limits_calls_and_resumes(spark, tmp_path):
     assert {r.id: r.raw for r in better} == {0: "A", 1: "B", 2: "slow1!", 3: "bad1!", 4: "A", 5: None, 6: "C"}
 
 
+def test_infer_reads_a_prompt_for_its_own_wave_only(spark, monkeypatch):
+    staged, real = {}, E.stage
+
+    def keep(df, name="facts", **options):
+        staged[name] = real(df, name, **options)
+        return staged[name]
+    monkeypatch.setattr(E, "stage", keep)
+    prompts = spark.range(40).selectExpr("id", "concat('p', id % 20) prompt")
+    got = E.infer(prompts, lambda s: s.str.upper(), wave=4).collect()
+    assert sorted((r.id, r.raw) for r in got) == [(i, f"P{i % 20}") for i in range(40)]
+    todo = staged["todo"]
+    assert todo.count() == 20 and todo.select("wave").distinct().count() > 1
+    assert all("/wave=" in f for f in todo.inputFiles())
+
+
 def test_apply_enrichment_with_repeated_responses(spark):
     findings = spark.createDataFrame([("r", "a.go", 1, "x", "C", "", "", "", "Faible")],
                                      "repo string, file string, line int, smell_type string, component string, "
