@@ -7,6 +7,8 @@ not do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,23 @@ def go_primitive_obsession(facts: dict[str, DataFrame]) -> DataFrame:
 _PY_LITERAL = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*"|#.*$"""
 
 
+def _holds(name: str, chars: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(name).contains(ch) for ch in chars))
+
+
 def py_signatures(files: DataFrame) -> DataFrame:
     """repo, path, line, signature: every ``def`` header as one logical line.
 
     A header goes on while its brackets are open, literals and comments not
     counted: from the def line on, the running bracket depth of the file's lines
     decides which physical lines belong to it. Literals are blank in the text."""
-    code = F.regexp_replace("raw", _PY_LITERAL, " ")
+    # Patterns run only on lines with a character that they need.
+    code = F.when(_holds("raw", "'\"#"), F.regexp_replace("raw", _PY_LITERAL, " ")).otherwise(F.col("raw"))
     lines = (cluster_files(files.filter((F.col("lang") == "python") & F.col("content").isNotNull()))
              .select(*FILE, F.posexplode(F.split("content", "\n", -1)).alias("pos", "raw"))
              .select(*FILE, (F.col("pos") + 1).cast("int").alias("line"), code.alias("code")))
-    opens, closes = (F.regexp_count("code", F.lit(r)) for r in (r"[(\[{]", r"[)\]}]"))
-    is_def = go_trim(F.col("code")).rlike(P.PY_FUNC)
+    opens, closes = (F.when(_holds("code", s), F.regexp_count("code", F.lit(r))).otherwise(F.lit(0)) for s, r in (("([{", r"[(\[{]"), (")]}", r"[)\]}]")))
+    is_def = F.when(F.col("code").contains("def"), go_trim(F.col("code")).rlike(P.PY_FUNC)).otherwise(F.lit(False))
     wf = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     wg = Window.partitionBy(*FILE, "grp").orderBy("line")
     lines = (lines.withColumn("grp", F.sum(is_def.cast("int")).over(wf)).filter("grp > 0")

@@ -233,3 +233,11 @@ def test_python_corpus_moves_numbers_not_text(spark, tmp_path):
     plan = corpus._jdf.queryExecution().optimizedPlan().toString().splitlines()
     listed = next(n for n, row in enumerate(plan) if "collect_list(struct(l_orderkey" in row)
     assert not any("def m_" in row for row in plan[listed:])
+
+
+def test_signatures_run_patterns_where_needed(files):
+    from srclens.operators.extensions import py_signatures
+    src = "x = 1\ndef a(u, v): pass\n\ndef b(\n  u='(',  # (\n  v=\"d)ef\"\n):\n    y = u\n    undefined\n"
+    sig = py_signatures(files({"s.py": src}))
+    assert sorted((r.line, r.signature) for r in sig.collect()) == [(2, "def a(u, v): pass"), (4, "def b(   u= ,      v=  ):")]
+    assert "Contains(raw" in sig._jdf.queryExecution().optimizedPlan().toString()
