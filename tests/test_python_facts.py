@@ -168,3 +168,10 @@ def test_keywords_are_counted_where_any_is(spark):
     rows = [("", 0), ("elif x", 1), ("for y", 1), ("orb = band", 0), ("while a and b or c", 3), ("except E: pass", 1), ("x = 1", 0), (None, None)]
     got = spark.createDataFrame(rows, "t string, n int").select("n", py_keyword_count(F.col("t")).alias("got")).collect()
     assert [r.got for r in got] == [r.n for r in got]
+
+
+def test_only_lines_that_may_close_a_scope_keep_the_indents(files):
+    src = "class A:\n    def m(self):\n        x = 1\n    y = 2\nz = 3\n"
+    lines = py_facts(files({"m.py": src}))["lines"]
+    got = {r.line: (sorted(r.cls_thr or []), sorted(r.hdr_thr or [])) for r in lines.collect()}
+    assert got == {1: ([0], [0, 4]), 2: ([0], [0, 4]), 3: ([], []), 4: ([], [0, 4]), 5: ([0], [0, 4])}
