@@ -175,3 +175,21 @@ def test_only_lines_that_may_close_a_scope_keep_the_indents(files):
     lines = py_facts(files({"m.py": src}))["lines"]
     got = {r.line: (sorted(r.cls_thr or []), sorted(r.hdr_thr or [])) for r in lines.collect()}
     assert got == {1: ([0], [0, 4]), 2: ([0], [0, 4]), 3: ([], []), 4: ([], [0, 4]), 5: ([0], [0, 4])}
+
+
+def test_python_corpus_groups_texts_by_a_count_that_grows(spark, tmp_path):
+    from srclens.sources.testcorpus import python_corpus
+    spark.createDataFrame([(1, 2), (3, 4)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10, 2, 5.0), (10, 1, 3.0)], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    was = spark.conf.get("srclens.files.partitions")
+    try:
+        spark.conf.set("srclens.files.partitions", "13")
+        made = python_corpus(spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("srclens.files.partitions", was)
+    assert ", 13), REPARTITION_BY_NUM" in plan
+    texts = {r.path: r.content for r in made.collect()}
+    assert set(texts) == {"r2/p0/c_1.py", "r4/p0/c_3.py"}
+    assert texts["r2/p0/c_1.py"].index("m_10_1(") < texts["r2/p0/c_1.py"].index("m_10_2(")
