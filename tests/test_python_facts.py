@@ -177,6 +177,12 @@ def test_only_lines_that_may_close_a_scope_keep_the_indents(files):
     assert got == {1: ([0], [0, 4]), 2: ([0], [0, 4]), 3: ([], []), 4: ([], [0, 4]), 5: ([0], [0, 4])}
 
 
+def test_python_lines_need_three_window_passes(files):
+    lines = py_facts(files({"a.py": "class A:\n    def f(self):\n        if x: pass\n"}), materialize=False)["lines"]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) == 3
+
+
 def test_python_corpus_groups_texts_by_a_count_that_grows(spark, tmp_path):
     from srclens.sources.testcorpus import python_corpus
     spark.createDataFrame([(1, 2), (3, 4)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
