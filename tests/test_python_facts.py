@@ -199,3 +199,44 @@ def test_python_corpus_groups_texts_by_a_count_that_grows(spark, tmp_path):
     texts = {r.path: r.content for r in made.collect()}
     assert set(texts) == {"r2/p0/c_1.py", "r4/p0/c_3.py"}
     assert texts["r2/p0/c_1.py"].index("m_10_1(") < texts["r2/p0/c_1.py"].index("m_10_2(")
+
+
+def test_python_facts_move_no_lines(files):
+    f = py_facts(files({"m.py": "class A:\n    def m(self):\n        pass\n"}), materialize=False)
+    for name in ("files", "defs", "funcs", "classes", "scopes"):
+        plan = f[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan and "Join" not in plan, name
+
+
+def test_files_of_one_key_are_one_file_in_line_order(spark):
+    a = "class A:\n    def m(self):\n        if x: pass\n"
+    rows = [("r", "p.py", "python", a), ("r", "p.py", "python", a), (None, None, "python", a), ("r", "q.py", "python", "def f():\n    if x: pass\n")]
+    f = py_facts(spark.createDataFrame(rows, "repo string, path string, lang string, content string"))
+    got = sorted((str(r.path), r.name, r.line, r["class"], r.complexity) for r in f["funcs"].collect())
+    # Both defs come before both bodies; a file without a name has no class around its def.
+    assert got == [("None", "m", 2, "", 2), ("p.py", "m", 2, "A", 1), ("p.py", "m", 2, "A", 3), ("q.py", "f", 1, "", 2)]
+    assert sorted((str(r.path), r.methods) for r in f["classes"].collect()) == [("None", 0), ("p.py", 2), ("p.py", 2)]
+    assert sorted(str(r.path) for r in f["files"].collect()) == ["None", "p.py", "p.py", "q.py"]
+
+
+def test_lines_that_begin_with_rare_white_space(files):
+    src = "\x0cclass A:\n\u3000 \x0b def m(self):\n  \r\n        if x or y: pass\n\u2003# if\n\xa0\n\n"
+    classes, funcs = _facts(files, src)
+    # The indent ends at the first character that is neither a space nor a tab.
+    assert classes == [("A", 1, 0, 0)] and funcs == [("m", 2, "", 3)]
+
+
+def test_a_scan_is_the_same_in_any_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from srclens.operators import filescan, pyscan
+    rng = random.Random(5)
+    rows = [("r", f"f{i:03d}.py", _planned(rng)[0]) for i in range(30)]
+    rows[7] = rows[7][:2] + ("",)
+    rows.insert(9, rows[8])
+
+    def found(chunk, size):
+        monkeypatch.setattr(filescan, "CHUNK", chunk)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("repo", "path", "content"), r)) for r in rows[k:k + size]]) for k in range(0, len(rows), size)]
+        return sorted((r for b in pyscan.scan(iter(batches)) for r in b.to_pylist()), key=lambda r: (r["path"], r["what"], r["line"] or 0, str(r)))
+    assert found(1 << 21, 100) == found(1, 1) == found(700, 4)
