@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_indented
-from .gofacts import go_calls, go_params
 
 
 def _none_if_empty(c: Column) -> Column:
@@ -30,17 +29,17 @@ def go_summary(facts: dict[str, DataFrame]) -> DataFrame:
     """File, package, imports, struct types (fields, methods) and
     standalone functions per Go file. A method whose receiver type is not a
     struct of the same file gets a stub type (line 0)."""
-    lines = facts["lines"]
+    facts["detail"]  # one scan for all that is read here
     files = facts["packages"].select("repo", "path", "package")
     imps = (facts["imports"].groupBy("repo", "path")
             .agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "nth", "import_path"))),
                              lambda x: x["import_path"]).alias("imports")))
-    params = (go_params(lines)
+    params = (facts["params"]
               .withColumn("p", F.when(F.col("name").isNotNull(), F.concat_ws(" ", "name", "type"))
                           .otherwise(F.col("type")))
               .groupBy("repo", "path", "line")
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "p"))), lambda x: x["p"]).alias("params")))
-    calls = (go_calls(lines).groupBy("repo", "path", F.col("func_line").alias("line"))
+    calls = (facts["calls"].groupBy("repo", "path", F.col("func_line").alias("line"))
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "call"))), lambda x: x["call"])
                   .alias("calls")))
     funcs = (facts["funcs"].join(params, ["repo", "path", "line"], "left")

@@ -343,3 +343,54 @@ def test_signatures_move_as_lines(files):
     plan = params._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") > plan.index("Generate")
     assert [(r.idx, r.name, r.type) for r in params.orderBy("idx").collect()] == [(0, "a", "int"), (1, "b", "int"), (2, "c", "string")]
+
+
+def test_go_facts_move_no_lines(files):
+    facts = go_facts(files({"p/a.go": "package p\n\ntype S struct{ a int }\n\nfunc A(a int) { x.Y() }\n"}), materialize=False)
+    for name in ("packages", "imports", "funcs", "types", "fields", "params", "calls"):
+        plan = facts[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan and "Join" not in plan, name
+
+
+def _odd_go(rng):
+    """Go text of pieces in any order, also broken ones."""
+    pieces = ["package p\n", "import \"fmt\"\n", "import (\n\tx \"a/b\" // c\n\t. `d`\n\t_ \"e\" /* \"f\" */\n)\n", "func (r *T[K]) M(a, b int, c ...string) {\n",
+              "func F(\n\ta map[string][]int,\n\tf func(x int) error, // )\n) (int, error) {\n", "}\n", "{\n", "(\n", ")\n", "\tfmt.Println(a.B (1), é.Ça(\"x.Y(\"))\n",
+              "\tif a&&&b || c { for { } }\n", "type T struct {\n\ta, b int\n\t*q.T\n\tm map[string]struct{ x int }\n}\n", "type (\n\tA = B\n\tC[K any, V int] []V; D interface{ M() }\n)\n",
+              "\ttype in struct{ a int; b *[4]in }\n", "\ts := `raw\n{ if`\n", "/* open { \n if */\n", "\tx := '\\'' + \"\\\"{\" + '{'\n", "// func N() {\n", "\"\n", "`\n", "\tcase1, ncase, caseé := 1\n",
+              "func G() func(x struct{ a int }) { return nil }\n", "func (T) H(int, Gen[int], <-chan T) {}\n", "typed := 1\n", "functional()\n", "\r\n", "var v = struct{ a int }{1}\n", "/*/ x */\n"]
+    return "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))
+
+
+def test_scanned_parameters_and_calls_are_those_of_the_lines(files):
+    import random
+
+    from srclens.operators.gofacts import go_calls, go_params
+    rng = random.Random(3)
+    facts = go_facts(files({f"p/f{i}.go": _odd_go(rng) for i in range(60)}))
+    for scanned, lines in ((facts["params"], go_params(facts["lines"])), (facts["calls"], go_calls(facts["lines"]))):
+        got, want = (sorted(map(repr, df.select(*sorted(lines.columns)).collect())) for df in (scanned, lines))
+        assert got == want and len(want) > 20
+
+
+def test_a_scan_of_go_files_is_the_same_in_any_pieces(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from srclens.operators import filescan, goscan
+    rng = random.Random(4)
+    rows = [(i, "r", f"p{i % 5}/f{i:03d}.go", f"p{i % 5}", _odd_go(rng)) for i in range(40)]
+    rows[7] = rows[7][:4] + ("",)
+    rows.insert(9, rows[8])
+
+    def found(chunk, size):
+        monkeypatch.setattr(filescan, "CHUNK", chunk)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("fid", "repo", "path", "dir", "content"), r)) for r in rows[k:k + size]]) for k in range(0, len(rows), size)]
+        return sorted(str(r) for b in goscan.scanner(True)(iter(batches)) for r in b.to_pylist())
+    assert found(1 << 21, 100) == found(1, 1) == found(500, 3)
+
+
+def test_fields_without_a_type_end_no_job(files):
+    facts = go_facts(files({"p/a.go": "package p\n\ntype S struct {\n\ta, b\n\tc int\n}\n"}))
+    assert [(r.name, r.fields) for r in facts["structs"].collect()] == [("S", 3)]
