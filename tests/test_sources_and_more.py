@@ -221,3 +221,41 @@ def test_signatures_run_patterns_where_needed(files):
     sig = py_signatures(files({"s.py": src}))
     assert sorted((r.line, r.signature) for r in sig.collect()) == [(2, "def a(u, v): pass"), (4, "def b(   u= ,      v=  ):")]
     assert "Contains(raw" in sig._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_share_a_thread_until_one_hangs(monkeypatch):
+    import threading
+    import time
+
+    from srclens.operators import enrich
+    started = []
+    thread = threading.Thread
+
+    def counted(*args, **kwargs):
+        started.append(1)
+        return thread(*args, **kwargs)
+
+    def model(prompts):
+        def answer(p):
+            if p == "hangs":
+                time.sleep(60)
+            if p == "fails":
+                raise ValueError("refused")
+            return p.upper()
+        return prompts.map(answer)
+    monkeypatch.setattr(enrich.threading, "Thread", counted)
+    asked = ["a", "fails", "hangs", "b", "hangs"] + ["c"] * 500
+    got = enrich._answers(model, asked, 0.5)
+    assert got == [("A", None), (None, "ValueError: refused"), (None, "no answer in 0.5 s"), ("B", None), (None, "no answer in 0.5 s")] + [("C", None)] * 500
+    assert len(started) == 3
+    assert enrich._answers(model, [], 0.5) == [] and enrich._answers(model, ["d"], None) == [("D", None)]
+
+
+def test_sketches_are_made_once_for_package_prompts(files):
+    from srclens.operators.enrich import package_prompts
+    from srclens.operators.skeleton import package_sketches
+    df = files({"p/a.py": "def f(x):\n    return x\n"})
+    found = df.sparkSession.createDataFrame([("repo", "p/a.py", 1, "s", "f")], "repo string, file string, line int, smell_type string, component string")
+    prompts = package_prompts(package_sketches(df), found)
+    assert "posexplode" not in prompts._jdf.queryExecution().optimizedPlan().toString()
+    assert "s at line 1 in a.py (f)" in prompts.first().prompt
