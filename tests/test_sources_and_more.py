@@ -259,3 +259,26 @@ def test_sketches_are_made_once_for_package_prompts(files):
     prompts = package_prompts(package_sketches(df), found)
     assert "posexplode" not in prompts._jdf.queryExecution().optimizedPlan().toString()
     assert "s at line 1 in a.py (f)" in prompts.first().prompt
+
+
+def test_skeletons_move_no_lines(files):
+    from srclens.operators.skeleton import go_skeleton, py_skeleton
+    py = py_skeleton(files({"m.py": "class A:\n    def m(self):\n        x = 1\n\n        y = 2\n\nz = 3\n"}))
+    go = go_skeleton(files({"p/a.go": "package p\n\nfunc A(s string) (é int) { // {é\n\tx := `}\n}` + \"}\"\n\treturn 1 /* é } */ } // end\nvar é = 1\n"}))
+    for df in (py, go):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan
+    # The blank lines in and behind the body are left out, as the def is open until the next line of code.
+    assert py.first().skeleton == "class A:\n    def m(self):\n        ...\nz = 3\n"
+    assert go.first().skeleton == "package p\n\nfunc A(s string) (é int) { /* 2 lines */ } // end\nvar é = 1\n"
+
+
+def test_skeletons_of_files_of_one_key(spark):
+    from srclens.operators.skeleton import go_skeleton, py_skeleton
+    a, g = "def f():\n    x = 1\n\ny = 2", "package p\n\nfunc A() {\n\tx := 1\n}"
+    rows = [("r", "p.py", "d", "python", a), ("r", "p.py", "d", "python", a), (None, None, None, "python", a), (None, None, None, "go", g)]
+    df = spark.createDataFrame(rows, "repo string, path string, dir string, lang string, content string")
+    got = {r.path: r.skeleton for r in py_skeleton(df).collect()}
+    assert got["p.py"] == "def f():\ndef f():\n    ...\ny = 2\ny = 2"
+    assert got[None] == "def f():\n    x = 1\ny = 2"  # nothing is cut without a name, but blank lines go
+    assert go_skeleton(df).first().skeleton == g
