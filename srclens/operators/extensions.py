@@ -16,6 +16,7 @@ from ..functions import patterns as P
 from ..functions.text import go_trim
 from .gotypes import KEY
 from .pyfacts import FILE, cluster_files
+from .pyscan import SIGNATURES, signatures
 
 
 def _obsession(df: DataFrame, count_col: str) -> DataFrame:
@@ -53,7 +54,8 @@ def py_signatures(files: DataFrame) -> DataFrame:
 
     A header goes on while its brackets are open, literals and comments not
     counted: from the def line on, the running bracket depth of the file's lines
-    decides which physical lines belong to it. Literals are blank in the text."""
+    decides which physical lines belong to it. Literals are blank in the text.
+    ``scanned_signatures`` gives the same rows without moving a line."""
     # Patterns run only on lines with a character that they need.
     code = F.when(_holds("raw", "'\"#"), F.regexp_replace("raw", _PY_LITERAL, " ")).otherwise(F.col("raw"))
     lines = (cluster_files(files.filter((F.col("lang") == "python") & F.col("content").isNotNull()))
@@ -71,6 +73,12 @@ def py_signatures(files: DataFrame) -> DataFrame:
             .select(*FILE, "line", F.array_join(F.transform("ls", lambda x: x["code"]), " ").alias("signature")))
 
 
+def scanned_signatures(files: DataFrame) -> DataFrame:
+    """The rows of ``py_signatures``, from files that are scanned whole."""
+    files = cluster_files(files.filter((F.col("lang") == "python") & F.col("content").isNotNull()))
+    return files.select(*FILE, "content").mapInArrow(signatures, SIGNATURES)
+
+
 def parameters(signature: Column) -> Column:
     """The parameters of a logical def line: its text one bracket deep, cut at the commas; what lies in inner brackets is left out."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("done"))
@@ -92,7 +100,7 @@ def py_primitive_obsession(files: DataFrame, defs: DataFrame) -> DataFrame:
     names = F.transform(parameters(F.col("signature")), lambda p: F.regexp_extract(p, r"^\s*\**\s*(\w+)", 1))
     hits = F.size(F.filter(names, lambda n: F.exists(F.array(*[F.lit(s) for s in P.PY_DOMAIN_SUFFIXES]),
                                                      lambda s: n.endswith(s))))
-    j = inits.join(py_signatures(files), [*FILE, "line"]).withColumn("c", hits)
+    j = inits.join(scanned_signatures(files), [*FILE, "line"]).withColumn("c", hits)
     return _obsession(j.filter(F.col("c") >= P.PRIMITIVE_MIN)
                       .withColumn("component", F.concat_ws(".", "encl", "name")), "c")
 

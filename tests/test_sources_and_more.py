@@ -276,9 +276,19 @@ def test_skeletons_move_no_lines(files):
 def test_skeletons_of_files_of_one_key(spark):
     from srclens.operators.skeleton import go_skeleton, py_skeleton
     a, g = "def f():\n    x = 1\n\ny = 2", "package p\n\nfunc A() {\n\tx := 1\n}"
-    rows = [("r", "p.py", "d", "python", a), ("r", "p.py", "d", "python", a), (None, None, None, "python", a), (None, None, None, "go", g)]
+    rows = [("r", "p.py", "d", "python", a), ("r", "p.py", "d", "python", a), (None, None, None, "python", a), (None, "a.go", "d", "go", g)]
     df = spark.createDataFrame(rows, "repo string, path string, dir string, lang string, content string")
     got = {r.path: r.skeleton for r in py_skeleton(df).collect()}
     assert got["p.py"] == "def f():\ndef f():\n    ...\ny = 2\ny = 2"
     assert got[None] == "def f():\n    x = 1\ny = 2"  # nothing is cut without a name, but blank lines go
     assert go_skeleton(df).first().skeleton == g
+
+
+def test_scanned_signatures_are_those_of_the_lines(files):
+    from srclens.operators.extensions import py_signatures, scanned_signatures
+    df = files({"s.py": "x = 1\ndef a(u, v): pass\n\ndef b(\n  u='(',  # (\n  v=\"d)ef\"\n):\n    def c(\n  def d(): #(\r\n", "t.py": "\"x\" def e(f\\\n)\nundef g():\n", "u.py": ""})
+    df = df.union(df.filter("path = 's.py'"))
+    scanned = scanned_signatures(df)
+    assert "Window" not in scanned._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (sorted((r.path, r.line, r.signature) for r in d.collect()) for d in (scanned, py_signatures(df)))
+    assert got == want and len(want) == 9
